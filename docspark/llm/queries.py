@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, quality_rules, secrets
+from . import bpe, html_text, quality_model, quality_rules, secrets
 from .common import read_table
 from .sql import OP10
 
@@ -27,6 +27,18 @@ def op1_bpe(spark: SparkSession, sf_dir: str, path: str = WORD_TOKENIZER) -> Dat
     )
 
 
+def _remainder(divisor: int) -> Column:
+    """crc32 of the id as text, by ``divisor``; a null id counts like an empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % divisor
+
+
+def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = quality_model.fit(docs, read_table(spark, sf_dir, "labels"), "quality", _remainder(5) != 0)
+    scored = quality_model.score(docs, weights).select("doc_id", "score")
+    return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def _is_base(kind: str) -> Callable[[Column], Column]:
     return lambda x: x["base"] & (x["kind"] == kind)
 
@@ -49,7 +61,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op4_secrets": op4_secrets, "op7_html_text": op7_html_text, "op10_quality_rules": op10_quality_rules}
+    return {"op1_bpe": op1_bpe, "op2_quality_model": op2_quality_model, "op4_secrets": op4_secrets, "op7_html_text": op7_html_text, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
