@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from .common import slices, texts
 
 #: Words kept per Python worker with their ids; beyond that the memory is cleared and filled anew.
-MEMORY = 600_000
+MEMORY = 400_000
 #: White space as the tokenizer's patterns see it; Python's own adds U+001C to U+001F.
 GAP = r"\t\n\x0b\x0c\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 

@@ -28,9 +28,9 @@ from .common import WORD_GAP, materialise, slices, texts
 
 BITS = 18
 SAMPLE = 12_000
-EPOCHS = 3
+EPOCHS = 5
 #: Of the per-coordinate FTRL-proximal update: learning rate, its smoothing, and the two penalties.
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.01, 0.05
+ALPHA, BETA, L1, L2 = 3.0, 1.0, 0.005, 0.01
 MEMORY = 500_000
 GAP = re.compile(WORD_GAP)
 _known: dict[str, int] = {}

@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, quality_model, quality_rules, secrets
+from . import bpe, exact_topk, html_text, packing, quality_model, quality_rules, secrets
 from .common import read_table
-from .sql import OP10
+from .sql import OP8, OP10
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+#: The vocabulary of byte_bpe_50k.json as ranks.
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str, path: str = WORD_TOKENIZER) -> DataFrame:
@@ -50,19 +52,28 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str, path: str = BYTE_TOKENIZER) -> DataFrame:
+    pieces = packing.pack(read_table(spark, sf_dir, "documents"), path)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = html_text.extract(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return quality_rules.apply_rules(docs, ["doc_id"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_quality_model": op2_quality_model, "op4_secrets": op4_secrets, "op7_html_text": op7_html_text, "op10_quality_rules": op10_quality_rules}
+    return {"op1_bpe": op1_bpe, "op2_quality_model": op2_quality_model, "op4_secrets": op4_secrets, "op6_packing": op6_packing, "op7_html_text": op7_html_text, "op8_exact_topk": op8_exact_topk, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": OP10}
+    return {"op8_exact_topk": OP8, "op10_quality_rules": OP10}
