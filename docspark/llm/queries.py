@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_topk, html_text, packing, quality_model, quality_rules, secrets
+from . import bpe, exact_topk, html_text, near_dedup, packing, quality_model, quality_rules, secrets
 from .common import read_table
 from .sql import OP8, OP10
 
@@ -52,6 +52,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str, path: str = BYTE_TOKENIZER) -> DataFrame:
     pieces = packing.pack(read_table(spark, sf_dir, "documents"), path)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -72,7 +76,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_quality_model": op2_quality_model, "op4_secrets": op4_secrets, "op6_packing": op6_packing, "op7_html_text": op7_html_text, "op8_exact_topk": op8_exact_topk, "op10_quality_rules": op10_quality_rules}
+    return {"op1_bpe": op1_bpe, "op2_quality_model": op2_quality_model, "op4_secrets": op4_secrets, "op5_near_dedup": op5_near_dedup, "op6_packing": op6_packing, "op7_html_text": op7_html_text, "op8_exact_topk": op8_exact_topk, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
