@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_topk, html_text, near_dedup, packing, quality_model, quality_rules, secrets
+from . import bpe, exact_topk, html_text, near_dedup, packing, quality_model, quality_rules, secrets, suffix_dedup
 from .common import read_table
 from .sql import OP8, OP10
 
@@ -70,13 +70,19 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    removed = F.col("removed")
+    return cut.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), suffix_dedup.total(removed).alias("n_removed"), F.size(removed).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return quality_rules.apply_rules(docs, ["doc_id"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_quality_model": op2_quality_model, "op4_secrets": op4_secrets, "op5_near_dedup": op5_near_dedup, "op6_packing": op6_packing, "op7_html_text": op7_html_text, "op8_exact_topk": op8_exact_topk, "op10_quality_rules": op10_quality_rules}
+    return {"op1_bpe": op1_bpe, "op2_quality_model": op2_quality_model, "op4_secrets": op4_secrets, "op5_near_dedup": op5_near_dedup, "op6_packing": op6_packing, "op7_html_text": op7_html_text, "op8_exact_topk": op8_exact_topk, "op9_suffix_dedup": op9_suffix_dedup, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
