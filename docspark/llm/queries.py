@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_topk, html_text, near_dedup, packing, quality_model, quality_rules, secrets, suffix_dedup
+from . import bpe, context_tree, exact_topk, html_text, near_dedup, packing, quality_model, quality_rules, secrets, suffix_dedup
 from .common import read_table
 from .sql import OP8, OP10
 
@@ -41,6 +41,10 @@ def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def _is_base(kind: str) -> Callable[[Column], Column]:
     return lambda x: x["base"] & (x["kind"] == kind)
 
@@ -82,7 +86,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_quality_model": op2_quality_model, "op4_secrets": op4_secrets, "op5_near_dedup": op5_near_dedup, "op6_packing": op6_packing, "op7_html_text": op7_html_text, "op8_exact_topk": op8_exact_topk, "op9_suffix_dedup": op9_suffix_dedup, "op10_quality_rules": op10_quality_rules}
+    return {"op1_bpe": op1_bpe, "op2_quality_model": op2_quality_model, "op3_context_tree": op3_context_tree, "op4_secrets": op4_secrets, "op5_near_dedup": op5_near_dedup, "op6_packing": op6_packing, "op7_html_text": op7_html_text, "op8_exact_topk": op8_exact_topk, "op9_suffix_dedup": op9_suffix_dedup, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
