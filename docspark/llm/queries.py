@@ -85,8 +85,27 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs, ["doc_id"])
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline; the pieces that its packing makes."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_quality_model": op2_quality_model, "op3_context_tree": op3_context_tree, "op4_secrets": op4_secrets, "op5_near_dedup": op5_near_dedup, "op6_packing": op6_packing, "op7_html_text": op7_html_text, "op8_exact_topk": op8_exact_topk, "op9_suffix_dedup": op9_suffix_dedup, "op10_quality_rules": op10_quality_rules}
+    return {
+        "op1_bpe": op1_bpe,
+        "op2_quality_model": op2_quality_model,
+        "op3_context_tree": op3_context_tree,
+        "op4_secrets": op4_secrets,
+        "op5_near_dedup": op5_near_dedup,
+        "op6_packing": op6_packing,
+        "op7_html_text": op7_html_text,
+        "op8_exact_topk": op8_exact_topk,
+        "op9_suffix_dedup": op9_suffix_dedup,
+        "op10_quality_rules": op10_quality_rules,
+        "pipeline": pipeline,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -17,6 +17,7 @@ equal; overlapping and touching windows make one run; an empty table gives no ro
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -322,7 +323,7 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("digest"), _ranges(found)], ["key", "digest", "ranges"])
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
     """Merge a text's ranges, remove them, keep the rest."""
     for batch in slices(batches, "text"):
         names = [c for c in batch.schema.names if c not in ("text", "ranges", "body_id")]
@@ -340,7 +341,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = b
             kept.append(b"".join([*out, raw[at:]]))
             spans.append(merged)
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], batch.column("text"), pa.array(kept, pa.binary()), _ranges(spans)], [*names, "text", "kept", "removed"])
+        body = batch.column("text")
+        if as_text:  # the bytes left of a character that a cut breaks go too; untouched texts stay as they are
+            body = pa.array([k.decode(errors="ignore") if s else t for k, s, t in zip(kept, spans, body.to_pylist(), strict=True)], pa.string())
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], body, pa.array(kept, pa.binary()), _ranges(spans)], [*names, "text", "kept", "removed"])
 
 
 def repeated_ranges(bodies: DataFrame) -> DataFrame:
@@ -373,14 +377,17 @@ def repeated_ranges(bodies: DataFrame) -> DataFrame:
     return hits.groupBy("body_id").agg(F.collect_list("range").alias("ranges"))
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns of ``docs`` with ``text`` (null as empty), ``kept`` (the bytes left) and ``removed`` (maximal runs of bytes)."""
+def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
+    """``keep`` columns of ``docs`` with ``text`` (null as empty), ``kept`` (the bytes left) and ``removed`` (maximal runs of bytes).
+
+    With ``as_text``, ``text`` holds what is left, as far as it is whole characters.
+    """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in (text, "text", "kept", "removed", "body_id", "ranges")]
     bodies = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("body_id", F.md5("text"))
     ranges = materialise(repeated_ranges(bodies))
     fields = [f for f in bodies.select(*keep, "text").schema.fields]
     schema = T.StructType([*fields, T.StructField("kept", T.BinaryType()), T.StructField("removed", RANGES)])
-    return bodies.join(ranges, "body_id", "left").select(*keep, "text", "ranges", "body_id").mapInArrow(_cut, schema)
+    return bodies.join(ranges, "body_id", "left").select(*keep, "text", "ranges", "body_id").mapInArrow(partial(_cut, as_text=as_text), schema)
 
 
 def total(removed: Column) -> Column:
