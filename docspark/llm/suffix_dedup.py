@@ -5,7 +5,7 @@ they start. Runs of windows with one key are kept together as pieces of text. Pi
 windows repeat. Of the rest only those whose key has other pieces are sorted: deep-shallow, that is by multikey quicksort with eight
 bytes as a symbol, all groups of a level at once, down to ``SHALLOW`` bytes; groups that are still together go into blind tries, which
 branch on single bytes and compare with one leaf. Equal windows are neighbours then. Keys with more than ``HOT`` different pieces (the
-edges of passages that very many documents share) are not sorted in one task; there windows are counted by a 128-bit hash.
+edges of passages that very many documents share) are not sorted in one task; their windows are dealt and matched by a 128-bit hash.
 
 Texts are read in three passes, and only what may repeat is shuffled: a filter of fixed size, 2**``FILTER`` bits, says which keys may
 matter. It lets too much through when it fills up, never too little, so at any size the result is the same.
@@ -33,6 +33,9 @@ LONGEST = 4096  # windows of a piece
 HOT = 512
 FILTER = 27
 CHUNK = 400_000  # windows sorted together
+SLICE = 1 << 17  # bytes of text hashed together, so that the arrays stay in a core's cache
+SPREAD = 500_000  # windows of hot keys per bucket
+U = np.uint64
 _P, _M1, _M2 = 0x100000001B3, np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -58,14 +61,14 @@ def window_keys(h: np.ndarray) -> np.ndarray:
     return np.minimum(m[: len(m) - (span - step)], m[span - step :]) if span > step else m
 
 
-def pieces(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one key within one text: key, text number, start, number of windows, whether windows may repeat inside."""
+def pieces(data: np.ndarray, ends: np.ndarray, repeats: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one key within one text: key, text number, start, number of windows; with ``repeats``, whether windows may repeat inside."""
     none = np.empty(0, np.int64)
     if len(data) < LENGTH:
         return none.astype(np.uint64), none, none, none, none.astype(bool)
     h = gram_hashes(data)
     key = window_keys(h)
-    owner = np.searchsorted(ends, np.arange(len(key)), side="right") - 1
+    owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))[: len(key)]
     inside = np.arange(len(key)) + LENGTH <= ends[owner + 1]
     cut = np.ones(len(key) + 1, bool)
     cut[1:-1] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]) | (inside[1:] != inside[:-1])
@@ -77,10 +80,11 @@ def pieces(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         at, size = np.array([x[0] for x in parts]), np.array([x[1] for x in parts])
     good = inside[at]
     at, size = at[good], size[good]
+    if not repeats or not len(at):
+        return key[at], owner[at], at, size, np.zeros(len(at), bool)
     # k-grams that are the least of a window and occur twice near each other
-    spots = np.unique(np.concatenate([at, at + size - 1])) if len(at) else none
-    least = np.isin(h, key[spots]) if len(spots) else np.zeros(len(h), bool)
-    where = np.flatnonzero(least)
+    where = np.flatnonzero(h <= key[at].max())
+    where = where[np.isin(h[where], key[at])]
     order = np.lexsort((where, h[where]))
     where = where[order]
     twice = (h[where][1:] == h[where][:-1]) & (np.diff(where) < LONGEST + LENGTH)
@@ -108,9 +112,9 @@ def _signed(x: np.ndarray | list[int]) -> pa.Array:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """First pass: pieces by key and digest, equal ones of a batch made one row."""
-    for batch in slices(batches, "text", 1 << 19):
+    for batch in slices(batches, "text", SLICE):
         data, ends = _texts(batch)
-        key, _, at, size, odd = pieces(data, ends)
+        key, _, at, size, odd = pieces(data, ends, True)
         digest = np.array(_digests(data, at, size), np.uint64)
         order = np.lexsort((digest, key))
         key, digest, odd = key[order], digest[order], odd[order]
@@ -154,7 +158,7 @@ def _contested(sent) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = sent.value
-        for batch in slices(batches, "text", 1 << 19):
+        for batch in slices(batches, "text", SLICE):
             data, ends = _texts(batch)
             key, _, at, size, _ = pieces(data, ends)
             good = passes(bitmap, key)
@@ -173,7 +177,7 @@ def _places(sent) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = sent.value
-        for batch in slices(batches, "text", 1 << 19):
+        for batch in slices(batches, "text", SLICE):
             data, ends = _texts(batch)
             key, owner, at, size, _ = pieces(data, ends)
             good = passes(bitmap, key)
@@ -305,22 +309,58 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of pieces, each by its 128-bit hash."""
-    for batch in batches:
-        for k, d, body in zip(batch.column("key").to_pylist(), batch.column("digest").to_pylist(), batch.column("body").to_pylist(), strict=True):
-            n = len(body) - LENGTH + 1
-            raw = memoryview(body)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k] * n, pa.int64()), pa.array([d] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array([xxhash.xxh3_128_digest(raw[i : i + LENGTH]) for i in range(n)], pa.binary())],
-                ["key", "digest", "at", "print"],
-            )
+_WINDOW = np.dtype([("high", "<u8"), ("low", "<u8"), ("key", "<i8"), ("digest", "<i8"), ("at", "<i8")])
 
 
-def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [stretches(np.array(sorted(x))) for x in batch.column("ats").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("digest"), _ranges(found)], ["key", "digest", "ranges"])
+def _dealt(rows: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
+    """Windows packed by bucket, one row for each bucket of a batch."""
+    order = np.argsort(bucket, kind="stable")
+    rows, bucket = rows[order], bucket[order]
+    at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.empty(0, np.int64)
+    packed = [x.tobytes() for x in np.split(rows, at[1:])] if len(at) else []
+    return pa.RecordBatch.from_arrays([pa.array(bucket[at].astype(np.int32)), pa.array(packed, pa.binary())], ["bucket", "windows"])
+
+
+def _windows(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The windows of hot pieces by their 128-bit hash, dealt by that hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for k, d, body in zip(batch.column("key").to_pylist(), batch.column("digest").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                n, raw = len(body) - LENGTH + 1, memoryview(body)
+                rows = np.zeros(n, _WINDOW)
+                rows[["high", "low"]] = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[i : i + LENGTH]) for i in range(n)), [("high", "<u8"), ("low", "<u8")])
+                rows["key"], rows["digest"], rows["at"] = k, d, np.arange(n)
+                parts.append(rows)
+            if parts:
+                rows = np.concatenate(parts)
+                yield _dealt(rows, (rows["high"] % U(buckets)).astype(np.int64))
+
+    return run
+
+
+def _twice(buckets: int) -> Callable[[pa.Table], pa.Table]:
+    """The windows of a bucket whose hash occurs more than once, dealt by their piece."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = np.frombuffer(b"".join(table.column("windows").to_pylist()), _WINDOW)
+        order = np.lexsort((rows["low"], rows["high"]))
+        equal = (rows["high"][order][1:] == rows["high"][order][:-1]) & (rows["low"][order][1:] == rows["low"][order][:-1])
+        rows = rows[order][np.append(False, equal) | np.append(equal, False)]
+        return pa.Table.from_batches([_dealt(rows, (rows["digest"].view("<u8") % U(buckets)).astype(np.int64))])
+
+    return run
+
+
+def _united(table: pa.Table) -> pa.Table:
+    """The ranges of each piece of a bucket from its repeated windows."""
+    rows = np.frombuffer(b"".join(table.column("windows").to_pylist()), _WINDOW)
+    rows = rows[np.lexsort((rows["at"], rows["digest"], rows["key"]))]
+    new = np.append(True, (np.diff(rows["key"]) != 0) | (np.diff(rows["digest"]) != 0)) if len(rows) else np.empty(0, bool)
+    first = np.flatnonzero(new)
+    found = [stretches(x) for x in np.split(rows["at"], first[1:])] if len(first) else []
+    return pa.table([pa.array(rows["key"][first]), pa.array(rows["digest"][first]), _ranges(found)], ["key", "digest", "ranges"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
@@ -362,10 +402,12 @@ def repeated_ranges(bodies: DataFrame) -> DataFrame:
     bytes_ = materialise(bytes_.join(unsure.select("key", "different"), "key").join(counted.select("key", "digest", F.col("n").alias("copies")), ["key", "digest"]))
     cold = bytes_.where(F.col("different") <= HOT).select("key", "digest", "body").repartition("key").sortWithinPartitions("key")
     found = cold.mapInArrow(_sorted, FOUND)
-    hot = bytes_.where(F.col("different") > HOT).select("key", "digest", "body").mapInArrow(_exploded, "key long, digest long, at long, print binary")
-    twice = hot.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
-    ats = hot.join(twice, "print").groupBy("key", "digest").agg(F.collect_list("at").alias("ats"))
-    found = found.unionByName(ats.mapInArrow(_united, FOUND))
+    hot = bytes_.where(F.col("different") > HOT)
+    amount = hot.agg(F.coalesce(F.sum(F.octet_length("body") - (LENGTH - 1)), F.lit(0))).first()[0]
+    if amount:
+        buckets, kind = max(256, -(-amount // SPREAD)), "bucket int, windows binary"
+        twice = hot.select("key", "digest", "body").mapInArrow(_windows(buckets), kind).groupBy("bucket").applyInArrow(_twice(buckets), kind)
+        found = found.unionByName(twice.groupBy("bucket").applyInArrow(_united, FOUND))
     found = found.join(whole.select("key", "digest"), ["key", "digest"], "left_anti")
     results = materialise(whole.unionByName(found.select("key", "digest", "ranges")))
 
