@@ -24,6 +24,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import ASCII_LOWER, WORD_GAP, materialise, slices, texts
 
 DEPTH = 6
-BLOCK = 16 << 20  # bytes of text
+BLOCK = 12 << 20  # bytes of text
 GROUP = 64  # blocks whose lists one task merges or answers
 GAP = re.compile(WORD_GAP)
 U = np.uint64
@@ -114,7 +115,7 @@ def grams(bodies: list[str], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return out[within < np.repeat(sizes, sizes + depth)[:n]], np.cumsum(sizes) - sizes
 
 
-def parts(bodies: list[str], most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def parts(bodies: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     start = total = 0
     for i, b in enumerate(bodies):
         if total and total + len(b) > most:
@@ -142,8 +143,8 @@ def block_grams(ids: list[int | None], bodies: list[str], depth: int, held: int)
         for use in (True, False):
             some = [bodies[i] for i in range(a, b) if train[i] == use]
             if some:
-                k, c = np.unique(grams(some, depth)[0], return_counts=True)
-                keys.append(k), counts.append(c if use else np.zeros(len(k), np.int64))
+                codes, k = pd.factorize(grams(some, depth)[0])
+                keys.append(k), counts.append(np.bincount(codes, minlength=len(k)) if use else np.zeros(len(k), np.int64))
                 size += len(k)
         if size > 8_000_000:
             k, c = added(keys, counts)
@@ -429,7 +430,7 @@ def _score(depth: int, buckets: int, held: int, words: int, total: int, ends: in
             chunks = []
             for a, b in parts(bodies):
                 keys, first = grams(bodies[a:b], depth)
-                distinct, where = np.unique(keys, return_inverse=True)
+                where, distinct = pd.factorize(keys)
                 chunks.append((a, b, distinct, where.astype(np.int32), first))
             asked = np.unique(np.concatenate([c[2] for c in chunks]))
             known: dict[str, int] = {}
