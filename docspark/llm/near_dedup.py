@@ -5,8 +5,8 @@ class is cut into bands, and classes that share a band are candidates. Signature
 the posterior probability that its similarity reaches the threshold is below ``MISS``; pairs that last are verified on the full sets.
 
 No bucket is expanded into all its pairs. Each bucket links its members to one of them; these pairs are verified and give first
-components. Only buckets whose other members still lie in several components are taken up again, in blocks of bounded size: first for each
-member's likeliest partner in another component, then for all pairs that still run between components. So a large group of near copies costs a pair per member, and no link between different texts that
+components. Only buckets whose other members still lie in several components are taken up again, in blocks of bounded size: pairs
+between components are compared and verified there, each in the first band that brings it together, and only new links leave the task. So a large group of near copies costs a pair per member, and no link between different texts that
 the bands can see is lost: 32 bands of 4 rows miss a pair at the threshold with a probability below 0.00001.
 
 Defined cases: a text with fewer words than a shingle is one shingle; null texts and texts without words have empty sets and link with
@@ -17,7 +17,7 @@ of a component is its name; an empty table gives no rows; only id and text are r
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from math import comb
 
 import numpy as np
@@ -33,7 +33,7 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 BATCH = 32
 MISS = 1e-5
-BLOCK = 1024
+BLOCK = 512
 MEMORY = 500_000
 GAP = re.compile(WORD_GAP)
 _known: dict[str, int] = {}
@@ -132,31 +132,35 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").take(rows), batch.column("b").take(rows)], ["a", "b"])
 
 
-def _between(best: bool) -> Callable[[pa.Table], pa.Table]:
-    """Pairs of one pair of blocks of a bucket that lie in different components and last; with ``best`` only each member's likeliest."""
-
-    def run(table: pa.Table) -> pa.Table:
-        side, label = np.array(table.column("side").to_pylist()), np.array(table.column("label").to_pylist(), object)
-        names, sigs = np.array(table.column("print").to_pylist(), object), np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
-        same = table.column("x")[0].as_py() == table.column("y")[0].as_py()
-        every = np.arange(len(side))
-        found: set[tuple[str, str]] = set()
-        for r in every if same or best else np.flatnonzero(side == 0):
-            others = every if same else np.flatnonzero(side != side[r])
-            others = others[label[others] != label[r]]
-            if same and not best:
-                others = others[others > r]
-            if not len(others):
-                continue
-            if best:
-                matches = np.count_nonzero(sigs[others] == sigs[r], axis=1)
-                last = others[[np.argmax(matches)]] if matches.max() >= LIMITS[-1] else others[:0]
-            else:
-                last = others[survives(np.broadcast_to(sigs[r], (len(others), HASHES)), sigs[others])]
-            found.update((min(names[r], x), max(names[r], x)) for x in names[last])
-        return pa.table([pa.array([p[i] for p in found], pa.string()) for i in (0, 1)], ["a", "b"])
-
-    return run
+def _between(table: pa.Table) -> pa.Table:
+    """Links between components within one pair of blocks of a bucket; pairs that an earlier band brings together are left to it."""
+    side, label = np.array(table.column("side").to_pylist()), np.array(table.column("label").to_pylist(), object)
+    names, sigs = table.column("print").to_pylist(), np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
+    bands, key = np.array(table.column("bands").to_pylist(), np.int64), table.column("key")[0].as_py()
+    sets = [np.frombuffer(x, np.uint64) for x in table.column("members").to_pylist()]
+    sizes = np.array([len(x) for x in sets])
+    earlier = np.arange(BANDS) < np.argmax(bands == key, axis=1)[:, None]
+    same = table.column("x")[0].as_py() == table.column("y")[0].as_py()
+    order = {x: i for i, x in enumerate(dict.fromkeys(label))}
+    group = np.array([order[x] for x in label])  # components as far as this task knows them
+    found: list[tuple[str, str]] = []
+    for r in range(len(side)) if same else np.flatnonzero(side == 0):
+        others = np.arange(r + 1, len(side)) if same else np.flatnonzero(side == 1)
+        others = others[group[others] != group[r]]
+        others = others[~((bands[others] == bands[r]) & earlier[r]).any(axis=1)]
+        if not len(others):
+            continue
+        others = others[survives(np.broadcast_to(sigs[r], (len(others), HASHES)), sigs[others])]
+        if not len(others):
+            continue
+        every = np.concatenate([sets[i] for i in others])
+        at = np.minimum(np.searchsorted(sets[r], every), sizes[r] - 1)
+        both = np.add.reduceat(sets[r][at] == every, np.cumsum(sizes[others]) - sizes[others], dtype=np.int64)
+        for i in others[100 * both >= PERCENT * (sizes[others] + sizes[r] - both)]:
+            if group[i] != group[r]:
+                group[group == group[i]] = group[r]
+                found.append((min(names[r], names[i]), max(names[r], names[i])))
+    return pa.table([pa.array([p[i] for p in found], pa.string()) for i in (0, 1)], ["a", "b"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,20 +228,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     sets = materialise(held.join(wanted.select("print"), "print").groupBy("print").agg(F.any_value("members").alias("members")))
     first = materialise(_verified(likely, sets))
 
-    def crossing(labels: DataFrame, best: bool) -> DataFrame:
-        """Verified pairs between components, from buckets whose members besides the head lie in several of them."""
-        marked = materialise(members.join(labels, members["print"] == labels["node"], "left").select("key", "print", F.coalesce("root", "print").alias("label")))
-        several = marked.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q")
-        several = several.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-        dealt = marked.join(several, "key").join(sigs, "print").withColumn("mine", F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int"))
-        dealt = dealt.select("key", "print", "label", "sig", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        dealt = dealt.select("key", "print", "label", "sig", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
-        return materialise(_verified(dealt.groupBy("key", "x", "y").applyInArrow(_between(best), "a string, b string").distinct(), sets))
-
-    second = first.union(crossing(components(first), True))
-    labels = components(second)
-    third = crossing(labels, False)
-    names = components(second.union(third))
+    labels = components(first)
+    marked = materialise(members.join(labels, members["print"] == labels["node"], "left").select("key", "print", F.coalesce("root", "print").alias("label")))
+    # buckets whose members besides the head lie in several components
+    several = marked.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q")
+    several = several.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = marked.join(several, "key").withColumn("mine", F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(classes.select("print", "sig", "bands"), "print").join(sets, "print")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    ends = [F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), (F.col("mine") > F.col("other")).cast("int").alias("side")]
+    dealt = dealt.select("key", "print", "label", "sig", "bands", "members", *ends)
+    names = components(first.union(materialise(dealt.groupBy("key", "x", "y").applyInArrow(_between, "a string, b string"))))
 
     named = classes.select("print", "rep").join(names, F.col("print") == F.col("node"), "left").select("print", "rep", F.coalesce("root", "print").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component"))
