@@ -18,32 +18,30 @@ counted one by one; a null id counts like an empty one for the fold; an empty ta
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, WORD_GAP, materialise, slices, texts
+from .common import materialise, slices, texts
 
 DEPTH = 6
 BLOCK = 12 << 20  # bytes of text
 GROUP = 64  # blocks whose lists one task merges or answers
-GAP = re.compile(WORD_GAP)
 U = np.uint64
 _IPC = pa.ipc.IpcWriteOptions(compression="zstd")
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def canonical(text: str) -> str:
-    return " ".join(w for w in GAP.split(text.translate(ASCII_LOWER)) if w) + "\n"
+    words = text.encode().lower().split()  # on bytes, both know ASCII alone: A-Z, and the white space of the contract
+    return b" ".join(words).decode() + "\n"
 
 
 def fold(doc_id: int | None, divisor: int = 7) -> int:
@@ -135,20 +133,38 @@ def added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
     return k[at], np.add.reduceat(c, at) if len(at) else c
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Distinct values in order."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+def ranked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and the place of each value among them."""
+    order = np.argsort(x)
+    x = x[order]
+    new = np.append(True, x[1:] != x[:-1])
+    places = np.empty(len(x), np.int32)
+    places[order] = np.cumsum(new, dtype=np.int32) - 1
+    return x[new], places
+
+
 def block_grams(ids: list[int | None], bodies: list[str], depth: int, held: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct grams of a block in order, with their counts in its training texts."""
-    keys, counts, size = [], [], 0
     train = [fold(i) != held for i in ids]
-    for a, b in parts(bodies):
-        for use in (True, False):
+    keys, counts = [], []
+    for use in (True, False):
+        runs = []
+        for a, b in parts(bodies):
             some = [bodies[i] for i in range(a, b) if train[i] == use]
             if some:
-                codes, k = pd.factorize(grams(some, depth)[0])
-                keys.append(k), counts.append(np.bincount(codes, minlength=len(k)) if use else np.zeros(len(k), np.int64))
-                size += len(k)
-        if size > 8_000_000:
-            k, c = added(keys, counts)
-            keys, counts, size = [k], [c], 0
+                runs.append(grams(some, depth)[0])
+        if runs:
+            x = np.concatenate(runs)
+            runs.clear()
+            x.sort()
+            at = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+            keys.append(x[at]), counts.append(np.diff(at, append=len(x)) if use else np.zeros(len(at), np.int64))
     return added(keys, counts) if keys else (np.empty(0, U), np.empty(0, np.int64))
 
 
@@ -392,7 +408,7 @@ def _answer(depth: int, whole: tuple[np.ndarray, np.ndarray] | None, single: dic
             root = asked.column("part")[0].as_py()
             top = [x for x in (whole, single.get(root >> 8)) if x is not None] if whole else [None]
             lists = [numbers(items, True) for items in asked.column("items").to_pylist()]
-            every = np.unique(np.concatenate(lists))
+            every = distinct(np.concatenate(lists))
             found = log2_probabilities(every, levels if len(top) == 2 else {}, top, depth)
             out = [squeeze_logs(found[np.searchsorted(every, x)]) for x in lists]
         return pa.table([asked.column("block"), asked.column("part"), pa.array(out, pa.binary())], ["block", "part", "values"])
@@ -430,19 +446,18 @@ def _score(depth: int, buckets: int, held: int, words: int, total: int, ends: in
             chunks = []
             for a, b in parts(bodies):
                 keys, first = grams(bodies[a:b], depth)
-                where, distinct = pd.factorize(keys)
-                chunks.append((a, b, distinct, where.astype(np.int32), first))
-            asked = np.unique(np.concatenate([c[2] for c in chunks]))
+                chunks.append((a, b, *ranked(keys), first))
+            asked = distinct(np.concatenate([c[2] for c in chunks]))
             known: dict[str, int] = {}
             answered = {places[i]: values[i].as_py() for i in order if kinds[i] == 1}
             for k, ws, _ in block_words(ids, bodies, buckets, held):
                 known.update(zip(ws, numbers(answered[k]).tolist(), strict=True))
             size = np.log10(total + words + 1)
-            for a, b, distinct, where, first in chunks:
-                sums = np.add.reduceat(answer[np.searchsorted(asked, distinct)][where], first)
+            for a, b, some, where, first in chunks:
+                sums = np.add.reduceat(answer[np.searchsorted(asked, some)][where], first)
                 for i in range(a, b):
-                    tokens = [known[w] for w in bodies[i][:-1].split(" ")] if len(bodies[i]) > 1 else []
-                    counts = np.array([*tokens, ends])
+                    tokens = bodies[i][:-1].split(" ") if len(bodies[i]) > 1 else []
+                    counts = np.append(np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens)), ends)
                     row = (ids[i], fold(ids[i]) == held, len(counts), int(np.count_nonzero(counts)), total, float((np.log10(counts + 1) - size).sum()), float(sums[i - a]) * float(np.log10(2)))
                     for column, x in zip(columns, row, strict=True):
                         column.append(x)
