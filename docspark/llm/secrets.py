@@ -2,7 +2,8 @@
 
 A layer is the text itself; the text with its percent escapes or Unicode escapes resolved in place; or what a base64 run holds,
 decompressed if it is gzip, zlib, bz2 or xz. Each layer carries the span of the original text behind each of its characters.
-The list ends at the fixpoint: a layer that was seen before is not taken up again, so cycles end.
+The list ends at the fixpoint: a layer that was seen before with the same spans behind it is not taken up again; equal layers at
+other places are.
 
 Defined cases: a null text is empty and holds nothing; equal spans found in several layers count once, the base layer's first;
 rows are independent, so repeated rows repeat and an empty table stays empty; an input column named ``spans`` is replaced.
@@ -14,6 +15,7 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import hashlib
 import lzma
 import re
 import zlib
@@ -63,6 +65,10 @@ class Layer:
             return a, b
         return int(self.starts[a:b].min()), int(self.ends[a:b].max())
 
+    def key(self) -> tuple[str, bytes]:
+        """Equal for layers of equal text over the same parts of the original only."""
+        return self.text, b"" if self.starts is None else hashlib.blake2b(self.starts.tobytes() + self.ends.tobytes()).digest()
+
     def replaced(self, edits: list[tuple[int, int, list[tuple[str, int, int]]]]) -> Layer:
         """A layer with pieces [a, b) of this one replaced by characters that stand for parts [x, y) of it."""
         out, starts, ends, at = [], [], [], 0
@@ -176,7 +182,7 @@ def unpacked(layer: Layer, left: int) -> Iterator[tuple[Layer, int]]:
 def find(text: str) -> list[tuple[str, int, int, bool, int]]:
     """All spans (kind, start, end, base, depth of the layer), by start, then kind as listed, then end."""
     spans: dict[tuple[str, int, int], tuple[bool, int]] = {}
-    work, seen, left = [Layer(text, None, None, 0)], {text}, MOST_INFLATED
+    work, seen, left = [Layer(text, None, None, 0)], set(), MOST_INFLATED
     while work:
         layer = work.pop()
         for kind, a, b in scan(layer.text):
@@ -190,8 +196,8 @@ def find(text: str) -> list[tuple[str, int, int, bool, int]]:
             left -= spent
             more.append(made)
         for made in more:
-            if made.text not in seen:
-                seen.add(made.text)
+            if (key := made.key()) not in seen:
+                seen.add(key)
                 work.append(made)
     order = {k: i for i, k in enumerate(KINDS)}
     return [(*k, *v) for k, v in sorted(spans.items(), key=lambda x: (x[0][1], order[x[0][0]], x[0][2]))]

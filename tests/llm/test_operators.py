@@ -106,6 +106,19 @@ def test_secrets(docs, empty):
     assert secrets.redact(secrets.find_secrets(one)).first()["text"] == "é [assign] and more"
 
 
+def test_secrets_at_several_places(spark):
+    plain = "password=hunter2hunter2 and so on"
+    for wrap in (lambda x: base64.b64encode(x).decode(), lambda x: base64.b64encode(gzip.compress(x, mtime=0)).decode()):
+        w = wrap(plain.encode())
+        t = f"a {w} b {w} c {urllib.parse.quote(plain)} d {w}"
+        places = [i for i in range(len(t)) if t.startswith(w, i)]
+        assert len(places) == 3
+        for i in places:
+            assert any(i <= a < b <= i + len(w) for _, a, b, _, _ in secrets.find(t))
+        out = secrets.redact(secrets.find_secrets(spark.createDataFrame([(t,)], "text string"))).first()["text"]
+        assert secrets.find(out) == [] and out.count("[assign]") == 4
+
+
 def test_near_dedup(docs, empty):
     def shingled(t):
         w = [x for x in near_dedup.GAP.split((t or "").translate(near_dedup.ASCII_LOWER)) if x]
