@@ -1,7 +1,7 @@
 """Secret scans over every layer that a text wraps: a worklist of decoded layers, each scanned anew, with spans mapped back.
 
 A layer is the text itself; the text with its percent escapes or Unicode escapes resolved in place; or what a base64 run holds,
-decompressed if it is gzip, zlib, bz2 or xz. Each layer carries the span of the original text behind each of its characters.
+be it text or not (bytes that are no UTF-8 become U+FFFD), decompressed if it is gzip, zlib, bz2 or xz. Each layer carries the span of the original text behind each of its characters.
 The list ends at the fixpoint: a layer that was seen before with the same spans behind it is not taken up again; equal layers at
 other places are.
 
@@ -40,6 +40,8 @@ WORDS = ("passw", "secret", "token", "apikey", "api_key")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Bytes without any of these hold no secret and no further layer.
+MATTERS = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{32}|%[0-9A-Fa-f]{2}|\\[uUx]|&#|[A-Za-z0-9+/_-]{16}")
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -140,16 +142,13 @@ def inflate(data: bytes, most: int) -> bytes | None:
         return None
 
 
-def readable(data: bytes) -> str | None:
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
+def readable(data: bytes, packed: bool) -> str | None:
+    """The characters of a layer. All patterns are ASCII, so any other bytes may become U+FFFD; None if no pattern can match."""
+    return data.decode(errors="replace") if packed or MATTERS.search(data) else None
 
 
 def unpacked(layer: Layer, left: int) -> Iterator[tuple[Layer, int]]:
-    """The readable layers that base64 runs hold, with the bytes that inflating took."""
+    """The layers that base64 runs hold, text or not, with the bytes that inflating took."""
     for m in BASE64.finditer(layer.text):
         run = m[0].rstrip("=").translate(str.maketrans("-_", "+/"))
         if len(run) % 4 == 1:
@@ -164,13 +163,14 @@ def unpacked(layer: Layer, left: int) -> Iterator[tuple[Layer, int]]:
             spent += len(more) + 1
             if spent >= left:
                 break
-        if (text := readable(data)) is None:
+        if not (text := readable(data, packed)):
             continue
         first, last = m.start(), m.end()
         if packed:
             parts = [(c, first, last) for c in text]
         else:
             parts = [(c, first + i // 3 * 4, min(last, first + (j - 1) // 3 * 4 + 4)) for c, i, j in _characters(data)]
+            text = "".join(c for c, _, _ in parts)
         starts, ends = np.array([x for _, x, _ in parts]), np.array([y - 1 for _, _, y in parts])
         if layer.starts is not None:
             starts, ends = layer.starts[starts], layer.ends[ends]

@@ -119,6 +119,14 @@ def test_secrets_at_several_places(spark):
         assert secrets.find(out) == [] and out.count("[assign]") == 4
 
 
+@pytest.mark.parametrize("around", ["caf\u00e9\u00a0: ", "\u65e5\u672c\u3000", "\ufeff", "soft\u00adhyphen ", "\U0001f468\u200d\U0001f469 ", "page\f", "nul\0", b"\xff\xfe\x80", "é".encode("latin-1") + b" "])
+def test_secrets_beside_unprintable_characters(around):
+    data = (around if isinstance(around, bytes) else around.encode()) + b"password=hunter2hunter2 " + b"\xc2\xa0fin"
+    for w in (base64.b64encode(data), base64.b64encode(gzip.compress(data)), base64.b64encode(zlib.compress(data))):
+        t = f"vor {w.decode()} nach"
+        assert [(k, 4 <= a < b <= 4 + len(w)) for k, a, b, _, _ in secrets.find(t)] == [("assign", True)], around
+
+
 def test_near_dedup(docs, empty):
     def shingled(t):
         w = [x for x in near_dedup.GAP.split((t or "").translate(near_dedup.ASCII_LOWER)) if x]
