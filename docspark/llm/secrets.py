@@ -1,7 +1,7 @@
 """Secret scans over every layer that a text wraps: a worklist of decoded layers, each scanned anew, with spans mapped back.
 
 A layer is the text itself; the text with its percent escapes or Unicode escapes resolved in place; or what a base64 run holds,
-be it text or not (bytes that are no UTF-8 become U+FFFD), decompressed if it is gzip, zlib, bz2 or xz. Each layer carries the span of the original text behind each of its characters.
+be it text or not (bytes that are no UTF-8 become U+FFFD), also over line breaks and from the middle of a run, decompressed if it is gzip, zlib, bz2 or xz. Each layer carries the span of the original text behind each of its characters.
 The list ends at the fixpoint: a layer that was seen before with the same spans behind it is not taken up again; equal layers at
 other places are.
 
@@ -12,7 +12,6 @@ Compressed data beyond ``MOST_INFLATED`` bytes in all per text is not inflated (
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import hashlib
@@ -39,7 +38,13 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 WORDS = ("passw", "secret", "token", "apikey", "api_key")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: A run goes on over a line break, and white space after it, if base64 takes the next line up to its end or a closing mark.
+BASE64 = re.compile(r"""[A-Za-z0-9+/_-]{16,}+(?:\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++(?=={0,2}[\x20\t]*+(?:["'`<)\]},;]|\r?\n|\Z)))*+={0,2}""")
+LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
+PIECES = (re.compile(r"[A-Za-z0-9+]{16,}"), re.compile(r"[A-Za-z0-9+/]{16,}"), re.compile(r"[A-Za-z0-9_-]{16,}"))
+STANDARD = str.maketrans("-_", "+/")
+#: Starts of gzip, zlib, bz2 and xz streams.
+MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00")
 #: Bytes without any of these hold no secret and no further layer.
 MATTERS = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{32}|%[0-9A-Fa-f]{2}|\\[uUx]|&#|[A-Za-z0-9+/_-]{16}")
 
@@ -123,8 +128,8 @@ def escapes(layer: Layer) -> Layer | None:
     return layer.replaced(edits) if edits else None
 
 
-def inflate(data: bytes, most: int) -> bytes | None:
-    """What compressed bytes hold; None if they are no known format, broken, or larger than ``most``."""
+def inflate(data: bytes, most: int) -> tuple[bytes, int] | None:
+    """What compressed bytes hold and how many of them that took; None if they are no known format, broken, or hold more than ``most``."""
     try:
         if data[:2] == b"\x1f\x8b":
             tool = zlib.decompressobj(31)
@@ -137,46 +142,65 @@ def inflate(data: bytes, most: int) -> bytes | None:
         else:
             return None
         out = tool.decompress(data, most)
-        return out if tool.eof else None
+        return (out, len(data) - len(tool.unused_data)) if tool.eof else None
     except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
         return None
 
 
-def readable(data: bytes, packed: bool) -> str | None:
-    """The characters of a layer. All patterns are ASCII, so any other bytes may become U+FFFD; None if no pattern can match."""
-    return data.decode(errors="replace") if packed or MATTERS.search(data) else None
+def readings(run: str) -> tuple[np.ndarray, str, list[tuple[int, int]]]:
+    """The places of a run's characters without line breaks, the characters, and the parts [a, b) of them to decode.
+
+    These are the run and each of its lines from each of four alignments, as something may be glued before the start; and, for exact
+    ends, the pieces between separators. Parts of under 16 characters hold too few bytes for a secret. The first four are the run's.
+    """
+    lines = [(m.start(), m.end()) for m in LINE.finditer(run)]
+    at = np.concatenate([np.arange(a, b) for a, b in lines])
+    chars = "".join(run[a:b] for a, b in lines)
+    n = len(chars.rstrip("="))
+    parts = [(r, n) for r in range(4)]
+    done = 0
+    for a, b in lines:
+        a, b, done = done, min(n, done + b - a), done + b - a
+        if len(lines) > 1:
+            parts += [(a + r, b) for r in range(4)]
+        parts += [(m.start(), m.end()) for piece in PIECES for m in piece.finditer(chars, a, b)]
+    return at, chars, [(a, b) for i, (a, b) in enumerate(dict.fromkeys(parts)) if i < 4 or b - a >= 16]
 
 
 def unpacked(layer: Layer, left: int) -> Iterator[tuple[Layer, int]]:
     """The layers that base64 runs hold, text or not, with the bytes that inflating took."""
-    for m in BASE64.finditer(layer.text):
-        run = m[0].rstrip("=").translate(str.maketrans("-_", "+/"))
-        if len(run) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        spent, packed = 0, False
-        while (more := inflate(data, left - spent)) is not None:
-            data, packed = more, True
-            spent += len(more) + 1
-            if spent >= left:
-                break
-        if not (text := readable(data, packed)):
-            continue
-        first, last = m.start(), m.end()
-        if packed:
-            parts = [(c, first, last) for c in text]
-        else:
-            parts = [(c, first + i // 3 * 4, min(last, first + (j - 1) // 3 * 4 + 4)) for c, i, j in _characters(data)]
-            text = "".join(c for c, _, _ in parts)
-        starts, ends = np.array([x for _, x, _ in parts]), np.array([y - 1 for _, _, y in parts])
-        if layer.starts is not None:
-            starts, ends = layer.starts[starts], layer.ends[ends]
-        else:
-            ends = ends + 1
-        yield Layer(text, starts, ends, layer.depth + 1), spent
+    for run in BASE64.finditer(layer.text):
+        at, chars, parts = readings(run[0])
+        at, chars = at + run.start(), chars.translate(STANDARD)
+        n = parts[0][1]
+        for k, (a, b) in enumerate(parts):
+            data = binascii.a2b_base64(chars[a : b - ((b - a) % 4 == 1)] + "=" * (-(b - a) % 4 % 3))
+            final = (len(at) if b == n else b) - 1  # with the padding
+            for m in MAGIC.finditer(data) if k < 4 else ():
+                more, used, spent, inner = data[m.start() :], 0, 0, None
+                while (got := inflate(more, left - spent)) is not None:
+                    more, inner = got[0], got[0]
+                    used = used or m.start() + got[1]
+                    spent += len(more) + 1
+                    if spent >= left:
+                        break
+                if inner:
+                    first, last = layer.span(int(at[a + m.start() // 3 * 4]), int(at[min(final, a + (used - 1) // 3 * 4 + 3)]) + 1)
+                    text, left = inner.decode(errors="replace"), left - spent
+                    yield Layer(text, np.full(len(text), first), np.full(len(text), last), layer.depth + 1), spent
+            if MATTERS.search(data):
+                if data.isascii():
+                    text, i = data.decode(), np.arange(len(data))
+                    j = i
+                else:
+                    found = list(_characters(data))
+                    text, i, j = "".join(c for c, _, _ in found), np.array([x for _, x, _ in found]), np.array([y - 1 for _, _, y in found])
+                starts, ends = at[a + i // 3 * 4], at[np.minimum(final, a + j // 3 * 4 + 3)]
+                if layer.starts is not None:
+                    starts, ends = layer.starts[starts], layer.ends[ends]
+                else:
+                    ends = ends + 1
+                yield Layer(text, starts, ends, layer.depth + 1), 0
 
 
 def find(text: str) -> list[tuple[str, int, int, bool, int]]:

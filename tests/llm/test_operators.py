@@ -127,6 +127,29 @@ def test_secrets_beside_unprintable_characters(around):
         assert [(k, 4 <= a < b <= 4 + len(w)) for k, a, b, _, _ in secrets.find(t)] == [("assign", True)], around
 
 
+def test_secrets_in_wrapped_and_glued_base64():
+    dice = random.Random(5)
+    filler = " ".join("".join(dice.choices("abcdefghijklmnop0123456789", k=9)) for _ in range(40)).encode()
+    plain = filler[:37] + b" password=hunter2hunter2 " + filler
+    covers = lambda t, a, b: any(k == "assign" and a <= x < y <= b for k, x, y, _, _ in secrets.find(t))
+    for data in (plain, gzip.compress(plain), zlib.compress(plain)):
+        w = base64.b64encode(data).decode()
+        for columns in (76, 64, 44):
+            for gap in ("\n", "\r\n", "\n    "):
+                t = "vor:\n" + gap.join(w[i : i + columns] for i in range(0, len(w), columns)) + "\n\nnach"
+                assert covers(t, 5, len(t) - 6)
+                # the whole of the secret, though a line may end in it
+                assert data is not plain or any((y - x) * 3 >= 24 * 4 for _, x, y, _, _ in secrets.find(t))
+        for before in ("x", "ab", "abc", "https://x.test/cb/", "https://x.test/c/", "name-", "a_b_"):
+            t = f"{before}{w} nach"
+            assert covers(t, len(before), len(before) + len(w)), before
+    w = base64.b64encode(b"password=hunter2hunter2!").decode()
+    # exact ends, with and without something after
+    for t in (f"https://x.test/cb/{w}/tail/of/it", f"see {w}\nThe next line"):
+        assert ("assign", at := t.index(w), at + len(w)) in [x[:3] for x in secrets.find(t)]
+    assert [x[:3] for x in secrets.find(f"see {w}\nThe next line")] == [("assign", 4, 4 + len(w))]
+
+
 def test_near_dedup(docs, empty):
     def shingled(t):
         w = [x for x in near_dedup.GAP.split((t or "").translate(near_dedup.ASCII_LOWER)) if x]
