@@ -39,7 +39,12 @@ NAMES = frozenset(
 )
 KEPT = frozenset("html body article main".split())
 CLOSES_P = BLOCKS - frozenset("body html tbody td tfoot th thead tr caption dd dt li".split())
-TAG = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?/][^>]*>)")
+#: As in the HTML tokenizer, a quote opens a value only right after the '=' of an attribute; elsewhere it is a plain character.
+TAG = re.compile(
+    r"""<(?:!--|(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+)*+)>|[!?/][^>]*>)"""
+)
+#: For a tag whose quotes take in all the rest of the page: it ends at the next '>'.
+SHORT_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -75,7 +80,7 @@ def parse(page: str) -> Node:
             break
         if start > at:
             node.parts.append(page[at:start])
-        m = TAG.match(page, start)
+        m = TAG.match(page, start) or SHORT_TAG.match(page, start)
         if not m:
             if re.match(r"<[a-zA-Z/!?]", page[start : start + 2]):
                 break  # a tag that the page's end cuts off

@@ -320,3 +320,19 @@ def test_html(spark, empty):
     assert [html_text.main_text(x) for x in ("", "<p", "<!-- x", "plain text", "<p>a &lt; b</p><p>c", "<script>x")] == ["", "", "", "plain text", "a < b\n\nc", ""]
     df = spark.createDataFrame([(1, PAGE), (2, None), (2, None)], "page_id long, html string")
     assert [r["text"] for r in html_text.extract(df).orderBy("page_id").collect()] == [want, "", ""]
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p><a title=Don't href=x>hello</a><p>rest of it", "hello\n\nrest of it"),
+        ('<p><a href="x"">text one</a></p><p>para</p>', "text one\n\npara"),
+        ("<p data-n=5'>para, it's text</p>", "para, it's text"),
+        ("<p title='a>b' class = \"x>y\">kept</p>", "kept"),
+        ("<p ='>one</p><p title= >two</p>", "one\n\ntwo"),
+        ('<p title="open>one</p><p>two</p>', "one\n\ntwo"),
+        ('<p title="open>one</p><p class="two', "one"),
+    ],
+)
+def test_html_stray_quotes(page, want):
+    assert "\n\n".join(html_text.blocks(html_text.parse(page))) == want
