@@ -1,6 +1,7 @@
 """Main text of web pages by composite text density.
 
-A page becomes a tree; boilerplate nodes (by element, role or the words of class and id) are pruned; each remaining node gets its
+A page becomes a tree; boilerplate nodes (by element, role or the words of class and id) are pruned, unless such a word marks what
+holds most of the page's text; each remaining node gets its
 characters per tag, damped by the share of its links in relation to the page's; the node whose children's densities have the
 greatest sum is taken, and climbs along the body path while the parent's density reaches the path's threshold, or to the article
 element that encloses it. Its blocks in page order are the text.
@@ -37,6 +38,10 @@ NAMES = frozenset(
     "sidebar side aside widget widgets notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup login form search "
     "comment comments commentlist respond reply replies disqus discussion share sharing social related recommended pagination pager toolbar skip".split()
 )
+#: Those of them that can rightly hold more text than the article.
+TALK = frozenset("comment comments commentlist respond reply replies disqus discussion".split())
+#: After one of these, a name tells of a layout: has-sidebar, no-comments.
+QUALIFIERS = frozenset("no not non has have with without".split())
 KEPT = frozenset("html body article main".split())
 CLOSES_P = BLOCKS - frozenset("body html tbody td tfoot th thead tr caption dd dt li".split())
 #: As in the HTML tokenizer, a quote opens a value only right after the '=' of an attribute; elsewhere it is a plain character.
@@ -50,23 +55,34 @@ NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "drop", "holds", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "drop", "holds", "plain", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool = False):
+    def __init__(self, tag: str, parent: Node | None, drop: str = ""):
         self.tag, self.parent, self.drop, self.holds = tag, parent, drop, False
         self.parts: list[Node | str] = []
 
 
-def boilerplate(tag: str, attributes: str) -> bool:
+def boilerplate(tag: str, attributes: str) -> str:
+    """What marks a node for pruning: ``!`` (its element or role), or a word that may as well name a wrapper; empty if nothing does."""
     if tag in DROPPED:
-        return True
+        return "form" if tag == "form" else "!"
     if tag in KEPT or "=" not in attributes:
-        return False
+        return ""
+    found = ""
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "role" and value.strip().lower() in ROLES or name in ("class", "id") and any(w.lower() in NAMES for w in NAME.findall(value)):
-            return True
-    return False
+        if name == "role" and (role := value.strip().lower()) in ROLES:
+            if role != "form":
+                return "!"
+            found = found or role
+        elif name in ("class", "id"):
+            for token in value.split():
+                for word in map(str.lower, NAME.findall(token)):
+                    if word in QUALIFIERS:
+                        break
+                    if word in NAMES:
+                        found = found or word
+    return found
 
 
 def parse(page: str) -> Node:
@@ -139,8 +155,53 @@ def closed(node: Node, tags: tuple[str, ...], within: frozenset[str]) -> Node:
     return node
 
 
+def spare(root: Node) -> None:
+    """Unmark nodes that are marked by a word only, where pruning them would take most of the page's text.
+
+    Text counts outside links and pruned elements; where articles hold it, theirs alone. Nodes of one word go together: the page
+    uses it for its content. Discussions are spared only where next to nothing else is left.
+    """
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(x for x in node.parts if not isinstance(x, str))
+    for node in reversed(order):
+        node.plain = 0 if node.drop == "!" and not node.holds or node.tag == "a" else sum(len("".join(x.split())) if isinstance(x, str) else x.plain for x in node.parts)
+    stack, inner, look = [root], [], [root]
+    while look:
+        node = look.pop()
+        if node.tag in ("article", "main"):
+            inner.append(node)
+        else:
+            look.extend(x for x in node.parts if not isinstance(x, str) and (x.holds or x.tag in ("article", "main")))
+    if 10 * sum(x.plain for x in inner) >= root.plain:
+        stack = inner
+    kept, gone = 0, {}
+    while True:
+        while stack:
+            for x in stack.pop().parts:
+                if isinstance(x, str):
+                    kept += len("".join(x.split()))
+                elif x.plain and x.drop and not x.holds:
+                    gone.setdefault(x.drop, []).append(x)
+                elif x.plain:
+                    stack.append(x)
+        held = {word: sum(x.plain for x in nodes) for word, nodes in gone.items()}
+        talk = sum(n for word, n in held.items() if word in TALK)
+        total = kept + sum(held.values()) - talk
+        among = [word for word in held if (word in TALK) == (10 * total < talk)]
+        word = max(among, key=lambda w: held[w], default="")
+        if not word or word not in TALK and 10 * kept >= total and 2 * held[word] <= total:
+            return
+        stack = gone.pop(word)
+        for x in stack:
+            x.drop = ""
+
+
 def densities(root: Node) -> list[Node]:
     """Prune, then measure every node bottom-up; the nodes in page order."""
+    spare(root)
     order, stack = [], [root]
     while stack:
         node = stack.pop()

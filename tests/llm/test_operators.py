@@ -336,3 +336,29 @@ def test_html(spark, empty):
 )
 def test_html_stray_quotes(page, want):
     assert "\n\n".join(html_text.blocks(html_text.parse(page))) == want
+
+
+BODY = [f"Paragraph {i} of the text, with enough words in it to be dense, and then some more." for i in range(8)]
+ARTICLE = "<h1>Head</h1>" + "".join(f"<p>{x}</p>" for x in BODY)
+SIDE = '<div class="sidebar"><h3>More</h3><p>Our weather box says rain.</p><a href=x>Other page</a></div><div class="cookie-notice">We use cookies.</div>'
+
+
+@pytest.mark.parametrize("wrap", ['div id=page class="layout has-sidebar"', 'div class="no-sidebar"', 'div class="post-share"', 'div id=comments-open', 'div class="search-results"', "form id=aspnetForm", 'div role="form"', 'section class="wrap sidebar-right"'])
+def test_html_wrappers_named_like_boilerplate(wrap):
+    end = wrap.split(" ")[0]
+    want = "\n\n".join(["Head", *BODY])
+    nav = "<nav><a href=/>Home</a></nav>"
+    # the wrapper holds the side column, or stands beside it; and two nested wrappers
+    assert html_text.main_text(f"<body>{nav}<{wrap}><div>{ARTICLE}</div>{SIDE}</{end}><footer>x</footer></body>") == want
+    assert html_text.main_text(f"<body>{nav}<{wrap}>{ARTICLE}</{end}>{SIDE}</body>") == want
+    assert html_text.main_text(f"<body><form><{wrap}><div class=content>{ARTICLE}</div>{SIDE}</{end}></form></body>") == want
+    assert html_text.main_text(f"<body><article><{wrap}>{ARTICLE}</{end}></article>{SIDE}</body>") == want
+
+
+def test_html_still_prunes_by_name():
+    want = "\n\n".join(["Head", *BODY])
+    talk = "<div class=comments>" + "".join(f"<p>Comment {i}: I have read it all and thought about it at length, as you see.</p>" for i in range(30)) + "</div>"
+    assert html_text.main_text(f"<body><div class=content>{ARTICLE}</div>{talk}{SIDE}</body>") == want
+    assert html_text.main_text(f"<body><div class='layout sidebar-right'><div class=content>{ARTICLE}</div>{talk}{SIDE}</div></body>") == want
+    results = "".join(f"<div class=search-result><p>{x}</p></div>" for x in BODY)
+    assert html_text.main_text(f"<body><div class=list>{results}</div>{SIDE}</body>") == "\n\n".join(BODY)
