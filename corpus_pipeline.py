@@ -21,10 +21,18 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the least id. A row without an id stays."""
-    kept = near_dedup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    stays = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
-    return stays.unionByName(docs.select(*COLUMNS).where("doc_id is null"))
+    """One row of each group of near copies: the one with the least id; one without an id only where no other is there.
+
+    Rows are told apart by a 64-bit hash of all columns, as ids may repeat or be missing. Equal rows count as copies of each other.
+    """
+    docs = docs.select(*COLUMNS)
+    docs = docs.withColumn("row", F.xxhash64(*[x for c in COLUMNS for x in (F.col(c).isNull(), F.col(c))]))
+    groups = near_dedup.near_duplicates(docs.select("row", "text"), doc_id="row").groupBy(F.col("doc_id").alias("row")).agg(F.min("component_id").alias("component"))
+    rows = docs.groupBy("row").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
+    first = rows.join(groups, "row").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "n")).alias("first"))
+    first = materialise(first.select("first.row", "first.n"))
+    stays = docs.join(first, "row")
+    return stays.where("n = 1").unionByName(stays.where("n > 1").dropDuplicates(["row"])).select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

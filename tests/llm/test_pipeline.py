@@ -80,6 +80,18 @@ def test_stages(spark, sf_dir):
     assert not want
 
 
+def test_repeated_rows(spark):
+    text = lambda k: " ".join(f"word{k}{i}" for i in range(60))
+    rows = [(5, text("a")), (5, text("a")), (5, text("b")), (7, text("b") + " end"), (7, text("c")), (None, text("c") + " end"), (None, text("d")), (None, text("d") + " end"), (None, text("d"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = materialise(corpus_pipeline.near(spark, docs, ""))
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert Counter(x for x in got if x[0]) == Counter([(5, text("a")), (5, text("b")), (7, text("c"))])
+    assert [t.removesuffix(" end") for i, t in got if i is None] == [text("d")]
+    # so that the next stage takes nothing
+    assert sorted(r["text"] for r in corpus_pipeline.repeats(spark, kept, "").collect()) == sorted(t for _, t in got)
+
+
 def test_empty(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
