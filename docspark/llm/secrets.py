@@ -7,7 +7,9 @@ other places are.
 
 Defined cases: a null text is empty and holds nothing; equal spans found in several layers count once, the base layer's first;
 rows are independent, so repeated rows repeat and an empty table stays empty; an input column named ``spans`` is replaced.
-Compressed data beyond ``MOST_INFLATED`` bytes in all per text is not inflated (a guard against decompression bombs).
+Compressed data of any size is read in pieces of ``PIECE`` bytes that overlap by ``OVERLAP``, so memory is bounded; streams count as
+far as their checksums hold. Guards: at most ``NESTED`` compressed layers inside each other, and what is longer than ``OVERLAP``
+inside a larger stream (a compressed run in base64) may be cut between pieces.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from __future__ import annotations
 import binascii
 import bz2
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
@@ -29,7 +32,7 @@ from pyspark.sql import types as T
 from .common import slices, texts
 
 KINDS = ("assign", "access", "hex")
-MOST_INFLATED = 64 << 20
+PIECE, OVERLAP, NESTED = 8 << 20, 1 << 20, 16
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("base", T.BooleanType()), T.StructField("depth", T.IntegerType())]))
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -128,23 +131,89 @@ def escapes(layer: Layer) -> Layer | None:
     return layer.replaced(edits) if edits else None
 
 
-def inflate(data: bytes, most: int) -> tuple[bytes, int] | None:
-    """What compressed bytes hold and how many of them that took; None if they are no known format, broken, or hold more than ``most``."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            tool = zlib.decompressobj(31)
-        elif data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-            tool = zlib.decompressobj()
-        elif data[:3] == b"BZh":
-            tool = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\x00":
-            tool = lzma.LZMADecompressor()
-        else:
-            return None
-        out = tool.decompress(data, most)
-        return (out, len(data) - len(tool.unused_data)) if tool.eof else None
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-        return None
+def opened(data: bytes):
+    """A decompressor for what the first bytes say, None if they are no known format."""
+    if data[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor() if data[:6] == b"\xfd7zXZ\x00" else None
+
+
+def inflate(source: Iterator[bytes]) -> Iterator[tuple[bytes, int]]:
+    """What a compressed stream and those right after it hold, in pieces; with each, the bytes taken if a stream ends whole there, else 0."""
+    rest, taken, tool, more = b"", 0, None, True
+    while True:
+        if not tool:
+            while more and len(rest.lstrip(b"\0")) < 6:
+                more = next(source, b"")
+                rest += more
+            taken += len(rest) - len(rest := rest.lstrip(b"\0")) if taken else 0
+            if (tool := opened(rest)) is None:
+                return
+        size = len(rest)
+        try:
+            out = tool.decompress(rest, 1 << 18)
+        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+            return
+        rest = tool.unused_data if tool.eof else getattr(tool, "unconsumed_tail", b"")
+        taken += size - len(rest)
+        yield out, taken if tool.eof else 0
+        if tool.eof:
+            tool = None
+        elif not out and not rest:
+            if not (rest := next(source, b"")):
+                return
+
+
+def whole(data: bytes, levels: int) -> tuple[Iterator[bytes], int, int]:
+    """The content of compressed bytes after so many levels as far as it is whole, its length, and the bytes of the last level's input it takes."""
+
+    def pieces(lengths: list[int]) -> Iterator[bytes]:
+        source = (data[i : i + (1 << 16)] for i in range(0, len(data), 1 << 16))
+        for n in lengths:
+            source = cut(inflate(source), n)
+        return source
+
+    def cut(found: Iterator[tuple[bytes, int]], n: int) -> Iterator[bytes]:
+        for out, _ in found:
+            if n <= 0:
+                return
+            yield out[:n]
+            n -= len(out)
+
+    lengths: list[int] = []
+    used = 0
+    for _ in range(levels):
+        length = good = 0
+        for out, end in inflate(pieces(lengths)):
+            length += len(out)
+            if end:
+                good = length
+                used = end if not lengths else used
+        if not good:
+            break
+        lengths.append(good)
+    return pieces(lengths), len(lengths), used
+
+
+def kinds_within(data: bytes, nested: int) -> tuple[dict[str, int], int]:
+    """The kinds of secrets in compressed bytes with the least depth below their text, and the bytes that the streams take (0: none is whole)."""
+    source, levels, used = whole(data, nested)
+    found: dict[str, int] = {}
+    if not levels:
+        return found, 0
+    held, fresh = b"", 0
+    for out in itertools.chain(source, [None]):
+        held += out or b""
+        fresh += len(out or b"")
+        if fresh >= PIECE or fresh and out is None:
+            for kind, _, _, _, depth in find(held.decode(errors="replace"), nested - levels):
+                found[kind] = min(depth, found.get(kind, depth))
+            held, fresh = held[-OVERLAP:], 0
+    return found, used
 
 
 def readings(run: str) -> tuple[np.ndarray, str, list[tuple[int, int]]]:
@@ -167,8 +236,8 @@ def readings(run: str) -> tuple[np.ndarray, str, list[tuple[int, int]]]:
     return at, chars, [(a, b) for i, (a, b) in enumerate(dict.fromkeys(parts)) if i < 4 or b - a >= 16]
 
 
-def unpacked(layer: Layer, left: int) -> Iterator[tuple[Layer, int]]:
-    """The layers that base64 runs hold, text or not, with the bytes that inflating took."""
+def unpacked(layer: Layer, nested: int) -> Iterator[Layer | tuple[str, int, int, int]]:
+    """The layers that base64 runs hold, text or not; of compressed ones the kinds of secrets in them with span and depth."""
     for run in BASE64.finditer(layer.text):
         at, chars, parts = readings(run[0])
         at, chars = at + run.start(), chars.translate(STANDARD)
@@ -176,18 +245,14 @@ def unpacked(layer: Layer, left: int) -> Iterator[tuple[Layer, int]]:
         for k, (a, b) in enumerate(parts):
             data = binascii.a2b_base64(chars[a : b - ((b - a) % 4 == 1)] + "=" * (-(b - a) % 4 % 3))
             final = (len(at) if b == n else b) - 1  # with the padding
-            for m in MAGIC.finditer(data) if k < 4 else ():
-                more, used, spent, inner = data[m.start() :], 0, 0, None
-                while (got := inflate(more, left - spent)) is not None:
-                    more, inner = got[0], got[0]
-                    used = used or m.start() + got[1]
-                    spent += len(more) + 1
-                    if spent >= left:
-                        break
-                if inner:
-                    first, last = layer.span(int(at[a + m.start() // 3 * 4]), int(at[min(final, a + (used - 1) // 3 * 4 + 3)]) + 1)
-                    text, left = inner.decode(errors="replace"), left - spent
-                    yield Layer(text, np.full(len(text), first), np.full(len(text), last), layer.depth + 1), spent
+            done = 0
+            for m in MAGIC.finditer(data) if k < 4 and nested else ():
+                if m.start() < done:
+                    continue
+                kinds, used = kinds_within(data[m.start() :], nested)
+                done = m.start() + used
+                for kind, depth in kinds.items():
+                    yield kind, *layer.span(int(at[a + m.start() // 3 * 4]), int(at[min(final, a + (done - 1) // 3 * 4 + 3)]) + 1), layer.depth + 1 + depth
             if MATTERS.search(data):
                 if data.isascii():
                     text, i = data.decode(), np.arange(len(data))
@@ -200,13 +265,13 @@ def unpacked(layer: Layer, left: int) -> Iterator[tuple[Layer, int]]:
                     starts, ends = layer.starts[starts], layer.ends[ends]
                 else:
                     ends = ends + 1
-                yield Layer(text, starts, ends, layer.depth + 1), 0
+                yield Layer(text, starts, ends, layer.depth + 1)
 
 
-def find(text: str) -> list[tuple[str, int, int, bool, int]]:
+def find(text: str, nested: int = NESTED) -> list[tuple[str, int, int, bool, int]]:
     """All spans (kind, start, end, base, depth of the layer), by start, then kind as listed, then end."""
     spans: dict[tuple[str, int, int], tuple[bool, int]] = {}
-    work, seen, left = [Layer(text, None, None, 0)], set(), MOST_INFLATED
+    work, seen = [Layer(text, None, None, 0)], set()
     while work:
         layer = work.pop()
         for kind, a, b in scan(layer.text):
@@ -216,9 +281,11 @@ def find(text: str) -> list[tuple[str, int, int, bool, int]]:
             more.append(made)
         if ("\\" in layer.text or "&#" in layer.text) and (made := escapes(layer)):
             more.append(made)
-        for made, spent in unpacked(layer, left):
-            left -= spent
-            more.append(made)
+        for made in unpacked(layer, nested):
+            if isinstance(made, Layer):
+                more.append(made)
+            else:
+                spans.setdefault(made[:3], (False, made[3]))
         for made in more:
             if (key := made.key()) not in seen:
                 seen.add(key)
