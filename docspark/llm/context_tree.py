@@ -7,24 +7,26 @@ that this leaves after training predict every text: a decision's probability is
 and a context that training has not seen leaves its share to the deepest one that it has. The score is the sum over all bytes, each rounded to 1/4096 bit.
 
 Work is dealt like this. Texts are packed once into blocks of a bounded size. A block lists its distinct contexts with symbols
-(grams) and its distinct words, with training counts; grams meet by their two latest bytes (a subtree), words by hash. Subtrees are
-merged in two levels, weighted from the leaves up, and answer each block's list with log probabilities in the order of its grams, so
-that only numbers travel back; the same holds for word counts. No table of grams or words is broadcast or collected: the driver sees
-the 256 contexts of one byte, and two sums.
+(grams) and its distinct words, with training counts; grams meet by their two latest bytes (a subtree), words by hash. Up to
+``GROUP`` lists are merged into one, these again, until few are left; words go to finer buckets on each level, and a subtree with
+over ``HOT`` listed grams is split by the third byte. Subtrees are weighted from the leaves up; each distinct gram is worked out
+once, and the log probabilities go down the same levels to each block's list in the order of its grams, so that only numbers reach
+the blocks; the same holds for word counts. Work is in proportion to the input but for the number of levels, its logarithm. No table
+of grams or words is broadcast or collected: the driver sees the 256 contexts of one byte, and two sums.
 
 Defined cases: a null or empty text is the end alone; without training texts all estimates are 1/2; repeated rows are scored and
-counted one by one; a null id counts like an empty one for the fold; an empty table gives no rows; only id and text are read.
+counted one by one; a null id counts like an empty one for the fold; a text longer than a block is a block of its own; equal counts
+need no order; an empty table gives no rows; only id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +34,11 @@ from pyspark.sql import functions as F
 from .common import materialise, slices, texts
 
 DEPTH = 6
-BLOCK = 12 << 20  # bytes of text
-GROUP = 64  # blocks whose lists one task merges or answers
+BLOCK = 8 << 20  # bytes of text
+GROUP = 128  # lists that one task merges or answers
+HOT = 2_000_000  # listed grams of a subtree, beyond which it is split by a third byte
+BUCKETS, SPLIT = 256, 8  # of words: in a block, and parts of each on the next level; powers of two
+MOST_TASKS = 8192
 U = np.uint64
 _IPC = pa.ipc.IpcWriteOptions(compression="zstd")
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -113,7 +118,7 @@ def grams(bodies: list[str], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return out[within < np.repeat(sizes, sizes + depth)[:n]], np.cumsum(sizes) - sizes
 
 
-def parts(bodies: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def parts(bodies: list[str], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     start = total = 0
     for i, b in enumerate(bodies):
         if total and total + len(b) > most:
@@ -168,20 +173,65 @@ def block_grams(ids: list[int | None], bodies: list[str], depth: int, held: int)
     return added(keys, counts) if keys else (np.empty(0, U), np.empty(0, np.int64))
 
 
-def block_words(ids: list[int | None], bodies: list[str], buckets: int, held: int) -> list[tuple[int, list[str], np.ndarray]]:
-    """Distinct words of a block by bucket, each bucket in order, with their counts in its training texts."""
-    count: Counter[str] = Counter()
-    others: set[str] = set()
-    for i, b in zip(ids, bodies, strict=True):
-        words = b[:-1].split(" ") if len(b) > 1 else []
-        if fold(i) != held:
-            count.update(words)
-        else:
-            others.update(words)
-    by: dict[int, list[str]] = {}
-    for w in count.keys() | others:
-        by.setdefault(xxhash.xxh3_64_intdigest(w) % buckets, []).append(w)
-    return [(k, ws := sorted(by[k]), np.array([count[w] for w in ws], np.int64)) for k in sorted(by)]
+class Words:
+    """The words of a block: the distinct ones, each token's place among them, where each body's tokens begin."""
+
+    __slots__ = ("distinct", "codes", "first")
+
+    def __init__(self, bodies: list[str]):
+        lists = pc.split_pattern(pa.array([b[:-1] for b in bodies], pa.large_string()), " ")
+        flat = lists.flatten().dictionary_encode()
+        self.distinct, codes = flat.dictionary, flat.indices.to_numpy()
+        sizes = np.array([len(x) > 1 for x in bodies]) * pc.list_value_length(lists).to_numpy()  # an empty body splits into one empty word
+        none = pc.index(self.distinct, pa.scalar("", pa.large_string())).as_py()
+        self.codes = codes[codes != none] if none >= 0 else codes
+        self.first = np.concatenate([[0], np.cumsum(sizes)])
+
+    def order(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the distinct words ordered by bucket, and their buckets."""
+        in_bucket = (word_hashes(self.distinct) & U(buckets - 1)).astype(np.int32)
+        order = np.argsort(in_bucket.astype(np.uint16) if buckets <= 1 << 16 else in_bucket, kind="stable")
+        order = order[pc.binary_length(self.distinct).to_numpy()[order] > 0]
+        return order, in_bucket[order]
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A mixed polynomial hash of the bytes of each word; its low bits deal words to buckets, nothing else rests on it."""
+    raw, n = words.buffers(), len(words)
+    at = np.frombuffer(raw[1], np.int64)[words.offset : words.offset + n + 1]
+    if not n or at[-1] == at[0]:
+        return np.zeros(n, U)
+    data = np.frombuffer(raw[2], np.uint8)[at[0] : at[-1]].astype(U) + U(1)
+    at = at - at[0]
+    power = np.full(len(data) + 1, _ROOT, U)
+    back = np.full(len(data) + 1, _INVERSE, U)
+    power[0] = back[0] = 1
+    np.multiply.accumulate(power, out=power), np.multiply.accumulate(back, out=back)
+    total = np.concatenate([np.zeros(1, U), np.cumsum(data * power[:-1], dtype=U)])
+    h = (total[at[1:]] - total[at[:-1]]) * back[at[:-1]]
+    h = (h ^ h >> U(31)) * U(0xBF58476D1CE4E5B9)
+    return h ^ h >> U(29)
+
+
+_ROOT = 0x9E3779B97F4A7C15
+_INVERSE = pow(_ROOT, -1, 1 << 64)
+
+
+def word_lists(words: pa.Array, counts: np.ndarray, order: np.ndarray, in_bucket: np.ndarray) -> Iterator[tuple[int, bytes, bytes, int]]:
+    """By bucket: its words joined by spaces, their counts, and how many they are."""
+    at = np.flatnonzero(np.append(True, in_bucket[1:] != in_bucket[:-1])) if len(order) else np.empty(0, np.int64)
+    taken = words.take(pa.array(order)).cast(pa.string())
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(at, len(order)), pa.int32()), taken), " ")
+    for i, (a, b) in enumerate(zip(at.tolist(), [*at[1:].tolist(), len(order)], strict=True)):
+        yield int(in_bucket[a]), squeeze(joined[i].as_buffer().to_pybytes()), squeeze_numbers(counts[order[a:b]]), b - a
+
+
+def block_words(ids: list[int | None], bodies: list[str], buckets: int, held: int) -> list[tuple[int, bytes, bytes, int]]:
+    """The lists of a block's distinct words by bucket, with their counts in its training texts."""
+    words = Words(bodies)
+    train = np.repeat([fold(i) != held for i in ids], np.diff(words.first))
+    count = np.bincount(words.codes[train], minlength=len(words.distinct))
+    return list(word_lists(words.distinct, count, *words.order(buckets)))
 
 
 # ---- the tree
@@ -263,7 +313,7 @@ def subtree(keys: np.ndarray, counts: np.ndarray, depth: int, top: int = 2) -> d
 
 
 def dense(symbols: np.ndarray, child_sum: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of one context, by bits so far: the estimate of a one, its weight, and the ln of the mixture; from counts of its 256 symbols."""
+    """Of one context, by bits so far: the estimate of a one (not a number if training has not seen the node), its weight, and the ln of the mixture; from counts of its 256 symbols."""
     count = np.zeros(512, np.int64)
     count[256:] = symbols
     for i in range(255, 0, -1):
@@ -273,11 +323,12 @@ def dense(symbols: np.ndarray, child_sum: np.ndarray) -> tuple[np.ndarray, np.nd
     level.zeros, level.ones = zeros[:256].copy(), ones[:256].copy()
     level.zeros[0] = level.ones[0] = 0
     mix(level, child_sum)
-    return (level.ones + 0.5) / (level.zeros + level.ones + 1), level.weight, level.log_mixed
+    n = level.zeros + level.ones
+    return np.where(n > 0, (level.ones + 0.5) / (n + 1), np.nan), level.weight, level.log_mixed
 
 
 def log2_probabilities(asked: np.ndarray, levels: dict[int, Level], top: list[tuple[np.ndarray, np.ndarray] | None], depth: int) -> np.ndarray:
-    """log2 of the probability of each gram's byte after its context. top: estimates and weights of depths 0 and 1."""
+    """log2 of the probability of each gram's byte after its context. top: estimates and weights of the depths above the levels."""
     out = np.zeros(len(asked))
     symbol = asked & U(255)
     for j in range(8):
@@ -287,13 +338,12 @@ def log2_probabilities(asked: np.ndarray, levels: dict[int, Level], top: list[tu
         rest, p, last = np.ones(len(asked)), np.zeros(len(asked)), np.full(len(asked), 0.5)
         seen = np.ones(len(asked), bool)
         for found in top:
-            if found is None:
-                seen[:] = False
-                break
-            estimate = np.where(one, found[0][at], 1 - found[0][at])
-            p += rest * found[1][at] * estimate
-            rest *= 1 - found[1][at]
-            last = estimate
+            estimate, weight = (np.nan, 0.0) if found is None else (found[0][at], found[1][at])
+            seen &= ~np.isnan(estimate)
+            estimate = np.where(one, estimate, 1 - estimate)
+            p = np.where(seen, p + rest * weight * estimate, p)
+            rest = np.where(seen, rest * (1 - weight), rest)
+            last = np.where(seen, estimate, last)
         for d in range(len(top), depth + 1):
             level = levels.get(d)
             if level is None or not seen.any():
@@ -313,7 +363,7 @@ def log2_probabilities(asked: np.ndarray, levels: dict[int, Level], top: list[tu
 
 # ---- the jobs
 
-def _blocks(held: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _blocks(held: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, ids, bodies, size, made = TaskContext.get().partitionId() << 24, [], [], 0, 0
 
@@ -330,7 +380,7 @@ def _blocks(held: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
                 bodies.append(canonical(x))
                 ids.append(i)
                 size += len(bodies[-1])
-                if size >= BLOCK:
+                if size >= most:
                     yield flush()
         if ids:
             yield flush()
@@ -338,6 +388,16 @@ def _blocks(held: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     return run
 
 
+def _table(rows: list[tuple], like: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    names = [x.split() for x in like.split(", ")]
+    return pa.table([pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(names)], [n for n, _ in names])
+
+
+LISTS = "node long, kind int, part int, items binary, counts binary, n long"
+ANSWERS = "node long, kind int, part int, sub int, items binary, values binary"
+
+
 def _lists(depth: int, buckets: int, held: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Per block: its grams by subtree (kind 0) and its words by bucket (kind 1), with training counts."""
 
@@ -345,152 +405,248 @@ def _lists(depth: int, buckets: int, held: int) -> Callable[[Iterator[pa.RecordB
         for batch in batches:
             for block, blob in zip(batch.column("block").to_pylist(), batch.column("body"), strict=True):
                 ids, bodies = unpack_block(blob.as_py())
-                rows = [(1, k, squeeze(" ".join(ws).encode()), squeeze_numbers(c)) for k, ws, c in block_words(ids, bodies, buckets, held)]
+                rows = [(block, 1, *x) for x in block_words(ids, bodies, buckets, held)]
                 keys, counts = block_grams(ids, bodies, depth, held)
-                root = keys >> U(8 * (depth - 1))
-                cuts = np.flatnonzero(np.append(True, root[1:] != root[:-1])).tolist() if len(root) else []
-                for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True):
-                    rows.append((0, int(root[a]), squeeze_numbers(keys[a:b], True), squeeze_numbers(counts[a:b])))
+                for root, x, c in _cut(keys, counts, 8 * (depth - 1)):
+                    rows.append((block, 0, root, squeeze_numbers(x, True), squeeze_numbers(c), len(x)))
                 for a in range(0, len(rows), 512):
-                    part = rows[a : a + 512]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([block] * len(part), pa.int64()), *[pa.array([r[i] for r in part], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))]],
-                        ["block", "kind", "part", "items", "counts"],
-                    )
+                    yield from _table(rows[a : a + 512], LISTS).to_batches()
+                del ids, bodies, keys, counts, rows
+                pa.default_memory_pool().release_unused()
 
     return run
 
 
-def _merge(table: pa.Table) -> pa.Table:
-    """Grams of a subtree from several lists, seen in training only, with summed counts."""
-    keys, counts = [], []
-    for k, c in zip(table.column("items").to_pylist(), table.column("counts").to_pylist(), strict=True):
-        k, c = numbers(k, True), numbers(c)
-        keys.append(k[c > 0]), counts.append(c[c > 0])
-    k, c = added(keys, counts)
-    return pa.table([table.column("part")[:1], pa.array([squeeze_numbers(k, True)], pa.binary()), pa.array([squeeze_numbers(c)], pa.binary())], ["part", "items", "counts"])
+def _cut(keys: np.ndarray, counts: np.ndarray, shift: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Ordered keys with their counts, one piece for each value of the bits from ``shift`` on."""
+    root = keys >> U(shift)
+    cuts = np.flatnonzero(np.append(True, root[1:] != root[:-1])).tolist() if len(root) else []
+    for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True):
+        yield int(root[a]), keys[a:b], counts[a:b]
+
+
+def _joined_grams(items: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams of several lists with summed counts, some lists at a time."""
+    keys, sums = [], []
+    for i, c in zip(items, counts, strict=True):
+        keys.append(numbers(i, True)), sums.append(numbers(c))
+        if len(keys) == 32:
+            k, n = added(keys, sums)
+            keys, sums = [k], [n]
+    return added(keys, sums)
+
+
+def _joined_words(items: list[bytes], counts: list[bytes]) -> dict[str, int]:
+    count: dict[str, int] = {}
+    for i, c in zip(items, counts, strict=True):
+        for w, n in zip(expand(i).decode().split(" "), numbers(c).tolist(), strict=True):
+            count[w] = count.get(w, 0) + n
+    return count
+
+
+def _merge(buckets: int) -> Callable[[pa.Table], pa.Table]:
+    """One list out of those of a group of nodes: all items with summed counts; words in ``buckets`` finer ones."""
+
+    def run(table: pa.Table) -> pa.Table:
+        up, kind, part = (table.column(c)[0].as_py() for c in ("up", "kind", "part"))
+        items, counts = table.column("items").to_pylist(), table.column("counts").to_pylist()
+        if kind == 0:
+            k, c = _joined_grams(items, counts)
+            return _table([(up, 0, part, squeeze_numbers(k, True), squeeze_numbers(c), len(k))], LISTS)
+        count = _joined_words(items, counts)
+        words = pa.array(count, pa.large_string())
+        in_bucket = (word_hashes(words) & U(buckets - 1)).astype(np.int32)
+        order = np.argsort(in_bucket, kind="stable")
+        return _table([(up, 1, *x) for x in word_lists(words, np.fromiter(count.values(), np.int64, len(count)), order, in_bucket[order])], LISTS)
+
+    return run
+
+
+def _split(depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Lists of a large subtree by the third byte of the context."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, part, items, counts in zip(*(batch.column(c).to_pylist() for c in ("node", "part", "items", "counts")), strict=True):
+                rows = [(node, part, sub & 255, squeeze_numbers(x, True), squeeze_numbers(c)) for sub, x, c in _cut(numbers(items, True), numbers(counts), 8 * (depth - 2))]
+                yield from _table(rows, "node long, part int, sub int, items binary, counts binary").to_batches()
+
+    return run
 
 
 def _weigh(depth: int) -> Callable[[pa.Table], pa.Table]:
     """Merge a subtree's lists, and sum up its root for the level above: counts of symbols, ln of the mixtures by bits so far."""
 
     def run(table: pa.Table) -> pa.Table:
-        merged = _merge(table)
-        k, c = numbers(merged.column("items")[0].as_py(), True), numbers(merged.column("counts")[0].as_py())
+        k, c = _joined_grams(table.column("items").to_pylist(), table.column("counts").to_pylist())
+        part, sub = table.column("part")[0].as_py(), table.column("sub")[0].as_py()
         symbols, mixed = np.zeros(256, np.int64), np.zeros(256)
-        if len(k):
-            root = subtree(k, c, depth)[2]
+        seen = c > 0
+        if seen.any():
+            top = 2 if sub < 0 else 3
+            root = subtree(k[seen], c[seen], depth, top)[top]
             mixed[(root.keys & U(255)).astype(np.int64)] = root.log_mixed
             symbols = np.bincount((k & U(255)).astype(np.int64), weights=c, minlength=256).astype(np.int64)
-        return pa.table([*merged.columns, pa.array([symbols.tobytes()], pa.binary()), pa.array([mixed.tobytes()], pa.binary())], ["part", "items", "counts", "symbols", "mixed"])
+        return _table([(part, sub, squeeze_numbers(k, True), squeeze_numbers(c), symbols.tobytes(), mixed.tobytes())], MODEL)
+
+    return run
+
+
+MODEL = "part int, sub int, items binary, counts binary, symbols binary, mixed binary"
+
+
+def _above(name: str) -> Callable[[pa.Table], pa.Table]:
+    """A context over the subtrees that know one byte more."""
+
+    def run(table: pa.Table) -> pa.Table:
+        symbols = sum(np.frombuffer(x, np.int64) for x in table.column("symbols").to_pylist())
+        below = sum(np.frombuffer(x, float) for x in table.column("mixed").to_pylist())
+        estimate, weight, mixed = dense(symbols, below)
+        return _table([(table.column(name)[0].as_py(), *(x.tobytes() for x in (symbols, estimate, weight, mixed)))], ABOVE.format(name))
 
     return run
 
 
-def _above(table: pa.Table) -> pa.Table:
-    """The context of one byte over its subtrees."""
-    symbols = sum(np.frombuffer(x, np.int64) for x in table.column("symbols").to_pylist())
-    below = sum(np.frombuffer(x, float) for x in table.column("mixed").to_pylist())
-    estimate, weight, mixed = dense(symbols, below)
-    return pa.table([table.column("byte")[:1], *[pa.array([x.tobytes()], pa.binary()) for x in (symbols, estimate, weight, mixed)]], ["byte", "symbols", "estimate", "weight", "mixed"])
+ABOVE = "{} int, symbols binary, estimate binary, weight binary, mixed binary"
 
 
-def _answer(depth: int, whole: tuple[np.ndarray, np.ndarray] | None, single: dict[int, tuple[np.ndarray, np.ndarray]]) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Log probabilities of each block's grams of a subtree, in their order."""
+def _answer(depth: int, whole: tuple[np.ndarray, np.ndarray] | None, single: dict[int, tuple[np.ndarray, np.ndarray]], items: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Log probabilities of the grams of a subtree, each worked out once, then given to each list in its order."""
 
     def run(model: pa.Table, asked: pa.Table) -> pa.Table:
-        out: list[bytes] = []
-        levels: dict[int, Level] = {}
-        if asked.num_rows:
-            if model.num_rows:
-                k, c = numbers(model.column("items")[0].as_py(), True), numbers(model.column("counts")[0].as_py())
-                levels = subtree(k, c, depth) if len(k) else {}
-            root = asked.column("part")[0].as_py()
-            top = [x for x in (whole, single.get(root >> 8)) if x is not None] if whole else [None]
-            lists = [numbers(items, True) for items in asked.column("items").to_pylist()]
-            every = distinct(np.concatenate(lists))
-            found = log2_probabilities(every, levels if len(top) == 2 else {}, top, depth)
-            out = [squeeze_logs(found[np.searchsorted(every, x)]) for x in lists]
-        return pa.table([asked.column("block"), asked.column("part"), pa.array(out, pa.binary())], ["block", "part", "values"])
+        part, sub = (asked.column(c)[0].as_py() for c in ("part", "sub"))
+        every, c = numbers(model.column("items")[0].as_py(), True), numbers(model.column("counts")[0].as_py())
+        top, seen = [None], c > 0
+        if whole:
+            top = [x for x in (whole, single.get(part >> 8)) if x is not None]
+            if sub >= 0 and (pair := model.column("estimate")[0].as_py()) is not None:
+                top.append((np.frombuffer(pair), np.frombuffer(model.column("weight")[0].as_py())))
+        levels = subtree(every[seen], c[seen], depth, 2 if sub < 0 else 3) if seen.any() else {}
+        found = log2_probabilities(every, levels, top, depth)
+        return _given([(every, found)], asked, items)
 
     return run
 
 
-def _tally(table: pa.Table) -> pa.Table:
-    """Training counts of a bucket's words over all blocks, sent back to each block in its order; and their number and sum."""
-    count: Counter[str] = Counter()
-    lists = []
-    for items, counts in zip(table.column("items").to_pylist(), table.column("counts").to_pylist(), strict=True):
-        words = expand(items).decode().split(" ")
-        lists.append(words)
-        for w, c in zip(words, numbers(counts).tolist(), strict=True):
-            if c:
-                count[w] += c
-    out = [squeeze_numbers(np.array([count[w] for w in words], np.int64)) for words in lists]
-    n = len(lists)
-    stats = [len(count), *[0] * (n - 1)], [sum(count.values()), *[0] * (n - 1)]
-    return pa.table([table.column("block"), table.column("part"), pa.array(out, pa.binary()), pa.array(stats[0], pa.int64()), pa.array(stats[1], pa.int64())], ["block", "part", "values", "words", "total"])
+def _given(answers: list[tuple[np.ndarray, np.ndarray]], asked: pa.Table, items: bool) -> pa.Table:
+    every, found = (np.concatenate(x) for x in zip(*answers, strict=True))
+    rows = []
+    subs = asked.column("sub").to_pylist() if "sub" in asked.column_names else [-1] * asked.num_rows
+    for node, part, sub, x in zip(asked.column("node").to_pylist(), asked.column("part").to_pylist(), subs, asked.column("items").to_pylist(), strict=True):
+        rows.append((node, 0, part, sub, x if items else None, squeeze_logs(found[np.searchsorted(every, numbers(x, True))])))
+    return _table(rows, ANSWERS)
+
+
+def _tally(items: bool) -> Callable[[pa.Table], pa.Table]:
+    """Training counts of a bucket's words over all nodes, sent back to each list in its order; and their number and sum."""
+
+    def run(table: pa.Table) -> pa.Table:
+        lists = table.column("items").to_pylist()
+        count = _joined_words(lists, table.column("counts").to_pylist())
+        stats = [(sum(n > 0 for n in count.values()), sum(count.values())), *[(0, 0)] * (len(lists) - 1)]
+        rows = []
+        for node, part, x, more in zip(table.column("node").to_pylist(), table.column("part").to_pylist(), lists, stats, strict=True):
+            values = squeeze_numbers(np.array([count[w] for w in expand(x).decode().split(" ")], np.int64))
+            rows.append((node, 1, part, -1, x if items else None, values, *more))
+        return _table(rows, ANSWERS + ", words long, total long")
+
+    return run
+
+
+def _handed(items: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The answers to a merged list handed down to the lists that went into it."""
+
+    def run(above: pa.Table, asked: pa.Table) -> pa.Table:
+        order = sorted(range(above.num_rows), key=above.column("sub").to_pylist().__getitem__)
+        lists, values = above.column("items").to_pylist(), above.column("values").to_pylist()
+        if asked.column("kind")[0].as_py() == 0:
+            return _given([(numbers(lists[i], True), logs(values[i])) for i in order], asked, items)
+        count = _joined_words(lists, values)
+        rows = []
+        for node, part, x in zip(asked.column("node").to_pylist(), asked.column("part").to_pylist(), asked.column("items").to_pylist(), strict=True):
+            rows.append((node, 1, part, -1, x if items else None, squeeze_numbers(np.array([count[w] for w in expand(x).decode().split(" ")], np.int64))))
+        return _table(rows, ANSWERS)
+
+    return run
 
 
 def _score(depth: int, buckets: int, held: int, words: int, total: int, ends: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """Scores of a block's texts from the answers to its lists."""
 
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        ids, bodies = unpack_block(blocks.column("body")[0].as_py())
+        kinds, places, subs = (answers.column(c).to_pylist() for c in ("kind", "part", "sub"))
+        values = answers.column("values")
+        order = sorted(range(len(kinds)), key=lambda i: (kinds[i], places[i], subs[i]))
+        answer = np.concatenate([np.empty(0), *[logs(values[i].as_py()) for i in order if kinds[i] == 0]])
+        chunks = []
+        for a, b in parts(bodies):
+            keys, first = grams(bodies[a:b], depth)
+            chunks.append((a, b, *ranked(keys), first))
+        asked = distinct(np.concatenate([c[2] for c in chunks]))
+        found = Words(bodies)
+        known = np.zeros(len(found.distinct), np.int64)
+        known[found.order(buckets)[0]] = np.concatenate([np.empty(0, np.int64), *[numbers(values[i].as_py()) for i in order if kinds[i] == 1]])
+        counts = known[found.codes]
+        size = np.log10(total + words + 1)
+        each = np.log10(counts + 1) - size
+        end = float(np.log10(ends + 1) - size)
         columns: list[list] = [[] for _ in range(7)]
-        if blocks.num_rows:
-            ids, bodies = unpack_block(blocks.column("body")[0].as_py())
-            kinds, places = answers.column("kind").to_pylist(), answers.column("part").to_pylist()
-            values = answers.column("values")
-            order = sorted(range(len(kinds)), key=lambda i: (kinds[i], places[i]))
-            answer = np.concatenate([np.empty(0), *[logs(values[i].as_py()) for i in order if kinds[i] == 0]])
-            chunks = []
-            for a, b in parts(bodies):
-                keys, first = grams(bodies[a:b], depth)
-                chunks.append((a, b, *ranked(keys), first))
-            asked = distinct(np.concatenate([c[2] for c in chunks]))
-            known: dict[str, int] = {}
-            answered = {places[i]: values[i].as_py() for i in order if kinds[i] == 1}
-            for k, ws, _ in block_words(ids, bodies, buckets, held):
-                known.update(zip(ws, numbers(answered[k]).tolist(), strict=True))
-            size = np.log10(total + words + 1)
-            for a, b, some, where, first in chunks:
-                sums = np.add.reduceat(answer[np.searchsorted(asked, some)][where], first)
-                for i in range(a, b):
-                    tokens = bodies[i][:-1].split(" ") if len(bodies[i]) > 1 else []
-                    counts = np.append(np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens)), ends)
-                    row = (ids[i], fold(ids[i]) == held, len(counts), int(np.count_nonzero(counts)), total, float((np.log10(counts + 1) - size).sum()), float(sums[i - a]) * float(np.log10(2)))
-                    for column, x in zip(columns, row, strict=True):
-                        column.append(x)
+        for a, b, some, where, first in chunks:
+            sums = np.add.reduceat(answer[np.searchsorted(asked, some)][where], first)
+            for i in range(a, b):
+                x, y = found.first[i], found.first[i + 1]
+                row = (ids[i], fold(ids[i]) == held, int(y - x) + 1, int(np.count_nonzero(counts[x:y])) + (ends > 0), total, float(each[x:y].sum()) + end, float(sums[i - a]) * float(np.log10(2)))
+                for column, v in zip(columns, row, strict=True):
+                    column.append(v)
         kinds_ = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds_, strict=True)], [x.split()[0] for x in SCORES.split(", ")])
 
     return run
 
 
-def score_documents(docs: DataFrame, depth: int = DEPTH, held: int = 2, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def score_documents(docs: DataFrame, depth: int = DEPTH, held: int = 2, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK, group: int = GROUP, hot: int = HOT, buckets: int = BUCKETS) -> DataFrame:
     """One row per document: its fold, token counts, base score and model score (log10 of the probability of the text)."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    blocks = materialise(docs.mapInArrow(_blocks(held), "block long, train_docs long, body binary"))
+    blocks = materialise(docs.mapInArrow(_blocks(held, block), "block long, train_docs long, body binary"))
     n_blocks, ends = blocks.agg(F.count("*"), F.coalesce(F.sum("train_docs"), F.lit(0))).first()
-    buckets, groups = max(64, 4 * n_blocks), max(1, -(-n_blocks // GROUP))
-    lists = materialise(blocks.select("block", "body").mapInArrow(_lists(depth, buckets, held), "block long, kind int, part int, items binary, counts binary"))
-    salt = F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")
 
-    tallied = materialise(lists.where("kind = 1").groupBy("part").applyInArrow(_tally, "block long, part int, values binary, words long, total long"))
+    levels, sizes = [materialise(blocks.select("block", "body").mapInArrow(_lists(depth, buckets, held), LISTS))], [n_blocks]
+    up = lambda n: F.pmod(F.xxhash64("node"), F.lit(n)).alias("up")
+    while sizes[-1] > group:
+        sizes.append(-(-sizes[-1] // group))
+        merged = levels[-1].select(up(sizes[-1]), "kind", "part", "items", "counts").groupBy("up", "kind", "part")
+        levels.append(materialise(merged.applyInArrow(_merge(buckets * SPLIT ** len(levels)), LISTS)))
+    top, several = levels[-1], len(levels) > 1
+
+    tallied = materialise(top.where("kind = 1").groupBy("part").applyInArrow(_tally(several), ANSWERS + ", words long, total long"))
     words, total = tallied.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     words, total = words + (ends > 0), total + ends
 
-    some = lists.where("kind = 0").withColumn("salt", salt)
-    merged = some.select("salt", "part", "items", "counts")
-    if groups > 1:
-        merged = merged.groupBy("part", "salt").applyInArrow(_merge, "part int, items binary, counts binary")
-    model = materialise(merged.select("part", "items", "counts").groupBy("part").applyInArrow(_weigh(depth), "part int, items binary, counts binary, symbols binary, mixed binary"))
-    by_byte = model.select(F.shiftright("part", 8).alias("byte"), "symbols", "mixed").groupBy("byte")
-    rows = by_byte.applyInArrow(_above, "byte int, symbols binary, estimate binary, weight binary, mixed binary").collect()  # 256 at most
+    some = top.where("kind = 0")
+    large = some.groupBy("part").agg(F.sum("n").alias("all")).where(F.col("all") > hot).select("part")
+    large = F.broadcast(large)  # one row of an int for each pair of bytes, 65536 at most
+    columns = ["node", "part", "sub", "items", "counts"]
+    plain = some.join(large, "part", "left_anti").withColumn("sub", F.lit(-1)).select(*columns)
+    some = plain.unionByName(some.join(large, "part", "left_semi").mapInArrow(_split(depth), "node long, part int, sub int, items binary, counts binary"))
+    if several:
+        some = materialise(some)
+    model = materialise(some.select("part", "sub", "items", "counts").groupBy("part", "sub").applyInArrow(_weigh(depth), MODEL))
+    pairs = model.where("sub >= 0").groupBy("part").applyInArrow(_above("part"), ABOVE.format("part"))
+    by_byte = model.where("sub < 0").select("part", "symbols", "mixed").unionByName(pairs.select("part", "symbols", "mixed")).select(F.shiftright("part", 8).alias("byte"), "symbols", "mixed")
+    rows = by_byte.groupBy("byte").applyInArrow(_above("byte"), ABOVE.format("byte")).collect()  # 256 at most
+    rows = [r for r in rows if any(r["symbols"])]
     single = {r["byte"]: (np.frombuffer(r["estimate"]), np.frombuffer(r["weight"])) for r in rows}
     whole = dense(sum(np.frombuffer(r["symbols"], np.int64) for r in rows), sum(np.frombuffer(r["mixed"], float) for r in rows))[:2] if rows else None
 
-    spread = model.select("part", "items", "counts", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("salt"))
-    answers = spread.groupBy("part", "salt").cogroup(some.select("block", "part", "items", "salt").groupBy("part", "salt")).applyInArrow(_answer(depth, whole, single), "block long, part int, values binary")
-    answers = answers.withColumn("kind", F.lit(0)).unionByName(tallied.select("block", "part", "values").withColumn("kind", F.lit(1)))
-    return blocks.select("block", "body").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(depth, buckets, held, words, total, ends), SCORES)
+    asked = some.select("node", "part", "sub", "items").groupBy("part", "sub")
+    model = model.select("part", "sub", "items", "counts").join(pairs.select("part", "estimate", "weight"), "part", "left")
+    answers = model.groupBy("part", "sub").cogroup(asked).applyInArrow(_answer(depth, whole, single, several), ANSWERS).unionByName(tallied.drop("words", "total"))
+    for level in reversed(range(len(levels) - 1)):
+        coarse = F.when(F.col("kind") == 1, F.col("part").bitwiseAND(buckets * SPLIT**level - 1)).otherwise(F.col("part")).alias("part")
+        above = answers.select(F.col("node").alias("up"), "kind", coarse, "sub", "items", "values").groupBy("up", "kind", "part")
+        below = levels[level].select(up(sizes[level + 1]), "node", "kind", "part", "items").groupBy("up", "kind", "part")
+        answers = above.cogroup(below).applyInArrow(_handed(level > 0), ANSWERS)
+    spread = min(4 * n_blocks + 1, MOST_TASKS)  # so that hashing seldom deals several blocks to a task
+    asked = answers.select(F.col("node").alias("block"), "kind", "part", "sub", "values").repartition(spread, "block")
+    return blocks.select("block", "body").repartition(spread, "block").groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_score(depth, buckets, held, words, total, ends), SCORES)
