@@ -1,13 +1,16 @@
 """Main text of web pages by composite text density.
 
-A page becomes a tree; boilerplate nodes (by element, role or the words of class and id) are pruned, unless such a word marks what
-holds most of the page's text; each remaining node gets its
-characters per tag, damped by the share of its links in relation to the page's; the node whose children's densities have the
-greatest sum is taken, and climbs along the body path while the parent's density reaches the path's threshold, or to the article
-element that encloses it. Its blocks in page order are the text.
-
-Defined cases: null and empty pages, and pages without text, give an empty text; the first of several equal sums wins; rows are
-independent, so repeated rows repeat and an empty table stays empty; an input column named like the output is replaced.
+A page becomes a tree. Elements and roles that hold no article text by definition go. Each remaining node gets its characters per tag,
+damped by the share of its links in relation to the page's, and weighed down where class, id or role name boilerplate. The node whose
+children's densities have the greatest sum is chosen. The least density on its way up to the body is the threshold: every part of the
+page that reaches it gives its own greatest-sum subtree too, so text in several places is found. An article element around the chosen
+node that is denser than the page comes whole, and so does the main heading that stands before the way up. Named parts inside go if
+their weighed density is below the threshold. A name is no evidence, and all is weighed again without it, where the chosen node lies
+in what it names, or where it names most of what was chosen. The blocks in page order are the text.
+
+Defined cases: null and empty pages, and pages without text, give an empty text; a page of any length is read whole in linear time; the
+first of several equal sums wins; rows are independent, so repeated rows repeat and an empty table stays empty; an input column named
+like the output is replaced, other columns are carried along.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ BLOCKS = frozenset(
     "html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split()
 )
 #: Elements that hold no article text.
-DROPPED = frozenset("head script style template noscript iframe noembed noframes svg math object canvas audio video nav header footer aside form menu button select textarea input dialog title".split())
+DROPPED = frozenset("head script style template noscript iframe noembed noframes svg object canvas audio video nav header footer aside form menu button select textarea input dialog title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form toolbar".split())
 #: Words of class or id that name such parts.
 NAMES = frozenset(
@@ -38,12 +41,22 @@ NAMES = frozenset(
     "sidebar side aside widget widgets notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup login form search "
     "comment comments commentlist respond reply replies disqus discussion share sharing social related recommended pagination pager toolbar skip".split()
 )
-#: Those of them that can rightly hold more text than the article.
+#: Words that say nothing of what a part holds, only where or how it stands: with one of NAMES they leave it a name.
+NEUTRAL = frozenset(
+    "site page main top bottom left right list area slot box block wrapper wrap container inner outer content section col column row bar links link item items "
+    "posts post results result open closed text title fixed sticky id js small large mobile desktop".split()
+)
+#: What a name takes from the density of what it names; talk of readers can rightly hold far more text than the article.
+NAMED, TALKED = 0.05, 0.0005
+#: Names of talk.
 TALK = frozenset("comment comments commentlist respond reply replies disqus discussion".split())
 #: After one of these, a name tells of a layout: has-sidebar, no-comments.
 QUALIFIERS = frozenset("no not non has have with without".split())
 KEPT = frozenset("html body article main".split())
 CLOSES_P = BLOCKS - frozenset("body html tbody td tfoot th thead tr caption dd dt li".split())
+#: What a start tag ends, and what shields it.
+ENDS = {"li": (("li",), ("ul", "ol", "menu", "dir")), "tr": (("tr",), ("table", "tbody", "thead", "tfoot"))}
+ENDS |= dict.fromkeys(("dd", "dt"), (("dd", "dt"), ("dl",))) | dict.fromkeys(("td", "th"), (("td", "th"), ("tr", "table")))
 #: As in the HTML tokenizer, a quote opens a value only right after the '=' of an attribute; elsewhere it is a plain character.
 TAG = re.compile(
     r"""<(?:!--|(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+)*+)>|[!?/][^>]*>)"""
@@ -55,17 +68,20 @@ NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "drop", "holds", "plain", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "drop", "weight", "plain", "chars", "tags", "link_chars", "link_tags", "density", "total", "peak")
 
     def __init__(self, tag: str, parent: Node | None, drop: str = ""):
-        self.tag, self.parent, self.drop, self.holds = tag, parent, drop, False
+        self.tag, self.parent, self.drop = tag, parent, drop
         self.parts: list[Node | str] = []
 
+    def nodes(self) -> list[Node]:
+        return [x for x in self.parts if not isinstance(x, str)]
+
 
-def boilerplate(tag: str, attributes: str) -> str:
-    """What marks a node for pruning: ``!`` (its element or role), or a word that may as well name a wrapper; empty if nothing does."""
+def boilerplate(tag: str, attributes: str, in_article: bool) -> str:
+    """What speaks against a node: ``!`` (its element or role), or a word of its names; empty if nothing does."""
     if tag in DROPPED:
-        return "form" if tag == "form" else "!"
+        return "form" if tag == "form" else "" if tag == "header" and in_article else "!"
     if tag in KEPT or "=" not in attributes:
         return ""
     found = ""
@@ -77,19 +93,52 @@ def boilerplate(tag: str, attributes: str) -> str:
             found = found or role
         elif name in ("class", "id"):
             for token in value.split():
+                own = []
                 for word in map(str.lower, NAME.findall(token)):
                     if word in QUALIFIERS:
                         break
-                    if word in NAMES:
-                        found = found or word
+                    own.append(word)
+                if all(w in NAMES or w in NEUTRAL for w in own):
+                    found = found or next((w for w in own if w in NAMES), "")
     return found
 
 
+class Open:
+    """The open elements, and for each tag where it stands among them."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at = [root], {}
+        self.blocks = [0]  # blocks but p, which shield what is outside from the end tags of inline elements
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in BLOCKS and node.tag != "p":
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def last(self, tags: tuple[str, ...]) -> int:
+        return max((found[-1] for t in tags if (found := self.at.get(t))), default=0)
+
+    def close(self, at: int) -> None:
+        while len(self.stack) > at:
+            node = self.stack.pop()
+            self.at[node.tag].pop()
+            if self.blocks[-1] == len(self.stack):
+                self.blocks.pop()
+
+    def end(self, tags: tuple[str, ...], shield: int) -> None:
+        """End the latest open element of ``tags``, if it stands above ``shield``, with all it holds."""
+        if (at := self.last(tags)) > shield:
+            self.close(at)
+
+
 def parse(page: str) -> Node:
     """The tree of a page; open elements end where the language implies it, stray end tags are ignored."""
-    root = node = Node("#", None)
+    root = Node("#", None)
+    opened = Open(root)
     at, n = 0, len(page)
     while at < n:
+        node = opened.stack[-1]
         start = page.find("<", at)
         if start < 0:
             node.parts.append(page[at:])
@@ -112,138 +161,151 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            up = node
-            while up.parent and up.tag != tag and not (tag not in BLOCKS and up.tag in BLOCKS and up.tag != "p"):
-                up = up.parent
-            if up.tag == tag:
-                node = up.parent
+            opened.end((tag,), 0 if tag in BLOCKS else opened.blocks[-1])
             continue
         if tag in CLOSES_P:
-            node = closed(node, ("p",), BLOCKS - {"p"})
-        elif tag == "li":
-            node = closed(node, ("li",), frozenset(("ul", "ol", "menu", "dir")))
-        elif tag in ("dd", "dt"):
-            node = closed(node, ("dd", "dt"), frozenset(("dl",)))
-        elif tag == "tr":
-            node = closed(node, ("tr",), frozenset(("table", "tbody", "thead", "tfoot")))
-        elif tag in ("td", "th"):
-            node = closed(node, ("td", "th"), frozenset(("tr", "table")))
-        child = Node(tag, node, boilerplate(tag, m[3]))
+            opened.end(("p",), opened.blocks[-1])
+        elif tag in ENDS:
+            opened.end(ENDS[tag][0], opened.last(ENDS[tag][1]))
+        node = opened.stack[-1]
+        child = Node(tag, node, boilerplate(tag, m[3], bool(opened.at.get("article"))))
         node.parts.append(child)
         if tag in RAW:
             end = re.compile(f"</{tag}(?=[\\s/>])", re.IGNORECASE).search(page, at)
             child.parts.append(page[at : end.start() if end else n])
             at = n if not end else page.find(">", end.start()) + 1 or n
         elif tag not in VOID and not m[3].rstrip().endswith("/") or tag in BLOCKS - VOID:
-            if tag in ("article", "main"):
-                up = node
-                while up:
-                    up.holds, up = True, up.parent
-            node = child
+            opened.push(child)
     return root
 
 
-def closed(node: Node, tags: tuple[str, ...], within: frozenset[str]) -> Node:
-    """The place for a new child once an open element of ``tags`` ends; elements of ``within`` shield it."""
-    up = node
-    while up.parent:
-        if up.tag in tags:
-            return up.parent
-        if up.tag in within:
-            break
-        up = up.parent
-    return node
+def measured(root: Node) -> list[Node]:
+    """Drop what holds no article text by definition, count characters and tags bottom-up; the nodes in page order."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        node.parts = [x for x in node.parts if isinstance(x, str) or x.drop != "!"]
+        order.append(node)
+        stack.extend(reversed(node.nodes()))
+    for node in reversed(order):
+        inner = node.nodes()
+        node.chars = sum(len("".join(x.split())) for x in node.parts if isinstance(x, str)) + sum(x.chars for x in inner)
+        node.tags = len(inner) + sum(x.tags for x in inner)
+        link = node.tag == "a"
+        node.link_chars = node.chars if link else sum(x.link_chars for x in inner)
+        node.link_tags = node.tags + 1 if link else sum(x.link_tags for x in inner)
+    return order
+
+
+def composite(node: Node, link_share: float) -> float:
+    """Characters per tag times the log of their ratios to linked characters and link tags; its base grows with links, by the page's share of them."""
+    c, t, lc, lt = node.chars, max(node.tags, 1), max(node.link_chars, 1), max(node.link_tags, 1)
+    base = math.log(c / max(c - node.link_chars, 1) * node.link_chars + link_share * c + math.e)
+    return c / t * max(math.log(max(c / lc * t / lt, 1.0)), 0.0) / math.log(base) if c and base > 1 else float(c) / t
 
 
-def spare(root: Node) -> None:
-    """Unmark nodes that are marked by a word only, where pruning them would take most of the page's text.
+def weigh(order: list[Node]) -> None:
+    """Densities under the names that count, sums over children (a leaf: its own), and the greatest sum at or below each node.
 
-    Text counts outside links and pruned elements; where articles hold it, theirs alone. Nodes of one word go together: the page
-    uses it for its content. Discussions are spared only where next to nothing else is left.
+    What only wraps another node has no sum. What several names cover is weighed down once, by the strongest.
     """
-    order, stack = [], [root]
+    root = order[0]
+    share = root.link_chars / max(root.chars, 1)
+    for node in order:
+        node.weight = min(node.parent.weight if node.parent else 1.0, TALKED if node.drop in TALK else NAMED if node.drop else 1.0)
+        node.density = node.weight * composite(node, share)
+    for node in reversed(order):
+        inner = node.nodes()
+        node.total = 0.0 if len(inner) == 1 and inner[0].chars == node.chars else sum(x.density for x in inner) if inner else node.density
+        node.peak = node
+        for x in inner:
+            if x.peak.total > node.peak.total:
+                node.peak = x.peak
+
+
+def upwards(node: Node) -> list[Node]:
+    path = [node]
+    while path[-1].parent:
+        path.append(path[-1].parent)
+    return path
+
+
+def chosen(root: Node) -> tuple[list[Node], float]:
+    """Subtrees that hold the main text, in page order, and the threshold of the body path."""
+    best = root.peak
+    path = upwards(best)
+    threshold = min(x.density for x in path if x is best or x.tag not in ("#", "html"))
+    whole = max((x.density for x in path if x.tag in ("body", "#")), default=0.0)
+    taken = {id(best)}
+    taken.update(id(x) for x in path if x.tag == "article" and x.density >= whole)
+    for x in path[:-1]:
+        for y in x.parent.parts[: next(i for i, y in enumerate(x.parent.parts) if y is x)]:
+            if not isinstance(y, str) and y.tag == "h1" and not y.drop:
+                taken.add(id(y))
+    stack = [root]
     while stack:
         node = stack.pop()
-        order.append(node)
-        stack.extend(x for x in node.parts if not isinstance(x, str))
-    for node in reversed(order):
-        node.plain = 0 if node.drop == "!" and not node.holds or node.tag == "a" else sum(len("".join(x.split())) if isinstance(x, str) else x.plain for x in node.parts)
-    stack, inner, look = [root], [], [root]
-    while look:
-        node = look.pop()
-        if node.tag in ("article", "main"):
-            inner.append(node)
+        if node.density >= threshold or node.tag in ("#", "html") and node in path:
+            if node.density >= threshold and node.chars:
+                taken.add(id(node.peak))
+            stack.extend(node.nodes())
+    out, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if id(node) in taken:
+            out.append(node)
         else:
-            look.extend(x for x in node.parts if not isinstance(x, str) and (x.holds or x.tag in ("article", "main")))
-    if 10 * sum(x.plain for x in inner) >= root.plain:
-        stack = inner
-    kept, gone = 0, {}
-    while True:
-        while stack:
-            for x in stack.pop().parts:
-                if isinstance(x, str):
-                    kept += len("".join(x.split()))
-                elif x.plain and x.drop and not x.holds:
-                    gone.setdefault(x.drop, []).append(x)
-                elif x.plain:
-                    stack.append(x)
-        held = {word: sum(x.plain for x in nodes) for word, nodes in gone.items()}
-        talk = sum(n for word, n in held.items() if word in TALK)
-        total = kept + sum(held.values()) - talk
-        among = [word for word in held if (word in TALK) == (10 * total < talk)]
-        word = max(among, key=lambda w: held[w], default="")
-        if not word or word not in TALK and 10 * kept >= total and 2 * held[word] <= total:
-            return
-        stack = gone.pop(word)
-        for x in stack:
-            x.drop = ""
+            stack.extend(reversed(node.nodes()))
+    return out, threshold
 
 
-def densities(root: Node) -> list[Node]:
-    """Prune, then measure every node bottom-up; the nodes in page order."""
-    spare(root)
-    order, stack = [], [root]
+def overlooked(root: Node) -> list[Node]:
+    """The outermost nodes named as talk of readers, where next to nothing else is on the page."""
+    out, stack = [], [root]
     while stack:
-        node = stack.pop()
-        node.parts = [x for x in node.parts if isinstance(x, str) or not x.drop or x.holds]
-        order.append(node)
-        stack.extend(x for x in reversed(node.parts) if not isinstance(x, str))
-    for node in reversed(order):
-        nodes = [x for x in node.parts if not isinstance(x, str)]
-        node.chars = sum(len("".join(x.split())) for x in node.parts if isinstance(x, str)) + sum(x.chars for x in nodes)
-        node.tags = len(nodes) + sum(x.tags for x in nodes)
-        link = node.tag == "a"
-        node.link_chars = node.chars if link else sum(x.link_chars for x in nodes)
-        node.link_tags = node.tags + 1 if link else sum(x.link_tags for x in nodes)
-    whole, linked = max(root.chars, 1), root.link_chars
-    for node in reversed(order):
-        c, t, lc, lt = node.chars, max(node.tags, 1), max(node.link_chars, 1), max(node.link_tags, 1)
-        base = math.log(c / max(c - node.link_chars, 1) * node.link_chars + linked / whole * c + math.e)
-        node.density = c / t * max(math.log(max(c / lc * t / lt, 1.0)), 0.0) / math.log(max(base, 1 + 1e-9)) if c and base > 1 else float(c) / t
-        node.total = sum(x.density for x in node.parts if not isinstance(x, str))
-    return order
+        for x in stack.pop().nodes():
+            (out if x.drop in TALK else stack).append(x)
+    talk = sum(x.chars - x.link_chars for x in out)
+    return out if 10 * (root.chars - root.link_chars - talk) < talk else []
+
+
+def choose(root: Node) -> list[Node]:
+    """The subtrees of the main text, without the named parts in them that count as boilerplate."""
+    order = measured(root)
+    while talk := overlooked(root):
+        for x in talk:
+            x.drop = ""
+    while True:
+        weigh(order)
+        found, threshold = chosen(root)
+        refuted = [x for x in upwards(root.peak) if x.drop]
+        gone: dict[str, list[Node]] = {}
+        if not refuted:
+            kept, stack = 0, list(found)
+            while stack:
+                node = stack.pop()
+                kept += sum(len("".join(x.split())) for x in node.parts if isinstance(x, str))
+                for x in node.nodes():
+                    if x.drop and x.density < threshold:
+                        gone.setdefault(x.drop, []).append(x)
+                    else:
+                        stack.append(x)
+            held = {word: sum(x.chars - x.link_chars for x in nodes) for word, nodes in gone.items() if word not in TALK}
+            word = max(held, key=lambda w: held[w], default="")
+            if word and 2 * held[word] > kept + sum(held.values()):
+                refuted = gone[word]
+        if not refuted:
+            break
+        for x in refuted:
+            x.drop = ""
+    for nodes in gone.values():
+        for x in nodes:
+            x.parts = []
+    return found
 
 
-def choose(root: Node) -> Node:
-    """The subtree with the greatest density sum, raised by the threshold of its path and to an enclosing article."""
-    order = densities(root)
-    best = max(order, key=lambda x: x.total)
-    path, up = [], best
-    while up:
-        path.append(up)
-        up = up.parent
-    for x in path:
-        if x.tag in ("article", "main"):
-            return x
-    inner = [x for x in path if x.tag not in ("#", "html", "body")]
-    limit = min((x.density for x in path if x.tag in ("body", "html", "#")), default=0.0)
-    while inner and best.parent and best.parent in inner and best.parent.density >= max(limit, best.density):
-        best = best.parent
-    return best
-
-
-def blocks(node: Node) -> list[str]:
-    """The texts of the blocks below a node, in page order, white space made single."""
+def blocks(nodes: list[Node]) -> list[str]:
+    """The texts of the blocks below nodes, in page order, white space made single."""
     out, run = [], []
 
     def flush() -> None:
@@ -251,7 +313,9 @@ def blocks(node: Node) -> list[str]:
             out.append(text)
         run.clear()
 
-    stack: list[Node | str | None] = [node]
+    stack: list[Node | str | None] = []
+    for node in reversed(nodes):
+        stack += [None, node] if len(nodes) > 1 else [node]
     while stack:
         x = stack.pop()
         if x is None:
