@@ -1,12 +1,15 @@
 """Secret scans over every layer that a text wraps: a worklist of decoded layers, each scanned anew, with spans mapped back.
 
-A layer is the text itself; the text with its percent escapes or Unicode escapes resolved in place; or what a base64 run holds,
-be it text or not (bytes that are no UTF-8 become U+FFFD), also over line breaks and from the middle of a run, decompressed if it is gzip, zlib, bz2 or xz. Each layer carries the span of the original text behind each of its characters.
+A layer is the text itself; the text with its percent escapes or Unicode escapes resolved in place; the text without the NULs that
+UTF-16 puts between letters; or what a base64 run holds, be it text or not (bytes that are no UTF-8 become U+FFFD), also over line
+breaks and from the middle of a run. Bytes that are gzip, zlib, bz2 or xz streams are decompressed, from base64 as well as from escapes
+or where a text holds them as characters below U+0100. Each layer carries the span of the original text behind each of its characters.
 The list ends at the fixpoint: a layer that was seen before with the same spans behind it is not taken up again; equal layers at
 other places are.
 
 Defined cases: a null text is empty and holds nothing; equal spans found in several layers count once, the base layer's first;
-rows are independent, so repeated rows repeat and an empty table stays empty; an input column named ``spans`` is replaced.
+rows are independent, so repeated rows repeat and an empty table stays empty; an input column named ``spans`` is replaced, others are
+carried along; texts of any length are read whole.
 Compressed data of any size is read in pieces of ``PIECE`` bytes that overlap by ``OVERLAP``, so memory is bounded; streams count as
 far as their checksums hold. Guards: at most ``NESTED`` compressed layers inside each other, and what is longer than ``OVERLAP``
 inside a larger stream (a compressed run in base64) may be cut between pieces.
@@ -40,7 +43,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 WORDS = ("passw", "secret", "token", "apikey", "api_key")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});|\\([nrt0abfv\\'\"])")
 #: A run goes on over a line break, and white space after it, if base64 takes the next line up to its end or a closing mark.
 BASE64 = re.compile(r"""[A-Za-z0-9+/_-]{16,}+(?:\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++(?=={0,2}[\x20\t]*+(?:["'`<)\]},;]|\r?\n|\Z)))*+={0,2}""")
 LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
@@ -48,8 +51,13 @@ PIECES = (re.compile(r"[A-Za-z0-9+]{16,}"), re.compile(r"[A-Za-z0-9+/]{16,}"), r
 STANDARD = str.maketrans("-_", "+/")
 #: Starts of gzip, zlib, bz2 and xz streams.
 MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00")
+#: The same in characters, for a quick look and for all places.
+STARTS = ("\x1f\x8b\x08", "x\x01", "x^", "x\x9c", "x\xda", "BZh", "\xfd7zXZ")
+BYTES = re.compile("[\0-\xff]{8,}")
+#: Plain escapes, which bytes written out have beside \x.
+PLAIN = {"n": "\n", "r": "\r", "t": "\t", "0": "\0", "a": "\a", "b": "\b", "f": "\f", "v": "\v", "\\": "\\", "'": "'", '"': '"'}
 #: Bytes without any of these hold no secret and no further layer.
-MATTERS = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{32}|%[0-9A-Fa-f]{2}|\\[uUx]|&#|[A-Za-z0-9+/_-]{16}")
+MATTERS = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{32}|%[0-9A-Fa-f]{2}|\\[uUx]|&#|[A-Za-z0-9+/_-]{16}|(?:\0[^\0]){8}")
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -114,21 +122,53 @@ def _characters(data: bytes) -> Iterator[tuple[str, int, int]]:
             i += 1
 
 
-def percent(layer: Layer) -> Layer | None:
-    edits = [(m.start(), m.end(), [(c, m.start() + 3 * i, min(m.end(), m.start() + 3 * j)) for c, i, j in _characters(bytes.fromhex(m[0].replace("%", "")))]) for m in PERCENT.finditer(layer.text)]
+def percent(layer: Layer, as_bytes: bool = False) -> Layer | None:
+    """The layer with its percent escapes as UTF-8, or, with ``as_bytes``, each as the character of that number."""
+    edits = []
+    for m in PERCENT.finditer(layer.text):
+        data = bytes.fromhex(m[0].replace("%", ""))
+        found = ((chr(c), i, i + 1) for i, c in enumerate(data)) if as_bytes else _characters(data)
+        edits.append((m.start(), m.end(), [(c, m.start() + 3 * i, min(m.end(), m.start() + 3 * j)) for c, i, j in found]))
     return layer.replaced(edits) if edits else None
 
 
 def escapes(layer: Layer) -> Layer | None:
-    edits = []
+    """The layer with its escapes resolved, if any is numbered or a backslash's own."""
+    edits, written = [], False
     for m in UNICODE.finditer(layer.text):
+        if m[7]:
+            edits.append((m.start(), m.end(), [(PLAIN[m[7]], m.start(), m.end())]))
+            written = written or m[7] == "\\"
+            continue
         code = int(m[6]) if m[6] else int(m[1] or m[2] or m[3] or m[4] or m[5], 16)
         if edits and edits[-1][1] == m.start() and 0xDC00 <= code < 0xE000 and (high := ord(edits[-1][2][-1][0])) in range(0xD800, 0xDC00):
             a = edits.pop()[0]
             edits.append((a, m.end(), [(chr(0x10000 + ((high - 0xD800) << 10) + code - 0xDC00), a, m.end())]))
         elif code < 0x110000:
             edits.append((m.start(), m.end(), [(chr(code), m.start(), m.end())]))
-    return layer.replaced(edits) if edits else None
+            written = True
+    return layer.replaced(edits) if written else None
+
+
+def narrowed(layer: Layer) -> Layer | None:
+    """The layer without NULs, if it has so many that it may be UTF-16."""
+    return layer.replaced([(m.start(), m.end(), []) for m in re.finditer("\0+", layer.text)]) if layer.text.count("\0") >= 8 else None
+
+
+def streams(layer: Layer, nested: int) -> Iterator[tuple[str, int, int, int]]:
+    """The kinds of secrets in compressed streams that stand in a layer as characters, with span and depth."""
+    if not nested or not any(x in layer.text for x in STARTS):
+        return
+    for run in BYTES.finditer(layer.text):
+        data = memoryview(run[0].encode("latin-1"))
+        done = 0
+        for m in MAGIC.finditer(data):
+            if m.start() < done:
+                continue
+            kinds, used = kinds_within(data[m.start() :], nested)
+            done = m.start() + used
+            for kind, depth in kinds.items():
+                yield kind, *layer.span(run.start() + m.start(), run.start() + done), layer.depth + depth
 
 
 def opened(data: bytes):
@@ -168,11 +208,11 @@ def inflate(source: Iterator[bytes]) -> Iterator[tuple[bytes, int]]:
                 return
 
 
-def whole(data: bytes, levels: int) -> tuple[Iterator[bytes], int, int]:
+def whole(data: bytes | memoryview, levels: int) -> tuple[Iterator[bytes], int, int]:
     """The content of compressed bytes after so many levels as far as it is whole, its length, and the bytes of the last level's input it takes."""
 
     def pieces(lengths: list[int]) -> Iterator[bytes]:
-        source = (data[i : i + (1 << 16)] for i in range(0, len(data), 1 << 16))
+        source = (bytes(data[i : i + (1 << 16)]) for i in range(0, len(data), 1 << 16))
         for n in lengths:
             source = cut(inflate(source), n)
         return source
@@ -199,7 +239,7 @@ def whole(data: bytes, levels: int) -> tuple[Iterator[bytes], int, int]:
     return pieces(lengths), len(lengths), used
 
 
-def kinds_within(data: bytes, nested: int) -> tuple[dict[str, int], int]:
+def kinds_within(data: bytes | memoryview, nested: int) -> tuple[dict[str, int], int]:
     """The kinds of secrets in compressed bytes with the least depth below their text, and the bytes that the streams take (0: none is whole)."""
     source, levels, used = whole(data, nested)
     found: dict[str, int] = {}
@@ -249,7 +289,7 @@ def unpacked(layer: Layer, nested: int) -> Iterator[Layer | tuple[str, int, int,
             for m in MAGIC.finditer(data) if k < 4 and nested else ():
                 if m.start() < done:
                     continue
-                kinds, used = kinds_within(data[m.start() :], nested)
+                kinds, used = kinds_within(memoryview(data)[m.start() :], nested)
                 done = m.start() + used
                 for kind, depth in kinds.items():
                     yield kind, *layer.span(int(at[a + m.start() // 3 * 4]), int(at[min(final, a + (done - 1) // 3 * 4 + 3)]) + 1), layer.depth + 1 + depth
@@ -281,7 +321,10 @@ def find(text: str, nested: int = NESTED) -> list[tuple[str, int, int, bool, int
             more.append(made)
         if ("\\" in layer.text or "&#" in layer.text) and (made := escapes(layer)):
             more.append(made)
-        for made in unpacked(layer, nested):
+        if "\0" in layer.text and (made := narrowed(layer)):
+            more.append(made)
+        raw = percent(layer, True) if "%" in layer.text else None
+        for made in itertools.chain(streams(layer, nested), streams(raw, nested) if raw else (), unpacked(layer, nested)):
             if isinstance(made, Layer):
                 more.append(made)
             else:
