@@ -21,9 +21,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where all run on one machine (tests)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         global _own
         _own = _own or tempfile.mkdtemp(prefix="docspark-")
         found = f"file://{_own}"
@@ -75,8 +77,3 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) ->
 def texts(batch: pa.RecordBatch, name: str) -> list[str]:
     """The texts of a column, null as empty."""
     return [x or "" for x in batch.column(name).to_pylist()]
-
-
-def keep(df: DataFrame, columns: list[str], made: tuple[str, ...]) -> DataFrame:
-    """``df`` with ``columns`` only, none of which may be one that the operator makes."""
-    return df.select(*[c for c in columns if c not in made])

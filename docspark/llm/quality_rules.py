@@ -3,8 +3,9 @@
 Each document is measured; failures are counted by host; a host's failure rate is shrunk towards a beta prior that is
 fitted to all hosts by the method of moments; hosts above ``most`` are rejected and their verdict is joined back.
 
-Defined cases: a null or empty text has no words and fails the base rule; a null source is a host of its own; repeated rows
-are measured one by one; an empty table gives no rows; input columns named like a measure are replaced by it.
+Defined cases: a null or empty text has no words and fails the base rule; a text of any length is measured whole, within its row; null
+and empty sources are one host; hosts of equal rates get equal verdicts, and a rate at the limit is kept; repeated rows are measured
+one by one; an empty table gives no rows; input columns named like a measure are replaced by it, any other name may occur.
 """
 
 from __future__ import annotations
@@ -48,13 +49,13 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
-def host_verdicts(measured: DataFrame, source: str = "source", most: float = MOST_HOST_RATE) -> DataFrame:
+def host_verdicts(measured: DataFrame, host: str = "host", most: float = MOST_HOST_RATE) -> DataFrame:
     """One row per host: ``host, n_docs, n_failed, shrunk_rate, host_kept``.
 
     The prior has the pooled rate m as mean and k = m(1-m)/v - 1 as strength, v being the variance of the hosts' rates weighted
     by documents; k is held within 1 to 1e6 (equal rates: 1e6). Only the two sums behind it reach the driver.
     """
-    hosts = materialise(measured.groupBy(host_of(F.col(source)).alias("host")).agg(F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed")))
+    hosts = materialise(measured.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed")))
     total = hosts.agg(F.sum("n_docs").alias("n"), F.sum("n_failed").alias("f"), F.sum(F.col("n_failed") * F.col("n_failed") / F.col("n_docs")).alias("q")).first()
     n = total["n"] or 1
     m = (total["f"] or 0) / n
@@ -71,7 +72,8 @@ def apply_rules(docs: DataFrame, columns: list[str] | None = None, text: str = "
     left to the planner: it broadcasts the hosts only below its size threshold and splits a hot host's partition otherwise.
     """
     columns = [c for c in (docs.columns if columns is None else columns) if c not in (*MEASURES, "base_failed", "kept")]
-    measured = materialise(measure(docs, text).withColumn("_host", host_of(F.col(source))).select(*columns, "_host", *MEASURES, "base_failed"))
-    hosts = host_verdicts(measured, "_host", most).select(F.col("host").alias("_key"), "host_kept")
-    joined = measured.join(hosts, F.col("_host") == F.col("_key"))
-    return joined.select(*columns, *MEASURES, "base_failed", (~F.col("base_failed") & F.col("host_kept")).alias("kept"))
+    # the caller's columns travel in one struct, so that no name of theirs meets one of this module's
+    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(text).alias("text"), F.col(source).alias("source"))
+    measured = materialise(measure(carried).select("row", host_of(F.col("source")).alias("host"), *MEASURES, "base_failed"))
+    hosts = host_verdicts(measured, "host", most).select("host", "host_kept")
+    return measured.join(hosts, "host").select("row.*", *MEASURES, "base_failed", (~F.col("base_failed") & F.col("host_kept")).alias("kept"))
