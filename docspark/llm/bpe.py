@@ -3,8 +3,9 @@
 A word's symbols form a doubly linked list; a priority queue holds the merge rank of each adjacent pair; entries whose
 symbols have changed meanwhile are stale and skipped. Decoding joins the vocabulary strings of the ids.
 
-Defined cases: a null text encodes like an empty one, to no ids, and decodes to an empty text; rows are independent of each
-other, so repeated rows repeat and an empty table stays empty; input columns named like an output are replaced.
+Defined cases: a null text encodes like an empty one, to no ids, and decodes to an empty text; texts and words of any length are
+encoded whole; of equal ranks the leftmost pair merges first; rows are independent of each other, so repeated rows repeat and an
+empty table stays empty; input columns named like an output are replaced, others are carried along.
 """
 
 from __future__ import annotations

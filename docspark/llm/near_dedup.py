@@ -11,7 +11,8 @@ the bands can see is lost: 32 bands of 4 rows miss a pair at the threshold with
 
 Defined cases: a text with fewer words than a shingle is one shingle; null texts and texts without words have empty sets and link with
 nothing; a row without an id is in no component (null) and kept; rows that share an id are judged by their own texts; the least id
-of a component is its name; an empty table gives no rows; only id and text are read, so other columns cannot clash.
+of a component is its name; a similarity of just the threshold links; a text of any length is one row's set; repeated rows are one
+class and each gets its row back; an empty table gives no rows; only id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations

@@ -6,8 +6,9 @@ documents end, the emptiest open windows are cut up to fill the gaps of the full
 into windows whose lengths are powers of two, so nothing is padded. Each task packs the rows it reads, in one pass without a
 shuffle; memory holds its open windows only. Sequence ids are the task's number times 2**40 plus a count.
 
-Defined cases: a null or empty text is the end id alone; equal costs go to the fullest level; rows are packed one by one, so repeated
-rows each get their pieces; an empty table gives no pieces; a null doc_id is carried along.
+Defined cases: a null or empty text is the end id alone; a text of any length is encoded whole and fills as many windows as it needs;
+equal costs go to the fullest level; rows are packed one by one, so repeated rows each get their pieces; an empty table gives no
+pieces; a null doc_id is carried along; only id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations

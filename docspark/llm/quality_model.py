@@ -8,7 +8,9 @@ The training rows are a bounded sample, ``sample`` rows whose ids have the small
 order of that hash, so the weights do not depend on how rows are dealt. The weights are 2**bits doubles at most, whatever the input.
 
 Defined cases: null and empty texts have only the bias; labels that are null are left out, of several labels of a document one is
-taken (the least); without labelled rows all weights are 0 and every score is 0.5; rows are scored independently.
+taken (the least); without labelled rows all weights are 0 and every score is 0.5; texts of any length are read whole; equal hashes go
+by id, and rows that share an id by their vectors; rows are scored independently, so repeated rows repeat and an empty table stays
+empty; an input column named like the output is replaced, others are carried along.
 """
 
 from __future__ import annotations

@@ -10,8 +10,9 @@ edges of passages that very many documents share) are not sorted in one task; th
 Texts are read in three passes, and only what may repeat is shuffled: a filter of fixed size, 2**``FILTER`` bits, says which keys may
 matter. It lets too much through when it fills up, never too little, so at any size the result is the same.
 
-Defined cases: null texts are empty; texts shorter than a window keep all bytes; equal texts repeat each other, also when the rows are
-equal; overlapping and touching windows make one run; an empty table gives no rows; only id and text are read.
+Defined cases: null texts are empty; texts shorter than a window keep all bytes; a text of any length is read whole; equal texts repeat
+each other, also when the rows are equal; overlapping and touching windows make one run; an empty table gives no rows; input columns
+named like an output or ``body_id`` and ``ranges`` are replaced, others are carried along.
 """
 
 from __future__ import annotations
@@ -424,7 +425,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None =
 
     With ``as_text``, ``text`` holds what is left, as far as it is whole characters.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in (text, "text", "kept", "removed", "body_id", "ranges")]
+    keep = [f"`{c}`" for c in (docs.columns if keep is None else keep) if c not in (text, "text", "kept", "removed", "body_id", "ranges")]
     bodies = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("body_id", F.md5("text"))
     ranges = materialise(repeated_ranges(bodies))
     fields = [f for f in bodies.select(*keep, "text").schema.fields]

@@ -482,6 +482,101 @@ def test_exact_topk_of_huge_components(spark):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == plain_top_k(vectors, 3)
 
 
+def plain_ftrl(rows, slots, epochs):
+    """Coordinate by coordinate over all slots, as the update is published."""
+    z, n = [0.0] * slots, [0.0] * slots
+    a, b, l1, l2 = quality_model.ALPHA, quality_model.BETA, quality_model.L1, quality_model.L2
+    weight = lambda i: 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((b + math.sqrt(n[i])) / a + l2)
+    for _ in range(epochs):
+        for x, y in rows:
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / a * w[i]
+                n[i] += g * g
+    return [weight(i) for i in range(slots)]
+
+
+def test_quality_model_equals_a_plain_version(spark):
+    dice, bits = random.Random(6), 9
+    texts = [" ".join(dice.choices(["red", "Blue", "blue", "x9", "!!", "green", "é"], k=dice.randint(0, 30))) for _ in range(60)]
+    table = [(i, t, 7.0, "z") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(table, "doc_id long, text string, score double, weights string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 3 == 0 and 1 or 0) for i in range(45)], "doc_id long, quality int")
+    got = quality_model.fit(df, labels, "quality", F.lit(True), bits=bits)
+    order = [r["doc_id"] for r in labels.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").collect()]
+
+    def vector(t):
+        slots, words = quality_model.features(t, bits)
+        return {**{int(i): float(np.float32(c / max(words, 1))) for i, c in Counter(slots.tolist()).items()}, 1 << bits: 1.0}
+
+    want = plain_ftrl([(vector(texts[i]), int(i % 3 == 0)) for i in order], (1 << bits) + 1, quality_model.EPOCHS)
+    assert np.allclose(got, want, rtol=1e-9, atol=1e-12)
+    for r in quality_model.score(df, got).collect():
+        slots, words = quality_model.features(texts[r["doc_id"]], bits)
+        plain = want[-1] + sum(want[i] for i in slots.tolist()) / max(words, 1)
+        assert abs(r["score"] - 1 / (1 + math.exp(-plain))) < 1e-9 and r["weights"] == "z"
+
+
+def test_packing_takes_the_level_of_least_squares():
+    """Each placement against all levels, and the sums of squares that they would give."""
+    dice = random.Random(4)
+    for window in (16, 50):
+        packer, fills = packing.Packer(window), Counter()
+        for doc in range(300):
+            n = dice.randint(1, 2 * window + 3)
+            size = n % window
+            cost = {}
+            for h in [0, *fills] if size else []:
+                if h + size <= window and (h == 0 or fills[h]):
+                    after = fills.copy()
+                    after[h] -= h > 0
+                    after[h + size] += h + size < window
+                    cost[h] = sum(x * x for x in after.values())
+            done = packer.add(doc, np.arange(n))
+            if size:
+                best = max(h for h in cost if cost[h] == min(cost.values()))  # the fullest of equal ones
+                fills[best] -= best > 0
+                fills[best + size] += best + size < window
+            assert [int(x) for x in packer.level] == [fills[h] for h in range(window + 1)]
+            assert all(sum(len(p.ids) for p in content) == window for content in done)
+
+
+def test_packing_of_nulls_repeats_and_long_texts(spark):
+    t = tokenizers.Tokenizer.from_file(queries.public_tokenizers.path("byte_bpe_50k.json"))
+    table = [(1, "two words"), (1, "two words"), (None, None), (None, "x"), (2, "no space " * 700_000), (3, "")]
+    got = packing.pack(spark.createDataFrame(table, "doc_id long, text string").coalesce(1), queries.BYTE_TOKENIZER).collect()
+    streams = Counter()
+    pieces = sorted(got, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["sequence_id"], r["offset"]))
+    for d in (1, 2, 3, None):
+        own = [r for r in pieces if r["doc_id"] == d]
+        if d == 2:
+            ids = np.concatenate([np.frombuffer(r["ids"], "<u4") for r in sorted(own, key=lambda r: r["start"])]).tolist()
+            assert ids == [*t.encode(table[4][1], add_special_tokens=False).ids, 1]
+        streams[d] = sum(r["length"] for r in own)
+    count = lambda x: len(t.encode(x or "", add_special_tokens=False).ids) + 1
+    assert streams[1] == 2 * count("two words") and streams[3] == 1 and streams[None] == 1 + count("x")
+
+
+def test_columns_that_clash(spark):
+    """Extra columns named like outputs or helpers are replaced or carried, never confused."""
+    names = ["ids", "decoded", "spans", "kept", "host", "row", "_host", "_key", "_words", "_lines", "_windows", "_at", "n", "hash", "key", "digest", "body_id", "ranges", "removed", "component_id", "print"]
+    df = spark.createDataFrame([(1, "some words here", "s"), (None, None, None)], "doc_id long, text string, source string").withColumns({c: F.lit(f"own {c}") for c in names})
+    ruled = quality_rules.apply_rules(df).orderBy("doc_id").collect()[1]
+    assert ruled["n_words"] == 3 and all(ruled[c] == f"own {c}" for c in names if c != "kept")
+    assert bpe.decode(bpe.encode(df, queries.WORD_TOKENIZER), queries.WORD_TOKENIZER).orderBy("doc_id").collect()[1]["decoded"].replace(" ", "") == "somewordshere"
+    assert near_dedup.near_duplicates(df).count() == packing.pack(df, queries.BYTE_TOKENIZER).count() == context_tree.score_documents(df, depth=3).count() == 2
+    cut = suffix_dedup.remove_repeats(df).orderBy("doc_id").collect()[1]
+    assert bytes(cut["kept"]) == b"some words here" and cut["key"] == "own key"
+
+
+def test_host_of_urls(spark):
+    given = ["https://User@Example.org:80/a?b", "HTTP://EXAMPLE.org", "src7", "", None, "mailto:x@y", "ftp://h/"]
+    df = spark.createDataFrame([(x,) for x in given], "source string")
+    assert [r[0] for r in df.select(quality_rules.host_of(F.col("source"))).collect()] == ["example.org", "example.org", "src7", "", "", "mailto:x@y", "h"]
+
+
 def test_exact_topk_bounds_hold_and_leave_little():
     dice = np.random.default_rng(3)
     for size in (3, 200, 10**6, 3 * 10**8):
