@@ -219,7 +219,9 @@ _INVERSE = pow(_ROOT, -1, 1 << 64)
 
 def word_lists(words: pa.Array, counts: np.ndarray, order: np.ndarray, in_bucket: np.ndarray) -> Iterator[tuple[int, bytes, bytes, int]]:
     """By bucket: its words joined by spaces, their counts, and how many they are."""
-    at = np.flatnonzero(np.append(True, in_bucket[1:] != in_bucket[:-1])) if len(order) else np.empty(0, np.int64)
+    if not len(order):
+        return
+    at = np.flatnonzero(np.append(True, in_bucket[1:] != in_bucket[:-1]))
     taken = words.take(pa.array(order)).cast(pa.string())
     joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(at, len(order)), pa.int32()), taken), " ")
     for i, (a, b) in enumerate(zip(at.tolist(), [*at[1:].tolist(), len(order)], strict=True)):
