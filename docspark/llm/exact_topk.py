@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 SCALE = 64
-#: Components of a packed block of candidates or queries; blocks that one task scans; the least number of tasks, if there are blocks for it.
+#: Components of a packed block of candidates or queries; blocks that one task scans; the least number of query blocks.
 COMPONENTS, BLOCKS_A_TASK, LEAST_TASKS = 1 << 19, 64, 24
 CELLS = "c long, dim int, ids binary, rids binary, widths binary, cells binary"
 ASKED = "dim int, q int, ids binary, vectors binary"
@@ -158,8 +158,8 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
     queries = materialise(usable.where("asks").groupBy("id").agg(F.min("v").alias("v")).select("id", "v", F.size("v").alias("dim")))
 
     n, total = cells.agg(F.count("*"), F.lit(0)).first()[0], queries.agg(F.coalesce(F.sum("dim"), F.lit(0))).first()[0]
-    q_blocks = max(1, -(-total // COMPONENTS))
-    shares = max(1, min(n, LEAST_TASKS), -(-n // BLOCKS_A_TASK))
+    q_blocks = max(LEAST_TASKS, -(-total // COMPONENTS))
+    shares = max(1, -(-n // BLOCKS_A_TASK))
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     asked = queries.withColumn("q", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int")).groupBy("dim", "q").applyInArrow(_pack_queries, ASKED)
     left = cells.withColumn("share", F.pmod(F.xxhash64("c"), F.lit(shares)).cast("int")).withColumn("q", every(q_blocks)).groupBy("dim", "q", "share")

@@ -418,6 +418,12 @@ def test_context_tree_scores_equal_a_plain_version(docs, block, group, hot):
         assert abs(x - y) < 1e-4 * n, (i, x, y)
 
 
+def test_context_tree_of_texts_without_words(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (2, " \n"), (None, "\t")], "doc_id long, text string").coalesce(1)
+    got = context_tree.score_documents(df, depth=3).collect()
+    assert len(got) == 4 and {r["n_tokens"] for r in got} == {1} and {r["n_known"] for r in got} == {1} and all(r["score"] < 0 for r in got)
+
+
 def test_context_tree_words_meet_on_several_levels(docs):
     pick = lambda df: sorted((r["doc_id"] or -1, r["n_known"], r["train_tokens"], round(r["base_score"], 9)) for r in df.collect())
     assert pick(context_tree.score_documents(docs, depth=3, block=300, group=2, buckets=2)) == pick(context_tree.score_documents(docs, depth=3))
