@@ -17,7 +17,6 @@ class and each gets its row back; an empty table gives no rows; only id and text
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from math import comb
 
@@ -27,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, WORD_GAP, materialise, slices, texts
+from .common import materialise, slices
 
 WORDS, PERCENT = 5, 75
 BANDS, ROWS = 32, 4
@@ -35,36 +34,78 @@ HASHES = BANDS * ROWS
 BATCH = 32
 MISS = 1e-5
 BLOCK = 512
-MEMORY = 500_000
-GAP = re.compile(WORD_GAP)
-_known: dict[str, int] = {}
+#: Bytes of text hashed together, so that arrays stay in a core's cache; words longer than this are hashed one by one.
+SLICE, LONG = 1 << 17, 64
+_IS_GAP = np.zeros(256, bool)
+_IS_GAP[[0x20, *range(0x09, 0x0E)]] = True
+_BASE = 0xD1342543DE82EF95
+_up = _down = np.empty(0, np.uint64)
 _dice = np.random.default_rng(20240501)
 _XOR, _ODD = _dice.integers(0, 2**32, HASHES, np.uint32)[:, None], (_dice.integers(0, 2**31, HASHES, np.uint32) * 2 + 1)[:, None]
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def shingles(text: str, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of a text."""
-    found = [w for w in GAP.split(text.translate(ASCII_LOWER)) if w]
-    if not found:
-        return np.empty(0, np.uint64)
-    if len(_known) >= MEMORY:
-        _known.clear()
-    codes = []
-    for w in found:
-        x = _known.get(w)
-        if x is None:
-            x = xxhash.xxh3_64_intdigest(w)
-            if len(w) <= 64:
-                _known[w] = x
-        codes.append(x)
-    h = np.array(codes, np.uint64)
-    n = max(len(h) - words + 1, 1)
-    out = np.full(n, min(len(h), words), np.uint64)
-    for k in range(min(len(h), words)):
-        out = (out ^ h[k : k + n]) * _MIX
-        out ^= out >> np.uint64(32)
-    return np.unique(out)
+_MIX, _ODD_MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash's base and of its inverse, modulo 2**64."""
+    global _up, _down
+    if len(_up) < n:
+        _up, _down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+        _up[0] = _down[0] = 1
+        np.multiply.accumulate(_up, out=_up), np.multiply.accumulate(_down, out=_down)
+    return _up[:n], _down[:n]
+
+
+def word_hashes(raw: bytes, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of texts that lie one after the other, and the number of words before each text and in all.
+
+    ``begins`` says where each text begins, and where the last ends. Hashes are polynomials of the lower-cased bytes, taken from
+    running sums, and mixed; for words of over ``LONG`` bytes they are made of the word by itself.
+    """
+    low = raw.lower()
+    data = np.frombuffer(low, np.uint8)
+    n = len(data)
+    gap = np.ones(n + 2, bool)
+    gap[1:-1] = _IS_GAP[data]
+    begin = np.zeros(n + 1, bool)
+    begin[begins] = True
+    start = np.flatnonzero(~gap[1:] & (gap[:-1] | begin))
+    stop = np.flatnonzero(~gap[:-1] & (gap[1:] | begin))
+    up, down = _powers(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum((data + np.uint64(1)) * up[:-1], dtype=np.uint64, out=total[1:])
+    h = (total[stop] - total[start]) * down[start]
+    size = stop - start
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(low[start[i] : stop[i]])
+    h = (h ^ h >> np.uint64(31) ^ size.astype(np.uint64)) * _MIX
+    h ^= h >> np.uint64(29)
+    return h * _ODD_MIX, np.searchsorted(start, begins)
+
+
+def shingle_sets(column: pa.Array, words: int = WORDS) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the shingles of each text; null as empty."""
+    texts_ = [(x or "").encode() for x in column.to_pylist()]
+    h, first = word_hashes(b"".join(texts_), np.cumsum([0, *map(len, texts_)]))
+
+    def mixed(n: int, size: int) -> np.ndarray:
+        out = np.full(n, size, np.uint64)
+        for k in range(size):
+            out = (out ^ h[k : k + n]) * _MIX
+            out ^= out >> np.uint64(32)
+        return out
+
+    every = mixed(max(len(h) - words + 1, 0), words)
+    sets = []
+    for a, b in zip(first.tolist(), first[1:].tolist(), strict=False):
+        if b - a >= words:
+            sets.append(np.unique(every[a : b - words + 1]))
+        else:
+            out = np.full(min(b - a, 1), b - a, np.uint64)
+            for k in range(a, b):
+                out = (out ^ h[k]) * _MIX
+                out ^= out >> np.uint64(32)
+            sets.append(out)
+    return sets
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
@@ -106,10 +147,9 @@ def survives(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE):
         counts, prints, signs, bands = [], [], [], []
-        for x in texts(batch, "text"):
-            s = shingles(x)
+        for s in shingle_sets(batch.column("text")):
             counts.append(len(s))
             if not len(s):
                 prints.append(None), signs.append(None), bands.append(None)
@@ -165,8 +205,8 @@ def _between(table: pa.Table) -> pa.Table:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
-        found = [shingles(x) for x in texts(batch, "text")]
+    for batch in slices(batches, "text", SLICE):
+        found = shingle_sets(batch.column("text"))
         yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in found], pa.string()), pa.array([s.tobytes() for s in found], pa.binary())], ["print", "members"])
 
 

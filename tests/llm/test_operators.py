@@ -7,6 +7,7 @@ import hashlib
 import lzma
 import math
 import random
+import re
 import urllib.parse
 import zlib
 from collections import Counter
@@ -18,7 +19,9 @@ from pyspark.sql import functions as F
 tokenizers = pytest.importorskip("tokenizers")
 
 from docspark.llm import bpe, context_tree, exact_topk, html_text, near_dedup, packing, quality_model, quality_rules, queries, secrets, suffix_dedup  # noqa: E402
+from docspark.llm.common import ASCII_LOWER, WORD_GAP  # noqa: E402
 
+GAP = re.compile(WORD_GAP)
 KIND = "doc_id long, text string, lang string, source string, n_chars long, spans string, kept string"
 
 
@@ -169,8 +172,6 @@ def test_secrets_in_large_and_joined_streams():
 
 def plain_base(text):
     """The contract's own patterns, as they stand there."""
-    import re
-
     found = [("assign", m.start(), m.end()) for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.ASCII) if len(m[2]) >= 8]
     found += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
     found += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
@@ -240,7 +241,7 @@ def test_secrets_columns_that_clash(spark):
 
 def test_near_dedup(docs, empty):
     def shingled(t):
-        w = [x for x in near_dedup.GAP.split((t or "").translate(near_dedup.ASCII_LOWER)) if x]
+        w = [x for x in GAP.split((t or "").translate(ASCII_LOWER)) if x]
         return frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if w else frozenset()
 
     given = {r["doc_id"]: shingled(r["text"]) for r in docs.where("doc_id is not null").collect()}
@@ -260,6 +261,25 @@ def test_near_dedup(docs, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_words_of_texts_side_by_side():
+    """Hashes meet for equal words and for them alone, whatever stands around them."""
+    import pyarrow as pa
+
+    dice = random.Random(10)
+    bits = [" ", "\t", "\n", "\x0b", "\x0c", "\r", "\u00a0", "\x1c", "a", "B", "b", "É", "é", "中", "x" * 70, "y" * 200]
+    given = ["".join(dice.choices(bits, k=dice.randint(0, 12))) for _ in range(3000)] + [None, ""]
+    raw = [(x or "").encode() for x in given]
+    h, first = near_dedup.word_hashes(b"".join(raw), np.cumsum([0, *map(len, raw)]))
+    split = [[w for w in GAP.split((x or "").translate(ASCII_LOWER)) if w] for x in given]
+    assert first.tolist() == np.cumsum([0, *map(len, split)]).tolist()
+    seen = dict(zip((w for ws in split for w in ws), h.tolist(), strict=True))
+    assert len(set(seen.values())) == len(seen) and [seen[w] for ws in split for w in ws] == h.tolist()
+    sets = near_dedup.shingle_sets(pa.array(given))
+    for i, x in enumerate(given):
+        assert np.array_equal(sets[i], near_dedup.shingle_sets(pa.array([x]))[0])
+        assert len(sets[i]) == len({tuple(split[i][k : k + 5]) for k in range(max(len(split[i]) - 4, 1))} if split[i] else ())
+
+
 def test_posterior_limits_grow_and_spare_true_links():
     assert near_dedup.LIMITS == sorted(near_dedup.LIMITS) and near_dedup.LIMITS[-1] < 0.75 * near_dedup.HASHES
 
@@ -433,7 +453,7 @@ def test_quality_rules(docs, empty, spark):
     got = quality_rules.apply_rules(docs).collect()
     assert len(got) == len(rows())
     for r in got:
-        w = [x for x in near_dedup.GAP.split(r["text"] or "") if x]
+        w = [x for x in GAP.split(r["text"] or "") if x]
         seen = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
         hit = {i + k for i in range(len(w) - 2) if seen[tuple(w[i : i + 3])] > 1 for k in range(3)}
         assert (r["n_words"], r["n_repeat_words"], r["base_failed"]) == (len(w), len(hit), len(w) < 50 or 100 * len(hit) > 50 * len(w))

@@ -1,5 +1,6 @@
 """Each stage against a plain version over the smallest table, on what the stage before it kept."""
 
+import re
 from collections import Counter
 
 import numpy as np
@@ -9,11 +10,13 @@ tokenizers = pytest.importorskip("tokenizers")
 
 import corpus_pipeline  # noqa: E402
 from docspark.llm import near_dedup, queries, secrets  # noqa: E402
-from docspark.llm.common import materialise  # noqa: E402
+from docspark.llm.common import ASCII_LOWER, WORD_GAP, materialise  # noqa: E402
+
+GAP = re.compile(WORD_GAP)
 
 
 def words(t):
-    return [x for x in near_dedup.GAP.split(t or "") if x]
+    return [x for x in GAP.split(t or "") if x]
 
 
 def repeats(w):
@@ -29,7 +32,7 @@ def ruled(docs):
 def first_copies(docs):
     sets = {}
     for d, t in docs.items():
-        w = words(t.translate(near_dedup.ASCII_LOWER))
+        w = words(t.translate(ASCII_LOWER))
         sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
     root = {d: d for d in docs}
     for a in docs:
