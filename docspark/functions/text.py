@@ -183,6 +183,11 @@ def error_category(stage: Column) -> Column:
     return F.when(stage == "parsing", "Could not read the file").when(stage == "chunking", "Could not split the document").when(stage == "embedding", "Could not index the document").otherwise("Processing failed")
 
 
+def text_list(items: Column) -> Column:
+    """An array's items as stripped texts, blank ones left out; null as empty."""
+    return F.coalesce(F.filter(F.transform(items, lambda x: clean(x.cast("string"))), lambda x: x != ""), F.array().cast("array<string>"))
+
+
 def salvage_json(raw: Column) -> Column:
     """A JSON object from a generator's answer: the text without code fences, or else its first braces; null if neither parses."""
     bare = strip(F.regexp_replace(raw, r"(?m)^\s*```[a-zA-Z]*\s*$", ""))

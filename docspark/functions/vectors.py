@@ -29,19 +29,39 @@ def word_bucket(word: Column) -> Column:
     return F.conv(F.substring(F.md5(word), -2, 2), 16, 10).cast("int") % BUCKETS
 
 
+class WordHasher:
+    """Unit vectors of texts' bags of lower-case words; the first unit vector for a text without words. Keeps the words it has seen."""
+
+    dim = BUCKETS
+
+    def __init__(self, most: int = 1_000_000):
+        self.known: dict[str, int] = {}
+        self.most = most
+
+    def counts(self, text: str) -> np.ndarray:
+        out = np.zeros(BUCKETS)
+        for w in text.lower().split():
+            if (b := self.known.get(w)) is None:
+                if len(self.known) >= self.most:
+                    self.known.clear()
+                b = self.known[w] = hashlib.md5(w.encode()).digest()[-1] % BUCKETS
+            out[b] += 1
+        return out
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        return units(np.array([self.counts(x or "") for x in texts]).reshape(-1, BUCKETS))
+
+
+def units(counts: np.ndarray) -> np.ndarray:
+    out = counts.copy()
+    length = np.sqrt((out * out).sum(axis=1))
+    out[length == 0, 0] = length[length == 0] = 1.0
+    return out / length[:, None]
+
+
 @F.pandas_udf(ArrayType(DoubleType()))
 def hash_embedding(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Unit vector of a text's bag of lower-case words; the first unit vector if there are none. Batches by Arrow, words kept."""
-    known: dict[str, int] = {}
+    """``WordHasher`` over Arrow batches."""
+    hasher = WordHasher()
     for batch in texts:
-        out = np.zeros((len(batch), BUCKETS))
-        for i, x in enumerate(batch):
-            for w in (x or "").lower().split():
-                if (b := known.get(w)) is None:
-                    b = known[w] = hashlib.md5(w.encode()).digest()[-1] % BUCKETS
-                out[i, b] += 1
-        length = np.sqrt((out * out).sum(axis=1))
-        out[length == 0, 0] = length[length == 0] = 1.0
-        yield pd.Series(list(out / length[:, None]))
-        if len(known) > 1_000_000:
-            known.clear()
+        yield pd.Series(list(hasher.embed(batch.tolist())), dtype=object)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
@@ -72,39 +73,65 @@ def split_recursively(text: str, size: int, overlap: int, separators: tuple[str,
 
 def recursive_chunks(docs: DataFrame, key: str, text: str = "text", size: int = DEFAULTS.chunk_size, overlap: int = DEFAULTS.chunk_overlap) -> DataFrame:
     """``key, pos, chunk`` in one pass over the rows."""
-    kind = dict(docs.dtypes)[key]
+    return _per_document(docs, key, {"text": F.col(text)}, lambda row: list(enumerate(split_recursively(row[0] or "", size, overlap))), "pos int, chunk string")
+
+
+def distances(sentences: list[str], hasher: V.WordHasher, around: int) -> np.ndarray:
+    """How far each sentence's window lies from the next one's; a window's counts are those of its sentences."""
+    counts = np.array([hasher.counts(x) for x in sentences])
+    sums = np.concatenate([np.zeros((1, counts.shape[1])), np.cumsum(counts, axis=0)])
+    at = np.arange(len(sentences))
+    vectors = V.units(sums[np.minimum(at + around + 1, len(sentences))] - sums[np.maximum(at - around, 0)])
+    return 1 - (vectors[:-1] * vectors[1:]).sum(axis=1)
+
+
+def sentence_groups(sentences: list[str], hasher: V.WordHasher, settings: Settings) -> list[list[str]]:
+    """Sentences parted at the distances above the percentile of the document's; both are compared to nine places."""
+    if len(sentences) < 2:
+        return [sentences] if sentences else []
+    far = np.round(distances(sentences, hasher, settings.semantic_buffer), 9)
+    cut = np.flatnonzero(far > np.round(np.percentile(far, settings.semantic_percentile), 9)) + 1
+    return [sentences[a:b] for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(sentences)], strict=True)]
+
+
+def _per_document(docs: DataFrame, key: str, columns: dict[str, Column], split: Callable[[tuple], list[tuple]], made: str) -> DataFrame:
+    """Rows that ``split`` makes of each document's columns, in the task that reads it."""
+    kind, names, given = dict(docs.dtypes)[key], [x.split()[0] for x in made.split(", ")], list(columns)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(k, i, c) for k, x in zip(f[key], f[text], strict=True) for i, c in enumerate(split_recursively(x or "", size, overlap))]
-            yield pd.DataFrame(rows, columns=[key, "pos", "chunk"])
+            rows = [(k, *r) for k, *x in zip(f[key], *(f[c] for c in given), strict=True) for r in split(tuple(x))]
+            yield pd.DataFrame(rows, columns=[key, *names])
+
+    return docs.select(key, *[c.alias(n) for n, c in columns.items()]).mapInPandas(run, f"{key} {kind}, {made}")
+
 
-    return docs.select(key, text).mapInPandas(run, f"{key} {kind}, pos int, chunk string")
+def semantic_groups(docs: DataFrame, key: str, text: str = "text", settings: Settings = DEFAULTS) -> DataFrame:
+    """``key, grp, n, chunk``: the sentence groups before long ones are split; a text of one sentence stays as it is."""
+    hasher = V.WordHasher()
 
+    def split(row: tuple) -> list[tuple]:
+        whole, sentences = row[0], list(row[1])
+        groups = sentence_groups(sentences, hasher, settings)
+        return [(i, len(g), whole if len(sentences) == 1 else " ".join(g)) for i, g in enumerate(groups)]
 
-def semantic_distances(docs: DataFrame, key: str, text: str = "text", settings: Settings = DEFAULTS) -> DataFrame:
-    """``key, pos, sentence, distance``: how far each sentence's window lies from the next one's."""
-    rows = sentence_windows(sentence_rows(docs, key, text), key, settings.semantic_buffer)
-    order = Window.partitionBy(key).orderBy("pos")
-    embedded = rows.withColumn("vector", V.hash_embedding(F.col("window"))).withColumn("next", F.lead("vector").over(order))
-    return embedded.select(key, "pos", "sentence", (1 - V.dot(F.col("vector"), F.col("next"))).alias("distance"))
+    return _per_document(docs, key, {"text": F.col(text), "sentences": T.sentences(F.col(text))}, split, "grp int, n int, chunk string")
 
 
 def semantic_chunks(docs: DataFrame, key: str, text: str = "text", settings: Settings = DEFAULTS) -> DataFrame:
     """``key, pos, chunk``: sentences grouped between the distances above a document's percentile; long groups are split recursively."""
-    rows = semantic_distances(docs, key, text, settings)
-    cut = rows.withColumn("limit", F.percentile("distance", settings.semantic_percentile / 100).over(Window.partitionBy(key)))
-    breaks = F.when(F.col("distance") > F.col("limit"), 1).otherwise(0)
-    grouped = cut.withColumn("grp", F.coalesce(F.sum(breaks).over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"])
-    chunks = grouped.groupBy(key, "grp").agg(F.array_join(parts, " ").alias("chunk"), F.count("*").alias("n"))
-    alone = chunks.withColumn("groups", F.sum("n").over(Window.partitionBy(key))).join(docs.select(key, F.col(text).alias("_whole")), key)
-    chunks = alone.withColumn("chunk", F.when(F.col("groups") == 1, F.col("_whole")).otherwise(F.col("chunk"))).select(key, "grp", "groups", "chunk")
-    long = (F.length("chunk") > settings.semantic_max_chars) & (F.col("groups") > 1)
-    split = recursive_chunks(chunks.where(long).select(F.struct(key, "grp").alias("k"), "chunk").withColumn("k", F.to_json("k")), "k", "chunk", settings.chunk_size, settings.chunk_overlap)
-    named = split.select(F.from_json("k", f"{key} {dict(docs.dtypes)[key]}, grp long").alias("k"), "pos", "chunk").select(f"k.{key}", "k.grp", F.col("pos").alias("sub"), "chunk")
-    every = chunks.where(~long).select(key, "grp", F.lit(0).alias("sub"), "chunk").unionByName(named)
-    return every.withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy("grp", "sub")) - 1).select(key, "pos", "chunk")
+    hasher = V.WordHasher()
+    return _per_document(docs, key, {"text": F.col(text), "sentences": T.sentences(F.col(text))}, lambda row: list(enumerate(by_meaning(row[0], list(row[1]), hasher, settings))), "pos int, chunk string")
+
+
+def by_meaning(whole: str, sentences: list[str], hasher: V.WordHasher, settings: Settings) -> list[str]:
+    if len(sentences) < 2:
+        return [whole] if sentences else []
+    out: list[str] = []
+    for g in sentence_groups(sentences, hasher, settings):
+        part = " ".join(g)
+        out += split_recursively(part, settings.chunk_size, settings.chunk_overlap) if len(part) > settings.semantic_max_chars else [part]
+    return out
 
 
 def merge_similar(texts: list[str], vectors: np.ndarray, similarity: float, most: int) -> list[str]:
@@ -119,27 +146,36 @@ def merge_similar(texts: list[str], vectors: np.ndarray, similarity: float, most
     return [*out, " ".join(held).strip()]
 
 
+#: As ``functions.text.is_meaningful``, for chunks that do not leave their task.
+BLANK = " \t\n\x0b\f\r"
+LETTER = re.compile("[\u0600-\u06ffa-zA-Z]")
+
+
 def hybrid_chunks(docs: DataFrame, key: str, text: str = "text", settings: Settings = DEFAULTS) -> DataFrame:
     """``key, pos, chunk``: small recursive chunks, embedded once, neighbours of a document merged while alike."""
-    base = recursive_chunks(docs, key, text, settings.hybrid_base_size, 0).where(T.is_meaningful(F.col("chunk"))).withColumn("vector", V.hash_embedding(F.col("chunk")))
+    hasher = V.WordHasher()
+    return _per_document(docs, key, {"text": F.col(text)}, lambda row: list(enumerate(by_both(row[0] or "", hasher, settings))), "pos int, chunk string")
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("pos")
-        chunks = merge_similar(f["chunk"].tolist(), np.array(f["vector"].tolist()), settings.hybrid_similarity, settings.hybrid_max_chars)
-        return pd.DataFrame({key: f[key].iloc[0], "pos": range(len(chunks)), "chunk": chunks})
 
-    return base.groupBy(key).applyInPandas(run, f"{key} {dict(docs.dtypes)[key]}, pos int, chunk string")
+def by_both(whole: str, hasher: V.WordHasher, settings: Settings) -> list[str]:
+    base = [c for c in split_recursively(whole, settings.hybrid_base_size, 0) if len(c.strip(BLANK)) >= 15 and LETTER.search(c)]
+    return merge_similar(base, hasher.embed(base), settings.hybrid_similarity, settings.hybrid_max_chars) if base else []
 
 
 def chunk(docs: DataFrame, key: str, text: str = "text", settings: Settings = DEFAULTS) -> DataFrame:
-    """Chunks by the configured strategy; a document that it leaves without chunks is split recursively. Meaningless chunks go."""
+    """Chunks by the configured strategy; a document that it leaves without chunks, or fails on, is split recursively. Meaningless chunks go."""
     strategy = settings.chunking_strategy.lower()
-    plain = lambda d: recursive_chunks(d, key, text, settings.chunk_size, settings.chunk_overlap)
-    if strategy in ("semantic", "hybrid"):
-        made = (semantic_chunks if strategy == "semantic" else hybrid_chunks)(docs, key, text, settings)
-        made = made.unionByName(plain(docs.join(made.select(key).distinct(), key, "left_anti")))
-    else:
-        made = plain(docs)
+    hasher = V.WordHasher()
+
+    def split(row: tuple) -> list[tuple]:
+        whole = row[0] or ""
+        try:
+            out = by_meaning(whole, list(row[1]), hasher, settings) if strategy == "semantic" else by_both(whole, hasher, settings) if strategy == "hybrid" else []
+        except (ValueError, ArithmeticError, IndexError):
+            out = []
+        return list(enumerate(out or split_recursively(whole, settings.chunk_size, settings.chunk_overlap)))
+
+    made = _per_document(docs, key, {"text": F.col(text), "sentences": T.sentences(F.col(text)) if strategy == "semantic" else F.array().cast("array<string>")}, split, "pos int, chunk string")
     return made.where(T.is_meaningful(F.col("chunk")))
 
 

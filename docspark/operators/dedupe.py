@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .numbering import numbered
 
 
 def keep_first(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
@@ -19,10 +20,16 @@ def prefix_dedupe(df: DataFrame, text: str, order: str, prefix: int = 1000) -> D
     return keep_first(keyed, [F.col("_key")], [F.col(order)]).drop("_key")
 
 
-def hit_dedupe(df: DataFrame, text: str, source: str, page: str, order: str, prefix: int = 700) -> DataFrame:
-    """Hits with distinct (text prefix, source, page); ``idx`` numbers the survivors from 0 and serves as tie-break penalty."""
-    first = keep_first(df.withColumn("_key", F.substring(T.clean(F.col(text)), 1, prefix)), [F.col("_key"), F.col(source), F.coalesce(F.col(page), F.lit(-1))], [F.col(order)])
-    return first.withColumn("idx", F.row_number().over(Window.orderBy(order)) - 1).drop("_key")
+def hit_dedupe(df: DataFrame, text: str, source: str, page: str, order: str, query: str | None = None, prefix: int = 700) -> DataFrame:
+    """Hits with distinct (text prefix, source, page); ``idx`` numbers the survivors from 0 and serves as tie-break penalty.
+
+    With ``query``, each query's hits are deduplicated and numbered by themselves.
+    """
+    per = [F.col(query)] if query else []
+    first = keep_first(df.withColumn("_key", F.substring(T.clean(F.col(text)), 1, prefix)), [*per, F.col("_key"), F.col(source), F.coalesce(F.col(page), F.lit(-1))], [F.col(order)]).drop("_key")
+    if query:
+        return first.withColumn("idx", F.row_number().over(Window.partitionBy(query).orderBy(order)) - 1)
+    return numbered(first, order, "idx")
 
 
 def fold_case_dedupe(variants: Column) -> Column:

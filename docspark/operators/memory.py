@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..functions import text as T
+from .folds import fold
 
 FACTS = "conversation_id string, pos int, text string, category string, importance int, updated_at timestamp"
 CATEGORIES = ("preference", "decision", "task", "fact")
@@ -30,19 +31,17 @@ def prompt_lines(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
 def compaction_points(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", most: int = DEFAULTS.compact_messages, chars: int = DEFAULTS.compact_chars, keep: int = DEFAULTS.keep_messages) -> DataFrame:
     """``conv, turn, compacts``: after which message short memory is cut back to its last ``keep`` messages.
 
-    The counters start anew at each cut, so this is a fold over a conversation's ordered lengths, not a window.
+    The counters start anew at each cut, so this is a fold over a conversation's ordered lengths, not a window; it holds the lengths
+    of the messages in memory, ``most`` at most.
     """
-    lengths = F.transform(F.array_sort(F.collect_list(F.struct(F.col(turn).alias("t"), F.length(F.coalesce("text", F.lit(""))).alias("n")))), lambda x: x)
-    start = F.struct(F.array().cast("array<int>").alias("held"), F.array().cast(f"array<struct<t:{dict(messages.dtypes)[turn]},c:boolean>>").alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        held = F.concat(a["held"], F.array(x["n"]))
-        cut = (F.size(held) > most) | (F.aggregate(held, F.lit(0), lambda s, y: s + y) > chars)
-        after = F.when(cut, F.slice(held, F.greatest(F.size(held) - keep + 1, F.lit(1)), keep)).otherwise(held)
-        return F.struct(after.alias("held"), F.concat(a["out"], F.array(F.struct(x["t"].alias("t"), cut.alias("c")))).alias("out"))
+    def step(held: list[int] | None, row: tuple) -> tuple[list[int], tuple]:
+        held = [*(held or []), row[0]]
+        cut = len(held) > most or sum(held) > chars
+        return held[-keep:] if cut else held, (cut,)
 
-    folded = messages.groupBy(conv).agg(lengths.alias("l")).select(conv, F.explode(F.aggregate("l", start, step, lambda a: a["out"])).alias("o"))
-    return folded.select(conv, F.col("o.t").alias(turn), F.col("o.c").alias("compacts"))
+    lengths = messages.select(conv, turn, F.length(F.coalesce("text", F.lit(""))).alias("n"))
+    return fold(lengths, conv, [turn], ["n"], step, "compacts boolean").select(conv, turn, "compacts")
 
 
 def evicted(facts: DataFrame, conv: str, order: str, most: int = DEFAULTS.max_facts) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.values import BANNED_OPENINGS, NOT_FOUND
+from .folds import fold
 
 LIST_MARK = r"^[\-•*]|^\(?\d+[.)،]"
 
@@ -37,45 +38,46 @@ def merge_fractured(docs: DataFrame, key: str, text: str = "text", short: int =
     return made.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("at")) - 1).alias("place"), line.alias("line"))
 
 
-def spliced(text: Column, runs: Column) -> Column:
-    """Suspect tokens replaced in order by the digit runs of a second recognition; what has no run stays."""
-    tokens = F.transform(F.split(text, " ", -1), lambda t: F.struct(t.alias("t"), F.coalesce(T.is_digit_suspect(t), F.lit(False)).alias("bad")))
-    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        use = x["bad"] & (a["n"] < F.size(runs))
-        return F.struct((a["n"] + x["bad"].cast("int")).alias("n"), F.concat(a["out"], F.array(F.when(use, F.get(runs, a["n"])).otherwise(x["t"]))).alias("out"))
-
-    return F.aggregate(tokens, start, step, lambda a: F.array_join(a["out"], " "))
+def spliced(rows: DataFrame, key: str, text: str, runs: str) -> DataFrame:
+    """``key, text``: suspect tokens replaced in order by the digit runs of a second recognition; what has no run stays."""
+    tokens = rows.select(key, F.col(runs).alias("runs"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), " ", -1)).alias("pos", "t"))
+    bad = F.coalesce(T.is_digit_suspect(F.col("t")), F.lit(False))
+    before = F.sum("bad").over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    placed = tokens.withColumn("bad", bad.cast("int")).withColumn("n", before)
+    token = F.when((F.col("bad") == 1) & (F.col("n") <= F.size("runs")), F.get("runs", F.col("n") - 1)).otherwise(F.col("t"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", token.alias("t")))), lambda x: x["t"])
+    return placed.groupBy(key).agg(F.array_join(parts, " ").alias("text"))
 
 
 def digit_runs(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("([0-9٠-٩]+)"), F.lit(1))
 
 
-def postprocess(text: Column, runs: Column) -> Column:
-    """Marks off, digit runs spliced, digits western; fractured lines are merged by ``merge_fractured``."""
-    return T.digits_western(spliced(T.without_marks(text), runs))
+def _opened(line: Column) -> Column:
+    """A line without an opening that only names sources."""
+    out = line
+    for b in reversed(BANNED_OPENINGS):
+        at = F.locate(b, line)
+        out = F.when(F.startswith(T.strip(line), F.lit(b)), T.strip(F.concat(F.substring(line, F.lit(1), at - 1), F.substring(line, at + len(b), F.length(line))))).otherwise(out)
+    return out
 
 
-def clean_answer(text: Column, lang: Column, last: int = 10) -> Column:
-    """An answer without repeated lines (compared with the last ten kept) and without openings that only name sources."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("seen"))
+def clean_answers(answers: DataFrame, key: str, text: str, lang: str, last: int = 10) -> DataFrame:
+    """``key, answer``: answers without repeated lines (compared with the last ten kept) and without openings that only name sources.
 
-    def opened(line: Column) -> Column:
-        out = line
-        for b in reversed(BANNED_OPENINGS):
-            at = F.locate(b, line)
-            out = F.when(F.startswith(T.strip(line), F.lit(b)), T.strip(F.concat(F.substring(line, F.lit(1), at - 1), F.substring(line, at + len(b), F.length(line))))).otherwise(out)
-        return out
+    Forms of lines are columns; which line stays depends on those kept before it, a fold that holds ten forms.
+    """
+    lines = answers.select(key, F.col(lang).alias("lang"), F.posexplode(F.split(T.clean(F.col(text)), r"\r\n|\n|\r", -1)).alias("pos", "line"))
+    lines = lines.withColumn("line", _opened(F.col("line"))).withColumn("form", T.normalize(F.col("line")))
 
-    def step(a: Column, raw: Column) -> Column:
-        line = opened(raw)
-        key = T.normalize(line)
-        again = (key != "") & F.array_contains(a["seen"], key)
-        seen = F.when(key == "", a["seen"]).otherwise(F.concat(a["seen"], F.array(key)))
-        kept = F.struct(F.concat(a["out"], F.array(line)).alias("out"), F.when(F.size(seen) > last, F.slice(seen, 2, last)).otherwise(seen).alias("seen"))
-        return F.when(again, a).otherwise(kept)
+    def step(seen: list[str] | None, row: tuple) -> tuple[list[str], tuple]:
+        seen, form = seen or [], row[0]
+        if not form:
+            return seen, (True,)
+        return (seen, (False,)) if form in seen else ([*seen, form][-last:], (True,))
 
-    joined = T.strip(F.aggregate(F.split(T.clean(text), r"\r\n|\n|\r", -1), start, step, lambda a: F.array_join(a["out"], "\n")))
-    return F.when(joined != "", joined).when(lang == "ar", NOT_FOUND["ar"]).otherwise(NOT_FOUND["en"])
+    kept = fold(lines, key, ["pos"], ["form"], step, "stays boolean")
+    parts = F.transform(F.array_sort(F.collect_list(F.when(F.col("stays"), F.struct("pos", "line")))), lambda x: x["line"])
+    made = kept.groupBy(key).agg(F.any_value("lang").alias("lang"), T.strip(F.array_join(parts, "\n")).alias("answer"))
+    fixed = F.when(F.col("lang") == "ar", NOT_FOUND["ar"]).otherwise(NOT_FOUND["en"])
+    return made.select(key, F.when(F.col("answer") != "", F.col("answer")).otherwise(fixed).alias("answer"))

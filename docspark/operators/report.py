@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS
 from ..functions import text as T
 from ..functions.values import REPORT_CAPS, REPORT_SECTIONS
+from .folds import fold
 
 #: A word's beginning, written out because engines differ in what ends a word.
 BEFORE = r"(?:^|[^\p{L}\p{N}_])"
@@ -16,34 +17,34 @@ BEFORE = r"(?:^|[^\p{L}\p{N}_])"
 def packed_pages(pages: DataFrame, doc: str, page: str, text: str, size: int = DEFAULTS.report_slice_chars) -> DataFrame:
     """``doc, slice_no, page_start, page_end, text``: pages in order, a new slice where the next page would not fit.
 
-    Whether a page fits depends on the slice so far: a fold over the ordered page lengths. Texts are joined afterwards by slice number, so
-    the fold carries numbers only.
+    Whether a page fits depends on the slice so far: a fold over the ordered page lengths that carries two numbers. Texts are joined
+    afterwards by slice number.
     """
-    ordered = pages.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), F.length(text).alias("n")))).alias("l"))
-    start = F.struct(F.lit(0).alias("no"), F.lit(0).alias("len"), F.array().cast("array<int>").alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        new = (a["len"] + x["n"] + 2 > size) & (a["len"] > 0)
-        no = a["no"] + new.cast("int")
-        length = F.when(new | (a["len"] == 0), x["n"]).otherwise(a["len"] + 2 + x["n"])
-        return F.struct(no.alias("no"), length.alias("len"), F.concat(a["out"], F.array(no)).alias("out"))
+    def step(state: tuple[int, int] | None, row: tuple) -> tuple[tuple[int, int], tuple]:
+        (no, length), n = state or (0, 0), row[0] or 0
+        if length and length + n + 2 > size:
+            no, length = no + 1, 0
+        return (no, length + 2 + n if length else n), (no,)
 
-    numbers = ordered.select(doc, F.explode(F.arrays_zip(F.transform("l", lambda x: x["p"]).alias("p"), F.aggregate("l", start, step, lambda a: a["out"]).alias("no"))).alias("z"))
-    numbers = numbers.select(doc, F.col("z.p").alias(page), F.col("z.no").alias("slice_no"))
+    lengths = pages.select(doc, page, F.length(text).alias("n"))
+    numbers = fold(lengths, doc, [page], ["n"], step, "slice_no int").select(doc, page, "slice_no")
     parts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), F.when(F.col(text) != "", F.col(text)).alias("t")))), lambda x: x["t"])
     made = pages.select(doc, page, text).join(numbers, [doc, page]).groupBy(doc, "slice_no")
     return made.agg(F.min(page).alias("page_start"), F.max(page).alias("page_end"), F.array_join(parts, "\n\n").alias("text"))
 
 
 def extracted(slices: DataFrame, text: str = "text") -> DataFrame:
-    """The default extractor, patterns only: numbers, equations, definitions; key points are the first sentences."""
+    """The default extractor, patterns only: numbers, equations, definitions; title, summary and key points are the first sentences."""
     body = F.col(text)
+    said_first = T.sentences(body)
     every = lambda pattern, group: F.array_distinct(F.regexp_extract_all(body, F.lit(pattern), F.lit(group)))
     none = F.array().cast("array<string>")
     said = F.regexp_extract_all(body, F.lit(r"([A-Z][\p{L}]+(?: [\p{L}]+)? is (?:a|an|the) [^.\n]+\.)"), F.lit(1))
     definitions = F.transform(said, lambda x: F.struct(F.substring_index(x, " is ", 1).alias("term"), F.regexp_replace(x, r"^.*? is ", "").alias("definition")))
     return slices.withColumns(
-        {"page_ref": T.page_ref(F.col("page_start"), F.col("page_end")), "key_points": F.slice(T.sentences(body), 1, 3), "numbers": every(BEFORE + r"(\d[\d.,]*%?)", 1), "equations": every(r"(\w+ = [^\n.;]+)", 1),
+        {"page_ref": T.page_ref(F.col("page_start"), F.col("page_end")), "section_title": F.substring(F.coalesce(F.get(said_first, F.lit(0)), F.lit("")), 1, 80),
+         "summary": F.array_join(F.slice(said_first, 1, 2), " "), "key_points": F.slice(said_first, 1, 3), "numbers": every(BEFORE + r"(\d[\d.,]*%?)", 1), "equations": every(r"(\w+ = [^\n.;]+)", 1),
          "technical_terms": every(BEFORE + r"([A-Z]{2,})(?:$|[^\p{L}\p{N}_])", 1), "best_practices": none, "figures_tables": every(r"((?:Figure|Table) \d+)", 1), "definitions": definitions}
     )
 
@@ -81,3 +82,61 @@ def capped(items: DataFrame) -> DataFrame:
 def object_name(stem: Column, topic: Column) -> Column:
     slug = F.substring(F.regexp_replace(topic, r"[^\p{L}\p{N}_-]+", "_"), 1, 80)
     return F.concat(F.regexp_replace(F.coalesce(F.nullif(slug, F.lit("")), stem), r"[^\p{L}\p{N}_.-]+", "_"), F.lit("_report.pdf"))
+
+
+def sections(maps: DataFrame, doc: str, order: str = "slice_no") -> DataFrame:
+    """``doc, section_no, title, page_ref, summary``: the slices of a document as sections of its report."""
+    place = F.row_number().over(Window.partitionBy(doc).orderBy(order))
+    return maps.select(doc, place.alias("section_no"), F.col("section_title").alias("title"), "page_ref", "summary")
+
+
+def extents(pages: DataFrame, doc: str, page: str, source: str | None = None) -> DataFrame:
+    """``doc, page_count[, sources]``: the last page's number, and the sources in order, each once."""
+    more = [F.sort_array(F.collect_set(source)).alias("sources")] if source else []
+    return pages.groupBy(doc).agg(F.max(page).alias("page_count"), *more)
+
+
+NARRATIVES = ("executive_summary", "introduction", "relationships", "conclusion")
+
+
+def narratives(maps: DataFrame, doc: str, order: str = "slice_no") -> DataFrame:
+    """``doc`` and the four narrative parts, by extraction: first points, first and last summary, terms that several slices share."""
+    by = maps.groupBy(doc).agg(
+        F.min(F.struct(F.col(order).alias("o"), "summary", "key_points")).alias("first"), F.max(F.struct(F.col(order).alias("o"), "summary")).alias("last"),
+    )
+    terms = maps.select(doc, order, F.explode("technical_terms").alias("term")).distinct().groupBy(doc, "term").agg(F.count("*").alias("n")).where("n > 1")
+    top = terms.withColumn("r", F.row_number().over(Window.partitionBy(doc).orderBy(F.desc("n"), "term"))).where("r <= 10")
+    shared = top.groupBy(doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))), lambda x: x["term"]), ", ").alias("relationships"))
+    return by.join(shared, doc, "left").select(
+        doc, F.array_join("first.key_points", " ").alias("executive_summary"), F.col("first.summary").alias("introduction"),
+        F.coalesce("relationships", F.lit("")).alias("relationships"), F.col("last.summary").alias("conclusion"),
+    )
+
+
+def is_covered(answer: Column) -> Column:
+    """Whether a gate's answer says yes; one that could not be had counts as yes."""
+    low = F.lower(T.clean(answer))
+    return answer.isNull() | F.startswith(low, F.lit("yes")) | F.startswith(low, F.lit("نعم"))
+
+
+def rendered(sections_: DataFrame, items: DataFrame, parts: DataFrame, doc: str) -> DataFrame:
+    """``doc, place, title, body``: the report as rows, in order: narratives, sections, then each list within its cap."""
+    told = parts.select(doc, F.posexplode(F.array(*[F.struct(F.lit(n).alias("title"), F.col(n).alias("body")) for n in NARRATIVES[:3]])).alias("i", "x"))
+    rows = told.select(doc, F.struct(F.lit(0).alias("g"), F.col("i").alias("i")).alias("at"), "x.title", "x.body")
+    named = F.concat("title", F.lit(" ("), "page_ref", F.lit(")"))
+    rows = rows.unionByName(sections_.select(doc, F.struct(F.lit(1).alias("g"), F.col("section_no").alias("i")).alias("at"), named.alias("title"), F.col("summary").alias("body")))
+    order = F.create_map(*[F.lit(x) for i, sec in enumerate(REPORT_SECTIONS) for x in (sec, i)])
+    listed = capped(items).groupBy(doc, "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "item"))), lambda x: F.concat(F.lit("- "), x["item"])), "\n").alias("body"))
+    rows = rows.unionByName(listed.select(doc, F.struct(F.lit(2).alias("g"), F.element_at(order, F.col("section")).alias("i")).alias("at"), F.col("section").alias("title"), "body"))
+    rows = rows.unionByName(parts.select(doc, F.struct(F.lit(3).alias("g"), F.lit(0).alias("i")).alias("at"), F.lit(NARRATIVES[3]).alias("title"), F.col(NARRATIVES[3]).alias("body")))
+    rows = rows.where(F.coalesce("body", F.lit("")) != "")
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(doc).orderBy("at"))).select(doc, "place", "title", "body")
+
+
+def markdown(rows: DataFrame, doc: str, heading: str) -> DataFrame:
+    """``doc, body``: a rendered report as one Markdown text with a list of contents; layout beyond that is a viewer's."""
+    ordered = F.array_sort(F.collect_list(F.struct("place", "title", "body")))
+    made = rows.groupBy(doc).agg(ordered.alias("l"))
+    contents = F.array_join(F.transform("l", lambda x: F.concat(x["place"].cast("string"), F.lit(". "), x["title"])), "\n")
+    body = F.array_join(F.transform("l", lambda x: F.concat(F.lit("## "), x["title"], F.lit("\n\n"), x["body"])), "\n\n")
+    return made.select(doc, F.concat(F.lit("# "), F.col(heading), F.lit("\n\n"), contents, F.lit("\n\n"), body).alias("body"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +15,8 @@ from ..functions import text as T
 from ..functions import vectors as V
 from .dedupe import fold_case_dedupe
 
+QUERY_BLOCK = 4096
+
 
 def variants(query: Column, settings: Settings = DEFAULTS, alternatives: Column | None = None, fixed: Column | None = None, translated: Column | None = None) -> Column:
     """Forms of a query to search with, in order, each once: raw, normal, script-specific forms, then what a rewriter offers."""
@@ -31,7 +38,7 @@ def variants(query: Column, settings: Settings = DEFAULTS, alternatives: Column
 
 
 def anchored(planned: Column, raw: Column) -> Column:
-    """Variants of the planner's question with the user's own words appended where they differ."""
+    """Variants of the planner's question with the user's own words appended, each once whatever its case; no words, no change."""
     own = F.array(T.clean(raw), T.normalize(raw), F.when(T.detect_language(raw) == "ar", T.normalize_arabic(raw)).otherwise(F.lower(T.clean(raw))))
     return fold_case_dedupe(F.filter(F.concat(planned, own), lambda x: x != ""))
 
@@ -41,15 +48,68 @@ def fallback_query(query: Column) -> Column:
     return F.array_join(F.slice(F.regexp_extract_all(T.normalize(query), F.lit(r"([\x{0600}-\x{06FF}a-zA-Z]{2,})"), F.lit(1)), 1, 8), " ")
 
 
+def unit(vector: Column) -> Column:
+    """A vector of length one; a zero vector stays."""
+    length = V.norm(vector)
+    return F.transform(vector, lambda x: x.cast("double") / F.when(length > 0, length).otherwise(1.0))
+
+
+ARROW = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
+
+
+def _best(sent, k: int, digits: int, kinds: dict[str, str]):
+    """The k best of each Arrow batch for each query of a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, by_dim = sent.value
+        for batch in batches:
+            vectors, points = batch.column("p"), batch.column("point_id")
+            sizes = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+            for dim, (which, queries) in by_dim.items():
+                rows = np.flatnonzero(sizes == dim)
+                if not len(rows):
+                    continue
+                p = vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
+                p = p / np.maximum(np.sqrt((p * p).sum(axis=1, keepdims=True)), 1e-300)
+                order_ids = np.array(points.take(pa.array(rows)).to_pylist())
+                score = np.round(queries @ p.T, digits)
+                order = np.lexsort((np.broadcast_to(order_ids, score.shape), -score), axis=1)[:, :k]
+                q = np.repeat(which, order.shape[1])
+                columns = [pa.array(np.array(ids)[q], ARROW[kinds["query_id"]]), pa.array(order_ids[order.ravel()], ARROW[kinds["point_id"]]), pa.array(np.take_along_axis(score, order, 1).ravel())]
+                yield pa.RecordBatch.from_arrays(columns, ["query_id", "point_id", "score"])
+
+    return run
+
+
 def top_k(queries: DataFrame, points: DataFrame, k: int, scope: str | None = None, digits: int = 6) -> DataFrame:
     """``query_id, point_id, score, rank``: the k points of greatest cosine per query; scores equal to ``digits`` places are ties,
     which the smaller id wins.
 
     queries: query_id, vector[, scope]; points: point_id, vector[, scope]. With a scope the filter is an equi-join inside the search,
-    as isolation demands; without one every query meets every point. The planner broadcasts the queries if they are small.
+    as isolation demands, on vectors that are made unit vectors once. Without one the queries, a stated set, are broadcast in blocks of
+    ``QUERY_BLOCK``; each pass over the points multiplies whole batches and keeps k of each. Vectors of different lengths never meet.
     """
-    q = queries.select("query_id", F.col("vector").alias("q"), *([F.col(scope).alias("_scope")] if scope else []))
-    p = points.select("point_id", F.col("vector").alias("p"), *([F.col(scope).alias("_scope")] if scope else []))
-    pairs = p.join(q, "_scope") if scope else p.join(q)
-    scored = pairs.select("query_id", "point_id", F.round(V.cosine(F.col("q"), F.col("p")), digits).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "point_id"))).where(F.col("rank") <= k)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "point_id"))
+    if scope:
+        q = queries.select("query_id", unit(F.col("vector")).alias("q"), F.col(scope).alias("_scope"))
+        p = points.select("point_id", unit(F.col("vector")).alias("p"), F.col(scope).alias("_scope"))
+        scored = p.join(q, "_scope").where(F.size("p") == F.size("q")).select("query_id", "point_id", F.round(V.dot(F.col("q"), F.col("p")), digits).alias("score"))
+        return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    kinds = dict(queries.dtypes) | dict(points.dtypes)
+    slim = points.select("point_id", F.col("vector").alias("p")).where("p is not null")
+    asked = queries.select("query_id", "vector").where("vector is not null")
+    first, blocks = asked.limit(QUERY_BLOCK + 1).collect(), 1
+    if len(first) > QUERY_BLOCK:
+        blocks = -(-asked.count() // (QUERY_BLOCK // 2))
+    out = None
+    for b in range(blocks):
+        part = first if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
+        by_dim = {}
+        for dim in sorted({len(r["vector"]) for r in part}):
+            which = [i for i, r in enumerate(part) if len(r["vector"]) == dim]
+            m = np.array([part[i]["vector"] for i in which], float).reshape(-1, dim)
+            by_dim[dim] = (np.array(which), m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-300))
+        sent = queries.sparkSession.sparkContext.broadcast(([r["query_id"] for r in part], by_dim))  # a block of queries
+        found = slim.mapInArrow(_best(sent, k, digits, kinds), f"query_id {kinds['query_id']}, point_id {kinds['point_id']}, score double")
+        out = found if out is None else out.unionByName(found)
+    return out.withColumn("rank", rank).where(F.col("rank") <= k)

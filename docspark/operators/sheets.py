@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULTS, Settings
 from ..functions import text as X
+from .numbering import numbered
 
 
 def cell(c: Column, kind: T.DataType) -> Column:
@@ -70,8 +71,7 @@ def summary(lines: DataFrame, sheet_name: str, columns: list[str], truncated_fro
 def usable_rows(sheet: DataFrame, position: str, settings: Settings = DEFAULTS) -> DataFrame:
     """Rows that hold anything, numbered anew, up to the cap that the feature has."""
     kept = sheet.na.drop("all", subset=[c for c in sheet.columns if c != position])
-    # a sheet is one file's rows, which its reader bounds; the window is over that file
-    return kept.withColumn(position, F.row_number().over(Window.orderBy(position)) - 1).where(F.col(position) < settings.excel_max_rows)
+    return numbered(kept, position, "_place").withColumn(position, F.col("_place")).drop("_place").where(F.col(position) < settings.excel_max_rows)
 
 
 def frame_chunks(name: str, frame: pd.DataFrame, settings: Settings = DEFAULTS) -> Iterator[tuple[str, str | None, str]]:

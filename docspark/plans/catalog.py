@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import chunking, dedupe, lexical, memory, ocr_text, profile, ranking, report, router, search, sheets, store
+from ..operators.numbering import numbered
 from ..sources import validation
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +39,14 @@ def _ranked(spark: SparkSession, sf_dir: str, k: int = 24) -> DataFrame:
     return best.join(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id")
 
 
+def _loosely(spark: SparkSession, sf_dir: str, pool: DataFrame) -> DataFrame:
+    """``pool`` with ``loose``, the loose score; forms are worked out once per item and once per document of the pool."""
+    docs = table(spark, sf_dir, "documents").join(pool.select("doc_id").distinct(), "doc_id", "left_semi")
+    forms = docs.select("doc_id", lexical.loose_forms(F.col("text")).alias("forms"))
+    terms = table(spark, sf_dir, "benchmark").select("item_id", lexical.loose_terms(F.col("text")).alias("terms"))
+    return pool.join(forms, "doc_id").join(terms, "item_id").withColumn("loose", lexical.loose_score(F.col("terms"), F.col("forms"))).drop("forms", "terms")
+
+
 @query
 def flagship_grounded_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each benchmark passage the supporting documents that the gate and the context budget leave."""
@@ -179,10 +188,9 @@ def mmr_diversify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def blended_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pool = _ranked(spark, sf_dir).join(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query")), "item_id")
-    lex = F.greatest("score", lexical.loose_score_columns(F.col("query"), F.col("text")))
-    final = ranking.blend(lex, F.col("rank") - 1, F.lit(False), F.lit(False))
-    rows = pool.withColumn("final", F.round(final, 6))
+    best = _ranked(spark, sf_dir).select("item_id", "doc_id", "score", "rank")
+    final = ranking.blend(F.greatest("score", "loose"), F.col("rank") - 1, F.lit(False), F.lit(False))
+    rows = _loosely(spark, sf_dir, best).withColumn("final", F.round(final, 6))
     place = F.row_number().over(ranking.Window.partitionBy("item_id").orderBy(F.desc("final"), "rank"))
     return rows.withColumn("place", place).where("place <= 6").select("item_id", "doc_id", "final", "place")
 
@@ -220,8 +228,7 @@ PART = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = table(spark, sf_dir, "part").withColumn("pos", F.row_number().over(ranking.Window.orderBy("p_partkey")) - 1)
-    return sheets.row_lines(placed, "pos", PART)
+    return sheets.row_lines(numbered(table(spark, sf_dir, "part"), "p_partkey", "pos"), "pos", PART)
 
 
 @query
@@ -329,17 +336,21 @@ def request_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("user_id", *[(F.col(c) / 1000).alias(c) for c in ("dispatch_ms", "total_ms")])
 
 
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``item_id, text, next``: each benchmark item beside the one that follows."""
+    items = numbered(table(spark, sf_dir, "benchmark"), "item_id", "at")
+    return items.join(items.select((F.col("at") - 1).alias("at"), F.col("text").alias("next")), "at").select("item_id", "text", "next")
+
+
 @query
 def cer_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark").withColumn("text", T.loose_latin(F.col("text")))
-    pairs = items.withColumn("next", F.lead("text").over(ranking.Window.orderBy("item_id"))).where("next is not null")
-    return pairs.select("item_id", F.round(profile.char_error_rate(F.col("text"), F.col("next")), 6).alias("cer"))
+    rate = profile.char_error_rate(T.loose_latin(F.col("text")), T.loose_latin(F.col("next")))
+    return _neighbours(spark, sf_dir).select("item_id", F.round(rate, 6).alias("cer"))
 
 
 @query
 def wer_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = table(spark, sf_dir, "benchmark").withColumn("next", F.lead("text").over(ranking.Window.orderBy("item_id"))).where("next is not null")
-    return profile.word_error_rate(pairs, "text", "next").select("item_id", "wer")
+    return profile.word_error_rate(_neighbours(spark, sf_dir), "text", "next").select("item_id", F.round("wer", 6).alias("wer"))
 
 
 @query
@@ -359,20 +370,8 @@ def digit_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def answer_line_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(ocr_text.clean_answer(F.col("text"), T.detect_language(F.col("text")))).alias("answer"))
-
-
-@query
-def delete_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("conversation_id"))
-    left = store.without_document(store.without_document(rows, "7", "src7"), "8", "src0")
-    return left.select(F.col("document_id").cast("long").alias("doc_id"), F.col("conversation_id").alias("source"))
-
-
-@query
-def reindex_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return docs.where("doc_id <> 7").select("doc_id", F.md5("text").alias("body")).union(docs.where("doc_id = 7").select("doc_id", F.md5(F.upper("text"))))
+    said = table(spark, sf_dir, "documents").withColumn("lang", T.detect_language(F.col("text")))
+    return ocr_text.clean_answers(said, "doc_id", "text", "lang").select("doc_id", F.md5("answer").alias("answer"))
 
 
 @query

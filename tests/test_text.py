@@ -105,11 +105,13 @@ def test_fact_merge(spark):
 
 
 def test_answer_without_repeated_lines(spark):
-    got = value(spark, "Sources: a\nline one\nLine ONE!\nother", lambda c: ocr_text.clean_answer(c, F.lit("en")))
-    assert got == "a\nline one\nother"
-    assert value(spark, "", lambda c: ocr_text.clean_answer(c, F.lit("en"))).startswith("The information is not available")
+    def clean(x):
+        return ocr_text.clean_answers(spark.createDataFrame([(1, x, "en")], "k int, t string, lang string"), "k", "t", "lang").first()["answer"]
+
+    assert clean("Sources: a\nline one\nLine ONE!\nother") == "a\nline one\nother"
+    assert clean("").startswith("The information is not available")
 
 
 def test_splice_digits(spark):
-    df = spark.createDataFrame([("no 12x4 and 9k9 end",)], "t string")
-    assert df.select(ocr_text.spliced(F.col("t"), F.array(F.lit("1234"))).alias("v")).first()["v"] == "no 1234 and 9k9 end"
+    df = spark.createDataFrame([(1, "no 12x4 and 9k9 end")], "k int, t string").withColumn("r", F.array(F.lit("1234")))
+    assert ocr_text.spliced(df, "k", "t", "r").first()["text"] == "no 1234 and 9k9 end"
