@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 REGISTRY = "conversation_id string, file_hash string, filename string, stored_path string, file_type string, chunks int, processed_at timestamp, document_id string"
-CHUNKS = "conversation_id string, document_id string, source string, page int, chunk_index int, total_chunks int, text string, embedding array<float>, bucket int"
+CHUNKS = "conversation_id string, document_id string, source string, page int, chunk_index int, total_chunks int, text string, embedding array<float>, file_type string, chunk_type string, sheet_name string, row_range string, bucket int"
 
 
 def file_hash(content: Column) -> Column:
@@ -37,6 +40,12 @@ def without_document(rows: DataFrame, document_id: str, conversation_id: str) ->
     return rows.where(~(F.col("document_id").eqNullSafe(document_id) & F.col("conversation_id").eqNullSafe(conversation_id)))
 
 
+def by_name(registry: DataFrame, filename: str | None = None, document_id: str | None = None) -> DataFrame:
+    """Registry rows of a file name, whatever its case, or of a document."""
+    rows = registry if filename is None else registry.where(F.lower("filename") == filename.lower())
+    return rows if document_id is None else rows.where(F.col("document_id") == document_id)
+
+
 def files(registry: DataFrame, conversation_id: str | None = None) -> DataFrame:
     """Registered files, the latest first; of all conversations if none is named."""
     rows = registry if conversation_id is None else registry.where(F.col("conversation_id") == conversation_id)
@@ -52,10 +61,35 @@ class ChunkStore:
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64, dim: int | None = None):
         self.spark, self.path, self.buckets, self.dim = spark, path.rstrip("/"), buckets, dim
+        self._asides: list[str] = []
+
+    def _delete(self, path: str) -> None:
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+    def _tidy(self) -> None:
+        """Delete what was written aside, once nothing reads it any more."""
+        while self._asides:
+            self._delete(self._asides.pop())
 
     def bucket(self, conversation: Column) -> Column:
         return F.pmod(F.xxhash64(conversation), F.lit(self.buckets)).cast("int")
 
+    def ready(self, tries: int = 5, wait: float = 2.0) -> bool:
+        """Whether the store can be read, asked a few times; a store that nothing was added to is ready. Never raises."""
+        for i in range(tries):
+            try:
+                return self.read("registry").limit(1).count() >= 0
+            except Exception:
+                if i + 1 < tries:
+                    time.sleep(wait)
+        return False
+
+    def registered(self, conversation_id: str, filename: str | None = None, document_id: str | None = None) -> DataFrame:
+        """A conversation's registry rows, of one file name or document if given, the latest first."""
+        rows = self.read("registry").where((F.col("bucket") == self.bucket(F.lit(conversation_id))) & (F.col("conversation_id") == conversation_id))
+        return files(by_name(rows, filename, document_id))
+
     def exists(self, name: str) -> bool:
         target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
@@ -75,13 +109,19 @@ class ChunkStore:
         rows.repartition("bucket").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/{name}")
 
     def _check(self, chunks: DataFrame) -> None:
+        """Vectors must have the store's length, and what is stored must have its columns."""
         if self.dim is not None and chunks.where(F.size("embedding") != self.dim).limit(1).count():
             raise RuntimeError(f"vectors must have {self.dim} components")
+        if self.exists("chunks"):
+            held = {f.name for f in self.spark.read.parquet(f"{self.path}/chunks").schema.fields}
+            if missing := {x.split()[0] for x in CHUNKS.split(", ")} - held:
+                raise RuntimeError(f"the stored chunks lack {sorted(missing)}")
 
     def add(self, chunks: DataFrame, registry: DataFrame) -> None:
         self._check(chunks)
         self._write("chunks", chunks, "append")
         self._write("registry", registry, "append")
+        self._tidy()
 
     def _swap(self, name: str, conversation_id: str, keep: Column, extra: DataFrame | None) -> int:
         """Rewrite one conversation's bucket without the rows that ``keep`` excludes, plus ``extra``; the number of rows left out."""
@@ -93,34 +133,37 @@ class ChunkStore:
             if rows.limit(1).count():
                 self._write(name, rows, "overwrite")
             else:
-                fs_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/bucket={self.spark.range(1).select(self.bucket(F.lit(conversation_id))).first()[0]}")
-                fs_path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(fs_path, True)
+                self._delete(f"{self.path}/{name}/bucket={self.spark.range(1).select(self.bucket(F.lit(conversation_id))).first()[0]}")
         return gone
 
     def _held(self, rows: DataFrame) -> DataFrame:
-        """Rows written aside, since a folder cannot be overwritten while it is read."""
-        aside = f"{self.path}/_aside"
-        rows.write.mode("overwrite").parquet(aside)
+        """Rows written aside, since a folder cannot be overwritten while it is read; each change has a folder of its own."""
+        aside = f"{self.path}/_aside/{uuid.uuid4().hex}"
+        rows.write.parquet(aside)
+        self._asides.append(aside)
         return self.spark.read.schema(rows.schema).parquet(aside)
 
     def delete_conversation(self, conversation_id: str) -> int:
         """Number of registry rows removed; 0 on repetition."""
         keep = ~F.col("conversation_id").eqNullSafe(conversation_id)
         self._swap("chunks", conversation_id, keep, None)
-        return self._swap("registry", conversation_id, keep, None)
+        gone = self._swap("registry", conversation_id, keep, None)
+        self._tidy()
+        return gone
 
     def delete_document(self, document_id: str, conversation_id: str) -> int:
         """Number of chunks removed; 0 on repetition, and for another conversation's document."""
         keep = ~(F.col("document_id").eqNullSafe(document_id) & F.col("conversation_id").eqNullSafe(conversation_id))
         gone = self._swap("chunks", conversation_id, keep, None)
         self._swap("registry", conversation_id, keep, None)
+        self._tidy()
         return gone
 
     def reindex(self, document_id: str, conversation_id: str, chunks: DataFrame, registry: DataFrame) -> int:
         """Replace a document's chunks in one partition overwrite; its id stays. Refuses unknown documents and empty replacements."""
-        known = self.read("registry").where((F.col("document_id") == document_id) & (F.col("conversation_id") == conversation_id)).limit(1).count()
-        if not known:
+        if not self.registered(conversation_id, document_id=document_id).limit(1).count():
             raise ValueError(f"document {document_id} is not in conversation {conversation_id}")
+        chunks = self._held(chunks)  # parsed and embedded once
         n = chunks.count()
         if not n:
             raise ValueError("the new version has no chunks")
@@ -128,4 +171,5 @@ class ChunkStore:
         keep = ~(F.col("document_id").eqNullSafe(document_id) & F.col("conversation_id").eqNullSafe(conversation_id))
         self._swap("chunks", conversation_id, keep, chunks)
         self._swap("registry", conversation_id, keep, registry)
+        self._tidy()
         return n

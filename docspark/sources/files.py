@@ -8,7 +8,7 @@ import json
 import re
 import zipfile
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..functions import text as X
+from ..operators import images
+from ..operators.images import Recognise
 from ..operators.sheets import frame_chunks
 from .validation import validate
 
-PAGES = "path string, filename string, file_type string, page int, text string, chunk_type string, sheet_name string, row_range string"
+PAGES = "path string, filename string, file_type string, page int, text string, chunk_type string, sheet_name string, row_range string, error string"
 
 
 def scan(spark: SparkSession, path: str, settings: Settings = DEFAULTS, glob: str = "*") -> DataFrame:
@@ -104,55 +106,116 @@ def docx_page(data: bytes) -> str:
     return "\n".join(s for p in body.iter(f"{w}p") if (s := "".join(t.text or "" for t in p.iter(f"{w}t")).strip()))
 
 
-def pdf_pages(data: bytes) -> list[str]:
-    """Text of each page of a PDF whose content streams are plain or deflated and whose strings are literal; others come back empty."""
-    objects = {int(m[1]): m[2] for m in re.finditer(rb"(\d+) \d+ obj(.*?)endobj", data, re.S)}
-
-    def stream(body: bytes) -> bytes:
-        m = re.search(rb"stream\r?\n(.*?)\r?\nendstream", body, re.S)
-        if not m:
-            return b""
-        try:
-            return zlib.decompress(m[1]) if b"FlateDecode" in body else m[1]
-        except zlib.error:
-            return b""
+def pdf_objects(data: bytes) -> dict[int, bytes]:
+    """Bodies of a PDF's objects by number, also those packed into object streams."""
+    objects = {int(m[1]): m[2] for m in re.finditer(rb"(\d+) \d+ obj\b(.*?)endobj", data, re.S)}
+    for body in list(objects.values()):
+        if not re.search(rb"/Type\s*/ObjStm\b", body):
+            continue
+        inner, n, first = pdf_stream(body), re.search(rb"/N\s+(\d+)", body), re.search(rb"/First\s+(\d+)", body)
+        if not (n and first):
+            continue
+        head = list(map(int, inner[: int(first[1])].split()))[: 2 * int(n[1])]
+        places = [*(int(first[1]) + x for x in head[1::2]), len(inner)]
+        for number, a, b in zip(head[::2], places, places[1:], strict=False):
+            objects.setdefault(number, inner[a:b])
+    return objects
 
-    pages = []
+
+def pdf_stream(body: bytes) -> bytes:
+    m = re.search(rb"stream\r?\n(.*?)\r?\n?endstream", body, re.S)
+    if not m:
+        return b""
+    try:
+        return zlib.decompressobj().decompress(m[1]) if b"FlateDecode" in body else m[1]  # its last byte may look like a line's end
+    except zlib.error:
+        return b""
+
+
+def pdf_page_order(objects: dict[int, bytes]) -> list[int]:
+    """Page objects in the order of the page tree; those that no tree reaches follow by number."""
+    is_page = lambda n: re.search(rb"/Type\s*/Page\b", objects.get(n, b""))
+    out, stack, seen = [], [], set()
     for body in objects.values():
-        if not re.search(rb"/Type\s*/Page\b", body):
+        if re.search(rb"/Type\s*/Catalog\b", body) and (m := re.search(rb"/Pages\s+(\d+) \d+ R", body)):
+            stack.append(int(m[1]))
+    while stack:
+        n = stack.pop()
+        if n in seen:
             continue
-        refs = [int(x) for x in re.findall(rb"(\d+) \d+ R", (re.search(rb"/Contents\s*(\[[^\]]*\]|\d+ \d+ R)", body) or [b"", b""])[1])]
-        content = b"\n".join(stream(objects.get(r, b"")) for r in refs)
-        lines = []
-        for show in re.finditer(rb"\[((?:[^\]\\]|\\.)*)\]\s*TJ|(\((?:[^()\\]|\\.)*\))\s*(?:Tj|'|\")", content, re.S):
-            parts = re.findall(rb"\(((?:[^()\\]|\\.)*)\)", show[1] or show[2], re.S)
-            lines.append(re.sub(rb"\\([()\\])", rb"\1", b"".join(parts)).decode("latin-1"))
-        pages.append("\n".join(lines).strip())
-    return pages
+        seen.add(n)
+        if is_page(n):
+            out.append(n)
+        elif m := re.search(rb"/Kids\s*\[([^\]]*)\]", objects.get(n, b""), re.S):
+            stack += reversed([int(x) for x in re.findall(rb"(\d+) \d+ R", m[1])])
+    return out + [n for n in sorted(objects) if n not in seen and is_page(n)]
+
+
+ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 
 
-Recogniser = Callable[[bytes], str]
+def pdf_string(raw: bytes) -> str:
+    """A literal string's or a hexadecimal string's text; UTF-16 by its mark, else one byte a character."""
+    if raw[:1] == b"<":
+        digits = re.sub(rb"[^0-9A-Fa-f]", b"", raw)
+        value = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+    else:
+        value = re.sub(rb"\\([0-7]{1,3}|\r?\n|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else b"" if m[1][-1:] == b"\n" else ESCAPES.get(m[1], m[1]), raw[1:-1], flags=re.S)
+    return value[2:].decode("utf-16-be", "replace") if value[:2] == b"\xfe\xff" else value.decode("latin-1")
 
 
-def load(files: DataFrame, recognise: Recogniser | None = None, settings: Settings = DEFAULTS) -> DataFrame:
-    """One row per page, sheet chunk or whole file of the valid ``files`` (path, filename, content). Broken files give no rows.
+STRING = rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]*>"
+SHOWN = re.compile(rb"\[((?:" + STRING + rb"|[^\]()<>])*)\]\s*TJ|(" + STRING + rb")\s*(?:Tj|'|\")|(T\*|\bT[dDm]\b|\bET\b)", re.S)
 
-    ``recognise`` reads images; without it they give no rows.
+
+def pdf_pages(data: bytes) -> list[str]:
+    """Text of each page of a PDF in the order of its page tree; content streams may be plain or deflated. Fonts with codes of their own are not mapped."""
+    objects = pdf_objects(data)
+    pages = []
+    for number in pdf_page_order(objects):
+        refs = [int(x) for x in re.findall(rb"(\d+) \d+ R", (re.search(rb"/Contents\s*(\[[^\]]*\]|\d+ \d+ R)", objects[number]) or [b"", b""])[1])]
+        content, lines, line = b"\n".join(pdf_stream(objects.get(r, b"")) for r in refs), [], ""
+        for m in SHOWN.finditer(content):
+            if m[3]:
+                lines, line = ([*lines, line] if line else lines), ""
+            else:
+                line += "".join(pdf_string(x[0]) for x in re.finditer(STRING, m[1] if m[1] is not None else m[2], re.S))
+        pages.append("\n".join([*lines, line] if line else lines).strip())
+    return pages
+
+
+def load(files: DataFrame, recognise: Recognise | None = None, settings: Settings = DEFAULTS) -> DataFrame:
+    """One row per page, sheet chunk or whole file of the valid ``files`` (path, filename, content).
+
+    ``recognise`` reads images; without it they are an error. A file that no reader here takes, or that is broken, gives one row
+    with its ``error`` and no text, so that none disappears.
     """
 
     def rows(name: str, kind: str, data: bytes) -> Iterator[tuple]:
+        ext = name.lower().rpartition(".")[2]
+        if ext in ("xls", "doc"):
+            raise LookupError(f"no reader for .{ext} files")
         if kind == "excel":
-            sheets = {name.rpartition(".")[0]: csv_frame(data)} if name.lower().endswith(".csv") else xlsx_frames(data)
+            sheets = {name.rpartition(".")[0]: csv_frame(data)} if ext == "csv" else xlsx_frames(data)
             for i, (sheet, frame) in enumerate((k, f) for k, f in sheets.items() if not f.dropna(how="all").empty):
                 for chunk_type, span, body in frame_chunks(sheet, frame, settings):
-                    yield i, body, chunk_type, sheet, span
+                    yield i, body, chunk_type, sheet, span, None
         elif kind == "pdf":
-            for i, body in enumerate(pdf_pages(data)):
-                yield i, body, None, None, None
-        else:
-            body = json_page(data) if kind == "json" else docx_page(data) if kind == "docx" else (recognise(data) if recognise else "") if kind == "image" else text_page(data)
-            if body:
-                yield 0, body, None, None, None
+            found = pdf_pages(data)
+            if not found:
+                raise LookupError("no page was found")
+            for i, body in enumerate(found):
+                yield i, body, None, None, None, None
+        elif kind == "image":
+            if recognise is None:
+                raise LookupError("no recogniser for images")
+            image = images.decode(data)
+            if image is None:
+                raise LookupError("no decoder for this image")
+            if body := images.read_image(image, recognise):
+                yield 0, body, None, None, None, None
+        elif body := json_page(data) if kind == "json" else docx_page(data) if kind == "docx" else text_page(data):
+            yield 0, body, None, None, None, None
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [x.split()[0] for x in PAGES.split(", ")]
@@ -161,8 +224,8 @@ def load(files: DataFrame, recognise: Recogniser | None = None, settings: Settin
             for path, name, kind, data in zip(f["path"], f["filename"], f["file_type"], f["content"], strict=True):
                 try:
                     out += [(path, name, kind, *r) for r in rows(name, kind, bytes(data))]
-                except (ValueError, KeyError, IndexError, zipfile.BadZipFile, ElementTree.ParseError, pd.errors.ParserError):
-                    continue
+                except (LookupError, ValueError, zipfile.BadZipFile, ElementTree.ParseError, pd.errors.ParserError) as e:
+                    out.append((path, name, kind, 0, None, None, None, None, str(e)[:200] or type(e).__name__))
             yield pd.DataFrame(out, columns=columns)
 
     good = validate(files).where("status = 'ok'").select("path", "filename", "file_type", "content")
@@ -195,14 +258,3 @@ def fact_files(spark: SparkSession, path: str) -> DataFrame:
     legacy = F.when(F.coalesce(body["summary"], F.lit("")) != "", F.array(F.struct(body["summary"].alias("text"), F.lit("fact").alias("category"), F.lit(3).alias("importance"), body["updated_at"].alias("updated_at"))))
     rows = raw.select("path", F.posexplode(F.coalesce(body["facts"], legacy)).alias("pos", "f"))
     return rows.select(F.regexp_extract("path", r"([^/]*)\.json$", 1).alias("conversation_id"), "pos", "f.*").where(X.clean(F.col("text")) != "")
-
-
-def audio_gate(audio: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Recordings worth transcribing: large enough, and not silent as far as the measured volume (column ``log``) says."""
-    db = X.volume_db(F.col("log"))
-    return audio.where(F.octet_length("content") >= settings.min_audio_bytes).where(F.coalesce(db >= settings.min_volume_db, F.lit(True)))
-
-
-def spoken_language(asked: str, p_ar: str, p_en: str):
-    """The language asked for, or Arabic where its probability reaches three quarters of English's or is unknown."""
-    return F.when(F.col(asked).isin("ar", "en"), F.col(asked)).when(F.coalesce(F.col(p_ar) >= 0.75 * F.col(p_en), F.lit(True)), "ar").otherwise("en")
