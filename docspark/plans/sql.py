@@ -118,7 +118,6 @@ ORACLES = {
       g AS (SELECT doc_id, min(pos) AS a0, CASE WHEN count(*) > 1 THEN string_agg(s, ' ' ORDER BY pos) ELSE min(line) END AS line FROM p GROUP BY doc_id, island, part)
       SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY a0) - 1)::INT AS place, md5(line) AS line FROM g""",
     "digit_tokens": f"SELECT doc_id, len(list_filter(string_split(text, ' '), lambda t: {SUSPECT}))::INT AS n FROM documents",
-    "delete_document": "SELECT doc_id, source FROM documents WHERE NOT (doc_id = 7 AND source = 'src7') AND NOT (doc_id = 8 AND source = 'src0')",
     "reindex_swap": "SELECT doc_id, md5(text) AS body FROM documents WHERE doc_id <> 7 UNION ALL SELECT doc_id, md5(upper(text)) FROM documents WHERE doc_id = 7",
     "upload_validation": "SELECT * FROM (VALUES ('a.pdf', 'ok', 'pdf'), ('b.PDF', 'invalid', NULL), ('c.docx', 'ok', 'docx'), ('d.xls', 'ok', 'excel'), ('e.txt', 'ok', 'txt'), ('f.txt', 'invalid', NULL), ('g.exe', 'unsupported', NULL), ('h.md', 'empty', NULL), ('noext', 'unsupported', NULL), ('i.png', 'ok', 'image'), ('j.jpg', 'invalid', NULL), ('k.csv', 'ok', 'excel')) t(filename, status, file_type)",
     "content_types": "SELECT * FROM (VALUES ('a.pdf', 'application/pdf'), ('d.xls', 'application/vnd.ms-excel'), ('k.csv', 'text/csv'), ('i.png', 'application/octet-stream'), ('e.txt', 'text/plain'), ('zzz', 'application/octet-stream')) t(filename, content_type)",
