@@ -146,7 +146,7 @@ class Extractor(Protocol):
 
 
 class ExtractiveGenerator:
-    """Answers with the sentences of the prompt that share most words with its last line. No model."""
+    """Answers with the sentences of a prompt's material that share most words with its last line, each once. No model."""
 
     provider = "extractive"
 
@@ -154,11 +154,24 @@ class ExtractiveGenerator:
         self.sentences = sentences
 
     def invoke(self, prompt: str) -> str:
-        *body, question = [x for x in prompt.strip().split("\n") if x.strip()] or [""]
+        task, *body = [x for x in prompt.strip().split("\n") if x.strip()] or [""]
+        question = body.pop() if body else task
+        if "[end]" in body:  # the material stands between marks
+            end = len(body) - body[::-1].index("[end]") - 1
+            start = next((i for i, x in enumerate(body) if x.startswith("[") and x.endswith("]")), -1)
+            body = body[start + 1 : end]
+        elif question == "[end]":
+            body, question = body[1:], task
         wanted = set(re.findall(r"\w+", question.lower()))
-        found = [s for line in body for s in re.split(r"(?<=[.!?؟۔])\s+", line) if s.strip()]
+        found, seen = [], set()
+        for line in body:
+            for s in re.split(r"(?<=[.!?؟۔])\s+", line):
+                form = " ".join(s.lower().split())
+                if form and form not in seen and not (form.startswith("[") and form.endswith("]")):
+                    seen.add(form)
+                    found.append(s.strip())
         order = sorted(range(len(found)), key=lambda i: (-len(wanted & set(re.findall(r"\w+", found[i].lower()))), i))[: self.sentences]
-        return " ".join(found[i].strip() for i in sorted(order))
+        return " ".join(found[i] for i in sorted(order))
 
     def stream(self, prompt: str) -> Iterator[str]:
         for word in self.invoke(prompt).split(" "):
