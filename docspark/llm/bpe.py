@@ -31,6 +31,15 @@ MEMORY = 400_000
 GAP = r"\t\n\x0b\x0c\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
+#: Letters and digits that Unicode 16 added to 15.1, as first and last; the tokenizer's patterns know these, and no later ones.
+UNICODE_16 = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D40, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x113D3), (0x11BC0, 0x11BF9),
+    (0x116D0, 0x116E3), (0x13460, 0x143FA), (0x16100, 0x16139), (0x16D40, 0x16D79), (0x18CFF, 0x18CFF), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5FA),
+]
+#: Capitals that Unicode 16 and 17 added, as first, last and the small letter of the first.
+CAPITALS = [(0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB)]
+
+
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in byte-level vocabularies."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -55,6 +64,12 @@ class WordBpe:
         self.split = regex.compile(split.replace(r"\s", GAP))
         self.gap = regex.compile(f"[{GAP}]+")
         self.odd = regex.compile(r"[\x1c-\x1f]")
+        # letters and digits that this pattern engine knows and the tokenizer's older tables do not: signs, as any unassigned code point
+        known = {c for a, b in UNICODE_16 for c in range(a, b + 1)}
+        self.small = {a + i: small + i for a, b, small in CAPITALS for i in range(b - a + 1) if unicodedata.category(chr(a + i)) == "Cn"}
+        self.capitals = regex.compile("[" + "".join(map(chr, self.small)) + "]") if self.small else None
+        unassigned = "".join(c for i in range(0x80, 0x110000) if not 0xD800 <= i < 0xE000 and i not in known and unicodedata.category(c := chr(i)) == "Cn")
+        self.novel = dict.fromkeys(map(ord, regex.findall(r"[\p{L}\p{N}]", unassigned)), 0xE000)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.known: dict[str, bytes] = {}
 
@@ -90,7 +105,9 @@ class WordBpe:
 
     def chunk(self, chunk: str) -> bytes:
         """Ids of a text without white space, as little-endian 32-bit integers."""
-        ids = [i for w in self.split.findall(chunk) for i in self.word(w)]
+        seen = chunk if chunk.isascii() else chunk.translate(self.novel)
+        words = self.split.findall(chunk) if seen == chunk else [chunk[m.start() : m.end()] for m in self.split.finditer(seen)]
+        ids = [i for w in words for i in self.word(w)]
         if len(self.known) >= MEMORY:
             self.known.clear()
         out = np.array(ids, "<i4").tobytes()
@@ -99,7 +116,10 @@ class WordBpe:
         return out
 
     def plain(self, text: str) -> bytes:
-        text = text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            if self.capitals and self.capitals.search(text):
+                text = text.translate(self.small)
         text = text.lower()
         chunks = self.gap.split(text) if self.odd.search(text) else text.split()
         known = self.known.get
