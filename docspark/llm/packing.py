@@ -14,6 +14,7 @@ pieces; a null doc_id is carried along; only id and text are read, so other colu
 from __future__ import annotations
 
 import base64
+import json
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -31,7 +32,6 @@ WINDOW = 2048
 END_ID = 1
 MEMORY = 400_000
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-MARK, MARK_ID = "<|endoftext|>", 50256
 #: The published split pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Where white space meets so that cutting at single spaces could change a token.
@@ -39,11 +39,17 @@ MEETS = re.compile(r"\s \s|\s $")
 
 
 class ByteBpe:
-    """Ids of the byte-level vocabulary as little-endian 32-bit integers, with a memory of pieces between single spaces."""
+    """Ids of the byte-level vocabulary as little-endian 32-bit integers, with a memory of pieces between single spaces.
+
+    Ranks come from the ``.tiktoken`` file, added tokens from the ``.json`` file of the same name beside it.
+    """
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        with open(path.rsplit(".", 1)[0] + ".json", encoding="utf-8") as f:
+            self.special = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.encoder = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes] = {}
 
@@ -66,10 +72,10 @@ class ByteBpe:
         return self.ids(first) + b"".join([x if (x := known(p)) is not None else self.piece(p) for p in rest])
 
     def encode(self, text: str) -> np.ndarray:
-        if MARK not in text:
+        if not any(m in text for m in self.special):
             return np.frombuffer(self.plain(text), "<u4")
-        mark = np.array([MARK_ID], "<u4").tobytes()
-        return np.frombuffer(mark.join(self.plain(x) for x in text.split(MARK)), "<u4")
+        parts = self.marks.split(text)
+        return np.frombuffer(b"".join(np.array([self.special[x]], "<u4").tobytes() if x in self.special else self.plain(x) for x in parts), "<u4")
 
 
 @lru_cache(1)
