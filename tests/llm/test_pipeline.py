@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 tokenizers = pytest.importorskip("tokenizers")
 
@@ -95,6 +96,23 @@ def test_repeated_rows(spark):
     assert sorted(r["text"] for r in corpus_pipeline.repeats(spark, kept, "").collect()) == sorted(t for _, t in got)
 
 
+def test_odd_rows(spark):
+    """Nulls in any column, a very long text, rows that repeat, and columns named as the operators name theirs."""
+    text = lambda k, n=80: " ".join(f"word{k}{i}" for i in range(n))
+    long = text("l", 400_000)
+    rows = [(1, text("a"), "en", "s", 1), (1, text("a"), "en", "s", 1), (2, None, "en", "s", None), (None, text("b"), None, None, None), (3, "", "", "", 0), (4, long, "en", "s", len(long)), (5, text("c") + " token=abcdefgh12345", "en", "s", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("row", "component", "first", "n", "id", "kept", "spans", "ranges", "body_id", "ids", "host", "key"):
+        docs = docs.withColumn(c, F.lit(f"own {c}"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialise(stage(spark, docs, ""))
+        assert docs.columns == corpus_pipeline.COLUMNS
+    got = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert got == {1: text("a"), None: text("b"), 4: long, 5: text("c") + " [assign]"} and docs.count() == 4
+    pieces = corpus_pipeline.packed(spark, docs, "").toPandas()
+    assert set(pieces["doc_id"].dropna()) == {1, 4, 5} and int(pieces[pieces["doc_id"] == 4]["length"].sum()) == int(pieces[pieces["doc_id"] == 4]["doc_tokens"].iloc[0])
+
+
 def test_empty(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
