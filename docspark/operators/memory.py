@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -59,6 +60,28 @@ def rendered(facts: DataFrame, conv: str, order: str, budget: int = DEFAULTS.fac
     return placed.where((F.col("_s") <= budget) | (F.col("_r") == 1)).groupBy(conv).agg(F.array_join(parts, "\n").alias("facts"))
 
 
+def facts_of(snapshots: DataFrame, extract: Callable[[str], str], conv: str = "conv_id", snapshot: str = "snapshot") -> DataFrame:
+    """``conv, pos, text, category, importance``: what an extractor's JSON (``{"facts": [...]}``) says of snapshots, tidied.
+
+    An extractor that fails, or whose answer holds no such object, gives no facts.
+    """
+    kind = dict(snapshots.dtypes)[conv]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            said = []
+            for text in f[snapshot]:
+                try:
+                    said.append(extract(text))
+                except Exception:
+                    said.append("")
+            yield pd.DataFrame({conv: f[conv], "said": said})
+
+    told = snapshots.where(F.col(snapshot).isNotNull()).select(conv, snapshot).mapInPandas(run, f"{conv} {kind}, said string")
+    read = F.try_variant_get(T.salvage_json(F.col("said")), "$.facts", "array<struct<text:string,category:string,importance:string>>")
+    return told.select(conv, F.posexplode(cleaned(read)).alias("pos", "f")).select(conv, "pos", "f.*")
+
+
 def cleaned(raw: Column) -> Column:
     """An extractor's facts (array of text, category, importance): unknown categories become ``fact``, importance 1 to 5, blanks go."""
     known = F.array(*map(F.lit, CATEGORIES))

@@ -5,16 +5,16 @@ from __future__ import annotations
 import contextlib
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..functions import text as T
+from ..functions import tokens
 from ..functions import vectors as V
-from ..functions.values import NOT_FOUND
-from ..operators import chunking, dedupe, images, lexical, memory, objects, ocr_text, profile, prompts, ranking, report, search, store
+from ..operators import chunking, dedupe, images, lexical, memory, objects, ocr_text, pdf, profile, prompts, ranking, report, search, store
 from ..plugins import Embedder, ExtractiveGenerator, Generator, Planner, Remembering, Reranker, Rewriter, RulePlanner, embedding, reranked
 from ..sources import files
 
@@ -43,9 +43,10 @@ class Engine:
 
     # ---- ingestion
 
-    def _prepared(self, found: DataFrame, conversation_id: str, document_id: str | None = None) -> tuple[DataFrame, DataFrame]:
-        """(chunks, registry rows) of files (path, filename, content)."""
+    def _prepared(self, found: DataFrame, conversation_id: str, document_id: str | None = None, progress: Callable[[str], None] = lambda stage: None) -> tuple[DataFrame, DataFrame]:
+        """(chunks, registry rows) of files (path, filename, content). ``progress`` hears of each stage as its plan is made; all run in one job."""
         s = self.settings
+        progress("parsing")
         hashed = found.select("path", "filename", "content", store.file_hash(F.col("content")).alias("file_hash")).withColumn("conversation_id", F.lit(conversation_id))
         new = store.new_uploads(hashed, self.store.read("registry")) if document_id is None else hashed
         ids = F.lit(document_id) if document_id else F.concat_ws("-", F.substring("file_hash", 1, 16), F.substring(F.md5(F.lit(conversation_id)), 1, 8))
@@ -53,10 +54,12 @@ class Engine:
         pages = files.load(new, self.recognise, settings=s).where("error is null").join(new.select("path", "file_hash", "document_id"), "path")
         order = F.concat_ws("/", "path", F.format_string("%09d", "page"), F.coalesce("row_range", F.lit("")))
         pages = dedupe.prefix_dedupe(pages.withColumn("text", T.enrich(F.col("text"))).withColumn("key", order), "text", "key")
+        progress("chunking")
         whole = pages.where("file_type = 'excel'").select("key", F.lit(0).alias("pos"), F.col("text").alias("chunk")).where(T.is_meaningful(F.col("chunk")))
         made = chunking.chunk(pages.where("file_type <> 'excel'"), "key", "text", s).unionByName(whole)
         rows = made.join(pages.select("key", "filename", "page", "document_id", "file_hash", "path", *SHEET), "key").withColumn("source", F.col("filename"))
         rows = chunking.number_chunks(rows, "source", ["key", "pos"]).withColumn("conversation_id", F.lit(conversation_id))
+        progress("embedding")
         chunks = rows.select("conversation_id", "document_id", "source", "page", "chunk_index", "total_chunks", F.col("chunk").alias("text"), embedding(self.embedder, F.col("chunk")).alias("embedding"), *SHEET, "file_hash")
         chunks = self.store._held(chunks)  # files are parsed and embedded once; all that follows reads this
         kinds = chunks.groupBy("conversation_id", "file_hash", F.col("source").alias("filename"), "file_type", "document_id").agg(F.count("*").cast("int").alias("chunks"))
@@ -67,8 +70,8 @@ class Engine:
         """Index the new files below ``path``; the number of chunks."""
         return self.ingest_files(files.scan(self.spark, path, self.settings, glob), conversation_id)
 
-    def ingest_files(self, found: DataFrame, conversation_id: str) -> int:
-        chunks, registry = self._prepared(found, conversation_id)
+    def ingest_files(self, found: DataFrame, conversation_id: str, progress: Callable[[str], None] = lambda stage: None) -> int:
+        chunks, registry = self._prepared(found, conversation_id, progress=progress)
         n = chunks.count()
         if n:
             self.store.add(chunks, registry)
@@ -303,10 +306,13 @@ class Engine:
         """``section, place, item`` of a stored document."""
         return self.report_data(conversation_id, source)["items"].select("section", "place", "item")
 
-    def write_report(self, made: dict[str, DataFrame], topic: str | None = None) -> str:
-        """A report as a Markdown object; its path."""
-        row = report.markdown(made["rendered"], "source", "source").select("body", report.object_name(F.col("source"), F.lit(topic).cast("string")).alias("name")).first()
-        return self.objects.put(row["name"].removesuffix(".pdf") + ".md", row["body"].encode())
+    def write_report(self, made: dict[str, DataFrame], topic: str | None = None, markdown: bool = False) -> str:
+        """A report as a PDF object, or as Markdown; its path. Lists are capped, so its rows are few."""
+        row = report.markdown(made["rendered"], "source", "source").select("source", "body", report.object_name(F.col("source"), F.lit(topic).cast("string")).alias("name")).first()
+        if markdown:
+            return self.objects.put(row["name"].removesuffix(".pdf") + ".md", row["body"].encode())
+        parts = [(r["title"], r["body"]) for r in made["rendered"].orderBy("place").collect()]
+        return self.objects.put(row["name"], pdf.report_pdf(row["source"], parts))
 
     # ---- memory and measures
 
@@ -345,6 +351,16 @@ class Engine:
         register_functions(self.spark)
 
 
+    def health(self) -> dict[str, bool]:
+        """Whether the store and the folder of objects can be reached."""
+        try:
+            self.objects.exists(".")
+            objects_ = True
+        except Exception:
+            objects_ = False
+        return {"store": self.store.ready(tries=1), "objects": objects_}
+
+
 def register_functions(spark: SparkSession) -> None:
     """Splitters and the embedder for SQL: ``recursive_chunks(text, size, overlap)``, ``hash_embedding(text)``."""
     split = F.udf(lambda text, size, overlap: chunking.split_recursively(text or "", size, overlap), "array<string>", useArrow=True)
@@ -352,9 +368,11 @@ def register_functions(spark: SparkSession) -> None:
     spark.udf.register("hash_embedding", V.hash_embedding)
 
 
-def refusal(lang: str) -> str:
-    return NOT_FOUND[lang]
-
-
 def new_conversation_id() -> str:
     return uuid.uuid4().hex
+
+
+def new_session(secret: str) -> tuple[str, str]:
+    """A new conversation's id and the token that proves it."""
+    made = new_conversation_id()
+    return made, tokens.sign(made, secret)

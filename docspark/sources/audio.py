@@ -86,3 +86,10 @@ def transcripts(audio: DataFrame, transcribe: Transcribe, key: str = "path") ->
             yield pd.DataFrame(rows, columns=[key, "status", "text"])
 
     return audio.select(key, "status", "pcm", "language").mapInPandas(run, f"{key} {kind}, status string, text string")
+
+
+def heard(recordings: DataFrame, transcode: Transcode, transcribe: Transcribe, language: str = "auto", key: str = "path", settings: Settings = DEFAULTS) -> DataFrame:
+    """``key, status, text`` of recordings (key, content[, p_ar, p_en]): transcoded, gated, their language chosen, transcribed."""
+    gated = audio_gate(transcoded(recordings, transcode, key, settings), settings)
+    known = recordings.select(key, *(F.col(c) if c in recordings.columns else F.lit(None).cast("double").alias(c) for c in ("p_ar", "p_en")))
+    return transcripts(gated.join(known, key).withColumn("language", spoken_language(F.lit(language), F.col("p_ar"), F.col("p_en"))), transcribe, key)

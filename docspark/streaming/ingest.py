@@ -20,9 +20,9 @@ def stream_files(engine: Engine, path: str, conversation_id: str, checkpoint: st
         row.withColumn("ts", F.current_timestamp()).write.mode("append").parquet(jobs)
 
     def index(rows: DataFrame, batch: int) -> None:
-        say(batch, "parsing", 0)
+        say(batch, "queued", 0)
         try:
-            n = engine.ingest_files(rows.withColumn("filename", F.element_at(F.split("path", "/"), -1)), conversation_id)
+            n = engine.ingest_files(rows.withColumn("filename", F.element_at(F.split("path", "/"), -1)), conversation_id, lambda stage: say(batch, stage, 0))
         except Exception as e:
             say(batch, "error", 0, str(e)[:500])
             raise

@@ -10,13 +10,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import DEFAULTS, Settings
 
-OUT = "conv_id long, turn long, kept int, compacted boolean"
+OUT = "conv_id long, turn long, kept int, compacted boolean, snapshot string"
 
 
 def compacted(messages: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """A row per message (conv_id, turn, text): how many messages memory holds after it, and whether it was cut back.
+    """A row per message (conv_id, turn, role, text): how many messages memory holds after it, whether it was cut back, and if so the
+    messages that it held till then, from which facts are drawn (``facts_of``).
 
-    State is the lengths that are held, so it is bounded by the message cap. It expires after the idle time.
+    State is the messages that are held, so it is bounded by the caps on their number and length. It expires after the idle time.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -24,16 +25,19 @@ def compacted(messages: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
             state.remove()
             return
         held = list(state.get[0]) if state.exists else []
+        lengths = list(state.get[1]) if state.exists else []
         rows = []
         for f in frames:
-            for turn, text in f.sort_values("turn")[["turn", "text"]].itertuples(index=False):
-                held.append(len(text or ""))
-                cut = len(held) > settings.compact_messages or sum(held) > settings.compact_chars
+            for turn, role, text in f.sort_values("turn")[["turn", "role", "text"]].itertuples(index=False):
+                held.append(f"{(role or '').capitalize()}: {text or ''}")
+                lengths.append(len(text or ""))
+                cut = len(held) > settings.compact_messages or sum(lengths) > settings.compact_chars
+                snapshot = "\n".join(held) if cut else None
                 if cut:
-                    held = held[-settings.keep_messages :]
-                rows.append((key[0], turn, len(held), cut))
-        state.update((held,))
+                    held, lengths = held[-settings.keep_messages :], lengths[-settings.keep_messages :]
+                rows.append((key[0], turn, len(held), cut, snapshot))
+        state.update((held, lengths))
         state.setTimeoutDuration(settings.idle_seconds * 1000)
-        yield pd.DataFrame(rows, columns=["conv_id", "turn", "kept", "compacted"])
+        yield pd.DataFrame(rows, columns=["conv_id", "turn", "kept", "compacted", "snapshot"])
 
-    return messages.groupBy("conv_id").applyInPandasWithState(run, OUT, "held array<int>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return messages.groupBy("conv_id").applyInPandasWithState(run, OUT, "held array<string>, lengths array<int>", "append", GroupStateTimeout.ProcessingTimeTimeout)

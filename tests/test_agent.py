@@ -1,17 +1,19 @@
 """Turns of an agent, answers, reports and memory over a small store; models are scripted."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from docspark.config import Settings
 from docspark.functions import tokens
-from docspark.operators import objects
+from docspark.operators import memory, objects
 from docspark.plans import agent
-from docspark.plans.api import Engine
+from docspark.plans.api import Engine, new_session
 from docspark.plugins import Prefixed, Rejected, Remembering, RulePlanner, embedding, reranked
 from docspark.sources import files
+from docspark.streaming.memory import compacted
 
 
 class Scripted:
@@ -150,7 +152,8 @@ def test_reports(engine):
     assert made["definitions"].count() == 1 and made["extent"].first()["page_count"] == 1
     path = engine.write_report(made)
     name = path.rsplit("/", 1)[-1]
-    assert name == "tea.txt_report.md" and engine.objects.get(name).decode().startswith("# tea.txt")
+    assert name == "tea.txt_report.pdf" and files.pdf_pages(engine.objects.get(name))[0] == "tea.txt"
+    assert engine.objects.get(engine.write_report(made, markdown=True).rsplit("/", 1)[-1]).decode().startswith("# tea.txt")
     assert engine.report("c1", "tea.txt").count() > 0
     topic = engine.topic_report_data("zanzibar harbour", "c1")
     assert "tea.txt" in topic["extent"].first()["sources"]
@@ -159,7 +162,7 @@ def test_reports(engine):
     with pytest.raises(ValueError):
         engine.report_data("c1", "none.txt")
     done = agent.Agent(engine, Scripted(act("report", document="tea"))).run("report on tea please, all of it", "c1")
-    assert done["report"].endswith("tea.txt_report.md")
+    assert done["report"].endswith("tea.txt_report.pdf")
     assert "Which document" in agent.Agent(engine, Scripted(act("report"))).run("a report please on something", "c1")["answer"]
     assert "zanzibar" in engine.full_text("c1", "tea.txt")
 
@@ -255,6 +258,36 @@ def test_tokens_and_shapes():
     assert tokens.shaped("ab سلام cd") == "ab \ufee1\ufefc\ufeb3 cd"
 
 
+def test_sessions_and_health(engine):
+    made, token = new_session("s")
+    assert tokens.is_signed(made, token, "s") and engine.health() == {"store": True, "objects": True}
+
+
+def test_short_memory_stream(spark, tmp_path):
+    """The stream cuts where the batch fold does, and hands on what it held."""
+    said = spark.createDataFrame([(c, t, "user", f"message {t} of {c}") for c in (1, 2) for t in range(9 + c)], "conv_id long, turn long, role string, text string")
+    said.write.parquet(str(tmp_path / "in"))
+    settings = Settings(compact_messages=4, compact_chars=600, keep_messages=2)
+    stream = compacted(spark.readStream.schema(said.schema).parquet(str(tmp_path / "in")), settings)
+    q = stream.writeStream.format("memory").queryName("held").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    end = time.time() + 120
+    while time.time() < end and spark.table("held").count() < said.count():
+        time.sleep(1)  # a stream with processing-time timeouts does not end by itself
+    q.stop()
+    got = spark.table("held").collect()
+    want = {tuple(r) for r in memory.compaction_points(said, most=4, chars=600, keep=2).collect()}
+    assert {(r["conv_id"], r["turn"], r["compacted"]) for r in got} == want and any(r["compacted"] for r in got)
+    assert all((r["snapshot"] is not None) == r["compacted"] for r in got)
+
+    def extract(text):
+        if "of 2" in text:
+            raise ValueError
+        return 'Here: {"facts": [{"text": " likes tea ", "category": "Preference", "importance": 9}, {"text": "", "category": "x"}]}'
+
+    facts = memory.facts_of(spark.table("held"), extract).collect()
+    assert {(r["conv_id"], r["text"], r["category"], r["importance"]) for r in facts} == {(1, "likes tea", "preference", 5)}
+
+
 def test_settings_from_the_environment(monkeypatch):
     monkeypatch.setenv("TOP_K", "11")
     monkeypatch.setenv("MMR_LAMBDA", "bad")

@@ -44,7 +44,7 @@ def test_stream_equals_batch(spark, engine, tmp_path):
     q = stream_files(engine, str(tmp_path / "in"), "s", str(tmp_path / "cp"), str(tmp_path / "jobs"))
     assert q.awaitTermination(120)
     assert engine.store.chunks("s").count() == 2
-    assert {r["status"] for r in spark.read.parquet(str(tmp_path / "jobs")).collect()} == {"parsing", "done"}
+    assert {r["status"] for r in spark.read.parquet(str(tmp_path / "jobs")).collect()} == {"queued", "parsing", "chunking", "embedding", "done"}
 
 
 def test_readers(spark, tmp_path):

@@ -154,6 +154,8 @@ def test_recordings(spark):
     assert {r["path"]: r["status"] for r in gated.collect()} == {"small": "small", "good": "ok", "quiet": "silent", "broken": "unreadable", "blank": "ok"}
     got = {r["path"]: (r["status"], r["text"]) for r in audio.transcripts(gated, lambda pcm, lang: f"said in {lang} " if pcm[:1] == b"a" else " ").collect()}
     assert got["good"] == ("ok", "said in en") and got["blank"] == ("no speech", None) and got["quiet"] == ("silent", None)
+    spoken = audio.heard(df, transcode, lambda pcm, lang: f"said in {lang}")
+    assert {r["path"]: r["text"] for r in spoken.collect()}["good"] == "said in ar"
     assert audio.ffmpeg() is None or callable(audio.ffmpeg())
 
 
