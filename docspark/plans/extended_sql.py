@@ -68,6 +68,15 @@ def _pads() -> tuple[str, str]:
     return bytes(b ^ 0x36 for b in key).hex(), bytes(b ^ 0x5C for b in key).hex()
 
 
+def _diverse(pool: str, name: str) -> str:
+    """Step by step the candidate of greatest relevance less likeness to what is chosen, out of the 24 best."""
+    return f"""WITH RECURSIVE pool AS ({pool}), cut AS (SELECT *, count(*) OVER (PARTITION BY question) AS n FROM pool WHERE r <= 24),
+      steps AS (SELECT question, 1 AS pick, r AS last, [r] AS chosen FROM cut WHERE r = 1 UNION ALL
+        SELECT question, pick, last, list_append(chosen, last) FROM (SELECT s.question, s.pick + 1 AS pick, s.chosen, arg_min(c.r, (-CASE WHEN c.n <= 6 THEN -c.r::DOUBLE ELSE round(0.7 * c.score - 0.3 * (SELECT max(list_sum(list_transform(range(1, len(c.v) + 1), lambda k: c.v[k] * o.v[k]))) FROM cut o WHERE o.question = s.question AND list_contains(s.chosen, o.r)), 12) END, c.r)) AS last
+          FROM steps s JOIN cut c ON c.question = s.question AND NOT list_contains(s.chosen, c.r) WHERE s.pick < 6 GROUP BY ALL))
+      SELECT s.question AS {name}, c.vec_id AS point_id, s.pick FROM steps s JOIN cut c ON c.question = s.question AND c.r = s.last"""
+
+
 INNER, OUTER = _pads()
 #: Slices of documents with what the default extractor finds in them.
 LISTS = {
@@ -174,12 +183,8 @@ ORACLES |= {
     "registered_files": "SELECT source AS conversation_id, doc_id::VARCHAR AS document_id, row_number() OVER (ORDER BY doc_id DESC)::INT AS place FROM documents WHERE source = 'src3' AND doc_id % 4 = 3",
     "delete_document": "SELECT doc_id, source FROM documents WHERE NOT (doc_id = 7 AND source = 'src7') AND NOT (doc_id = 8 AND source = 'src0')",
     "delete_conversation": "SELECT source, count(*) AS n, (SELECT count(*) FROM documents WHERE source = 'src3') AS gone, 0::BIGINT AS again FROM documents WHERE source <> 'src3' GROUP BY source",
-    "diverse_points": """WITH RECURSIVE pool AS (SELECT label AS question, vec_id, embedding::DOUBLE[] AS v, score, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS r FROM (SELECT *, (vec_id * 7919 % 1000) / 1000.0::DOUBLE AS score FROM embeddings)),
-      cut AS (SELECT *, count(*) OVER (PARTITION BY question) AS n FROM pool WHERE r <= 24),
-      steps AS (SELECT question, 1 AS pick, r AS last, [r] AS chosen FROM cut WHERE r = 1 UNION ALL
-        SELECT question, pick, last, list_append(chosen, last) FROM (SELECT s.question, s.pick + 1 AS pick, s.chosen, arg_min(c.r, (-CASE WHEN c.n <= 6 THEN -c.r::DOUBLE ELSE round(0.7 * c.score - 0.3 * (SELECT max(list_sum(list_transform(range(1, len(c.v) + 1), lambda k: c.v[k] * o.v[k]))) FROM cut o WHERE o.question = s.question AND list_contains(s.chosen, o.r)), 12) END, c.r)) AS last
-          FROM steps s JOIN cut c ON c.question = s.question AND NOT list_contains(s.chosen, c.r) WHERE s.pick < 6 GROUP BY ALL))
-      SELECT s.question, c.vec_id AS point_id, s.pick FROM steps s JOIN cut c ON c.question = s.question AND c.r = s.last""",
+    "diverse_points": _diverse("SELECT label AS question, vec_id, embedding::DOUBLE[] AS v, score, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS r FROM (SELECT *, (vec_id * 7919 % 1000) / 1000.0::DOUBLE AS score FROM embeddings)", "question"),
+    "mmr_diversify": _diverse(f"SELECT question, vec_id, v, score, row_number() OVER (PARTITION BY question ORDER BY score DESC, vec_id) AS r FROM (SELECT q.vec_id AS question, p.vec_id, p.embedding::DOUBLE[] AS v, round(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings p WHERE q.vec_id % 10 = 0)", "query_id"),
     "wer_words": r"""WITH RECURSIVE pairs AS (SELECT item_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS r, list_filter(regexp_split_to_array(nx, '\s+'), lambda x: x <> '') AS h FROM (SELECT *, lead(text) OVER (ORDER BY item_id) AS nx FROM benchmark) WHERE nx IS NOT NULL),
       d AS (SELECT item_id, r, h, 0 AS i, range(0, len(h) + 1) AS row FROM pairs UNION ALL
         SELECT item_id, r, h, i + 1, list_transform(range(1, len(h) + 2), lambda j: j + list_min(list_slice(u, 1, j))) FROM (SELECT item_id, r, h, i, list_transform(range(1, len(h) + 2), lambda j: CASE WHEN j = 1 THEN row[1] + 1 ELSE least(row[j] + 1, row[j - 1] + CASE WHEN r[i + 1] = h[j - 1] THEN 0 ELSE 1 END) END - j) AS u FROM d WHERE i < len(r)))

@@ -115,3 +115,31 @@ def test_answer_without_repeated_lines(spark):
 def test_splice_digits(spark):
     df = spark.createDataFrame([(1, "no 12x4 and 9k9 end")], "k int, t string").withColumn("r", F.array(F.lit("1234")))
     assert ocr_text.spliced(df, "k", "t", "r").first()["text"] == "no 1234 and 9k9 end"
+
+
+def test_fact_merge_equals_a_plain_version(spark, sf_dir):
+    """Removals first, then each fact in place of the first alike, else at the end; the least important and oldest go beyond the cap."""
+    from dataclasses import replace
+    from difflib import SequenceMatcher
+
+    from docspark.config import DEFAULTS
+
+    settings = replace(DEFAULTS, max_facts=3, fact_similarity=0.5)
+    t = lambda x: " ".join((x or "").strip().lower().split())
+    alike = lambda a, b: bool(t(a) and t(b)) and SequenceMatcher(None, t(a), t(b)).ratio() >= 0.5
+    said = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    facts = said.select(F.col("conv_id").cast("string").alias("conversation_id"), F.col("turn").cast("int").alias("pos"), F.substring("text", 1, 60).alias("text"), F.lit("fact").alias("category"), (1 + F.col("turn") % 5).cast("int").alias("importance"), F.timestamp_seconds(F.col("turn")).alias("updated_at"))
+    got = memory.merge(facts.where("pos % 2 = 0"), facts.where("pos % 2 = 1"), facts.where("pos = 0").select("conversation_id", "text"), settings).collect()
+    want = {}
+    for r in facts.orderBy("conversation_id", "pos").collect():
+        want.setdefault(r["conversation_id"], []).append(r)
+    for conv, rows in want.items():
+        store = [r for r in rows if r["pos"] % 2 == 0]
+        for gone in [r for r in rows if r["pos"] == 0]:
+            store = [r for r in store if not alike(r["text"], gone["text"])]
+        for new in [r for r in rows if r["pos"] % 2 == 1]:
+            at = next((i for i, r in enumerate(store) if alike(r["text"], new["text"])), None)
+            store = [*store, new] if at is None else [*store[:at], new, *store[at + 1 :]]
+        over = sorted(range(len(store)), key=lambda i: (store[i]["importance"], store[i]["updated_at"], i))[: max(0, len(store) - 3)]
+        left = [r["text"] for i, r in enumerate(store) if i not in over]
+        assert [r["text"] for r in sorted((r for r in got if r["conversation_id"] == conv), key=lambda r: r["pos"])] == left
