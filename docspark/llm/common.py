@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: The white space that separates words in every contract of this subpackage: U+0020 and U+0009 to U+000D.
 WORD_GAP = r"[\x20\x09-\x0D]+"
+#: Bytes of an Arrow batch on its way to Python while a table is written, where the session has such a limit.
+BATCH_SETTING, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "16777216"
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -37,18 +39,35 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def materialise(df: DataFrame, *sort: str) -> DataFrame:
-    """Write ``df`` to a new table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` to a new table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Arrow batches hold ``BATCH`` bytes at most meanwhile, so that the buffers of a task's Python steps stay small.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docspark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH_SETTING, None)
+    if before is not None:
+        spark.conf.set(BATCH_SETTING, BATCH)
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(BATCH_SETTING, before)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written() -> None:
-    """Delete what ``materialise`` has written so far; results that still read it become unreadable."""
-    while _written:
-        spark, path = _written.pop()
+def written() -> int:
+    """How many tables ``materialise`` has written that are still there; a mark for ``drop_written``."""
+    return len(_written)
+
+
+def drop_written(start: int = 0, but_last: bool = False) -> None:
+    """Delete the tables that ``materialise`` has written since the mark ``start``; results that still read them become unreadable."""
+    last = _written[-1:] if but_last else []
+    gone = _written[start : len(_written) - len(last)]
+    _written[start:] = last
+    for spark, path in gone:
         try:
             jvm = spark.sparkContext._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)

@@ -214,8 +214,8 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b, set_a, set_b) whose sets reach the threshold."""
     for batch in batches:
         good = []
-        for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
-            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
+            p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             both = len(np.intersect1d(p, q, assume_unique=True))
             good.append(100 * both >= PERCENT * (len(p) + len(q) - both))
         rows = pa.array(np.flatnonzero(good))

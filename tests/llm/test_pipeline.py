@@ -11,7 +11,7 @@ tokenizers = pytest.importorskip("tokenizers")
 
 import corpus_pipeline  # noqa: E402
 from docspark.llm import near_dedup, queries, secrets  # noqa: E402
-from docspark.llm.common import ASCII_LOWER, WORD_GAP, materialise  # noqa: E402
+from docspark.llm.common import ASCII_LOWER, WORD_GAP, materialise, written  # noqa: E402
 
 GAP = re.compile(WORD_GAP)
 
@@ -113,6 +113,12 @@ def test_odd_rows(spark):
     assert set(pieces["doc_id"].dropna()) == {1, 4, 5} and int(pieces[pieces["doc_id"] == 4]["length"].sum()) == int(pieces[pieces["doc_id"] == 4]["doc_tokens"].iloc[0])
 
 
+def test_run_keeps_only_what_the_result_reads(spark, sf_dir):
+    mark = written()
+    got = corpus_pipeline.run(spark, sf_dir)
+    assert written() == mark + 1 and got.agg(F.sum("length")).first()[0] > 0
+
+
 def test_empty(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
