@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.llm import near_dedup, packing, quality_rules, secrets, suffix_dedup
-from docspark.llm.common import materialise, read_table
+from docspark.llm.common import drop_written, materialise, read_table, written
 from docspark.llm.queries import BYTE_TOKENIZER
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -79,7 +79,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, mark = read_table(spark, sf_dir, "documents"), written()
     for _, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir))
+        drop_written(mark, but_last=True)  # a stage's working tables, and what the one before it kept
     return STAGES[-1][1](spark, docs, sf_dir)
