@@ -4,11 +4,17 @@ Every window of ``LENGTH`` bytes belongs to the least hash among the k-grams ins
 they start. Runs of windows with one key are kept together as pieces of text. Pieces that occur twice need no sorting: all their
 windows repeat. Of the rest only those whose key has other pieces are sorted: deep-shallow, that is by multikey quicksort with eight
 bytes as a symbol, all groups of a level at once, down to ``SHALLOW`` bytes; groups that are still together go into blind tries, which
-branch on single bytes and compare with one leaf. Equal windows are neighbours then. Keys with more than ``HOT`` different pieces (the
-edges of passages that very many documents share) are not sorted in one task; their windows are dealt and matched by a 128-bit hash.
+branch on single bytes and compare with one leaf. Equal windows are neighbours then.
 
-Texts are read in three passes, and only what may repeat is shuffled: a filter of fixed size, 2**``FILTER`` bits, says which keys may
-matter. It lets too much through when it fills up, never too little, so at any size the result is the same.
+A key with more than ``HOT`` different pieces (the edges of passages that very many documents share) is parted by further symbols before
+it is sorted: windows that reach far to the left of the k-gram by the bytes there, the others by those to its right, half of what
+is not yet known at a time. Parts of equal bytes become one. Groups that are small enough are sorted as above, the others parted
+again; after eight such levels all bytes of a window are known. A window is in one group on each level, so no task sees all windows
+of a hot key.
+
+Texts are read in three passes, and only what may repeat is shuffled: a filter says which keys may matter. Its size goes by the
+number of keys, up to 2**``FILTER`` bits. It lets too much through when it fills up, never too little, so at any size the result is
+the same.
 
 Defined cases: null texts are empty; texts shorter than a window keep all bytes; a text of any length is read whole; equal texts repeat
 each other, also when the rows are equal; overlapping and touching windows make one run; an empty table gives no rows; input columns
@@ -35,7 +41,7 @@ HOT = 512
 FILTER = 27
 CHUNK = 400_000  # windows sorted together
 SLICE = 1 << 17  # bytes of text hashed together, so that the arrays stay in a core's cache
-SPREAD = 500_000  # windows of hot keys per bucket
+REST = LENGTH - GRAM  # bytes of a window beside its k-gram
 U = np.uint64
 _P, _M1, _M2 = 0x100000001B3, np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -125,31 +131,31 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([_signed(key[rows]), _signed(digest[rows]), pa.array(np.diff(np.append(rows, len(key)))), pa.array(odd[rows])], ["key", "digest", "n", "odd"])
 
 
-def _slots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64((1 << FILTER) - 1)
+def _slots(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     x = keys * _M1
     y = (keys ^ keys >> np.uint64(33)) * _M2
-    return x >> np.uint64(64 - FILTER) & mask, y >> np.uint64(64 - FILTER) & mask
+    return x >> np.uint64(64 - bits), y >> np.uint64(64 - bits)
 
 
 def key_filter(keys: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size that holds all ``key`` of a table: partial bitmaps are united by word, 2**FILTER / 64 rows at most."""
+    """A bitmap that holds all ``key`` of a table, 16 bits a key if they are not too many: partial ones are united by word, 2**FILTER / 64 rows at most."""
+    size = min(FILTER, max(16, (16 * keys.count()).bit_length()))
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slots = np.unique(np.concatenate(_slots(batch.column("key").to_numpy().view(np.uint64))))
+            slots = np.unique(np.concatenate(_slots(batch.column("key").to_numpy().view(np.uint64), size)))
             word, bit = slots >> np.uint64(6), np.left_shift(np.uint64(1), slots & np.uint64(63))
             at = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(word[at].astype(np.int64)), _signed(np.bitwise_or.reduceat(bit, at) if len(at) else bit)], ["word", "bits"])
 
     rows = keys.select("key").mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(1 << FILTER - 6, np.uint64)
+    out = np.zeros(1 << size - 6, np.uint64)
     out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
     return out
 
 
 def passes(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    x, y = _slots(keys)
+    x, y = _slots(keys, len(bitmap).bit_length() + 5)
     test = lambda s: bitmap[s >> np.uint64(6)] >> (s & np.uint64(63)) & np.uint64(1) == 1
     return test(x) & test(y)
 
@@ -285,83 +291,94 @@ def _ranges(found: list[list[tuple[int, int]]]) -> pa.Array:
 
 
 def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces ordered by key, sorted chunk by chunk; a key's pieces stay together."""
-    keys: list[int] = []
-    digests: list[int] = []
-    bodies: list[bytes] = []
+    """Pieces ordered by group, sorted chunk by chunk; a group's pieces stay together."""
+    rows: list[tuple[int, int, int, int, bytes]] = []
     windows = 0
 
     def flush() -> pa.RecordBatch:
         nonlocal windows
-        found = [stretches(x) for x in repeated_windows(np.array(keys, np.int64).view(np.uint64), bodies)]
-        rows = [i for i, x in enumerate(found) if x]
-        out = pa.RecordBatch.from_arrays([pa.array([keys[i] for i in rows], pa.int64()), pa.array([digests[i] for i in rows], pa.int64()), _ranges([found[i] for i in rows])], ["key", "digest", "ranges"])
-        keys.clear(), digests.clear(), bodies.clear()
+        found = repeated_windows(np.array([r[1] for r in rows], np.int64).view(np.uint64), [r[4] for r in rows])
+        kept = [(r, stretches(x + r[3])) for r, x in zip(rows, found, strict=True) if len(x)]
+        out = pa.RecordBatch.from_arrays([pa.array([r[1] for r, _ in kept], pa.int64()), pa.array([r[2] for r, _ in kept], pa.int64()), _ranges([x for _, x in kept])], ["key", "digest", "ranges"])
+        rows.clear()
         windows = 0
         return out
 
     for batch in batches:
-        for k, d, body in zip(batch.column("key").to_pylist(), batch.column("digest").to_pylist(), batch.column("body").to_pylist(), strict=True):
-            if windows >= CHUNK and k != keys[-1]:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("grp", "key", "digest", "base", "body")), strict=True):
+            if windows >= CHUNK and row[0] != rows[-1][0]:
                 yield flush()
-            keys.append(k), digests.append(d), bodies.append(body)
-            windows += len(body) - LENGTH + 1
-    if keys:
+            rows.append(row)
+            windows += len(row[4]) - LENGTH + 1
+    if rows:
         yield flush()
 
 
-_WINDOW = np.dtype([("high", "<u8"), ("low", "<u8"), ("key", "<i8"), ("digest", "<i8"), ("at", "<i8")])
-
+#: A part of a piece: its group, the piece, where its first window starts there, its bytes, the k-gram's place in them, and how many
+#: bytes to the left and to the right of the k-gram all of the group share.
+PARTS = "grp long, key long, digest long, base int, body binary, spot int, l int, r int"
 
-def _dealt(rows: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
-    """Windows packed by bucket, one row for each bucket of a batch."""
-    order = np.argsort(bucket, kind="stable")
-    rows, bucket = rows[order], bucket[order]
-    at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.empty(0, np.int64)
-    packed = [x.tobytes() for x in np.split(rows, at[1:])] if len(at) else []
-    return pa.RecordBatch.from_arrays([pa.array(bucket[at].astype(np.int32)), pa.array(packed, pa.binary())], ["bucket", "windows"])
 
+def _parts(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], [x.split()[0] for x in PARTS.split(", ")])
 
-def _windows(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The windows of hot pieces by their 128-bit hash, dealt by that hash."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = []
-            for k, d, body in zip(batch.column("key").to_pylist(), batch.column("digest").to_pylist(), batch.column("body").to_pylist(), strict=True):
-                n, raw = len(body) - LENGTH + 1, memoryview(body)
-                rows = np.zeros(n, _WINDOW)
-                rows[["high", "low"]] = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[i : i + LENGTH]) for i in range(n)), [("high", "<u8"), ("low", "<u8")])
-                rows["key"], rows["digest"], rows["at"] = k, d, np.arange(n)
-                parts.append(rows)
-            if parts:
-                rows = np.concatenate(parts)
-                yield _dealt(rows, (rows["high"] % U(buckets)).astype(np.int64))
-
-    return run
 
+def _spotted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of hot keys, cut so that all windows of a part hold the same k-gram first."""
+    for batch in batches:
+        rows = []
+        for key, digest, body in zip(*(batch.column(c).to_pylist() for c in ("key", "digest", "body")), strict=True):
+            n, low = len(body) - LENGTH + 1, 0
+            for spot in np.flatnonzero(gram_hashes(np.frombuffer(body, np.uint8)).view(np.int64) == key).tolist():
+                high = min(n, spot + 1)  # windows up to here begin no later than the k-gram
+                if high > low:
+                    rows.append((key, key, digest, low, body[low : high + LENGTH - 1], spot - low, 0, 0))
+                    low = high
+        yield _parts(rows)
+
+
+def halves(row: tuple) -> Iterator[tuple]:
+    """A part's windows that reach far to the left of the k-gram, and the others, each with the group that more of their bytes give."""
+    grp, key, digest, base, body, spot, left, right = row
+    n, rest = len(body) - LENGTH + 1, REST - left - right
+    half = (rest + 1) // 2
+    cut = min(n, max(0, spot - left - half + 1))
+    name = lambda side, more: xxhash.xxh3_64_intdigest(grp.to_bytes(8, "little", signed=True) + side + more) - (1 << 63)
+    if cut:
+        yield name(b"l", body[spot - left - half : spot - left]), key, digest, base, body[: cut + LENGTH - 1], spot, left + half, right
+    if cut < n:
+        more, at = rest - half + 1, spot + GRAM + right
+        yield name(b"r", body[at : at + more]), key, digest, base + cut, body[cut:], spot - cut, left, right + more
+
+
+def _halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in PARTS.split(", ")]
+    for batch in batches:
+        yield _parts([x for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True) for x in halves(row)])
 
-def _twice(buckets: int) -> Callable[[pa.Table], pa.Table]:
-    """The windows of a bucket whose hash occurs more than once, dealt by their piece."""
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = np.frombuffer(b"".join(table.column("windows").to_pylist()), _WINDOW)
-        order = np.lexsort((rows["low"], rows["high"]))
-        equal = (rows["high"][order][1:] == rows["high"][order][:-1]) & (rows["low"][order][1:] == rows["low"][order][:-1])
-        rows = rows[order][np.append(False, equal) | np.append(equal, False)]
-        return pa.Table.from_batches([_dealt(rows, (rows["digest"].view("<u8") % U(buckets)).astype(np.int64))])
-
-    return run
 
+def _hot(pieces_: DataFrame, hot: int) -> DataFrame:
+    """``key, digest, ranges`` of the pieces (key, digest, body) of hot keys, parted until their groups can be sorted.
 
-def _united(table: pa.Table) -> pa.Table:
-    """The ranges of each piece of a bucket from its repeated windows."""
-    rows = np.frombuffer(b"".join(table.column("windows").to_pylist()), _WINDOW)
-    rows = rows[np.lexsort((rows["at"], rows["digest"], rows["key"]))]
-    new = np.append(True, (np.diff(rows["key"]) != 0) | (np.diff(rows["digest"]) != 0)) if len(rows) else np.empty(0, bool)
-    first = np.flatnonzero(new)
-    found = [stretches(x) for x in np.split(rows["at"], first[1:])] if len(first) else []
-    return pa.table([pa.array(rows["key"][first]), pa.array(rows["digest"][first]), _ranges(found)], ["key", "digest", "ranges"])
+    Parts of equal bytes need no sorting, as equal pieces do not: all their windows repeat, and one of them stays to meet others.
+    """
+    state = materialise(pieces_.select("key", "digest", "body").mapInArrow(_spotted, PARTS))
+    found = None
+    while True:
+        sized = state.join(state.groupBy("grp").agg(F.count("*").alias("many")), "grp")
+        cold = sized.where(F.col("many") <= hot).select("grp", "key", "digest", "base", "body")
+        part = cold.repartition("grp").sortWithinPartitions("grp").mapInArrow(_sorted, FOUND)
+        found = part if found is None else found.unionByName(part)
+        halved = materialise(sized.where(F.col("many") > hot).drop("many").mapInArrow(_halved, PARTS))
+        if not halved.limit(1).count():
+            return found
+        same = materialise(halved.groupBy("grp", "spot", "body").agg(F.count("*").alias("many"), F.min(F.struct("key", "digest", "base", "l", "r")).alias("one")))
+        all_of_it = F.array(F.struct(F.col("base").cast("long").alias("a"), (F.col("base") + F.octet_length("body")).cast("long").alias("b")))
+        again = halved.join(same.where("many > 1").select("grp", "spot", "body"), ["grp", "spot", "body"], "left_semi")
+        found = found.unionByName(again.select("key", "digest", all_of_it.alias("ranges")))
+        rest = same.where(F.col("one.l") + F.col("one.r") < REST)  # else all bytes are known, and equal windows have been found
+        state = materialise(rest.select("grp", "one.key", "one.digest", "one.base", "body", "spot", "one.l", "one.r"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
@@ -388,7 +405,7 @@ def _cut(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], body, pa.array(kept, pa.binary()), _ranges(spans)], [*names, "text", "kept", "removed"])
 
 
-def repeated_ranges(bodies: DataFrame) -> DataFrame:
+def repeated_ranges(bodies: DataFrame, hot: int = HOT) -> DataFrame:
     """``body_id, ranges`` of the texts (body_id, text) that hold repeated windows; ranges may overlap."""
     spark = bodies.sparkSession
     texts = bodies.select("body_id", "text")
@@ -398,17 +415,14 @@ def repeated_ranges(bodies: DataFrame) -> DataFrame:
     whole = counted.where("n > 1").select("key", "digest", F.lit(None).cast(RANGES).alias("ranges"))
 
     unsure = by_key.where("different > 1 or any_odd")
-    sent = spark.sparkContext.broadcast(key_filter(unsure))  # 2**FILTER bits
+    sent = spark.sparkContext.broadcast(key_filter(unsure))  # 2**FILTER bits at most
     bytes_ = texts.select("text").mapInArrow(_contested(sent), "key long, digest long, body binary").groupBy("key", "digest").agg(F.any_value("body").alias("body"))
     bytes_ = materialise(bytes_.join(unsure.select("key", "different"), "key").join(counted.select("key", "digest", F.col("n").alias("copies")), ["key", "digest"]))
-    cold = bytes_.where(F.col("different") <= HOT).select("key", "digest", "body").repartition("key").sortWithinPartitions("key")
-    found = cold.mapInArrow(_sorted, FOUND)
-    hot = bytes_.where(F.col("different") > HOT)
-    amount = hot.agg(F.coalesce(F.sum(F.octet_length("body") - (LENGTH - 1)), F.lit(0))).first()[0]
-    if amount:
-        buckets, kind = max(256, -(-amount // SPREAD)), "bucket int, windows binary"
-        twice = hot.select("key", "digest", "body").mapInArrow(_windows(buckets), kind).groupBy("bucket").applyInArrow(_twice(buckets), kind)
-        found = found.unionByName(twice.groupBy("bucket").applyInArrow(_united, FOUND))
+    cold = bytes_.where(F.col("different") <= hot).select(F.col("key").alias("grp"), "key", "digest", F.lit(0).alias("base"), "body")
+    found = cold.repartition("grp").sortWithinPartitions("grp").mapInArrow(_sorted, FOUND)
+    many = bytes_.where(F.col("different") > hot)
+    if many.limit(1).count():
+        found = found.unionByName(_hot(many, hot))
     found = found.join(whole.select("key", "digest"), ["key", "digest"], "left_anti")
     results = materialise(whole.unionByName(found.select("key", "digest", "ranges")))
 
@@ -420,14 +434,14 @@ def repeated_ranges(bodies: DataFrame) -> DataFrame:
     return hits.groupBy("body_id").agg(F.collect_list("range").alias("ranges"))
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None = None, as_text: bool = False, hot: int = HOT) -> DataFrame:
     """``keep`` columns of ``docs`` with ``text`` (null as empty), ``kept`` (the bytes left) and ``removed`` (maximal runs of bytes).
 
     With ``as_text``, ``text`` holds what is left, as far as it is whole characters.
     """
     keep = [f"`{c}`" for c in (docs.columns if keep is None else keep) if c not in (text, "text", "kept", "removed", "body_id", "ranges")]
     bodies = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("body_id", F.md5("text"))
-    ranges = materialise(repeated_ranges(bodies))
+    ranges = materialise(repeated_ranges(bodies, hot))
     fields = [f for f in bodies.select(*keep, "text").schema.fields]
     schema = T.StructType([*fields, T.StructField("kept", T.BinaryType()), T.StructField("removed", RANGES)])
     return bodies.join(ranges, "body_id", "left").select(*keep, "text", "ranges", "body_id").mapInArrow(partial(_cut, as_text=as_text), schema)

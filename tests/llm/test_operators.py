@@ -74,6 +74,23 @@ def test_bpe_odd_characters():
         assert np.frombuffer(own.encode(s), "<i4").tolist() == t.encode(s, add_special_tokens=False).ids
 
 
+def test_bpe_every_code_point():
+    t, own = tokenizers.Tokenizer.from_file(queries.WORD_TOKENIZER), bpe.load(queries.WORD_TOKENIZER)
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for a in range(0, len(every), 2000):
+        s = "".join(f"a{c}b1 " for c in every[a : a + 2000])
+        assert np.frombuffer(own.encode(s), "<i4").tolist() == t.encode(s, add_special_tokens=False).ids, hex(a)
+
+
+def test_byte_bpe_odd_characters():
+    t, own = tokenizers.Tokenizer.from_file(queries.public_tokenizers.path("byte_bpe_50k.json")), packing.load(queries.BYTE_TOKENIZER)
+    dice = random.Random(2)
+    letters = [*"aAbB'sStT12 \n\t.,;ÉßΣ 中🙂\x1c\x85", "é", "<|endoftext|>", "<|", "'LL", "  ", "\u200b", "\u00a0"]
+    for _ in range(3000):
+        s = "".join(dice.choices(letters, k=dice.randint(0, 20)))
+        assert own.encode(s).tolist() == t.encode(s, add_special_tokens=False).ids
+
+
 def test_packing(docs, empty):
     t = tokenizers.Tokenizer.from_file(queries.public_tokenizers.path("byte_bpe_50k.json"))
     only = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
@@ -290,25 +307,78 @@ def test_components(spark):
     assert got == {**{f"{i:03}": "000" for i in range(41)}, "900": "900", "901": "900"}
 
 
-@pytest.mark.parametrize("hot", [512, 2])
-def test_suffix_dedup(docs, empty, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
-    given = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()]
-    count = Counter(b[i : i + 200] for _, b in given for i in range(len(b) - 199))
-    want = {}
-    for d, b in given:
+def plain_repeats(given):
+    """For each text its bytes that no repeated window covers, window by window."""
+    count = Counter(b[i : i + 200] for b in given for i in range(len(b) - 199))
+    out = []
+    for b in given:
         gone = np.zeros(len(b), bool)
         for i in range(len(b) - 199):
             if count[b[i : i + 200]] > 1:
                 gone[i : i + 200] = True
-        want[d] = (int(gone.sum()), sha(np.frombuffer(b, np.uint8)[~gone].tobytes()))
-    got = suffix_dedup.remove_repeats(docs).select("doc_id", suffix_dedup.total(F.col("removed")).alias("n"), "kept").collect()
-    assert len(got) == len(given)
-    for r in got:
-        assert (r["n"], sha(bytes(r["kept"]))) == want[r["doc_id"]]
+        runs = int(np.count_nonzero(np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1))
+        out.append((len(b), int(gone.sum()), runs, sha(np.frombuffer(b, np.uint8)[~gone].tobytes())))
+    return out
+
+
+def cut_repeats(df, hot):
+    removed = F.col("removed")
+    rows = suffix_dedup.remove_repeats(df, hot=hot).select("doc_id", F.octet_length("text"), suffix_dedup.total(removed), F.size(removed), F.sha2("kept", 256)).collect()
+    return Counter((r[0], tuple(r)[1:]) for r in rows)
+
+
+@pytest.mark.parametrize("hot", [512, 2, 1])
+def test_suffix_dedup(docs, empty, hot):
+    given = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()]
+    assert cut_repeats(docs, hot) == Counter(zip([d for d, _ in given], plain_repeats([b for _, b in given]), strict=True))
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot", [512, 3])
+def test_suffix_dedup_of_periodic_and_shared_texts(spark, hot):
+    """Runs of one letter, short periods, a passage between many different neighbours, and edits inside it."""
+    dice = random.Random(11)
+    noise = lambda n: "".join(dice.choices("abcdefgh ", k=n))
+    passage = noise(320)
+    texts = ["x" * 1500, "x" * 700 + "y" + "x" * 199, "ab" * 400, "abc" * 300 + "d", "z" * 199, "z" * 200 + "q" + "z" * 199]
+    texts += [noise(dice.randint(0, 60)) + passage[dice.randint(0, 40) : 320 - dice.randint(0, 40)] + noise(dice.randint(0, 60)) for _ in range(40)]
+    texts += [passage[:150] + c + passage[150:] for c in "UVW"] + [passage[:i] + "#" + passage[i + 1 :] for i in (60, 90, 200, 260)]
+    texts += [noise(5000) + "é" * 150 + noise(30), noise(10) + "é" * 130, (noise(37) * 200)[:6000]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert cut_repeats(df, hot) == Counter(zip(range(len(texts)), plain_repeats([t.encode() for t in texts]), strict=True))
+
+
+def test_halves_part_windows_without_loss():
+    """Each window goes to one part; equal windows, and on the last level only they, share a group."""
+    dice = random.Random(13)
+    gram = "g" * 64
+    left, right = "".join(dice.choices("ab", k=136)), "".join(dice.choices("ab", k=136))
+    rows = []
+    for i in range(60):
+        lead, trail = list(left), list(right)
+        for x in (lead, trail):
+            for _ in range(dice.randint(0, 2)):
+                x[dice.randrange(136)] = dice.choice("abc")
+        a, b = dice.randint(0, 136), dice.randint(0, 136)
+        body = ("".join(lead)[136 - a :] + gram + "".join(trail)[:b]).encode()
+        if len(body) >= 200:
+            rows.append((5, 5, i, 0, body, a, 0, 0))
+    body = {r[2]: r[4] for r in rows}
+    for level in range(9):
+        places = Counter((r[2], r[3] + k) for r in rows for k in range(len(r[4]) - 199))
+        assert places == Counter((i, k) for i, b in body.items() for k in range(len(b) - 199))
+        group = {}
+        for r in rows:
+            for k in range(len(r[4]) - 199):
+                assert group.setdefault(r[4][k : k + 200], r[0]) == r[0]
+        done = all(r[6] + r[7] == 136 for r in rows)
+        if done:
+            assert len(group) == len(set(group.values())) and level <= 8
+            break
+        rows = [x for r in rows for x in (suffix_dedup.halves(r) if r[6] + r[7] < 136 else [r])]
+    assert done
+
+
 def test_blind_trie():
     strings = [b"abcd", b"abce", b"xbcd", b"abcd", b"abce", b"zzzz"]
     assert suffix_dedup.blind_trie(strings) == [True, True, False, True, True, False]
