@@ -30,6 +30,9 @@ MEMORY = 400_000
 #: White space as the tokenizer's patterns see it; Python's own adds U+001C to U+001F.
 GAP = r"\t\n\x0b\x0c\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
+#: What Python takes for white space and the tokenizer does not.
+ODD = "\x1c\x1d\x1e\x1f"
+
 
 #: Letters and digits that Unicode 16 added to 15.1, as first and last; the tokenizer's patterns know these, and no later ones.
 UNICODE_16 = [
@@ -63,7 +66,6 @@ class WordBpe:
         split = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")["pattern"]["Regex"]
         self.split = regex.compile(split.replace(r"\s", GAP))
         self.gap = regex.compile(f"[{GAP}]+")
-        self.odd = regex.compile(r"[\x1c-\x1f]")
         # letters and digits that this pattern engine knows and the tokenizer's older tables do not: signs, as any unassigned code point
         known = {c for a, b in UNICODE_16 for c in range(a, b + 1)}
         self.small = {a + i: small + i for a, b, small in CAPITALS for i in range(b - a + 1) if unicodedata.category(chr(a + i)) == "Cn"}
@@ -115,15 +117,18 @@ class WordBpe:
             self.known[chunk] = out
         return out
 
-    def plain(self, text: str) -> bytes:
+    def chunks(self, text: str) -> list[str]:
+        """The text in its normal form, parted at white space."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
             if self.capitals and self.capitals.search(text):
                 text = text.translate(self.small)
         text = text.lower()
-        chunks = self.gap.split(text) if self.odd.search(text) else text.split()
+        return [c for c in self.gap.split(text) if c] if any(x in text for x in ODD) else text.split()
+
+    def plain(self, text: str) -> bytes:
         known = self.known.get
-        return b"".join([x if (x := known(c)) is not None else self.chunk(c) for c in chunks if c])
+        return b"".join([x if (x := known(c)) is not None else self.chunk(c) for c in self.chunks(text)])
 
     def encode(self, text: str) -> bytes:
         if "<|" not in text:

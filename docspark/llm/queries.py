@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, context_tree, exact_topk, html_text, near_dedup, packing, quality_model, quality_rules, secrets, suffix_dedup
+from . import bin_slack, bpe, collocations, context_tree, exact_topk, html_text, near_dedup, packing, quality_model, quality_rules, secrets, suffix_dedup, whitening
 from .common import read_table
-from .sql import OP8, OP10
+from .sql import OP8, OP10, OP11
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: The vocabulary of byte_bpe_50k.json as ranks.
@@ -85,6 +85,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs, ["doc_id"])
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_bin_slack(spark: SparkSession, sf_dir: str, path: str = WORD_TOKENIZER) -> DataFrame:
+    pieces = bin_slack.pack(read_table(spark, sf_dir, "documents"), path, digests={"ids_crc32": F.crc32("ids")})
+    return pieces.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline; the pieces that its packing makes."""
     import corpus_pipeline
@@ -104,9 +117,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_topk": op8_exact_topk,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_quality_rules": op10_quality_rules,
+        "op11_collocations": op11_collocations,
+        "op12_whitening": op12_whitening,
+        "op13_bin_slack": op13_bin_slack,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_topk": OP8, "op10_quality_rules": OP10}
+    return {"op8_exact_topk": OP8, "op10_quality_rules": OP10, "op11_collocations": OP11}

@@ -30,3 +30,22 @@ pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1
   FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 20
 """
+
+OP11 = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+worded AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM worded, (VALUES (1), (2), (3)) AS t(k) WHERE len(w) >= k),
+counts AS (SELECT lang, k, w[i:i + k - 1] AS g, count(*) AS c FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(c)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT * FROM counts WHERE k > 1 AND c >= 10),
+covering AS (SELECT lang, inside, max(c) AS c FROM (SELECT lang, unnest([g[1:2], g[2:3]]) AS inside, c FROM candidates WHERE k = 3) GROUP BY ALL),
+kept AS (SELECT a.* FROM candidates a LEFT JOIN covering b ON a.lang = b.lang AND a.g = b.inside WHERE b.c IS NULL OR 100 * b.c < 50 * a.c),
+cuts AS (SELECT lang, k, g, c, unnest(range(1, k)) AS cut FROM kept),
+sides AS (SELECT x.lang, x.g, x.c AS a, x.cut, p.c AS l, q.c AS r, (1000000::HUGEINT * x.c * x.c) // (p.c::HUGEINT * q.c) AS score
+  FROM cuts x JOIN counts p ON p.lang = x.lang AND p.g = x.g[1:x.cut] JOIN counts q ON q.lang = x.lang AND q.g = x.g[x.cut + 1:x.k]),
+scored AS (SELECT * FROM sides QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+ranked AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score::BIGINT AS score,
+    row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM scored)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
