@@ -1,4 +1,10 @@
-"""Query variants and exact, filtered top-k vector search."""
+"""Query variants, and exact top-k vector search as a join of a table of queries with a table of points.
+
+Unit vectors are cut into cells around pivots. A query first meets its own cell, which gives a score that its k-th neighbour reaches;
+it then goes to those other cells that could still hold better, by the triangle inequality of angles: no point of a cell is nearer
+to the query than the pivot's angle less the cell's radius. Both sides are shuffled by cell, in blocks of bounded size; nothing but the
+pivots, a sample of bounded size, reaches the driver, and any choice of pivots gives the same result.
+"""
 
 from __future__ import annotations
 
@@ -6,16 +12,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..functions import text as T
-from ..functions import vectors as V
 from .dedupe import fold_case_dedupe
+from .shared import kept
 
-QUERY_BLOCK = 4096
+#: Pivots; points and queries of a block; how far a bound may be off by rounding.
+PIVOTS, BLOCK_POINTS, BLOCK_QUERIES, SLACK = 64, 1 << 14, 1 << 12, 1e-6
 
 
 def variants(query: Column, settings: Settings = DEFAULTS, alternatives: Column | None = None, fixed: Column | None = None, translated: Column | None = None) -> Column:
@@ -48,68 +54,115 @@ def fallback_query(query: Column) -> Column:
     return F.array_join(F.slice(F.regexp_extract_all(T.normalize(query), F.lit(r"([\x{0600}-\x{06FF}a-zA-Z]{2,})"), F.lit(1)), 1, 8), " ")
 
 
-def unit(vector: Column) -> Column:
-    """A vector of length one; a zero vector stays."""
-    length = V.norm(vector)
-    return F.transform(vector, lambda x: x.cast("double") / F.when(length > 0, length).otherwise(1.0))
+CELL = ["scope", "dim", "cell"]
+
+
+def pivots(points: DataFrame, most: int = PIVOTS) -> dict[int, np.ndarray]:
+    """Up to ``most`` different unit vectors, by their length, drawn by the hash of the id."""
+    drawn = points.where("vector is not null").orderBy(F.xxhash64("point_id"), "point_id").limit(most).select("vector").toArrow()
+    by_dim: dict[int, list[np.ndarray]] = {}
+    for v in drawn.column("vector").to_pylist():
+        if None not in v and np.isfinite(v).all():
+            by_dim.setdefault(len(v), []).append(np.array(v, float))
+    return {dim: np.unique(_units(np.array(vs).reshape(len(vs), dim), 0), axis=0) for dim, vs in by_dim.items()}
 
 
-ARROW = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
+def _units(vectors: np.ndarray, side: int) -> np.ndarray:
+    """Unit vectors with two more components: a zero vector becomes an axis of its own, one for points and one for queries, so that
+    its cosine with any other is 0 and its length 1."""
+    length = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+    out = np.zeros((len(vectors), vectors.shape[1] + 2))
+    out[:, :-2] = vectors / np.where(length > 0, length, 1)
+    out[length[:, 0] == 0, vectors.shape[1] + side] = 1
+    return out
 
 
-def _best(sent, k: int, digits: int, kinds: dict[str, str]):
-    """The k best of each Arrow batch for each query of a block."""
+def _placed(around: dict[int, np.ndarray], side: int):
+    """Unit vectors with the cell of the nearest pivot and their angles: to that pivot (points) or to all (queries)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, by_dim = sent.value
         for batch in batches:
-            vectors, points = batch.column("p"), batch.column("point_id")
-            sizes = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
-            for dim, (which, queries) in by_dim.items():
-                rows = np.flatnonzero(sizes == dim)
-                if not len(rows):
+            rows = [np.array(v, float) if None not in v else np.array([np.nan]) for v in batch.column("vector").to_pylist()]
+            for dim in sorted({len(v) for v in rows}):
+                at = [i for i, v in enumerate(rows) if len(v) == dim and np.isfinite(v).all()]
+                if not at:
                     continue
-                p = vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
-                p = p / np.maximum(np.sqrt((p * p).sum(axis=1, keepdims=True)), 1e-300)
-                order_ids = np.array(points.take(pa.array(rows)).to_pylist())
-                score = np.round(queries @ p.T, digits)
-                order = np.lexsort((np.broadcast_to(order_ids, score.shape), -score), axis=1)[:, :k]
-                q = np.repeat(which, order.shape[1])
-                columns = [pa.array(np.array(ids)[q], ARROW[kinds["query_id"]]), pa.array(order_ids[order.ravel()], ARROW[kinds["point_id"]]), pa.array(np.take_along_axis(score, order, 1).ravel())]
-                yield pa.RecordBatch.from_arrays(columns, ["query_id", "point_id", "score"])
+                units = _units(np.array([rows[i] for i in at]).reshape(len(at), dim), side)
+                angles = np.arccos(np.clip(units @ around[dim].T, -1, 1)) if dim in around else np.zeros((len(at), 1))
+                cell = angles.argmin(axis=1)
+                some = batch.take(pa.array(at))
+                found = pa.array(list(angles), pa.list_(pa.float64())) if side else pa.array(angles[np.arange(len(at)), cell])
+                columns = [some.column("id"), some.column("scope"), pa.array(list(units), pa.list_(pa.float64())), pa.array(np.full(len(at), dim, np.int32)), pa.array(cell.astype(np.int32)), found]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "scope", "v", "dim", "cell", "angle"])
 
     return run
 
 
+def _best(k: int, digits: int, at_once: int = 256):
+    """The k best points of a block for each query of a block."""
+
+    def run(points: pa.Table, asked: pa.Table) -> pa.Table:
+        names, found = ["query_id", "point_id", "score"], []
+        if points.num_rows and asked.num_rows:
+            dim = points.column("dim")[0].as_py() + 2
+            matrix = lambda t: t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            points = points.sort_by("id")
+            p, q, ids = matrix(points), matrix(asked), points.column("id").combine_chunks()
+            for a in range(0, len(q), at_once):
+                score = np.round(q[a : a + at_once] @ p.T, digits) + 0.0  # no negative zero
+                edge = np.partition(score, len(p) - k, axis=1)[:, len(p) - k] if len(p) > k else np.full(len(score), -np.inf)
+                which, at = np.nonzero(score >= edge[:, None])
+                value = score[which, at]
+                order = np.lexsort((at, -value, which))
+                which, at, value = which[order], at[order], value[order]
+                first = np.searchsorted(which, np.arange(len(score)))
+                best = np.arange(len(which)) - first[which] < k
+                found.append(pa.table([asked.column("id").take(pa.array(which[best] + a)), ids.take(pa.array(at[best])), pa.array(value[best])], names))
+        return pa.concat_tables(found) if found else pa.table([pa.nulls(0, asked.schema.field("id").type), pa.nulls(0, points.schema.field("id").type), pa.nulls(0, pa.float64())], names)
+
+    return run
+
+
+def _met(asked: DataFrame, points: DataFrame, cells: DataFrame, k: int, digits: int) -> DataFrame:
+    """Hits of queries (id, v and a cell) among the points of that cell; blocks of both sides keep hot cells apart."""
+    sizes = cells.select(*CELL, F.ceil(F.col("n") / BLOCK_POINTS).alias("p_blocks"))
+    sizes = sizes.join(asked.groupBy(*CELL).agg(F.ceil(F.count("*") / BLOCK_QUERIES).alias("q_blocks")), CELL)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    left = points.join(sizes, CELL).withColumn("b", deal("p_blocks")).withColumn("c", every("q_blocks")).select("id", "v", *CELL, "b", "c")
+    right = asked.join(sizes, CELL).withColumn("c", deal("q_blocks")).withColumn("b", every("p_blocks")).select("id", "v", *CELL, "b", "c")
+    kinds = f"query_id {dict(asked.dtypes)['id']}, point_id {dict(points.dtypes)['id']}, score double"
+    return left.groupBy(*CELL, "b", "c").cogroup(right.groupBy(*CELL, "b", "c")).applyInArrow(_best(k, digits), kinds)
+
+
 def top_k(queries: DataFrame, points: DataFrame, k: int, scope: str | None = None, digits: int = 6) -> DataFrame:
     """``query_id, point_id, score, rank``: the k points of greatest cosine per query; scores equal to ``digits`` places are ties,
     which the smaller id wins.
 
-    queries: query_id, vector[, scope]; points: point_id, vector[, scope]. With a scope the filter is an equi-join inside the search,
-    as isolation demands, on vectors that are made unit vectors once. Without one the queries, a stated set, are broadcast in blocks of
-    ``QUERY_BLOCK``; each pass over the points multiplies whole batches and keeps k of each. Vectors of different lengths never meet.
+    queries: query_id, vector[, scope]; points: point_id, vector[, scope]. With a scope the filter is part of the search: a query only
+    meets points of its own. Vectors that are null or hold null or non-finite components take no part, vectors of different lengths
+    never meet, and a zero vector scores 0. Rows that share a query id are searched one by one. Queries of one vector are searched once, and of equal points the k smallest ids are
+    candidates, so copies cost no more than that.
     """
+    shape = lambda df, key: df.select(F.col(key).alias("id"), (F.col(scope) if scope else F.lit(0)).alias("scope"), "vector").where("vector is not null and scope is not null")
+    around = pivots(points)
+    kind = lambda df: f"id {dict(df.dtypes)['id']}, scope {dict(df.dtypes)['scope']}, v array<double>, dim int, cell int, angle"
+    p, q = shape(points, "point_id"), shape(queries, "query_id")
+    first = F.row_number().over(Window.partitionBy("scope", "v").orderBy("id"))
+    placed = kept(p.mapInArrow(_placed(around, 0), kind(p) + " double").withColumn("_c", first).where(F.col("_c") <= k).drop("_c"))
+    cells = kept(placed.groupBy(*CELL).agg(F.count("*").alias("n"), F.min("angle").alias("inner"), F.max("angle").alias("outer")))
+    every = kept(q.mapInArrow(_placed(around, 1), kind(q) + " array<double>").withColumn("row", F.monotonically_increasing_id()))
+    every = kept(every.withColumn("leader", F.min("row").over(Window.partitionBy("scope", "v"))))
+    asked = every.where("row = leader").select(F.col("row").alias("id"), "scope", "v", *CELL[1:], "angle")
+
+    near = kept(_met(asked.drop("angle"), placed, cells, k, digits))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "point_id"))
-    if scope:
-        q = queries.select("query_id", unit(F.col("vector")).alias("q"), F.col(scope).alias("_scope"))
-        p = points.select("point_id", unit(F.col("vector")).alias("p"), F.col(scope).alias("_scope"))
-        scored = p.join(q, "_scope").where(F.size("p") == F.size("q")).select("query_id", "point_id", F.round(V.dot(F.col("q"), F.col("p")), digits).alias("score"))
-        return scored.withColumn("rank", rank).where(F.col("rank") <= k)
-    kinds = dict(queries.dtypes) | dict(points.dtypes)
-    slim = points.select("point_id", F.col("vector").alias("p")).where("p is not null")
-    asked = queries.select("query_id", "vector").where("vector is not null")
-    first, blocks = asked.limit(QUERY_BLOCK + 1).collect(), 1
-    if len(first) > QUERY_BLOCK:
-        blocks = -(-asked.count() // (QUERY_BLOCK // 2))
-    out = None
-    for b in range(blocks):
-        part = first if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
-        by_dim = {}
-        for dim in sorted({len(r["vector"]) for r in part}):
-            which = [i for i, r in enumerate(part) if len(r["vector"]) == dim]
-            m = np.array([part[i]["vector"] for i in which], float).reshape(-1, dim)
-            by_dim[dim] = (np.array(which), m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-300))
-        sent = queries.sparkSession.sparkContext.broadcast(([r["query_id"] for r in part], by_dim))  # a block of queries
-        found = slim.mapInArrow(_best(sent, k, digits, kinds), f"query_id {kinds['query_id']}, point_id {kinds['point_id']}, score double")
-        out = found if out is None else out.unionByName(found)
-    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+    sure = near.withColumn("rank", rank).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("sure"))
+    others = asked.withColumnRenamed("cell", "own").select("id", "scope", "v", "dim", "own", F.posexplode("angle").alias("cell", "angle")).where("cell <> own")
+    others = others.join(cells, CELL).join(sure, "id", "left")
+    least = F.greatest(F.col("angle") - F.col("outer"), F.col("inner") - F.col("angle"), F.lit(0.0))
+    others = others.where(F.col("sure").isNull() | (F.cos(least) >= F.col("sure") - SLACK)).select("id", "v", *CELL)
+    far = _met(others, placed, cells, k, digits)
+    best = near.unionByName(far).withColumn("rank", rank).where(F.col("rank") <= k)
+    members = every.select(F.col("id").alias("member"), F.col("leader").alias("query_id"))
+    return members.join(best, "query_id").select(F.col("member").alias("query_id"), "point_id", "score", "rank")

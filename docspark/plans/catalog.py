@@ -163,6 +163,15 @@ def vector_topk_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(_asked(spark, sf_dir), _points(spark, sf_dir), 8, "label")
 
 
+@query
+def knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows as queries, against all rows of their label, then against all."""
+    points = _points(spark, sf_dir)
+    asked = points.withColumnRenamed("point_id", "query_id")
+    both = search.top_k(asked, points, 3, "label").withColumn("scoped", F.lit(True)).unionByName(search.top_k(asked, points, 5).withColumn("scoped", F.lit(False)))
+    return both.select("scoped", "query_id", "point_id", "score", "rank")
+
+
 @query
 def multi_variant_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of a question's variants, variant by variant, each point once; ``idx`` is its place."""

@@ -74,6 +74,9 @@ ORACLES = {
     "sentence_windows": f"WITH {SENTENCES} SELECT doc_id, pos::INT AS pos, md5(array_to_string(list(sentence) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), ' ')) AS window_md5 FROM rows",
     "hash_embedding": rf"SELECT item_id, bucket::INT AS bucket, count(*) AS n FROM (SELECT item_id, {BUCKET} AS bucket FROM (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS w FROM benchmark)) GROUP BY ALL",
     "vector_topk_by_label": f"WITH {VECTORS} SELECT query_id, point_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM (SELECT q.vec_id AS query_id, p.vec_id AS point_id, {COSINE} AS score FROM points q JOIN points p ON q.label = p.label WHERE q.vec_id % 10 = 0)) WHERE rank <= 8",
+    "knn_join": f"""WITH {VECTORS}, pairs AS (SELECT q.vec_id AS query_id, p.vec_id AS point_id, q.label = p.label AS same, {COSINE} AS score FROM points q, points p),
+      ranked AS (SELECT true AS scoped, *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM pairs WHERE same UNION ALL SELECT false, *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) FROM pairs)
+      SELECT scoped, query_id, point_id, score, rank::INT AS rank FROM ranked WHERE rank <= CASE WHEN scoped THEN 3 ELSE 5 END""",
     "multi_variant_union": f"WITH {VECTORS}, hits AS (SELECT *, row_number() OVER (PARTITION BY v ORDER BY score DESC, point_id) AS rank FROM (SELECT q.vec_id AS v, q.vec_id // 40 AS question, p.vec_id AS point_id, {COSINE} AS score FROM points q, points p WHERE q.vec_id % 10 = 0)), first AS (SELECT *, row_number() OVER (PARTITION BY question, point_id ORDER BY v, rank) AS f FROM hits WHERE rank <= 8) SELECT question, point_id, (row_number() OVER (PARTITION BY question ORDER BY v, rank) - 1)::INT AS idx FROM first WHERE f = 1",
     "post_topk_source_filter": f"WITH {VECTORS}, hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM (SELECT q.vec_id AS query_id, p.vec_id AS point_id, p.label AS label, {COSINE} AS score FROM points q, points p WHERE q.vec_id % 10 = 0)) SELECT query_id, point_id, rank::INT AS rank FROM hits WHERE rank <= 8 AND label = 3",
     "blended_rerank": f"WITH {RANKED}, blended AS (SELECT item_id, doc_id, rank, greatest(score, CASE WHEN len(lw) > 0 THEN len(list_filter(lw, lambda x: contains(ld, x)))::DOUBLE / len(lw) ELSE 0 END) - (rank - 1) * 0.001 AS final FROM (SELECT *, {LOOSE_WORDS} AS lw, {loose('text')} AS ld FROM ranked)) SELECT item_id, doc_id, round(final, 6) AS final, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(final, 6) DESC, rank) AS place FROM blended) WHERE place <= 6",
