@@ -24,11 +24,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own[0]}"
 
 
+def folder(spark: SparkSession) -> str:
+    """A new folder's name; what is there when the process ends is deleted."""
+    path = f"{shared_dir(spark)}/docspark-{uuid.uuid4().hex}"
+    _kept.append((spark, path))
+    return path
+
+
 def kept(df: DataFrame) -> DataFrame:
     """``df`` written and read again: worked out once, and not lost with an executor. Deleted when the process ends."""
-    path = f"{shared_dir(df.sparkSession)}/docspark-{uuid.uuid4().hex}"
+    path = folder(df.sparkSession)
     df.write.parquet(path)
-    _kept.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

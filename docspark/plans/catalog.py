@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import chunking, dedupe, lexical, memory, ocr_text, profile, ranking, report, router, search, sheets, store
+from ..operators import chunking, dedupe, lexical, memory, ocr_text, profile, ranking, report, router, search, sheets, shared, store, substrings
 from ..operators.numbering import numbered
 from ..sources import validation
 
@@ -54,6 +54,18 @@ def flagship_grounded_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.within_budget(gated, "item_id", "rank", "text").select("item_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
+def _index(spark: SparkSession, sf_dir: str) -> substrings.SubstringIndex:
+    return substrings.SubstringIndex.build(_kept(spark, sf_dir), "doc_id", "normal", shared.folder(spark))
+
+
+@query
+def indexed_grounded_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship's result from a written index of words, their trigrams and neighbours."""
+    best = _index(spark, sf_dir).top_k(table(spark, sf_dir, "benchmark"), 6, "item_id", "text").withColumnRenamed("query_id", "item_id")
+    gated = ranking.confident(best.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), "item_id", "score")
+    return ranking.within_budget(gated, "item_id", "rank", "text").select("item_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
 @query
 def lang_script_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.detect_language(F.col("text")).alias("detected"), T.is_mixed(F.col("text")).alias("mixed"))

@@ -130,3 +130,4 @@ ORACLES = {
     "star_window_rank": "SELECT c_nationkey, c_custkey, rk::INT AS rk FROM (SELECT *, dense_rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC) AS rk FROM customer) WHERE rk <= 3",
     "star_set_ops": "SELECT c_nationkey AS nation FROM customer INTERSECT SELECT s_nationkey FROM supplier EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 1",
 }
+ORACLES["indexed_grounded_search"] = ORACLES["flagship_grounded_search"]

@@ -66,3 +66,36 @@ def test_cells_are_pruned(spark):
     finally:
         search._met = met
     assert seen[0] == 800 and seen[1] < 800 * 63 / 4
+
+
+def test_substring_index_equals_a_plain_version(spark, tmp_path):
+    from docspark.functions import text as T
+    from docspark.operators.substrings import SubstringIndex
+
+    dice = random.Random(8)
+    word = lambda: "".join(dice.choices("abcé", k=dice.randint(1, 5)))
+    texts = [(i, " ".join(word() for _ in range(dice.randint(0, 40)))) for i in range(80)] + [(90, None), (91, "solo"), (92, "x y x y x y")]
+    asked = [(i, " ".join(word() for _ in range(dice.randint(1, 9)))) for i in range(25)] + [(50, "zzz absent"), (51, ""), (52, None), (53, texts[3][1]), (54, "ab ab ab")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("normal", T.normalize(F.col("text"))).repartition(3)
+    queries = spark.createDataFrame(asked, "item_id long, text string")
+    index = SubstringIndex.build(docs, "doc_id", "normal", str(tmp_path / "index"))
+    terms = sorted({"".join(p) for p in (dice.choices("abcé", k=3) for _ in range(30))} | {f"{word()} {word()}" for _ in range(60)})
+    want = sorted((t, i) for t in terms for i, x in texts if t in (x or ""))
+    assert len(want) > 50 and sorted(map(tuple, index.holding(spark.createDataFrame([(t,) for t in terms], "term string")).collect())) == want
+    got = index.top_k(queries, 5, "item_id", "text")
+    plain = lexical.lexical_top_k(queries, docs, 5, "item_id", "text", "doc_id", "normal")
+    shape = lambda df: sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 9)) for r in df.collect())
+    assert shape(got) == shape(plain) and len(shape(got)) == 5 * len(asked)
+
+
+def test_substring_index_reads_matching_postings_only(spark, tmp_path):
+    from docspark.operators.substrings import SubstringIndex
+
+    docs = spark.createDataFrame([(i, f"word{i} other{i}") for i in range(300)], "doc_id long, normal string")
+    index = SubstringIndex.build(docs, "doc_id", "normal", str(tmp_path / "index"))
+    found = index.matching(spark.createDataFrame([("word17", "any"), ("r299", "end"), ("oth", "begin"), ("qqq", "any")], "atom string, kind string"))
+    by = {}
+    for r in found.collect():
+        by.setdefault(r["atom"], []).append(r["word"])
+    assert sorted(by["word17"]) == sorted(["word17", *[f"word{i}" for i in range(170, 180)]]) and by["r299"] == ["other299"] and len(by["oth"]) == 300 and "qqq" not in by
+    assert "normal" not in {c for t in ("words", "grams", "pairs", "pair_docs", "docs") for c in index.table(t).columns}
