@@ -31,8 +31,8 @@ from .suffix_dedup import key_filter, passes
 #: What ends a piece, what parts words inside a piece, and the language of rows without one.
 BREAKS, GAPS, NO_LANG = ".,;:!?\n\x0b\x0c\r", " \t", "und"
 MIN_COUNT, MAX_WORDS, COVERED_PERCENT, MOST, SCALE = 10, 3, 50, 2000, 1_000_000
-#: Bytes of text whose rows are counted together before they leave a task.
-SLICE = 6 << 20
+#: Bytes of text whose rows are counted together before they leave a task, and rows of a batch that leaves it.
+SLICE, ROWS = 3 << 20, 1 << 15
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _KIND = np.zeros(256, np.uint8)
@@ -129,7 +129,9 @@ def _exploded(n: int, sent: Broadcast | None) -> Callable[[Iterator[pa.RecordBat
                 totals = np.bincount(lang, minlength=len(langs.dictionary))
                 which = pa.concat_arrays([which, pa.array(np.arange(len(totals), dtype=np.int32))])
                 phrase, count = pa.concat_arrays([phrase, pa.nulls(len(totals), pa.string())]), pa.concat_arrays([count, pa.array(totals)])
-            yield pa.RecordBatch.from_arrays([langs.dictionary.take(which), phrase, count.cast(pa.int64())], ["lang", "phrase", "n"])
+            for a in range(0, len(count), ROWS):
+                some = [x.slice(a, ROWS) for x in (which, phrase, count)]
+                yield pa.RecordBatch.from_arrays([langs.dictionary.take(some[0]), some[1], some[2].cast(pa.int64())], ["lang", "phrase", "n"])
 
     return run
 
