@@ -33,6 +33,8 @@ BREAKS, GAPS, NO_LANG = ".,;:!?\n\x0b\x0c\r", " \t", "und"
 MIN_COUNT, MAX_WORDS, COVERED_PERCENT, MOST, SCALE = 10, 3, 50, 2000, 1_000_000
 #: Bytes of text whose rows are counted together before they leave a task, and rows of a batch that leaves it.
 SLICE, ROWS = 3 << 20, 1 << 15
+#: Bytes of an Arrow batch of texts on its way to the counting step; the default's ten thousand rows are tens of megabytes, on both sides.
+BATCH = str(4 << 20)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _KIND = np.zeros(256, np.uint8)
@@ -155,7 +157,7 @@ def phrase_counts(docs: DataFrame, most: int = MAX_WORDS, least: int = MIN_COUNT
     sent, out = None, None
     for n in range(1, most + 1):
         grams = rows.mapInArrow(_exploded(n, sent), COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-        level = materialise(grams.where((F.col("n") >= least) | F.col("phrase").isNull()).select("lang", "phrase", F.lit(n).alias("size"), "n"))
+        level = materialise(grams.where((F.col("n") >= least) | F.col("phrase").isNull()).select("lang", "phrase", F.lit(n).alias("size"), "n"), batch=BATCH)
         if n < most:
             sent = docs.sparkSession.sparkContext.broadcast(key_filter(level.where("phrase is not null").select("lang", "phrase").mapInArrow(_keyed(n), "key long")))
         out = level if out is None else out.unionByName(level)

@@ -38,21 +38,23 @@ _own = ""
 _written: list[tuple[SparkSession, str]] = []
 
 
-def materialise(df: DataFrame, *sort: str) -> DataFrame:
+def materialise(df: DataFrame, *sort: str, batch: str = "") -> DataFrame:
     """Write ``df`` to a new table in the shared folder and read it back: cuts lineage, survives lost executors.
 
-    Arrow batches hold ``BATCH`` bytes at most meanwhile, so that the buffers of a task's Python steps stay small.
+    Where the session limits the bytes of an Arrow batch, they are ``BATCH`` at most meanwhile; ``batch`` sets such a limit in any case.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docspark-{uuid.uuid4().hex}"
     before = spark.conf.get(BATCH_SETTING, None)
-    if before is not None:
-        spark.conf.set(BATCH_SETTING, BATCH)
+    if batch or before is not None:
+        spark.conf.set(BATCH_SETTING, batch or BATCH)
     try:
         df.write.parquet(path)
     finally:
         if before is not None:
             spark.conf.set(BATCH_SETTING, before)
+        elif batch:
+            spark.conf.unset(BATCH_SETTING)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
