@@ -32,7 +32,7 @@ from .suffix_dedup import key_filter, passes
 BREAKS, GAPS, NO_LANG = ".,;:!?\n\x0b\x0c\r", " \t", "und"
 MIN_COUNT, MAX_WORDS, COVERED_PERCENT, MOST, SCALE = 10, 3, 50, 2000, 1_000_000
 #: Bytes of text whose rows are counted together before they leave a task, and rows of a batch that leaves it.
-SLICE, ROWS = 3 << 20, 1 << 15
+SLICE, ROWS = 1 << 20, 1 << 14
 #: Bytes of an Arrow batch of texts on its way to the counting step; the default's ten thousand rows are tens of megabytes, on both sides.
 BATCH = str(4 << 20)
 _LOWER = np.arange(256, dtype=np.uint8)
