@@ -53,12 +53,12 @@ BANNED_OPENINGS = ["Sources:", "Source:", "المصادر:", "المصدر:", "B
 
 # File types and their content types.
 FILE_TYPES = {
-    "pdf": "pdf", "docx": "docx", "doc": "docx", "txt": "txt", "md": "markdown", "json": "json",
+    "pdf": "pdf", "docx": "docx", "doc": "doc", "txt": "txt", "md": "markdown", "json": "json",
     "jpg": "image", "jpeg": "image", "png": "image", "tiff": "image", "bmp": "image", "webp": "image",
     "xlsx": "excel", "xls": "excel", "csv": "excel",
 }
 CONTENT_TYPES = {
-    "pdf": "application/pdf", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "txt": "text/plain",
+    "pdf": "application/pdf", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "doc": "application/msword", "txt": "text/plain",
     "markdown": "text/markdown", "json": "application/json", "image": "application/octet-stream",
     "excel": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
 }

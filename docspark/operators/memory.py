@@ -6,12 +6,14 @@ from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..functions import text as T
 from .folds import fold
+from .shared import kept
+from .versions import VersionedTables
 
 FACTS = "conversation_id string, pos int, text string, category string, importance int, updated_at timestamp"
 CATEGORIES = ("preference", "decision", "task", "fact")
@@ -138,3 +140,17 @@ def merge(stored: DataFrame, incoming: DataFrame, removed: DataFrame, settings:
         return pd.DataFrame(store, columns=["step", *columns])[columns].astype({"pos": "int32"}).astype({"importance": "Int32"})
 
     return rows.unionByName(gone).groupBy("conversation_id").applyInPandas(run, FACTS)
+
+
+def fact_table(spark: SparkSession, path: str, buckets: int = 64) -> VersionedTables:
+    """The stored facts of all conversations, one versioned table named ``facts``."""
+    return VersionedTables(spark, path, {"facts": FACTS}, "conversation_id", buckets)
+
+
+def remember(facts: VersionedTables, incoming: DataFrame, removed: DataFrame | None = None, settings: Settings = DEFAULTS, batch: tuple[str, int] | None = None) -> None:
+    """Merge new facts into the stored ones and save the result; only the buckets of conversations that are named are read and written."""
+    removed = facts.spark.createDataFrame([], "conversation_id string, text string") if removed is None else removed
+    names = kept(incoming.select("conversation_id").unionByName(removed.select("conversation_id")).distinct())
+    columns = [x.split()[0] for x in FACTS.split(", ")]
+    stored = facts.read("facts").join(names, "conversation_id", "left_semi").select(*columns)
+    facts.replace("facts", merge(stored, incoming.select(*columns), removed, settings), names, batch)

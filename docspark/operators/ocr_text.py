@@ -9,6 +9,8 @@ from ..functions import text as T
 from ..functions.values import BANNED_OPENINGS, NOT_FOUND
 from .folds import fold
 
+#: Where a text's lines end.
+LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 LIST_MARK = r"^[\-•*]|^\(?\d+[.)،]"
 
 
@@ -67,7 +69,7 @@ def clean_answers(answers: DataFrame, key: str, text: str, lang: str, last: int
 
     Forms of lines are columns; which line stays depends on those kept before it, a fold that holds ten forms.
     """
-    lines = answers.select(key, F.col(lang).alias("lang"), F.posexplode(F.split(T.clean(F.col(text)), r"\r\n|\n|\r", -1)).alias("pos", "line"))
+    lines = answers.select(key, F.col(lang).alias("lang"), F.posexplode(F.split(T.clean(F.col(text)), LINE_END, -1)).alias("pos", "line"))
     lines = lines.withColumn("line", _opened(F.col("line"))).withColumn("form", T.normalize(F.col("line")))
 
     def step(seen: list[str] | None, row: tuple) -> tuple[list[str], tuple]:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Hashable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType
 
 
 def stage_profile(stages: DataFrame, request: str, name: str, ms: str, total: Column | None = None) -> DataFrame:
@@ -59,21 +59,58 @@ def latest_state(events: DataFrame, key: str, ts: str, order: str) -> DataFrame:
     return events.withColumn("_r", last).where("_r = 1").drop("_r")
 
 
-def char_error_rate(reference: Column, hypothesis: Column) -> Column:
-    r, h = F.trim(reference), F.trim(hypothesis)
-    return F.when(F.length(r) == 0, F.when(F.length(h) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(r, h) / F.length(r))
+def edit_distance(a: Sequence[Hashable], b: Sequence[Hashable]) -> int:
+    """How many insertions, deletions and substitutions make one sequence the other.
+
+    What both begin and end with is taken off; of the rest, a whole column of the distance table is held as the bits of two integers,
+    its rises and its falls, so that a symbol costs a few operations on integers of the other's length: texts of 20,000 words are compared in
+    some tenths of a second, and memory is that of the longer text.
+    """
+    start = 0
+    for x, y in zip(a, b, strict=False):
+        if x != y:
+            break
+        start += 1
+    end = 0
+    while end < min(len(a), len(b)) - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
+    if len(a) < len(b):
+        a, b = b, a
+    if not b:
+        return len(a)
+    where: dict[Hashable, int] = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    every, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    rises, falls, distance = every, 0, len(a)
+    for y in b:
+        same = where.get(y, 0)
+        stays = ((same & rises) + rises ^ rises) | same
+        across_up, across_down = falls | every & ~(stays | rises), rises & stays
+        distance += bool(across_up & last) - bool(across_down & last)
+        across_up, across_down = (across_up << 1 | 1) & every, across_down << 1 & every
+        diagonal = same | falls
+        rises, falls = across_down | every & ~(diagonal | across_up), across_up & diagonal
+    return distance
+
+
+def error_rate(reference: Sequence[Hashable], hypothesis: Sequence[Hashable]) -> float:
+    """Edits per symbol of the reference; without one, 0 if the hypothesis is empty too and 1 if not."""
+    return edit_distance(reference, hypothesis) / len(reference) if reference else float(bool(hypothesis))
+
+
+@F.pandas_udf(DoubleType())
+def char_error_rate(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
+    """Over characters, without white space at either end; null counts as empty."""
+    return pd.Series([error_rate((r or "").strip(), (h or "").strip()) for r, h in zip(reference, hypothesis, strict=True)], dtype=float)
+
+
+@F.pandas_udf(DoubleType())
+def word_rate(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
+    return pd.Series([error_rate((r or "").split(), (h or "").split()) for r, h in zip(reference, hypothesis, strict=True)], dtype=float)
 
 
 def word_error_rate(pairs: DataFrame, reference: str, hypothesis: str) -> DataFrame:
-    """Adds ``wer``: each distinct word of a pair becomes one private-use character, so that the character distance counts words."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            coded = []
-            for r, h in zip(f[reference], f[hypothesis], strict=True):
-                known: dict[str, str] = {}
-                code = lambda x, known=known: "".join(known.setdefault(w, chr(0xF0000 + len(known))) for w in (x or "").split())
-                coded.append((code(r), code(h)))
-            yield f.assign(_r=[c[0] for c in coded], _h=[c[1] for c in coded])
-
-    schema = StructType(list(pairs.schema.fields)).add("_r", "string").add("_h", "string")
-    return pairs.mapInPandas(run, schema).withColumn("wer", char_error_rate(F.col("_r"), F.col("_h"))).drop("_r", "_h")
+    """Adds ``wer``, over words."""
+    return pairs.withColumn("wer", word_rate(F.col(reference), F.col(hypothesis)))

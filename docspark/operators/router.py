@@ -31,7 +31,7 @@ def resolve_report_target(files: list[str], requested: str | None, active: str |
     """(file, None), or (None, candidates) to choose from, or (None, None) if a named file is not there."""
     if requested:
         low = requested.strip().lower()
-        for test in (lambda f: f.lower() == low, lambda f: low in f.lower() or f.lower().rpartition(".")[0] in low and "." in f):
+        for test in (lambda f: f.lower() == low, lambda f: low in f.lower() or f.lower().rsplit(".", 1)[0] in low):
             if found := next((f for f in files if test(f)), None):
                 return found, None
         close = get_close_matches(requested, files, n=1, cutoff=0.6)

@@ -1,4 +1,4 @@
-"""Chunk store, registry and document lifecycle on partitioned Parquet tables."""
+"""Chunk store, registry and document lifecycle on versioned Parquet tables."""
 
 from __future__ import annotations
 
@@ -7,10 +7,12 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from . import shared
+from .versions import VersionedTables
 
 REGISTRY = "conversation_id string, file_hash string, filename string, stored_path string, file_type string, chunks int, processed_at timestamp, document_id string"
-CHUNKS = "conversation_id string, document_id string, source string, page int, chunk_index int, total_chunks int, text string, embedding array<float>, file_type string, chunk_type string, sheet_name string, row_range string, bucket int"
+CHUNKS = "conversation_id string, document_id string, source string, page int, chunk_index int, total_chunks int, text string, embedding array<float>, file_type string, chunk_type string, sheet_name string, row_range string"
 
 
 def file_hash(content: Column) -> Column:
@@ -53,27 +55,24 @@ def files(registry: DataFrame, conversation_id: str | None = None) -> DataFrame:
 
 
 class ChunkStore:
-    """Chunks and registry below one folder, partitioned by a bucket of the conversation, so that a filter on it prunes.
+    """Chunks and registry below one folder, in buckets of the conversation, so that reading one conversation prunes the others.
 
-    Plain Parquet has no transactions: a change rewrites the partitions it touches (dynamic overwrite), the registry is written last,
-    and a writer that died in between leaves chunks that the registry does not know; reading ignores those.
+    A change of both tables is one version (``versions``): whoever dies in between leaves the old one, and a batch that runs again is told
+    by the ledger.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64, dim: int | None = None):
-        self.spark, self.path, self.buckets, self.dim = spark, path.rstrip("/"), buckets, dim
+        self.spark, self.path, self.dim = spark, path.rstrip("/"), dim
+        self.tables = VersionedTables(spark, f"{self.path}/tables", {"chunks": CHUNKS, "registry": REGISTRY}, "conversation_id", buckets)
         self._asides: list[str] = []
 
-    def _delete(self, path: str) -> None:
-        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
     def _tidy(self) -> None:
         """Delete what was written aside, once nothing reads it any more."""
         while self._asides:
-            self._delete(self._asides.pop())
+            shared.delete(self.spark, self._asides.pop())
 
     def bucket(self, conversation: Column) -> Column:
-        return F.pmod(F.xxhash64(conversation), F.lit(self.buckets)).cast("int")
+        return self.tables.bucket(conversation)
 
     def ready(self, tries: int = 5, wait: float = 2.0) -> bool:
         """Whether the store can be read, asked a few times; a store that nothing was added to is ready. Never raises."""
@@ -87,57 +86,46 @@ class ChunkStore:
 
     def registered(self, conversation_id: str, filename: str | None = None, document_id: str | None = None) -> DataFrame:
         """A conversation's registry rows, of one file name or document if given, the latest first."""
-        rows = self.read("registry").where((F.col("bucket") == self.bucket(F.lit(conversation_id))) & (F.col("conversation_id") == conversation_id))
-        return files(by_name(rows, filename, document_id))
-
-    def exists(self, name: str) -> bool:
-        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+        return files(by_name(self.tables.of("registry", conversation_id), filename, document_id))
 
     def read(self, name: str) -> DataFrame:
-        schema = CHUNKS if name == "chunks" else REGISTRY + ", bucket int"
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if self.exists(name) else self.spark.createDataFrame([], schema)
+        return self.tables.read(name)
 
     def chunks(self, conversation_id: str) -> DataFrame:
-        """A conversation's chunks that the registry knows; the bucket filter prunes partitions, the equality filter is pushed down."""
-        mine = lambda df: df.where((F.col("bucket") == self.bucket(F.lit(conversation_id))) & (F.col("conversation_id") == conversation_id))
-        return mine(self.read("chunks")).join(mine(self.read("registry")).select("document_id").distinct(), "document_id", "left_semi")
-
-    def _write(self, name: str, df: DataFrame, mode: str) -> None:
-        schema = T._parse_datatype_string(CHUNKS if name == "chunks" else REGISTRY + ", bucket int")
-        rows = df.withColumn("bucket", self.bucket(F.col("conversation_id"))).select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
-        rows.repartition("bucket").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/{name}")
+        """A conversation's chunks; only its bucket is read, and the equality filter is pushed down."""
+        return self.tables.of("chunks", conversation_id)
 
     def _check(self, chunks: DataFrame) -> None:
-        """Vectors must have the store's length, and what is stored must have its columns."""
+        """Vectors must have the store's length."""
         if self.dim is not None and chunks.where(F.size("embedding") != self.dim).limit(1).count():
             raise RuntimeError(f"vectors must have {self.dim} components")
-        if self.exists("chunks"):
-            held = {f.name for f in self.spark.read.parquet(f"{self.path}/chunks").schema.fields}
-            if missing := {x.split()[0] for x in CHUNKS.split(", ")} - held:
-                raise RuntimeError(f"the stored chunks lack {sorted(missing)}")
 
-    def add(self, chunks: DataFrame, registry: DataFrame) -> None:
+    def add(self, chunks: DataFrame, registry: DataFrame, batch: tuple[str, int] | None = None) -> None:
+        """Both tables or neither; a stream's batch goes into the ledger with them."""
         self._check(chunks)
-        self._write("chunks", chunks, "append")
-        self._write("registry", registry, "append")
+        change = self.tables.change()
+        change.append("chunks", chunks)
+        change.append("registry", registry)
+        change.commit(batch)
         self._tidy()
 
-    def _swap(self, name: str, conversation_id: str, keep: Column, extra: DataFrame | None) -> int:
-        """Rewrite one conversation's bucket without the rows that ``keep`` excludes, plus ``extra``; the number of rows left out."""
-        old = self.read(name).where(F.col("bucket") == self.bucket(F.lit(conversation_id)))
-        gone = old.where(~keep).count()
-        if gone or extra is not None:
-            left = old.where(keep).drop("bucket")
-            rows = self._held(left if extra is None else left.unionByName(extra.select(*left.columns)))
-            if rows.limit(1).count():
-                self._write(name, rows, "overwrite")
-            else:
-                self._delete(f"{self.path}/{name}/bucket={self.spark.range(1).select(self.bucket(F.lit(conversation_id))).first()[0]}")
+    def _swap(self, conversation_id: str, keep: Column, chunks: DataFrame | None = None, registry: DataFrame | None = None) -> dict[str, int]:
+        """Rewrite a conversation's bucket of both tables without the rows that ``keep`` excludes, plus what is given, as one change;
+        how many rows were left out of each."""
+        change, number, gone = self.tables.change(), self.tables.number(conversation_id), {}
+        for name, extra in (("chunks", chunks), ("registry", registry)):
+            old = change.rows(name, [number]).drop("bucket")
+            gone[name] = old.where(~keep).count()
+            if gone[name] or extra is not None:
+                left = old.where(keep)
+                change.rewrite(name, [number], left if extra is None else left.unionByName(extra.select(*left.columns)))
+        if any(gone.values()) or chunks is not None:
+            change.commit()
+        self._tidy()
         return gone
 
     def _held(self, rows: DataFrame) -> DataFrame:
-        """Rows written aside, since a folder cannot be overwritten while it is read; each change has a folder of its own."""
+        """Rows written aside, worked out once."""
         aside = f"{self.path}/_aside/{uuid.uuid4().hex}"
         rows.write.parquet(aside)
         self._asides.append(aside)
@@ -145,22 +133,14 @@ class ChunkStore:
 
     def delete_conversation(self, conversation_id: str) -> int:
         """Number of registry rows removed; 0 on repetition."""
-        keep = ~F.col("conversation_id").eqNullSafe(conversation_id)
-        self._swap("chunks", conversation_id, keep, None)
-        gone = self._swap("registry", conversation_id, keep, None)
-        self._tidy()
-        return gone
+        return self._swap(conversation_id, ~F.col("conversation_id").eqNullSafe(conversation_id))["registry"]
 
     def delete_document(self, document_id: str, conversation_id: str) -> int:
         """Number of chunks removed; 0 on repetition, and for another conversation's document."""
-        keep = ~(F.col("document_id").eqNullSafe(document_id) & F.col("conversation_id").eqNullSafe(conversation_id))
-        gone = self._swap("chunks", conversation_id, keep, None)
-        self._swap("registry", conversation_id, keep, None)
-        self._tidy()
-        return gone
+        return self._swap(conversation_id, ~(F.col("document_id").eqNullSafe(document_id) & F.col("conversation_id").eqNullSafe(conversation_id)))["chunks"]
 
     def reindex(self, document_id: str, conversation_id: str, chunks: DataFrame, registry: DataFrame) -> int:
-        """Replace a document's chunks in one partition overwrite; its id stays. Refuses unknown documents and empty replacements."""
+        """Replace a document's chunks and registry row as one change; its id stays. Refuses unknown documents and empty replacements."""
         if not self.registered(conversation_id, document_id=document_id).limit(1).count():
             raise ValueError(f"document {document_id} is not in conversation {conversation_id}")
         chunks = self._held(chunks)  # parsed and embedded once
@@ -169,7 +149,5 @@ class ChunkStore:
             raise ValueError("the new version has no chunks")
         self._check(chunks)
         keep = ~(F.col("document_id").eqNullSafe(document_id) & F.col("conversation_id").eqNullSafe(conversation_id))
-        self._swap("chunks", conversation_id, keep, chunks)
-        self._swap("registry", conversation_id, keep, registry)
-        self._tidy()
+        self._swap(conversation_id, keep, chunks, registry)
         return n

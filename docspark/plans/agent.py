@@ -113,7 +113,7 @@ class Agent:
             turn.observations.append({"tool": "retrieve", "question": question, "status": "already_retrieved"})
             return
         raw = turn.question if not turn.retrieved else None  # the user's own words go with the first search only
-        found = self.engine.search(question, turn.conversation_id, top_k, raw_question=raw, seen=turn.seen).persist()
+        found = self.engine.search(question, turn.conversation_id, top_k, raw_question=raw, seen=turn.seen)
         ids = [r["point_id"] for r in found.select("point_id").collect()]  # top_k rows
         turn.retrieved.append(question)
         turn.observations.append({"tool": "retrieve", "question": question, "found": len(ids)})

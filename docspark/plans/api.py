@@ -7,20 +7,27 @@ import time
 import uuid
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..config import DEFAULTS, Settings
 from ..functions import text as T
 from ..functions import tokens
 from ..functions import vectors as V
-from ..operators import chunking, dedupe, images, lexical, memory, objects, ocr_text, pdf, profile, prompts, ranking, report, search, store
+from ..operators import chunking, dedupe, images, lexical, memory, objects, ocr_text, pdf, profile, prompts, ranking, report, search, shared, store
 from ..plugins import Embedder, ExtractiveGenerator, Generator, Planner, Remembering, Reranker, Rewriter, RulePlanner, embedding, reranked
 from ..sources import files
 
 TOPIC_CANDIDATES = 24
 NO_DOCUMENTS = {"en": "No relevant documents were found.", "ar": "لا توجد مستندات كافية للإجابة."}
 SHEET = ["file_type", "chunk_type", "sheet_name", "row_range"]
+#: Hears a stage's name and the number of its rows.
+Progress = Callable[[str, int], None]
+
+
+def silent(stage: str, rows: int) -> None:
+    """No progress is told."""
 
 
 class Engine:
@@ -37,31 +44,36 @@ class Engine:
         self.store = store.ChunkStore(spark, path, dim=embedder.dim if embedder else V.BUCKETS)
         self.objects = objects.ObjectStore(spark, f"{self.path}/objects")
         self.fact_files = objects.FactFiles(objects.ObjectStore(spark, f"{self.path}/facts"))
+        self.facts = memory.fact_table(spark, f"{self.path}/memory")
         self.generator, self.planner = generator or ExtractiveGenerator(), planner or RulePlanner()
         self.embedder, self.reranker, self.rewriter, self.recognise = embedder, reranker, Remembering(rewriter), recognise
         self._events: list[tuple[str, str, float]] = []
 
     # ---- ingestion
 
-    def _prepared(self, found: DataFrame, conversation_id: str, document_id: str | None = None, progress: Callable[[str], None] = lambda stage: None) -> tuple[DataFrame, DataFrame]:
-        """(chunks, registry rows) of files (path, filename, content). ``progress`` hears of each stage as its plan is made; all run in one job."""
+    def _stage(self, rows: DataFrame, name: str, progress: Progress) -> DataFrame:
+        """A stage's rows, written aside; ``progress`` hears of it once they are, with their number as it was observed on the way."""
+        seen = Observation(name)
+        done = self.store._held(rows.observe(seen, F.count(F.lit(1)).alias("n")))
+        progress(name, seen.get["n"])
+        return done
+
+    def _prepared(self, found: DataFrame, conversation_id: str, document_id: str | None = None, progress: Progress = silent) -> tuple[DataFrame, DataFrame]:
+        """(chunks, registry rows) of files (path, filename, content), stage by stage."""
         s = self.settings
-        progress("parsing")
         hashed = found.select("path", "filename", "content", store.file_hash(F.col("content")).alias("file_hash")).withColumn("conversation_id", F.lit(conversation_id))
         new = store.new_uploads(hashed, self.store.read("registry")) if document_id is None else hashed
         ids = F.lit(document_id) if document_id else F.concat_ws("-", F.substring("file_hash", 1, 16), F.substring(F.md5(F.lit(conversation_id)), 1, 8))
         new = new.withColumn("document_id", ids)
         pages = files.load(new, self.recognise, settings=s).where("error is null").join(new.select("path", "file_hash", "document_id"), "path")
         order = F.concat_ws("/", "path", F.format_string("%09d", "page"), F.coalesce("row_range", F.lit("")))
-        pages = dedupe.prefix_dedupe(pages.withColumn("text", T.enrich(F.col("text"))).withColumn("key", order), "text", "key")
-        progress("chunking")
+        pages = self._stage(dedupe.prefix_dedupe(pages.withColumn("text", T.enrich(F.col("text"))).withColumn("key", order), "text", "key"), "parsing", progress)
         whole = pages.where("file_type = 'excel'").select("key", F.lit(0).alias("pos"), F.col("text").alias("chunk")).where(T.is_meaningful(F.col("chunk")))
         made = chunking.chunk(pages.where("file_type <> 'excel'"), "key", "text", s).unionByName(whole)
         rows = made.join(pages.select("key", "filename", "page", "document_id", "file_hash", "path", *SHEET), "key").withColumn("source", F.col("filename"))
-        rows = chunking.number_chunks(rows, "source", ["key", "pos"]).withColumn("conversation_id", F.lit(conversation_id))
-        progress("embedding")
+        rows = self._stage(chunking.number_chunks(rows, "source", ["key", "pos"]).withColumn("conversation_id", F.lit(conversation_id)), "chunking", progress)
         chunks = rows.select("conversation_id", "document_id", "source", "page", "chunk_index", "total_chunks", F.col("chunk").alias("text"), embedding(self.embedder, F.col("chunk")).alias("embedding"), *SHEET, "file_hash")
-        chunks = self.store._held(chunks)  # files are parsed and embedded once; all that follows reads this
+        chunks = self._stage(chunks, "embedding", progress)
         kinds = chunks.groupBy("conversation_id", "file_hash", F.col("source").alias("filename"), "file_type", "document_id").agg(F.count("*").cast("int").alias("chunks"))
         registry = kinds.select("conversation_id", "file_hash", "filename", store.stored_name(F.col("filename"), F.col("file_hash")).alias("stored_path"), "file_type", "chunks", F.current_timestamp().alias("processed_at"), "document_id")
         return chunks.drop("file_hash"), registry
@@ -70,11 +82,14 @@ class Engine:
         """Index the new files below ``path``; the number of chunks."""
         return self.ingest_files(files.scan(self.spark, path, self.settings, glob), conversation_id)
 
-    def ingest_files(self, found: DataFrame, conversation_id: str, progress: Callable[[str], None] = lambda stage: None) -> int:
+    def ingest_files(self, found: DataFrame, conversation_id: str, progress: Progress = silent, batch: tuple[str, int] | None = None) -> int:
+        """The number of chunks added; with ``batch`` (a stream and its batch's number) that batch counts once, however often it runs."""
+        if batch and self.store.tables.has_batch(*batch):
+            return 0
         chunks, registry = self._prepared(found, conversation_id, progress=progress)
         n = chunks.count()
         if n:
-            self.store.add(chunks, registry)
+            self.store.add(chunks, registry, batch)
         return n
 
     def upload(self, filename: str, content: bytes, conversation_id: str) -> int:
@@ -133,10 +148,10 @@ class Engine:
         asked = self.spark.createDataFrame([(question,)], "question string")
         variants = asked.select(F.posexplode(self._variants(question, raw_question, lang)).alias("query_id", "variant"))
         with self.stage(conversation_id, "retrieval"):
-            hits = self.candidates(variants, chunks, k or s.top_k).persist()
+            hits = shared.kept(self.candidates(variants, chunks, k or s.top_k))
             if not hits.limit(1).count():
                 variants = asked.select(F.lit(0).alias("query_id"), search.fallback_query(F.col("question")).alias("variant")).where("variant <> ''")
-                hits = self.candidates(variants, chunks, k or s.top_k).persist()
+                hits = shared.kept(self.candidates(variants, chunks, k or s.top_k))
         if source is not None:
             hits = hits.where(F.col("source") == source)
         if hits.where("file_type = 'excel'").limit(1).count():
@@ -213,7 +228,7 @@ class Engine:
     def ask(self, question: str, conversation_id: str) -> dict:
         """``answer, sources, provider`` from the chunks that fit the context budget."""
         lang = self.language(question)
-        found = self.search(question, conversation_id).persist()
+        found = shared.kept(self.search(question, conversation_id))  # top_n rows
         answer = self.generate(question, found, lang)
         return {"answer": answer, "sources": self.sources(found, answer), "provider": self.generator.provider}
 
@@ -238,6 +253,8 @@ class Engine:
     def delete_conversation(self, conversation_id: str) -> int:
         """Registry rows removed; the conversation's facts go as well."""
         self.fact_files.delete(conversation_id)
+        if self.facts.of("facts", conversation_id).limit(1).count():
+            self.facts.replace("facts", self.spark.createDataFrame([], memory.FACTS), self.spark.createDataFrame([(conversation_id,)], "conversation_id string"))
         return self.store.delete_conversation(conversation_id)
 
     def reindex_document(self, document_id: str, conversation_id: str, path: str) -> int:
@@ -247,7 +264,8 @@ class Engine:
     # ---- reports
 
     def _report(self, pages: DataFrame, lang: str) -> dict[str, DataFrame]:
-        maps = report.extracted(report.packed_pages(pages, "source", "page", "text", self.settings.report_slice_chars)).persist()
+        maps = report.extracted(report.packed_pages(pages, "source", "page", "text", self.settings.report_slice_chars))
+        maps = shared.kept(maps)
         made = {
             "sections": report.sections(maps, "source"), "items": report.capped(report.buckets(maps, "source")), "definitions": report.definitions(maps, "source"),
             "digest": report.digest(maps, "source", "slice_no", "section_title", "summary", self.settings.report_digest_chars), "narratives": report.narratives(maps, "source"), "extent": report.extents(pages, "source", "page"),
@@ -270,7 +288,7 @@ class Engine:
 
     def report_data(self, conversation_id: str, source: str) -> dict[str, DataFrame]:
         """Everything a report on a whole stored document holds, by part. Raises if the document has no text."""
-        pages = self._pages(conversation_id, source).persist()
+        pages = shared.kept(self._pages(conversation_id, source))
         sample = pages.agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", F.substring("text", 1, 2000).alias("t")))), lambda x: x["t"]), " "), 1, 2000)).first()[0]
         if not sample:
             raise ValueError(f"no text of {source} was found")
@@ -282,7 +300,8 @@ class Engine:
             raise ValueError("a report needs a topic")
         lang = self.language(topic)
         found = self.search(topic, conversation_id, TOPIC_CANDIDATES, source, k=TOPIC_CANDIDATES)
-        found = ranking.relatively_relevant(found, "question", "score", 0.5, self.settings.confidence).persist()
+        found = ranking.relatively_relevant(found, "question", "score", 0.5, self.settings.confidence)
+        found = shared.kept(found)
         if not found.limit(1).count() or not self._covered(topic, found, lang):
             raise ValueError(f"not enough on {topic!r} was found in the documents")
         place = F.row_number().over(ranking.Window.partitionBy("question").orderBy("rank"))
@@ -316,16 +335,28 @@ class Engine:
 
     # ---- memory and measures
 
-    def remember(self, stored: DataFrame, incoming: DataFrame, removed: DataFrame) -> DataFrame:
-        return memory.merge(stored, incoming, removed, self.settings)
+    def remember(self, incoming: DataFrame, removed: DataFrame | None = None) -> None:
+        """Merge new facts (``memory.FACTS``) into the stored ones of their conversations, after those that ``removed`` (conversation_id, text) names are gone."""
+        memory.remember(self.facts, incoming, removed, self.settings)
+
+    def remember_snapshots(self, rows: DataFrame, extract: Callable[[str], str], checkpoint: str) -> StreamingQuery:
+        """Facts of a stream of ``streaming.memory.compacted`` rows, merged and stored batch by batch, each once."""
+        from ..streaming.memory import remembered
+
+        return remembered(rows, self.facts, extract, checkpoint, self.settings)
+
+    def stored_facts(self, conversation_id: str) -> DataFrame:
+        """A conversation's facts in order: the table's, or a fact file's where the table has none."""
+        rows = self.facts.of("facts", conversation_id).drop("bucket")
+        if not rows.limit(1).count() and self.fact_files.exists(conversation_id):
+            found = files.fact_files(self.spark, f"{self.fact_files.objects.path}/{objects.safe_id(conversation_id)}.json")
+            rows = found.select(F.lit(conversation_id).alias("conversation_id"), "pos", "text", "category", F.coalesce("importance", F.lit(3)).alias("importance"), F.col("updated_at").try_cast("timestamp").alias("updated_at"))
+        return rows
 
     def memory_text(self, conversation_id: str, messages: DataFrame) -> str:
         """What a prompt is told of a conversation: its stored facts and its last messages (conv_id, turn, role, text)."""
-        facts = ""
-        if self.fact_files.exists(conversation_id):
-            rows = files.fact_files(self.spark, f"{self.fact_files.objects.path}/{objects.safe_id(conversation_id)}.json")
-            row = memory.rendered(rows.withColumn("importance", F.coalesce("importance", F.lit(3))), "conversation_id", "pos", self.settings.fact_chars).first()
-            facts = row["facts"] if row else ""
+        row = memory.rendered(self.stored_facts(conversation_id), "conversation_id", "pos", self.settings.fact_chars).first()
+        facts = row["facts"] if row else ""
         row = memory.prompt_lines(messages.where(F.col("conv_id") == conversation_id), n=self.settings.prompt_messages).first()
         return self._one(prompts.memory_text(F.lit(facts), F.lit(row["prompt"] if row else "")))
 

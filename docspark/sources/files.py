@@ -224,7 +224,7 @@ def load(files: DataFrame, recognise: Recognise | None = None, settings: Setting
             for path, name, kind, data in zip(f["path"], f["filename"], f["file_type"], f["content"], strict=True):
                 try:
                     out += [(path, name, kind, *r) for r in rows(name, kind, bytes(data))]
-                except (LookupError, ValueError, zipfile.BadZipFile, ElementTree.ParseError, pd.errors.ParserError) as e:
+                except Exception as e:  # whatever a damaged file makes a reader raise is that file's error
                     out.append((path, name, kind, 0, None, None, None, None, str(e)[:200] or type(e).__name__))
             yield pd.DataFrame(out, columns=columns)
 

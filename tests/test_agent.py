@@ -263,31 +263,6 @@ def test_sessions_and_health(engine):
     assert tokens.is_signed(made, token, "s") and engine.health() == {"store": True, "objects": True}
 
 
-def test_short_memory_stream(spark, tmp_path):
-    """The stream cuts where the batch fold does, and hands on what it held."""
-    said = spark.createDataFrame([(c, t, "user", f"message {t} of {c}") for c in (1, 2) for t in range(9 + c)], "conv_id long, turn long, role string, text string")
-    said.write.parquet(str(tmp_path / "in"))
-    settings = Settings(compact_messages=4, compact_chars=600, keep_messages=2)
-    stream = compacted(spark.readStream.schema(said.schema).parquet(str(tmp_path / "in")), settings)
-    q = stream.writeStream.format("memory").queryName("held").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    end = time.time() + 120
-    while time.time() < end and spark.table("held").count() < said.count():
-        time.sleep(1)  # a stream with processing-time timeouts does not end by itself
-    q.stop()
-    got = spark.table("held").collect()
-    want = {tuple(r) for r in memory.compaction_points(said, most=4, chars=600, keep=2).collect()}
-    assert {(r["conv_id"], r["turn"], r["compacted"]) for r in got} == want and any(r["compacted"] for r in got)
-    assert all((r["snapshot"] is not None) == r["compacted"] for r in got)
-
-    def extract(text):
-        if "of 2" in text:
-            raise ValueError
-        return 'Here: {"facts": [{"text": " likes tea ", "category": "Preference", "importance": 9}, {"text": "", "category": "x"}]}'
-
-    facts = memory.facts_of(spark.table("held"), extract).collect()
-    assert {(r["conv_id"], r["text"], r["category"], r["importance"]) for r in facts} == {(1, "likes tea", "preference", 5)}
-
-
 def test_settings_from_the_environment(monkeypatch):
     monkeypatch.setenv("TOP_K", "11")
     monkeypatch.setenv("MMR_LAMBDA", "bad")

@@ -72,33 +72,6 @@ def test_otsu_parts_two_classes():
     assert 20 <= images.otsu(values) < 200
 
 
-def test_lines_are_found_and_cut():
-    found = images.lines(page())
-    assert len(found) == 3 and all(x.shape[1] < 400 and 20 <= x.shape[0] < 80 for x in found)
-    blank = np.full((100, 100), 255, np.uint8)
-    assert len(images.lines(blank)) == 1 and images.lines(blank)[0].shape == (100, 100)
-
-
-def test_bands_bridge_gaps_and_split_tall_runs():
-    profile = np.zeros(400)
-    profile[10:40] = profile[50:70] = 1  # a gap of ten rows is bridged
-    profile[120:125] = 1  # too short
-    profile[150:300] = 1  # too tall
-    assert images.bands(profile, 0.5) == [(10, 69), (150, 260), (261, 299)]
-
-
-def test_lines_recognised_in_batches():
-    seen = []
-
-    def batch(parts):
-        seen.append(len(parts))
-        if len(parts) > 1:
-            raise ValueError
-        return [f"line {len(seen)} "]
-
-    assert images.recognised_lines(page(), batch) == "line 2\nline 3\nline 4" and seen == [3, 1, 1, 1]
-
-
 def test_tiers(spark):
     def sure(image, mode, digits):
         return "12" if digits else "a sentence that is long enough, item 1x2" if mode == 6 else "never"
