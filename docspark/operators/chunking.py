@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, Settings
 from ..functions import text as T
 from ..functions import vectors as V
+from .numbering import numbered_within
 
 SEPARATORS = ("\n\n\n", "\n\n", "\n", ".", " ", "")
 
@@ -180,6 +181,6 @@ def chunk(docs: DataFrame, key: str, text: str = "text", settings: Settings = DE
 
 
 def number_chunks(chunks: DataFrame, source: str, order: list[str]) -> DataFrame:
-    """``chunk_index`` from 0 and ``total_chunks`` per source."""
-    per = Window.partitionBy(source)
-    return chunks.withColumns({"chunk_index": F.row_number().over(per.orderBy(*order)) - 1, "total_chunks": F.count("*").over(per)})
+    """``chunk_index`` from 0 and ``total_chunks`` per source, however many chunks one has."""
+    made = numbered_within(chunks, [source], order, "chunk_index", "total_chunks")
+    return made.withColumn("chunk_index", (F.col("chunk_index") - 1).cast("int"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..functions import text as T
+from . import fuzzy
 from .folds import fold
 from .shared import kept
 from .versions import VersionedTables
@@ -98,33 +98,24 @@ def cleaned(raw: Column) -> Column:
     return F.filter(tidy, lambda x: x["text"] != "")
 
 
-def _form(x: str) -> str:
-    return " ".join(x.strip().lower().split())
-
-
 def alike(a: str, b: str, least: float = DEFAULTS.fact_similarity) -> bool:
-    """Ratio of matching blocks; lengths that rule it out are not compared."""
-    x, y = _form(a or ""), _form(b or "")
-    if not x or not y or 2 * min(len(x), len(y)) < least * (len(x) + len(y)):
-        return False
-    return SequenceMatcher(None, x, y).ratio() >= least
+    return fuzzy.alike(a, b, least)
 
 
 def merge(stored: DataFrame, incoming: DataFrame, removed: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Facts after an update of each conversation: removals first, then each new fact in place of the first alike, else at the end.
 
-    stored and incoming: conversation_id, pos, text, category, importance, updated_at; removed: conversation_id, text. A store
-    holds ``max_facts`` at most, so a conversation's group is small; order decides the result, hence one task per conversation.
+    stored and incoming: conversation_id, pos, text, category, importance, updated_at; removed: conversation_id, text. Removals are a
+    join. Which fact a new one replaces depends on those before it, hence one task per conversation for that: a store holds ``max_facts``.
     """
     columns = ["conversation_id", "pos", "text", "category", "importance", "updated_at"]
+    named = stored.select(*columns).withColumn("row", F.to_json(F.struct("conversation_id", "pos")))
+    stored = fuzzy.without_alike(named, removed.select("conversation_id", "text"), "row", "text", ["conversation_id"], settings.fact_similarity)
     rows = stored.select(F.lit(0).alias("step"), *columns).unionByName(incoming.select(F.lit(2).alias("step"), *columns))
-    gone = removed.select(F.lit(1).alias("step"), "conversation_id", F.lit(0).alias("pos"), "text", *[F.lit(None).cast(k).alias(c) for c, k in (("category", "string"), ("importance", "int"), ("updated_at", "timestamp"))])
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["step", "pos"])
         store = f[f["step"] == 0].to_dict("records")
-        for text in f[f["step"] == 1]["text"]:
-            store = [x for x in store if not alike(x["text"], text, settings.fact_similarity)]
         for new in f[f["step"] == 2].to_dict("records"):
             at = next((i for i, x in enumerate(store) if alike(x["text"], new["text"], settings.fact_similarity)), None)
             if at is None:
@@ -139,7 +130,7 @@ def merge(stored: DataFrame, incoming: DataFrame, removed: DataFrame, settings:
             store = [x for x in store if x["pos"] not in drop]
         return pd.DataFrame(store, columns=["step", *columns])[columns].astype({"pos": "int32"}).astype({"importance": "Int32"})
 
-    return rows.unionByName(gone).groupBy("conversation_id").applyInPandas(run, FACTS)
+    return rows.groupBy("conversation_id").applyInPandas(run, FACTS)
 
 
 def fact_table(spark: SparkSession, path: str, buckets: int = 64) -> VersionedTables:

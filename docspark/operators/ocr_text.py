@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.values import BANNED_OPENINGS, NOT_FOUND
 from .folds import fold
+from .numbering import numbered_within
 
 #: Where a text's lines end.
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
@@ -20,10 +21,11 @@ def lines_of(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 def merged_results(results: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Lines of several recognition results of one image, the longest result first, each line once: ``key, place, line``."""
-    ranked = results.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.length(text)), text)))
+    longest = results.select(key, (-F.length(text)).alias("n"), F.col(text).alias(text))
+    ranked = numbered_within(longest, [key], ["n", text], "r")
     rows = ranked.select(key, "r", F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "line")).withColumn("k", T.collapse(F.lower("line"))).where("k <> ''")
     first = rows.withColumn("_f", F.row_number().over(Window.partitionBy(key, "k").orderBy("r", "pos"))).where("_f = 1")
-    return first.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("r", "pos"))).select(key, "place", "line")
+    return numbered_within(first.select(key, "r", "pos", "line"), [key], ["r", "pos"], "place").select(key, F.col("place").cast("int").alias("place"), "line")
 
 
 def merge_fractured(docs: DataFrame, key: str, text: str = "text", short: int = 15, run: int = 6) -> DataFrame:

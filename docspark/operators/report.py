@@ -9,6 +9,7 @@ from ..config import DEFAULTS
 from ..functions import text as T
 from ..functions.values import REPORT_CAPS, REPORT_SECTIONS
 from .folds import fold
+from .numbering import numbered_within
 
 #: A word's beginning, written out because engines differ in what ends a word.
 BEFORE = r"(?:^|[^\p{L}\p{N}_])"
@@ -57,7 +58,8 @@ def buckets(maps: DataFrame, doc: str, order: str = "slice_no") -> DataFrame:
     keyed = rows.withColumn("key", F.substring(T.collapse(F.lower("text")), 1, 200)).where("key <> ''")
     first = keyed.withColumn("_r", F.row_number().over(Window.partitionBy(doc, "section", "key").orderBy(order, "i"))).where("_r = 1")
     item = F.concat(T.strip(F.col("text")), F.when(F.coalesce("page_ref", F.lit("")) != "", F.concat(F.lit(" ("), F.col("page_ref"), F.lit(")"))).otherwise(""))
-    return first.withColumn("place", F.row_number().over(Window.partitionBy(doc, "section").orderBy(order, "i"))).select(doc, "section", "place", item.alias("item"))
+    placed = numbered_within(first.select(doc, "section", order, "i", item.alias("item")), [doc, "section"], [order, "i"], "place")
+    return placed.select(doc, "section", F.col("place").cast("int").alias("place"), "item")
 
 
 def definitions(maps: DataFrame, doc: str, order: str = "slice_no") -> DataFrame:

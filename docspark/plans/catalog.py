@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import DEFAULTS
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import chunking, dedupe, lexical, memory, ocr_text, profile, ranking, report, router, search, sheets, shared, store, substrings
-from ..operators.numbering import numbered
+from ..operators import chunking, dedupe, fuzzy, lexical, memory, ocr_text, profile, ranking, report, router, search, sheets, shared, store, substrings
+from ..operators.numbering import numbered, numbered_within
 from ..sources import validation
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -323,6 +324,13 @@ def fact_fuzzy_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.merge(facts.where("pos % 2 = 0"), facts.where("pos % 2 = 1"), facts.where("pos = 0").select("conversation_id", "text"))
 
 
+@query
+def fact_alike_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of one role, anywhere, that are nearly equal: each pair once."""
+    said = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", F.format_string("%09d", "turn")).alias("id"), "role", "text")
+    return fuzzy.alike_pairs(said, said, "id", "text", ["role"], DEFAULTS.fact_similarity).where("left_id < right_id")
+
+
 @query
 def job_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.latest_state(table(spark, sf_dir, "events"), "user_id", "ts", "event_id").select("user_id", "event_id", "event_type")
@@ -374,6 +382,14 @@ def wer_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.word_error_rate(_neighbours(spark, sf_dir), "text", "next").select("item_id", F.round("wer", 6).alias("wer"))
 
 
+@query
+def document_error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents beside the next one of their source: both rates, whatever their length."""
+    placed = shared.kept(numbered_within(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), ["source"], ["doc_id"], "at"))
+    pairs = placed.join(placed.select("source", (F.col("at") - 1).alias("at"), F.col("text").alias("next")), ["source", "at"])
+    return profile.word_error_rate(pairs, "text", "next").select("doc_id", F.round(profile.char_error_rate("text", "next"), 9).alias("cer"), F.round("wer", 9).alias("wer"))
+
+
 @query
 def ocr_line_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr_text.merged_results(table(spark, sf_dir, "documents"), "source").select("source", "place", F.md5("line").alias("line"))
