@@ -36,17 +36,17 @@ def packed_pages(pages: DataFrame, doc: str, page: str, text: str, size: int = D
 
 
 def extracted(slices: DataFrame, text: str = "text") -> DataFrame:
-    """The default extractor, patterns only: numbers, equations, definitions; title, summary and key points are the first sentences."""
+    """The default extractor, patterns only: numbers, equations, definitions, sentences that advise; title, summary and key points are the first sentences."""
     body = F.col(text)
     said_first = T.sentences(body)
     every = lambda pattern, group: F.array_distinct(F.regexp_extract_all(body, F.lit(pattern), F.lit(group)))
-    none = F.array().cast("array<string>")
+    advice = F.filter(said_first, lambda x: F.rlike(F.lower(x), F.lit(BEFORE + "(?:should|must|recommend|best practice)")))
     said = F.regexp_extract_all(body, F.lit(r"([A-Z][\p{L}]+(?: [\p{L}]+)? is (?:a|an|the) [^.\n]+\.)"), F.lit(1))
     definitions = F.transform(said, lambda x: F.struct(F.substring_index(x, " is ", 1).alias("term"), F.regexp_replace(x, r"^.*? is ", "").alias("definition")))
     return slices.withColumns(
         {"page_ref": T.page_ref(F.col("page_start"), F.col("page_end")), "section_title": F.substring(F.coalesce(F.get(said_first, F.lit(0)), F.lit("")), 1, 80),
          "summary": F.array_join(F.slice(said_first, 1, 2), " "), "key_points": F.slice(said_first, 1, 3), "numbers": every(BEFORE + r"(\d[\d.,]*%?)", 1), "equations": every(r"(\w+ = [^\n.;]+)", 1),
-         "technical_terms": every(BEFORE + r"([A-Z]{2,})(?:$|[^\p{L}\p{N}_])", 1), "best_practices": none, "figures_tables": every(r"((?:Figure|Table) \d+)", 1), "definitions": definitions}
+         "technical_terms": every(BEFORE + r"([A-Z]{2,})(?:$|[^\p{L}\p{N}_])", 1), "best_practices": advice, "figures_tables": every(r"((?:Figure|Table) \d+)", 1), "definitions": definitions}
     )
 
 

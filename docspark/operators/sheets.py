@@ -24,6 +24,12 @@ def cell(c: Column, kind: T.DataType) -> Column:
     return X.strip(c.cast("string"))
 
 
+def clean_column(name: Column, place: Column) -> Column:
+    """A column's name without margins; one that is blank or was made up by a reader is named by its place."""
+    bare = F.trim(F.coalesce(name, F.lit("")))
+    return F.when((bare == "") | F.startswith(bare, F.lit("Unnamed")), F.concat(F.lit("Column"), place.cast("string"))).otherwise(bare)
+
+
 def clean_columns(names: list[str]) -> list[str]:
     return [s if (s := n.strip()) and not s.startswith("Unnamed") else f"Column{i + 1}" for i, n in enumerate(names)]
 

@@ -297,8 +297,10 @@ def small_talk_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def route_override_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(a, d, r, c) for a in ("respond", "generate", "retrieve", "summarize") for d in (0, 2) for r in (0, 1) for c in (True, False)]
-    cases = spark.createDataFrame(rows, "action string, n_documents int, n_retrieved int, chatty boolean")
+    """What a planner chose for each message, beside what is done."""
+    turn, conv = F.col("turn"), F.col("conv_id")
+    action = F.element_at(F.array(*map(F.lit, ("respond", "generate", "retrieve", "summarize"))), ((conv + turn) % 4 + 1).cast("int"))
+    cases = table(spark, sf_dir, "conversations").select("conv_id", "turn", action.alias("action"), (conv % 3).alias("n_documents"), (turn % 2).alias("n_retrieved"), router.small_talk(F.col("text")).isNotNull().alias("chatty"))
     return cases.withColumn("taken", router.routed(F.col("action"), F.col("n_documents"), F.col("n_retrieved"), F.col("chatty")))
 
 
@@ -411,16 +413,27 @@ def answer_line_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr_text.clean_answers(said, "doc_id", "text", "lang").select("doc_id", F.md5("answer").alias("answer"))
 
 
+#: Extensions that page names get in turn.
+EXTENSIONS = ("pdf", "docx", "doc", "xls", "xlsx", "csv", "PNG", "txt", "md", "json", "zzz")
+
+
+def _uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as uploads named by their address with each extension in turn; every other one begins with the marks of its type."""
+    i = (F.col("page_id") % len(EXTENSIONS)).cast("int")
+    name = F.concat("url", F.lit("."), F.element_at(F.array(*map(F.lit, EXTENSIONS)), i + 1))
+    mark = F.element_at(F.array(*[F.unhex(F.lit(x)) for x in ("255044462D", "504B0304", "D0CF11E0A1B11AE1", "D0CF11E0A1B11AE1", "504B0304", "", "89504E470D0A1A0A", "", "", "", "")]), i + 1)
+    content = F.concat(F.when(F.col("page_id") % 2 == 0, mark).otherwise(F.unhex(F.lit(""))), F.col("html").cast("binary"))
+    return table(spark, sf_dir, "pages").select("page_id", name.alias("filename"), content.alias("content"))
+
+
 @query
 def upload_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("a.pdf", b"%PDF-1.7"), ("b.PDF", b"nope"), ("c.docx", b"PK\x03\x04x"), ("d.xls", b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"), ("e.txt", b"hi"), ("f.txt", b"a\x00b"), ("g.exe", b"MZ"), ("h.md", b""), ("noext", b"x"), ("i.png", b"\x89PNG\r\n\x1a\n"), ("j.jpg", b"text"), ("k.csv", b"a,b")]
-    return validation.validate(spark.createDataFrame([(n, bytearray(c)) for n, c in rows], "filename string, content binary")).select("filename", "status", "file_type")
+    return validation.validate(_uploads(spark, sf_dir)).select("page_id", "status", "file_type")
 
 
 @query
 def content_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.createDataFrame([(n,) for n in ("a.pdf", "d.xls", "k.csv", "i.png", "e.txt", "zzz")], "filename string")
-    return names.select("filename", validation.content_type(F.col("filename")).alias("content_type"))
+    return _uploads(spark, sf_dir).select("page_id", validation.content_type(F.col("filename")).alias("content_type"))
 
 
 @query

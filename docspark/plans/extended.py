@@ -19,6 +19,7 @@ from ..functions import text as T
 from ..functions import tokens
 from ..operators import chunking, dedupe, images, lexical, memory, ocr_text, pdf, prompts, ranking, report, search, sheets, store
 from ..sources import audio, files
+from . import table_functions
 from .agent import first_of_turn, token_totals
 from .catalog import _facts, _neighbours, _points, _ranked, query, table
 
@@ -133,8 +134,9 @@ def text_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def error_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stages = spark.createDataFrame([(x,) for x in ("parsing", "chunking", "embedding", "done", "queued")], "stage string")
-    return stages.select("stage", T.error_category(F.col("stage")).alias("message"))
+    """Events stand for jobs that ended in one stage or another."""
+    stage = F.element_at(F.array(*map(F.lit, ("parsing", "chunking", "embedding", "done", "queued"))), (F.col("event_id") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", stage.alias("stage")).withColumn("message", T.error_category(F.col("stage")))
 
 
 @query
@@ -298,7 +300,7 @@ def unseen_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def repeated_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit(" "), F.upper(F.substring("text", 1, 1 + (F.col("turn") % 3).cast("int")))).alias("question"))
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit(" "), F.col("text")).alias("question"))
     return first_of_turn(said, "conv_id", "question", "turn").select("conv_id", "turn")
 
 
@@ -330,10 +332,21 @@ def usable_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sheets.usable_rows(part, "pos", replace(DEFAULTS, excel_max_rows=100))
 
 
+@query
+def lateral_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two splitters as table functions, called from SQL."""
+    table_functions.register(spark)
+    docs = {"docs": table(spark, sf_dir, "documents").select("doc_id", "text")}
+    return spark.sql(
+        """SELECT doc_id, 'recursive' AS way, pos, md5(chunk) AS chunk FROM {docs}, LATERAL recursive_chunks(text, 700, 150)
+        UNION ALL SELECT doc_id, 'hybrid', pos, md5(chunk) FROM {docs}, LATERAL hybrid_chunks(text)""", **docs)
+
+
 @query
 def column_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = ["a", " b ", "", "Unnamed: 3", "Unnamed", "ü"]
-    return spark.createDataFrame(list(zip(given, sheets.clean_columns(given), strict=True)), "given string, name string")
+    """The parts of an address as a sheet's header."""
+    parts = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.split(F.concat(F.lit(" "), "url", F.lit(" /Unnamed: 3/")), "/", -1)).alias("pos", "given"))
+    return parts.select("page_id", "pos", "given", sheets.clean_column(F.col("given"), F.col("pos") + 1).alias("name"))
 
 
 @query

@@ -78,12 +78,14 @@ def _diverse(pool: str, name: str) -> str:
 
 
 INNER, OUTER = _pads()
+ADVICE = r"(?:^|[^\p{L}\p{N}_])(?:should|must|recommend|best practice)"
 #: Slices of documents with what the default extractor finds in them.
 LISTS = {
     "key_points": "ss[1:3]",
     "technical_terms": r"list_distinct_in_order(regexp_extract_all(text, '(?:^|[^\p{L}\p{N}_])([A-Z]{2,})(?:$|[^\p{L}\p{N}_])', 1))",
     "numbers": r"list_distinct_in_order(regexp_extract_all(text, '(?:^|[^\p{L}\p{N}_])(\d[\d.,]*%?)', 1))",
     "equations": r"list_distinct_in_order(regexp_extract_all(text, '(\w+ = [^\n.;]+)', 1))",
+    "best_practices": rf"list_filter(ss, lambda x: regexp_matches(lower(x), '{ADVICE}'))",
     "figures_tables": r"list_distinct_in_order(regexp_extract_all(text, '((?:Figure|Table) \d+)', 1))",
 }
 REF = "CASE WHEN doc_id = page_end THEN 'p. ' || doc_id ELSE 'pp. ' || doc_id || '-' || page_end END"
@@ -129,7 +131,7 @@ ORACLES |= {
       SELECT conv_id, turn, CASE WHEN json_valid(r) THEN json_extract_string(r, '$.k') WHEN json_valid(regexp_extract(r, '(?s)\{.*\}')) THEN json_extract_string(regexp_extract(r, '(?s)\{.*\}'), '$.k') END AS k FROM bare""",
     "fact_clean": f"SELECT conv_id, turn, md5({strip('text')}) AS fact, CASE WHEN turn % 2 = 0 THEN 'decision' WHEN lower(role) IN ('preference', 'decision', 'task', 'fact') THEN lower(role) ELSE 'fact' END AS category, greatest(1, least(5, CASE WHEN turn % 4 = 3 THEN 3 ELSE turn * 3 - 2 END))::INT AS importance FROM conversations WHERE {strip('text')} <> ''",
     "text_lists": f"SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: {strip('x')}), lambda x: x <> ''), '|')) AS items FROM documents",
-    "error_categories": "SELECT * FROM (VALUES ('parsing', 'Could not read the file'), ('chunking', 'Could not split the document'), ('embedding', 'Could not index the document'), ('done', 'Processing failed'), ('queued', 'Processing failed')) t(stage, message)",
+    "error_categories": "SELECT event_id, s AS stage, CASE s WHEN 'parsing' THEN 'Could not read the file' WHEN 'chunking' THEN 'Could not split the document' WHEN 'embedding' THEN 'Could not index the document' ELSE 'Processing failed' END AS message FROM (SELECT event_id, ['parsing', 'chunking', 'embedding', 'done', 'queued'][event_id % 5 + 1] AS s FROM events)",
     "audio_gates": "SELECT doc_id, CASE WHEN strlen(text) < 1500 THEN 'small' WHEN strlen(substr(text, 1, 2500)) < 2000 THEN 'unreadable' WHEN doc_id % 7 > 0 AND -(doc_id % 100 + 0.5) < -60 THEN 'silent' ELSE 'ok' END AS status FROM documents",
     "spoken_language": "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'en' WHEN doc_id % 5 = 1 THEN 'ar' WHEN doc_id % 13 = 0 OR (doc_id % 11) / 10.0::DOUBLE >= 0.75::DOUBLE * ((doc_id % 7) / 10.0::DOUBLE) THEN 'ar' ELSE 'en' END AS language FROM documents",
     "scan_text": f"SELECT doc_id, 'markdown' AS file_type, md5({strip('text')}) AS body FROM documents WHERE {strip('text')} <> ''",
@@ -164,13 +166,13 @@ ORACLES |= {
       array_to_string(list_filter(string_split(text, ' '), lambda x, i: list_position(list_transform(string_split(text, ' '), lambda y: lower(y)), lower(x)) = i), ' ') AS once,
       array_to_string(regexp_extract_all({norm('text')}, '([\\x{{0600}}-\\x{{06FF}}a-zA-Z]{{2,}})', 1)[1:8], ' ') AS fallback FROM v""",
     "unseen_results": f"WITH {RANKED}, top AS (SELECT * FROM ranked WHERE rank <= 6) SELECT item_id, doc_id FROM top WHERE item_id % 2 = 1 AND doc_id NOT IN (SELECT doc_id FROM top WHERE item_id % 2 = 0)",
-    "repeated_questions": f"SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, lower({strip('upper(substr(text, 1, 1 + (turn % 3)::INT))')}) ORDER BY turn) AS n FROM conversations) WHERE n = 1",
+    "repeated_questions": f"SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, lower({strip('text')}) ORDER BY turn) AS n FROM conversations) WHERE n = 1",
     "token_sums": "SELECT user_id, sum(length(event_type))::BIGINT AS prompt_tokens, sum(CASE WHEN event_id % 3 > 0 THEN event_id % 50 ELSE 0 END)::BIGINT AS completion_tokens, sum(length(event_type) + event_id % 50)::BIGINT AS total_tokens FROM events GROUP BY user_id",
     "variant_scores": f"WITH {RANKED} SELECT item_id // 2 AS question, doc_id, round(max(score), 6) AS score FROM ranked WHERE rank <= 6 GROUP BY ALL",
     "blended_models": """SELECT vec_id, round(coalesce(0.6::DOUBLE * model + (1 - 0.6::DOUBLE) * lex, lex) - (vec_id % 24) * 0.001::DOUBLE - CASE WHEN vec_id % 3 = 0 AND any_rows THEN 0.05::DOUBLE ELSE 0 END, 6) AS score
       FROM (SELECT vec_id, (vec_id % 97) / 97.0::DOUBLE AS lex, CASE WHEN vec_id % 5 > 0 THEN (vec_id % 89) / 89.0::DOUBLE END AS model, bool_or(vec_id % 11 = 0 AND label < 4) OVER (PARTITION BY label) AS any_rows FROM embeddings)""",
     "usable_rows": "SELECT pos::INT AS pos, p_name, p_size FROM (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS pos, p_name, p_size FROM part WHERE p_partkey % 7 <> 0 AND (p_name IS NOT NULL OR p_size IS NOT NULL)) WHERE pos < 100",
-    "column_names": "SELECT given, CASE WHEN trim(given) = '' OR starts_with(trim(given), 'Unnamed') THEN 'Column' || i ELSE trim(given) END AS name FROM (VALUES ('a', 1), (' b ', 2), ('', 3), ('Unnamed: 3', 4), ('Unnamed', 5), ('ü', 6)) t(given, i)",
+    "column_names": "SELECT page_id, (i - 1)::INT AS pos, given, CASE WHEN trim(given) = '' OR starts_with(trim(given), 'Unnamed') THEN 'Column' || i ELSE trim(given) END AS name FROM (SELECT page_id, i, l[i] AS given FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT page_id, string_split(' ' || url || ' /Unnamed: 3/', '/') AS l FROM pages)))",
     "chunk_labels": """SELECT doc_id, '[Chunk ' || doc_id || ' | ' || source || ' | ' || CASE WHEN doc_id % 3 = 0 THEN 'page ' || (doc_id % 6) WHEN doc_id % 7 < 2 THEN CASE WHEN doc_id % 2 = 0 THEN 'Sheet: S' || (doc_id % 4) || ' (summary)' ELSE 'Sheet summary' END
       WHEN doc_id % 5 > 1 THEN CASE WHEN doc_id % 2 = 0 THEN 'Sheet: S' || (doc_id % 4) || ' | ' ELSE '' END || 'Rows ' || (doc_id % 9) || '-' || (doc_id % 9 + 3) WHEN doc_id % 2 = 0 THEN 'Sheet: S' || (doc_id % 4) ELSE 'Excel sheet' END || ']' AS label FROM documents""",
     "semantic_groups": rf"""WITH {SENTENCES}, tokens AS (SELECT doc_id, pos, unnest(list_filter(regexp_split_to_array(lower(sentence), '\s+'), lambda x: x <> '')) AS w FROM rows), counts AS (SELECT doc_id, pos, {BUCKET} AS bucket, count(*) AS n FROM tokens GROUP BY ALL),

@@ -104,7 +104,8 @@ ORACLES = {
         SELECT conv_id, turn, i, h AS held, len(h) > 4 OR list_sum(h) > 600 AS cut FROM (SELECT m.conv_id, m.turn, m.i, list_append(CASE WHEN f.cut THEN list_slice(f.held, greatest(len(f.held) - 1, 1), len(f.held)) ELSE f.held END, m.n) AS h FROM f JOIN m ON m.conv_id = f.conv_id AND m.i = f.i + 1))
       SELECT conv_id, turn, cut AS compacts FROM f""",
     "small_talk_route": f"SELECT conv_id, turn, CASE WHEN form <> '' THEN {TALK}[form] END AS category FROM (SELECT conv_id, turn, {FORM} AS form FROM conversations)",
-    "route_override_matrix": "SELECT a AS action, d AS n_documents, r AS n_retrieved, c AS chatty, CASE WHEN a = 'respond' AND d > 0 THEN 'generate' WHEN a IN ('respond', 'generate') AND d = 0 AND r = 0 AND NOT c THEN 'retrieve' ELSE a END AS taken FROM (VALUES ('respond'), ('generate'), ('retrieve'), ('summarize')) t(a), (VALUES (0), (2)) u(d), (VALUES (0), (1)) v(r), (VALUES (true), (false)) w(c)",
+    "route_override_matrix": f"""SELECT conv_id, turn, a AS action, d AS n_documents, r AS n_retrieved, c AS chatty, CASE WHEN a = 'respond' AND d > 0 THEN 'generate' WHEN a IN ('respond', 'generate') AND d = 0 AND r = 0 AND NOT c THEN 'retrieve' ELSE a END AS taken
+      FROM (SELECT conv_id, turn, ['respond', 'generate', 'retrieve', 'summarize'][(conv_id + turn) % 4 + 1] AS a, conv_id % 3 AS d, turn % 2 AS r, CASE WHEN form <> '' THEN {TALK}[form] END IS NOT NULL AS c FROM (SELECT conv_id, turn, {FORM} AS form FROM conversations))""",
     "fact_eviction": f"WITH {FACTS} SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY importance DESC, updated_at DESC, turn DESC) AS r FROM facts) WHERE r <= 3",
     "fact_render": f"WITH {FACTS}, placed AS (SELECT *, '- [' || category || '] ' || text AS line, row_number() OVER w AS r, sum(length('- [' || category || '] ' || text) + 1) OVER (w ROWS UNBOUNDED PRECEDING) AS s FROM facts WINDOW w AS (PARTITION BY conv_id ORDER BY importance DESC, updated_at DESC, turn)) SELECT conv_id, string_agg(line, chr(10) ORDER BY r) AS facts FROM placed WHERE s <= 300 OR r = 1 GROUP BY conv_id",
     "job_latest_state": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
@@ -122,8 +123,10 @@ ORACLES = {
       SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY a0) - 1)::INT AS place, md5(line) AS line FROM g""",
     "digit_tokens": f"SELECT doc_id, len(list_filter(string_split(text, ' '), lambda t: {SUSPECT}))::INT AS n FROM documents",
     "reindex_swap": "SELECT doc_id, md5(text) AS body FROM documents WHERE doc_id <> 7 UNION ALL SELECT doc_id, md5(upper(text)) FROM documents WHERE doc_id = 7",
-    "upload_validation": "SELECT * FROM (VALUES ('a.pdf', 'ok', 'pdf'), ('b.PDF', 'invalid', NULL), ('c.docx', 'ok', 'docx'), ('d.xls', 'ok', 'excel'), ('e.txt', 'ok', 'txt'), ('f.txt', 'invalid', NULL), ('g.exe', 'unsupported', NULL), ('h.md', 'empty', NULL), ('noext', 'unsupported', NULL), ('i.png', 'ok', 'image'), ('j.jpg', 'invalid', NULL), ('k.csv', 'ok', 'excel')) t(filename, status, file_type)",
-    "content_types": "SELECT * FROM (VALUES ('a.pdf', 'application/pdf'), ('d.xls', 'application/vnd.ms-excel'), ('k.csv', 'text/csv'), ('i.png', 'application/octet-stream'), ('e.txt', 'text/plain'), ('zzz', 'application/octet-stream')) t(filename, content_type)",
+    "upload_validation": """SELECT page_id, CASE WHEN html = '' AND mark % 2 = 1 THEN 'empty' WHEN i = 11 THEN 'unsupported' WHEN i IN (6, 8, 9, 10) OR page_id % 2 = 0 THEN 'ok' ELSE 'invalid' END AS status,
+      CASE WHEN (html <> '' OR mark % 2 = 0) AND i < 11 AND (i IN (6, 8, 9, 10) OR page_id % 2 = 0) THEN ['pdf', 'docx', 'doc', 'excel', 'excel', 'excel', 'image', 'txt', 'markdown', 'json'][i] END AS file_type FROM (SELECT page_id, html, page_id % 11 + 1 AS i, page_id % 2 AS mark FROM pages)""",
+    "content_types": """SELECT page_id, ['application/pdf', 'application/vnd.openxmlformats-officedocument.wordprocessingml.document', 'application/msword', 'application/vnd.ms-excel', 'application/vnd.openxmlformats-officedocument.spreadsheetml.sheet', 'text/csv',
+      'application/octet-stream', 'text/plain', 'text/markdown', 'application/json', 'application/octet-stream'][page_id % 11 + 1] AS content_type FROM pages""",
     "query_variants": f"SELECT item_id, array_to_string(list_distinct_ordered, '|') AS variants FROM (SELECT item_id, list_filter([b, n, lower(b), l], lambda x, i: x <> '' AND list_position([b, n, lower(b), l], x) = i) AS list_distinct_ordered FROM (SELECT item_id, {strip('text')} AS b, {norm(strip('text'))} AS n, {loose(strip('text'))} AS l FROM benchmark))",
     "refusal_markers": "SELECT conv_id, turn, contains(lower(text), 'not available in the uploaded files') OR contains(lower(text), 'no relevant documents were found') OR contains(lower(text), 'only answers questions about the uploaded documents') AS refuses FROM conversations",
     "star_join_rollup": "SELECT r_name, n_name, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)",
