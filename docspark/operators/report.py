@@ -2,36 +2,107 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
 from ..functions import text as T
 from ..functions.values import REPORT_CAPS, REPORT_SECTIONS
-from .folds import fold
-from .numbering import numbered_within
+from .numbering import numbered_within, running
+from .shared import kept
 
 #: A word's beginning, written out because engines differ in what ends a word.
 BEFORE = r"(?:^|[^\p{L}\p{N}_])"
 
 
-def packed_pages(pages: DataFrame, doc: str, page: str, text: str, size: int = DEFAULTS.report_slice_chars) -> DataFrame:
-    """``doc, slice_no, page_start, page_end, text``: pages in order, a new slice where the next page would not fit.
+#: Pages of a document whose links one task follows.
+SPAN = 4096
+
+
+def _next_starts(size: int):
+    """For pages of one stretch of running lengths (idx, n, upto: whether a row asks or answers): where the slice after the one from here begins."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        idx, upto, n = (rows.column(c).to_numpy() for c in ("idx", "upto", "n"))
+        asks = rows.column("asks").to_numpy(zero_copy_only=False)
+        held = np.argsort(upto[~asks], kind="stable")
+        lengths, places = upto[~asks][held], idx[~asks][held]
+        own, limit = idx[asks], upto[asks] - n[asks] + size
+        at = np.searchsorted(lengths, limit, "right") - 1  # the last page that still fits
+        found = np.where(at >= 0, places[np.maximum(at, 0)] if len(places) else 0, 0)
+        return pa.table({"doc": rows.column("doc").filter(pa.array(asks)), "idx": pa.array(own), "nxt": pa.array(np.maximum(found, own) + 1)})
+
+    return run
+
 
-    Whether a page fits depends on the slice so far: a fold over the ordered page lengths that carries two numbers. Texts are joined
-    afterwards by slice number.
+def _exits(links: pa.Table) -> pa.Table:
+    """For each page of a span, the first page beyond the span that its chain of slices reaches."""
+    links = links.sort_by("idx")
+    idx, nxt = links.column("idx").to_numpy(), links.column("nxt").to_numpy()
+    out, first = nxt.copy(), int(idx[0])
+    for i in range(len(idx) - 1, -1, -1):
+        if nxt[i] <= idx[-1]:
+            out[i] = out[nxt[i] - first]
+    return pa.table({"doc": links.column("doc"), "idx": links.column("idx"), "beyond": pa.array(out)})
+
+
+def _borders(links: pa.Table) -> pa.Table:
+    """Which pages of a span begin a slice, from where the chain enters it (``entry``, null if it passes by), as a running count."""
+    links = links.sort_by("idx")
+    idx, nxt, entry = links.column("idx").to_numpy(), links.column("nxt").to_numpy(), links.column("entry")[0].as_py()
+    begins = np.zeros(len(idx), np.int64)
+    while entry is not None and entry <= idx[-1]:
+        begins[entry - idx[0]] = 1
+        entry = int(nxt[entry - idx[0]])
+    return pa.table({"doc": links.column("doc"), "idx": links.column("idx"), "part": links.column("part"), "local": pa.array(np.cumsum(begins))})
+
+
+def slice_numbers(pages: DataFrame, doc: str, page: str, length: Column, size: int) -> DataFrame:
+    """``doc, page, slice_no``: pages in order, a new slice where the next page would not fit.
+
+    Where a slice that begins at a page would end follows from running lengths, for each page by itself: pages whose running lengths lie
+    within one size of each other meet in a task. The slices are the chain of these links from the first page. Spans of ``SPAN`` pages
+    say where a chain that enters them leaves; from span to span pointers are doubled, so the rounds go by the logarithm of a
+    document's spans; then each span marks its borders. No task holds more of a document than a span.
     """
+    kind = dict(pages.dtypes)[doc]
+    placed = running(pages.select(doc, page, length.cast("long").alias("n")).where("n > 0"), [doc], [page], {"idx": F.lit(1), "upto": F.col("n") + 2})
+    placed = kept(placed.withColumnRenamed(doc, "doc"))
+    stretch = lambda c: F.floor(c / (size + 2))
+    rows = placed.select("doc", "idx", "n", "upto")
+    # a page asks for the last one whose running length is within the size of its own beginning, which lies in the same stretch or the one before
+    asks = rows.select("*", F.lit(True).alias("asks"), stretch(F.col("upto") - F.col("n") + size).alias("stretch"))
+    answers = rows.select("*", F.lit(False).alias("asks"), F.explode(F.array(stretch(F.col("upto")), stretch(F.col("upto")) + 1)).alias("stretch"))
+    links = asks.unionByName(answers).groupBy("doc", "stretch").applyInArrow(_next_starts(size), f"doc {kind}, idx long, nxt long")
+    part = F.floor((F.col("idx") - 1) / SPAN)
+    links = kept(links.withColumn("part", part))
+    spans = links.agg(F.max("part")).first()[0] or 0
+    entries = links.where("idx = 1").select("doc", F.lit(1).cast("long").alias("entry"))
+    if spans:
+        exits = kept(links.groupBy("doc", "part").applyInArrow(_exits, f"doc {kind}, idx long, beyond long"))
+        hops = exits.select("doc", F.col("idx").alias("a"), F.col("beyond").alias("b"))
+        targets = hops.select("doc", F.col("b").alias("a")).unionByName(entries.select("doc", F.col("entry").alias("a"))).distinct()
+        hops = hops.join(hops.select("doc", F.col("a").alias("b")), ["doc", "b"], "left_semi")  # a document's last chain ends
+        hops = kept(hops.join(targets, ["doc", "a"], "left_semi").select("doc", "a", "b"))  # only where a chain can enter a span
+        for _ in range(spans.bit_length()):
+            step = lambda df, c: df.join(hops.withColumnRenamed("a", c), ["doc", c])  # noqa: E731, B023
+            entries = kept(entries.unionByName(step(entries, "entry").select("doc", F.col("b").alias("entry"))).distinct())
+            hops = kept(step(hops.withColumnRenamed("b", "m"), "m").select("doc", "a", "b"))
+    entries = entries.withColumn("part", F.floor((F.col("entry") - 1) / SPAN))
+    marked = kept(links.join(entries, ["doc", "part"], "left").groupBy("doc", "part").applyInArrow(_borders, f"doc {kind}, idx long, part long, local long"))
+    held = marked.groupBy("doc", "part").agg(F.max("local").alias("n"))
+    before = held.select("doc", "part", F.coalesce(F.sum("n").over(Window.partitionBy("doc").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    numbers = marked.join(before, ["doc", "part"]).select("doc", "idx", (F.col("before") + F.col("local") - 1).cast("int").alias("slice_no"))
+    return placed.join(numbers, ["doc", "idx"]).select(F.col("doc").alias(doc), page, "slice_no")
 
-    def step(state: tuple[int, int] | None, row: tuple) -> tuple[tuple[int, int], tuple]:
-        (no, length), n = state or (0, 0), row[0] or 0
-        if length and length + n + 2 > size:
-            no, length = no + 1, 0
-        return (no, length + 2 + n if length else n), (no,)
 
-    lengths = pages.select(doc, page, F.length(text).alias("n"))
-    numbers = fold(lengths, doc, [page], ["n"], step, "slice_no int").select(doc, page, "slice_no")
-    parts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), F.when(F.col(text) != "", F.col(text)).alias("t")))), lambda x: x["t"])
-    made = pages.select(doc, page, text).join(numbers, [doc, page]).groupBy(doc, "slice_no")
+def packed_pages(pages: DataFrame, doc: str, page: str, text: str, size: int = DEFAULTS.report_slice_chars) -> DataFrame:
+    """``doc, slice_no, page_start, page_end, text``: pages in order, a new slice where the next page would not fit; pages without text are left out."""
+    numbers = slice_numbers(pages, doc, page, F.length(text), size)
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), F.col(text).alias("t")))), lambda x: x["t"])
+    made = pages.select(doc, page, text).where(F.col(text) != "").join(numbers, [doc, page]).groupBy(doc, "slice_no")
     return made.agg(F.min(page).alias("page_start"), F.max(page).alias("page_end"), F.array_join(parts, "\n\n").alias("text"))
 
 

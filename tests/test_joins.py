@@ -116,3 +116,91 @@ def test_document_error_rates(spark, sf_dir):
         a, b = pairs[i]
         assert got[i] == (round(plain_distance(a.strip(), b.strip()) / len(a.strip()), 9), round(plain_distance(a.split(), b.split()) / len(a.split()), 9))
     assert Counter(got)  # every pair has both rates
+
+
+@pytest.mark.parametrize("span", [4, 4096])
+def test_page_packing_equals_a_plain_version(spark, monkeypatch, span):
+    """One source holds nearly all pages; some pages are blank, some longer than a slice."""
+    from docspark.operators import report
+
+    monkeypatch.setattr(report, "SPAN", span)
+    dice = random.Random(6)
+    rows = [("hot", i, dice.choice("abcd") * dice.choice([0, 1, 2, 9, 20, 30, 31, 70])) for i in range(400)]
+    rows += [("one", 3, "x"), ("blank", 1, ""), ("null", 1, None), ("two", 1, "y" * 99), ("two", 2, "z")]
+    want = []
+    for doc in {r[0] for r in rows}:
+        held, first, last, no = "", None, None, 0
+        for _, page, text in sorted(r for r in rows if r[0] == doc and r[2]):
+            if held and len(held) + 2 + len(text) > 60:
+                want.append((doc, no, first, last, held))
+                held, first, no = "", None, no + 1
+            held, first, last = f"{held}\n\n{text}" if held else text, page if first is None else first, page
+        if held:
+            want.append((doc, no, first, last, held))
+    df = spark.createDataFrame(rows, "doc string, page int, text string").repartition(5)
+    assert sorted(map(tuple, report.packed_pages(df, "doc", "page", "text", 60).collect())) == sorted(want)
+
+
+def test_splitters_in_sql(spark, sf_dir):
+    from docspark.operators import chunking
+    from docspark.plans import table_functions
+
+    table_functions.register(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs.createOrReplaceTempView("some_docs")
+    got = spark.sql("SELECT doc_id, pos, chunk FROM some_docs, LATERAL recursive_chunks(text, 700, 150)")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, chunking.recursive_chunks(docs, "doc_id", size=700, overlap=150).collect()))
+    got = spark.sql("SELECT doc_id, pos, chunk FROM some_docs, LATERAL hybrid_chunks(text)")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, chunking.hybrid_chunks(docs, "doc_id").collect()))
+    assert spark.sql("SELECT * FROM recursive_chunks(CAST(null AS STRING))").count() == 0
+    with pytest.raises(Exception, match="takes a text and whole numbers"):
+        spark.sql("SELECT * FROM recursive_chunks('a', 'b')").collect()
+
+
+def test_damaged_files_are_their_own_errors(spark):
+    """A damaged stream, a password and an unknown method in an archive: each file says so, and the others are read."""
+    import io
+    import zipfile
+
+    from docspark.sources import files, validation
+
+    def archive(change):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("word/document.xml", "<w:document xmlns:w='http://schemas.openxmlformats.org/wordprocessingml/2006/main'>" + "<w:p/>" * 50 + "</w:document>")
+        return change(bytearray(out.getvalue()))
+
+    def broken(data):
+        data[60:75] = b"\xff" * 15
+        return data
+
+    def flagged(data):
+        data[6] |= 1
+        at = data.rindex(b"PK\x01\x02")
+        data[at + 8] |= 1
+        return data
+
+    def method(data):
+        at = data.rindex(b"PK\x01\x02")
+        data[8] = data[at + 10] = 77
+        return data
+
+    up = [(f"{n}.docx", archive(f)) for n, f in (("broken", broken), ("password", flagged), ("method", method))] + [("fine.txt", bytearray(b"Some plain text that is read."))]
+    got = {r["filename"]: (r["error"], r["text"]) for r in files.load(spark.createDataFrame([(n, n, c) for n, c in up], "path string, filename string, content binary")).collect()}
+    assert set(got) == {n for n, _ in up} and got["fine.txt"][1].startswith("Some plain") and all(got[n][0] for n, _ in up[:3])
+    kinds = spark.createDataFrame([("a.doc",), ("a.docx",), ("a",)], "n string").select(validation.content_type(F.col("n")), validation.file_type(F.col("n"))).collect()
+    assert [tuple(k) for k in kinds] == [("application/msword", "doc"), ("application/vnd.openxmlformats-officedocument.wordprocessingml.document", "docx"), ("application/octet-stream", "unknown")]
+
+
+def test_lines_end_where_they_do_elsewhere(spark):
+    from docspark.operators import ocr_text
+
+    text = "one\x0btwo\x0cthree\x1cfour\x1dfive\x1esix\x85seven eight nine\r\none"
+    got = ocr_text.clean_answers(spark.createDataFrame([(1, text, "en")], "k int, t string, lang string"), "k", "t", "lang").first()["answer"]
+    assert got == "one\ntwo\nthree\nfour\nfive\nsix\nseven\neight\nnine"
+
+
+def test_report_targets_without_a_dot():
+    from docspark.operators.router import resolve_report_target
+
+    assert resolve_report_target(["x"], "xyz", None) == ("x", None) and resolve_report_target(["a.pdf", "xyz"], "the xyz file", None) == ("xyz", None)
