@@ -140,10 +140,15 @@ def definitions(maps: DataFrame, doc: str, order: str = "slice_no") -> DataFrame
 
 
 def digest(maps: DataFrame, doc: str, order: str, title: str, summary: str, most: int = DEFAULTS.report_digest_chars) -> DataFrame:
+    """``doc, digest``: a line per slice, cut at ``most`` characters. Running lengths say which lines begin before that; only these are put together."""
     line = F.concat(F.lit("["), F.col("page_ref"), F.lit("] "), F.col(title), F.lit(": "), F.col(summary))
-    parts = F.transform(F.array_sort(F.collect_list(F.when(F.col(summary) != "", F.struct(F.col(order).alias("o"), line.alias("l"))))), lambda x: x["l"])
-    made = maps.groupBy(doc).agg(F.array_join(parts, "\n").alias("t"))
-    return made.select(doc, F.when(F.length("t") > most, F.concat(F.substring("t", 1, most), F.lit("\n...(truncated — document continues)"))).otherwise(F.col("t")).alias("digest"))
+    lines = maps.where(F.col(summary) != "").select(doc, F.col(order).alias("o"), line.alias("l"))
+    size = F.length("l") + 1
+    placed = running(lines, [doc], ["o"], {"upto": size}, {"whole": size})
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("o", "l"))), lambda x: x["l"])
+    made = placed.where(F.col("upto") - size <= most).groupBy(doc).agg(F.array_join(parts, "\n").alias("t"), F.max("whole").alias("whole"))
+    text = F.when(F.col("whole") - 1 > most, F.concat(F.substring("t", 1, most), F.lit("\n...(truncated — document continues)"))).otherwise(F.coalesce("t", F.lit("")))
+    return maps.select(doc).distinct().join(made, doc, "left").select(doc, text.alias("digest"))
 
 
 def capped(items: DataFrame) -> DataFrame:

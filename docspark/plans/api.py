@@ -18,6 +18,7 @@ from ..functions import vectors as V
 from ..operators import chunking, dedupe, images, lexical, memory, objects, ocr_text, pdf, profile, prompts, ranking, report, search, shared, store
 from ..plugins import Embedder, ExtractiveGenerator, Generator, Planner, Remembering, Reranker, Rewriter, RulePlanner, embedding, reranked
 from ..sources import files
+from . import batch
 
 TOPIC_CANDIDATES = 24
 NO_DOCUMENTS = {"en": "No relevant documents were found.", "ar": "لا توجد مستندات كافية للإجابة."}
@@ -162,6 +163,10 @@ class Engine:
                 ranked = store.unseen_results(ranked, self.spark.createDataFrame([(x,) for x in seen], "point_id string"), "point_id")
             return ranked.select("point_id", "source", "page", "chunk_index", "document_id", "text", "score", "rank", *SHEET).withColumn("question", F.lit(question))
 
+    def search_many(self, questions: DataFrame, source: str | None = None) -> DataFrame:
+        """The best chunks for many questions (question_id, conversation_id, question) in one plan; see ``plans.batch.search_many``."""
+        return batch.search_many(self.store, questions, self.settings, self.embedder, source)
+
     def language(self, question: str) -> str:
         return self.spark.range(1).select(T.detect_language(F.lit(question))).first()[0]
 

@@ -18,8 +18,9 @@ from ..config import DEFAULTS
 from ..functions import text as T
 from ..functions import tokens
 from ..operators import chunking, dedupe, images, lexical, memory, ocr_text, pdf, prompts, ranking, report, search, sheets, store
+from ..plugins import embedding
 from ..sources import audio, files
-from . import table_functions
+from . import batch, table_functions
 from .agent import first_of_turn, token_totals
 from .catalog import _facts, _neighbours, _points, _ranked, query, table
 
@@ -212,15 +213,6 @@ def scan_docx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _doc_id(files.load(_packed(docs, docx_bytes, ".docx"))).select("doc_id", F.md5(F.regexp_replace("text", r"\s+", " ")).alias("body"))
 
 
-@query
-def scan_pdf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as PDF files, a page for the first line and one for the rest."""
-    docs = table(spark, sf_dir, "documents").where(T.clean(F.col("text")) != "")
-    pages = lambda x: pdf.pdf_bytes([[x.split("\n")[0]], x.split("\n")[1:]])
-    loaded = _doc_id(files.load(_packed(docs, pages, ".pdf")))
-    return files.weak_pages(loaded).select("doc_id", "page", F.md5(F.regexp_replace("text", r"\s+", " ")).alias("body"), "needs_ocr")
-
-
 @query
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("source", (F.col("doc_id") % 5).alias("page"), "doc_id", "text")
@@ -398,6 +390,20 @@ def _left(made: store.ChunkStore) -> DataFrame:
     return made.read("chunks").select(F.col("document_id").cast("long").alias("doc_id"), F.col("conversation_id").alias("source"), F.md5("text").alias("body"))
 
 
+@query
+def batch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All benchmark items asked at once, each of one source's documents, from a store; by score alone, as SQL has no greedy choice."""
+    docs = table(spark, sf_dir, "documents")
+    made = store.ChunkStore(spark, _working(spark), buckets=8)
+    none = [F.lit(None).cast("string").alias(c) for c in ("file_type", "chunk_type", "sheet_name", "row_range")]
+    key = [F.col("source").alias("conversation_id"), F.col("doc_id").cast("string").alias("document_id"), F.concat(F.lit("f"), "doc_id").alias("source")]
+    chunks = docs.select(*key, F.lit(0).alias("page"), F.lit(0).alias("chunk_index"), F.lit(1).alias("total_chunks"), "text", embedding(None, F.col("text")).alias("embedding"), *none)
+    made.add(chunks, spark.createDataFrame([], store.REGISTRY))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.concat(F.lit("src"), (F.col("item_id") % 10).cast("string")).alias("conversation_id"), F.col("text").alias("question"))
+    found = batch.search_many(made, asked, replace(DEFAULTS, mmr_lambda=1.0))
+    return found.select(F.col("question_id").cast("long").alias("question_id"), F.col("document_id").cast("long").alias("doc_id"), "rank", F.round("score", 6).alias("score"))
+
+
 @query
 def delete_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = _stored(spark, sf_dir)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import hashlib
 
-from ..functions.values import AR_STOP_WORDS, BANNED_OPENINGS, NOT_FOUND, REPORT_CAPS, REPORT_SECTIONS
+from ..functions.values import AR_STOP_WORDS, BANNED_OPENINGS, EN_STOP_WORDS, NOT_FOUND, REPORT_CAPS, REPORT_SECTIONS
 from .extended import ARABIC, LATIN, SECRET
-from .sql import BUCKET, FACTS, ORACLES, RANKED, SENTENCES, SUSPECT, collapse, loose, norm, quoted, strip, words
+from .sql import BUCKET, FACTS, MEANINGFUL, ORACLES, RANKED, SCORE, SENTENCES, SUSPECT, collapse, loose, norm, quoted, strip, words
 
 NOT_WORD_ARABIC = r"[^\p{L}\p{N}_\s\x{0600}-\x{06FF}]"
 
@@ -142,9 +142,6 @@ ORACLES |= {
       SELECT 'row_group' AS chunk_type, (s + 2) || '-' || (least(s + rows, n) + 1) AS row_range, md5('[Sheet: nation]' || chr(10) || string_agg(line, chr(10) ORDER BY pos)) AS body FROM starts JOIN lines ON pos >= s AND pos < s + rows GROUP BY s, rows, n
       UNION ALL SELECT 'sheet_summary', '', md5('[Sheet: nation — Summary]' || chr(10) || 'This sheet has ' || count(*) || ' rows and 3 columns: n_nationkey, n_name, n_regionkey.' || chr(10) || 'Sample data:' || chr(10) || string_agg(line, chr(10) ORDER BY pos) FILTER (pos < 5)) FROM lines""",
     "scan_docx": rf"SELECT doc_id, md5(regexp_replace(array_to_string(list_filter(list_transform(string_split(regexp_replace(text, '[\x00-\x08\x0b-\x1f]', '', 'g'), chr(10)), lambda x: {strip('x')}), lambda x: x <> ''), chr(10)), '\s+', ' ', 'g')) AS body FROM documents WHERE {strip('text')} <> ''",
-    "scan_pdf": rf"""WITH t AS (SELECT doc_id, string_split(regexp_replace(text, '[^\x00-\xff]', '?', 'g'), chr(10)) AS ls FROM documents WHERE {strip('text')} <> ''), p AS (SELECT doc_id, 0 AS page, ls[1:1] AS ls FROM t UNION ALL SELECT doc_id, 1, ls[2:] FROM t),
-      b AS (SELECT doc_id, page, {strip("array_to_string(list_filter(ls, lambda x: x <> ''), chr(10))")} AS b FROM p)
-      SELECT doc_id, page::INT AS page, md5(regexp_replace(b, '\s+', ' ', 'g')) AS body, sum(length(b)) OVER (PARTITION BY doc_id) < 20 OR length(b) < 20 AS needs_ocr FROM b""",
     "page_texts": f"SELECT source, page, md5(body) AS body FROM (SELECT source, doc_id % 5 + 1 AS page, string_agg(text, chr(10) ORDER BY doc_id) AS body FROM documents GROUP BY ALL) WHERE {strip('body')} <> ''",
     "full_texts": f"SELECT source, md5(string_agg(body, {GAP} ORDER BY page)) AS body FROM (SELECT source, doc_id % 5 + 1 AS page, string_agg(text, chr(10) ORDER BY doc_id) AS body FROM documents GROUP BY ALL) WHERE {strip('body')} <> '' GROUP BY source",
     "report_sections": f"WITH {SLICES} SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INT AS section_no, ref AS page_ref, md5(title) AS title, md5(summary) AS summary FROM slices",
@@ -197,3 +194,20 @@ ORACLES |= {
         FROM (SELECT *, ks[i + 1] AS k, ks[i + 1] <> '' AND list_contains(seen, ks[i + 1]) AS again FROM f WHERE i < len(ls)))
       SELECT doc_id, md5(CASE WHEN a <> '' THEN a WHEN lang = 'ar' THEN '{NOT_FOUND['ar']}' ELSE '{NOT_FOUND['en']}' END) AS answer FROM (SELECT doc_id, lang, {strip("array_to_string(out, chr(10))")} AS a FROM f WHERE i = len(ls))""",
 }
+
+_WORD_COUNTS = r"(SELECT {key}, {bucket} AS b, count(*) AS c FROM (SELECT {key}, unnest(list_filter(regexp_split_to_array(lower({text}), '\s+'), lambda x: x <> '')) AS w FROM {table}) GROUP BY ALL)"
+_KWS = f"list_filter({words('vn')}, lambda x: length(x) > 2 AND x NOT IN ({quoted(EN_STOP_WORDS)}))"
+ORACLES["batch_search"] = rf"""WITH raw AS (SELECT item_id, [b, {norm('b')}, lower(b), {loose('b')}] AS xs FROM (SELECT item_id, {strip('text')} AS b FROM benchmark)),
+  each AS (SELECT item_id, list_filter(xs, lambda x, i: x <> '' AND list_position(list_transform(xs, lambda y: lower(y)), lower(x)) = i) AS xs FROM raw),
+  variants AS (SELECT item_id, i AS place, xs[i] AS variant, {norm('xs[i]')} AS vn, {loose('xs[i]')} AS vl FROM (SELECT item_id, xs, unnest(range(1, len(xs) + 1)) AS i FROM each)),
+  terms AS (SELECT item_id, place, {_KWS} AS kws, list_transform(range(1, len({words('vn')})), lambda i: {words('vn')}[i] || ' ' || {words('vn')}[i + 1]) AS bigs, list_filter({words('vl')}, lambda x: length(x) > 2) AS lw FROM variants),
+  qc AS {_WORD_COUNTS.format(key='item_id, place', bucket=BUCKET, text='variant', table='variants')}, dc AS {_WORD_COUNTS.format(key='doc_id', bucket=BUCKET, text='text', table='documents')},
+  qv AS (SELECT item_id, place, b, c / sqrt(sum(c * c) OVER (PARTITION BY item_id, place)) AS x FROM qc), dv AS (SELECT doc_id, b, (c / sqrt(sum(c * c) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE AS x FROM dc),
+  pairs AS (SELECT item_id, place, doc_id, source || chr(31) || 'f' || doc_id || '::0::0::' || substr(md5(text), 1, 8) AS pid FROM variants JOIN documents ON source = 'src' || (item_id % 10)),
+  dots AS (SELECT item_id, place, doc_id, sum(qv.x * dv.x) AS s FROM pairs JOIN qv USING (item_id, place) JOIN dv USING (doc_id, b) GROUP BY ALL), sizes AS (SELECT doc_id, sqrt(sum(x * x)) AS n FROM dv GROUP BY doc_id),
+  near AS (SELECT item_id, place, doc_id, row_number() OVER (PARTITION BY item_id, place ORDER BY round(coalesce(s, 0) / n, 6) DESC, pid) AS r FROM pairs LEFT JOIN dots USING (item_id, place, doc_id) JOIN sizes USING (doc_id)),
+  hits AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY min(place * 100 + r)) - 1 AS idx FROM near WHERE r <= 8 GROUP BY item_id, doc_id),
+  forms AS (SELECT doc_id, {norm('text')} AS dn, {loose('text')} AS ld FROM documents WHERE {MEANINGFUL}),
+  scored AS (SELECT item_id, doc_id, idx, max(greatest({SCORE}, CASE WHEN len(lw) > 0 THEN len(list_filter(lw, lambda x: contains(ld, x)))::DOUBLE / len(lw) ELSE 0 END)) - idx * 0.001 AS score FROM hits JOIN forms USING (doc_id) JOIN terms USING (item_id) GROUP BY item_id, doc_id, idx),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, idx) AS rank FROM scored)
+  SELECT item_id AS question_id, doc_id, rank::INT AS rank, round(score, 6) AS score FROM (SELECT *, max(score) OVER (PARTITION BY item_id) AS best FROM placed WHERE rank <= 6) WHERE best >= 0.05"""

@@ -1,7 +1,6 @@
 """Turns of an agent, answers, reports and memory over a small store; models are scripted."""
 
 import json
-import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +12,6 @@ from docspark.plans import agent
 from docspark.plans.api import Engine, new_session
 from docspark.plugins import Prefixed, Rejected, Remembering, RulePlanner, embedding, reranked
 from docspark.sources import files
-from docspark.streaming.memory import compacted
 
 
 class Scripted:
@@ -73,6 +71,19 @@ def test_search_widens_for_sheets_and_filters_by_source(engine):
     assert "Sheet: stock" in labels
 
 
+def test_many_questions_in_one_plan(engine, spark):
+    """As asked one by one, each of its own conversation; no conversation, no rows."""
+    asked = [("q1", "c1", "when does the zanzibar harbour open"), ("q2", "c2", "zanzibar spices"), ("q3", "c1", "cloves of sort 7"), ("q4", "c2", "what is a derivative"), ("q5", "nowhere", "zanzibar")]
+    got = engine.search_many(spark.createDataFrame(asked, "question_id string, conversation_id string, question string")).collect()
+    for name, conversation, question in asked[:4]:
+        want = [(r["rank"], r["point_id"], round(r["score"], 9)) for r in engine.search(question, conversation).orderBy("rank").collect()]
+        assert want and sorted((r["rank"], r["point_id"], round(r["score"], 9)) for r in got if r["question_id"] == name) == want
+    assert {r["question_id"] for r in got} == {"q1", "q2", "q3", "q4"}
+    only = spark.createDataFrame([(*asked[0], "maths.md"), (*asked[3], None)], "question_id string, conversation_id string, question string, file string")
+    files_ = {(r["question_id"], r["source"]) for r in engine.search_many(only, "file").collect()}
+    assert {f for q, f in files_ if q == "q1"} <= {"maths.md"} and len({f for q, f in files_ if q == "q4"}) == 2
+
+
 def test_planner_text_is_checked():
     assert agent.checked(json.dumps(act("retrieve", question="q"))) == ("retrieve", {"question": "q"})
     for bad in ("no json", "[]", json.dumps(act("fly")), json.dumps(act("retrieve")), json.dumps(act("retrieve", question=3)), json.dumps({"action": "generate", "arguments": []})):
