@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,18 +82,23 @@ def _placed(around: dict[int, np.ndarray], side: int):
     """Unit vectors with the cell of the nearest pivot and their angles: to that pivot (points) or to all (queries)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32)), pa.array(m.ravel()))
         for batch in batches:
-            rows = [np.array(v, float) if None not in v else np.array([np.nan]) for v in batch.column("vector").to_pylist()]
-            for dim in sorted({len(v) for v in rows}):
-                at = [i for i, v in enumerate(rows) if len(v) == dim and np.isfinite(v).all()]
-                if not at:
+            vectors = batch.column("vector")
+            sizes = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+            for dim in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == dim)
+                found = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(at), dim)  # null as NaN
+                fine = np.isfinite(found).all(axis=1)
+                at, found = at[fine], found[fine]
+                if not len(at):
                     continue
-                units = _units(np.array([rows[i] for i in at]).reshape(len(at), dim), side)
+                units = _units(found, side)
                 angles = np.arccos(np.clip(units @ around[dim].T, -1, 1)) if dim in around else np.zeros((len(at), 1))
                 cell = angles.argmin(axis=1)
                 some = batch.take(pa.array(at))
-                found = pa.array(list(angles), pa.list_(pa.float64())) if side else pa.array(angles[np.arange(len(at)), cell])
-                columns = [some.column("id"), some.column("scope"), pa.array(list(units), pa.list_(pa.float64())), pa.array(np.full(len(at), dim, np.int32)), pa.array(cell.astype(np.int32)), found]
+                angle = lists(angles) if side else pa.array(angles[np.arange(len(at)), cell])
+                columns = [some.column("id"), some.column("scope"), lists(units), pa.array(np.full(len(at), dim, np.int32)), pa.array(cell.astype(np.int32)), angle]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "scope", "v", "dim", "cell", "angle"])
 
     return run

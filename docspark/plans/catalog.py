@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import DEFAULTS
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import chunking, dedupe, fuzzy, lexical, memory, ocr_text, profile, ranking, report, router, search, sheets, shared, store, substrings
@@ -328,9 +327,9 @@ def fact_fuzzy_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def fact_alike_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of one role, anywhere, that are nearly equal: each pair once."""
-    said = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", F.format_string("%09d", "turn")).alias("id"), "role", "text")
-    return fuzzy.alike_pairs(said, said, "id", "text", ["role"], DEFAULTS.fact_similarity).where("left_id < right_id")
+    """Parts of one size, as the facts of one conversation, whose names are nearly equal: each pair once."""
+    facts = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name")
+    return fuzzy.alike_pairs(facts, facts, "p_partkey", "p_name", ["p_size"], 0.85).where("left_id < right_id")
 
 
 @query

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import io
-import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 from dataclasses import replace
@@ -17,7 +15,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS
 from ..functions import text as T
 from ..functions import tokens
-from ..operators import chunking, dedupe, images, lexical, memory, ocr_text, pdf, prompts, ranking, report, search, sheets, store
+from ..operators import chunking, dedupe, images, lexical, memory, ocr_text, prompts, ranking, report, search, shared, sheets, store
 from ..plugins import embedding
 from ..sources import audio, files
 from . import batch, table_functions
@@ -364,20 +362,10 @@ def registered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine.select("conversation_id", "document_id", place.alias("place"))
 
 
-def _working(spark: SparkSession) -> str:
-    """A new folder where the session keeps checkpoints, or a local one where all run on one machine."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='docspark-')}"
-    return f"{found.rstrip('/')}/store-{uuid.uuid4().hex}"
-
-
 def _stored(spark: SparkSession, sf_dir: str) -> store.ChunkStore:
     """A store of all documents, a chunk each, their sources as conversations."""
     docs = table(spark, sf_dir, "documents")
-    made = store.ChunkStore(spark, _working(spark), buckets=8, dim=1)
+    made = store.ChunkStore(spark, shared.folder(spark), buckets=8, dim=1)
     none = [F.lit(None).cast("string").alias(c) for c in ("file_type", "chunk_type", "sheet_name", "row_range")]
     key = [F.col("source").alias("conversation_id"), F.col("doc_id").cast("string").alias("document_id")]
     chunks = docs.select(*key, F.lit("f").alias("source"), F.lit(0).alias("page"), F.lit(0).alias("chunk_index"), F.lit(1).alias("total_chunks"), "text", F.array(F.lit(1.0)).alias("embedding"), *none)
@@ -394,7 +382,7 @@ def _left(made: store.ChunkStore) -> DataFrame:
 def batch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All benchmark items asked at once, each of one source's documents, from a store; by score alone, as SQL has no greedy choice."""
     docs = table(spark, sf_dir, "documents")
-    made = store.ChunkStore(spark, _working(spark), buckets=8)
+    made = store.ChunkStore(spark, shared.folder(spark), buckets=8)
     none = [F.lit(None).cast("string").alias(c) for c in ("file_type", "chunk_type", "sheet_name", "row_range")]
     key = [F.col("source").alias("conversation_id"), F.col("doc_id").cast("string").alias("document_id"), F.concat(F.lit("f"), "doc_id").alias("source")]
     chunks = docs.select(*key, F.lit(0).alias("page"), F.lit(0).alias("chunk_index"), F.lit(1).alias("total_chunks"), "text", embedding(None, F.col("text")).alias("embedding"), *none)
