@@ -309,7 +309,7 @@ def blocks(nodes: list[Node]) -> list[str]:
     out, run = [], []
 
     def flush() -> None:
-        if text := " ".join(entities.unescape("".join(run)).split()):
+        if text := " ".join("".join(run).split()):
             out.append(text)
         run.clear()
 
@@ -321,7 +321,7 @@ def blocks(nodes: list[Node]) -> list[str]:
         if x is None:
             flush()
         elif isinstance(x, str):
-            run.append(x)
+            run.append(entities.unescape(x))  # each text on its own: markup inside a reference parts it
         elif x.tag == "br":
             run.append(" ")
         else:
