@@ -1,18 +1,20 @@
 """Secret scans over every layer that a text wraps: a worklist of decoded layers, each scanned anew, with spans mapped back.
 
-A layer is the text itself; the text with its percent escapes or Unicode escapes resolved in place; the text without the NULs that
-UTF-16 puts between letters; or what a base64 run holds, be it text or not (bytes that are no UTF-8 become U+FFFD), also over line
-breaks and from the middle of a run. Bytes that are gzip, zlib, bz2 or xz streams are decompressed, from base64 as well as from escapes
-or where a text holds them as characters below U+0100. Each layer carries the span of the original text behind each of its characters.
+A layer is the text itself; the text with its percent escapes resolved in place, also with the plus signs of form-coded runs as spaces;
+with its Unicode, octal or named escapes resolved; without the NULs that UTF-16 puts between letters; or what a base64 run holds, be it
+text or not (bytes that are no UTF-8 become U+FFFD), also over line breaks and from the middle of a run. Bytes that are gzip, zlib, bz2
+or xz streams are decompressed, from base64 as well as from escapes or where a text holds them as characters below U+0100; a
+base64 run that is a raw deflate stream from end to end is, too. Each layer carries the span of the original text behind each of its
+characters; what a stream holds has the stream's span as a whole, and one character per byte, so streams inside it are found again.
 The list ends at the fixpoint: a layer that was seen before with the same spans behind it is not taken up again; equal layers at
-other places are.
+other places are. Layers are made one at a time, as the list comes to them.
 
 Defined cases: a null text is empty and holds nothing; equal spans found in several layers count once, the base layer's first;
 rows are independent, so repeated rows repeat and an empty table stays empty; an input column named ``spans`` is replaced, others are
 carried along; texts of any length are read whole.
 Compressed data of any size is read in pieces of ``PIECE`` bytes that overlap by ``OVERLAP``, so memory is bounded; streams count as
-far as their checksums hold. Guards: at most ``NESTED`` compressed layers inside each other, and what is longer than ``OVERLAP``
-inside a larger stream (a compressed run in base64) may be cut between pieces.
+far as their checksums hold. Guards: ``NESTED`` compressed layers inside each other end a stream made to grow without end, ``CHAIN`` of
+them if each holds over ``PIECE`` bytes; what is longer than ``OVERLAP`` inside such a stream (a run in base64) may be cut between pieces.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import lzma
 import re
 import zlib
 from collections.abc import Iterator
+from html.entities import html5
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,7 @@ from pyspark.sql import types as T
 from .common import slices, texts
 
 KINDS = ("assign", "access", "hex")
-PIECE, OVERLAP, NESTED = 8 << 20, 1 << 20, 16
+PIECE, OVERLAP, NESTED, CHAIN = 8 << 20, 1 << 20, 4096, 64
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("base", T.BooleanType()), T.StructField("depth", T.IntegerType())]))
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -43,7 +46,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 WORDS = ("passw", "secret", "token", "apikey", "api_key")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});|\\([nrt0abfv\\'\"])")
+PLUS = re.compile(r"\+|(?:%[0-9A-Fa-f]{2})+")
+FORM = re.compile(r"[^\s\"'<>]+")
+UNICODE = re.compile(
+    r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|%[uU]([0-9A-Fa-f]{4})|&#[xX]([0-9A-Fa-f]{1,6});"
+    r"|\\([0-3][0-7]{2})|&#([0-9]{1,7});|&([A-Za-z][A-Za-z0-9]{1,31};)|\\([nrt0abfv\\'\"])"
+)
 #: A run goes on over a line break, and white space after it, if base64 takes the next line up to its end or a closing mark.
 BASE64 = re.compile(r"""[A-Za-z0-9+/_-]{16,}+(?:\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++(?=={0,2}[\x20\t]*+(?:["'`<)\]},;]|\r?\n|\Z)))*+={0,2}""")
 LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
@@ -57,7 +65,7 @@ BYTES = re.compile("[\0-\xff]{8,}")
 #: Plain escapes, which bytes written out have beside \x.
 PLAIN = {"n": "\n", "r": "\r", "t": "\t", "0": "\0", "a": "\a", "b": "\b", "f": "\f", "v": "\v", "\\": "\\", "'": "'", '"': '"'}
 #: Bytes without any of these hold no secret and no further layer.
-MATTERS = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{32}|%[0-9A-Fa-f]{2}|\\[uUx]|&#|[A-Za-z0-9+/_-]{16}|(?:\0[^\0]){8}")
+MATTERS = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{32}|%[0-9A-Fa-fuU]|\\[uUx0-3]|&#|&[A-Za-z]+;|[A-Za-z0-9+/_-]{16}|(?:\0[^\0]){8}")
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -73,19 +81,33 @@ def scan(text: str) -> list[tuple[str, int, int]]:
 
 
 class Layer:
-    """A text and, per character, the span of the original it comes from (none: the original itself)."""
+    """A text and, per character, the span of the original it comes from (none: the original itself), or one for all, with the number of streams around."""
 
-    def __init__(self, text: str, starts: np.ndarray | None, ends: np.ndarray | None, depth: int):
-        self.text, self.starts, self.ends, self.depth = text, starts, ends, depth
+    def __init__(self, text: str, starts: np.ndarray | None, ends: np.ndarray | None, depth: int, shared: tuple[int, int] | None = None, packed: int = 0):
+        self.text, self.starts, self.ends, self.depth, self.shared, self.packed = text, starts, ends, depth, shared, packed
 
     def span(self, a: int, b: int) -> tuple[int, int]:
+        if self.shared:
+            return self.shared
         if self.starts is None:
             return a, b
         return int(self.starts[a:b].min()), int(self.ends[a:b].max())
 
-    def key(self) -> tuple[str, bytes]:
+    def key(self) -> bytes:
         """Equal for layers of equal text over the same parts of the original only."""
-        return self.text, b"" if self.starts is None else hashlib.blake2b(self.starts.tobytes() + self.ends.tobytes()).digest()
+        made = hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"))
+        made.update(f" {self.shared}".encode())
+        if self.starts is not None:
+            made.update(self.starts.tobytes() + self.ends.tobytes())
+        return made.digest()
+
+    def below(self, text: str, starts: np.ndarray, ends: np.ndarray) -> Layer:
+        """A layer whose characters stand for parts of this one, from starts up to and with ends."""
+        if self.shared:
+            return Layer(text, None, None, self.depth + 1, self.shared, self.packed)
+        if self.starts is None:
+            return Layer(text, starts, ends + 1, self.depth + 1)
+        return Layer(text, self.starts[starts], self.ends[ends], self.depth + 1)
 
     def replaced(self, edits: list[tuple[int, int, list[tuple[str, int, int]]]]) -> Layer:
         """A layer with pieces [a, b) of this one replaced by characters that stand for parts [x, y) of it."""
@@ -101,12 +123,7 @@ class Layer:
         out.append(self.text[at:])
         starts.append(np.arange(at, len(self.text)))
         ends.append(np.arange(at, len(self.text)))
-        first, last = np.concatenate(starts), np.concatenate(ends)
-        if self.starts is not None:
-            first, last = self.starts[first], self.ends[last]
-        else:
-            last = last + 1
-        return Layer("".join(out), first, last, self.depth + 1)
+        return self.below("".join(out), np.concatenate(starts), np.concatenate(ends))
 
 
 def _characters(data: bytes) -> Iterator[tuple[str, int, int]]:
@@ -122,25 +139,40 @@ def _characters(data: bytes) -> Iterator[tuple[str, int, int]]:
             i += 1
 
 
+def decoded(m: re.Match[str], at: int, as_bytes: bool) -> tuple[int, int, list[tuple[str, int, int]]]:
+    """The edit that resolves a match of percent escapes, or a plus sign, that lies at a place."""
+    if m[0] == "+":
+        return at, at + 1, [(" ", at, at + 1)]
+    data, end = bytes.fromhex(m[0].replace("%", "")), at + len(m[0])
+    found = ((chr(c), i, i + 1) for i, c in enumerate(data)) if as_bytes else _characters(data)
+    return at, end, [(c, at + 3 * i, min(end, at + 3 * j)) for c, i, j in found]
+
+
 def percent(layer: Layer, as_bytes: bool = False) -> Layer | None:
     """The layer with its percent escapes as UTF-8, or, with ``as_bytes``, each as the character of that number."""
+    edits = [decoded(m, m.start(), as_bytes) for m in PERCENT.finditer(layer.text)]
+    return layer.replaced(edits) if edits else None
+
+
+def form(layer: Layer, as_bytes: bool = False) -> Layer | None:
+    """The same in runs of form-coded text only, with their plus signs as spaces."""
     edits = []
-    for m in PERCENT.finditer(layer.text):
-        data = bytes.fromhex(m[0].replace("%", ""))
-        found = ((chr(c), i, i + 1) for i, c in enumerate(data)) if as_bytes else _characters(data)
-        edits.append((m.start(), m.end(), [(c, m.start() + 3 * i, min(m.end(), m.start() + 3 * j)) for c, i, j in found]))
+    for run in FORM.finditer(layer.text):
+        if "+" in run[0] and PERCENT.search(run[0]):
+            edits += [decoded(m, run.start() + m.start(), as_bytes) for m in PLUS.finditer(run[0])]
     return layer.replaced(edits) if edits else None
 
 
 def escapes(layer: Layer) -> Layer | None:
-    """The layer with its escapes resolved, if any is numbered or a backslash's own."""
+    """The layer with its escapes resolved, if any is numbered, named or a backslash's own."""
     edits, written = [], False
     for m in UNICODE.finditer(layer.text):
-        if m[7]:
-            edits.append((m.start(), m.end(), [(PLAIN[m[7]], m.start(), m.end())]))
-            written = written or m[7] == "\\"
+        if m[9] or m[10]:
+            if plain := PLAIN[m[10]] if m[10] else html5.get(m[9]):
+                edits.append((m.start(), m.end(), [(c, m.start(), m.end()) for c in plain]))
+                written = written or bool(m[9]) or m[10] == "\\"
             continue
-        code = int(m[6]) if m[6] else int(m[1] or m[2] or m[3] or m[4] or m[5], 16)
+        code = int(m[8]) if m[8] else int(m[7], 8) if m[7] else int(m[1] or m[2] or m[3] or m[4] or m[5] or m[6], 16)
         if edits and edits[-1][1] == m.start() and 0xDC00 <= code < 0xE000 and (high := ord(edits[-1][2][-1][0])) in range(0xD800, 0xDC00):
             a = edits.pop()[0]
             edits.append((a, m.end(), [(chr(0x10000 + ((high - 0xD800) << 10) + code - 0xDC00), a, m.end())]))
@@ -155,20 +187,37 @@ def narrowed(layer: Layer) -> Layer | None:
     return layer.replaced([(m.start(), m.end(), []) for m in re.finditer("\0+", layer.text)]) if layer.text.count("\0") >= 8 else None
 
 
-def streams(layer: Layer, nested: int) -> Iterator[tuple[str, int, int, int]]:
-    """The kinds of secrets in compressed streams that stand in a layer as characters, with span and depth."""
-    if not nested or not any(x in layer.text for x in STARTS):
+def streams(layer: Layer) -> Iterator[Layer]:
+    """What compressed streams hold that stand in a layer as characters."""
+    if not any(x in layer.text for x in STARTS):
         return
     for run in BYTES.finditer(layer.text):
-        data = memoryview(run[0].encode("latin-1"))
-        done = 0
-        for m in MAGIC.finditer(data):
-            if m.start() < done:
-                continue
-            kinds, used = kinds_within(data[m.start() :], nested)
+        for a, b, source in compressed(run[0].encode("latin-1")):
+            yield from held(source, layer, layer.span(run.start() + a, run.start() + b))
+
+
+def compressed(data: bytes) -> Iterator[tuple[int, int, Iterator[bytes]]]:
+    """The streams that begin anywhere in bytes, none inside another: their part [a, b) and their content."""
+    done = 0
+    for m in MAGIC.finditer(view := memoryview(data)):
+        if m.start() >= done:
+            source, used = whole(view[m.start() :])
             done = m.start() + used
-            for kind, depth in kinds.items():
-                yield kind, *layer.span(run.start() + m.start(), run.start() + done), layer.depth + depth
+            if used:
+                yield m.start(), done, source
+
+
+def held(source: Iterator[bytes], layer: Layer, span: tuple[int, int]) -> Iterator[Layer]:
+    """Layers of a stream's content, one character per byte, in pieces that overlap."""
+    if layer.packed == NESTED:
+        return
+    kept, fresh = b"", 0
+    for out in itertools.chain(source, [None]):
+        kept += out or b""
+        fresh += len(out or b"")
+        if fresh >= PIECE or fresh and out is None:
+            yield Layer(kept.decode("latin-1"), None, None, layer.depth + 1, span, layer.packed + 1)
+            kept, fresh = kept[-OVERLAP:], 0
 
 
 def opened(data: bytes):
@@ -182,9 +231,11 @@ def opened(data: bytes):
     return lzma.LZMADecompressor() if data[:6] == b"\xfd7zXZ\x00" else None
 
 
-def inflate(source: Iterator[bytes]) -> Iterator[tuple[bytes, int]]:
+def inflate(source: Iterator[bytes], raw: bool = False) -> Iterator[tuple[bytes, int]]:
     """What a compressed stream and those right after it hold, in pieces; with each, the bytes taken if a stream ends whole there, else 0."""
     rest, taken, tool, more = b"", 0, None, True
+    if raw:
+        tool, rest = zlib.decompressobj(-15), next(source, b"")
     while True:
         if not tool:
             while more and len(rest.lstrip(b"\0")) < 6:
@@ -208,13 +259,16 @@ def inflate(source: Iterator[bytes]) -> Iterator[tuple[bytes, int]]:
                 return
 
 
-def whole(data: bytes | memoryview, levels: int) -> tuple[Iterator[bytes], int, int]:
-    """The content of compressed bytes after so many levels as far as it is whole, its length, and the bytes of the last level's input it takes."""
+def whole(data: bytes | memoryview, raw: bool = False) -> tuple[Iterator[bytes], int]:
+    """The content of compressed bytes as far as it is whole, and the bytes it takes (0: none is).
+
+    Content over a piece that begins with a stream gives way to what that stream holds, so that no border of pieces cuts it.
+    """
 
     def pieces(lengths: list[int]) -> Iterator[bytes]:
         source = (bytes(data[i : i + (1 << 16)]) for i in range(0, len(data), 1 << 16))
-        for n in lengths:
-            source = cut(inflate(source), n)
+        for k, n in enumerate(lengths):
+            source = cut(inflate(source, raw and not k), n)
         return source
 
     def cut(found: Iterator[tuple[bytes, int]], n: int) -> Iterator[bytes]:
@@ -226,9 +280,9 @@ def whole(data: bytes | memoryview, levels: int) -> tuple[Iterator[bytes], int,
 
     lengths: list[int] = []
     used = 0
-    for _ in range(levels):
+    while len(lengths) < CHAIN and (not lengths or lengths[-1] > PIECE):
         length = good = 0
-        for out, end in inflate(pieces(lengths)):
+        for out, end in inflate(pieces(lengths), raw and not lengths):
             length += len(out)
             if end:
                 good = length
@@ -236,24 +290,7 @@ def whole(data: bytes | memoryview, levels: int) -> tuple[Iterator[bytes], int,
         if not good:
             break
         lengths.append(good)
-    return pieces(lengths), len(lengths), used
-
-
-def kinds_within(data: bytes | memoryview, nested: int) -> tuple[dict[str, int], int]:
-    """The kinds of secrets in compressed bytes with the least depth below their text, and the bytes that the streams take (0: none is whole)."""
-    source, levels, used = whole(data, nested)
-    found: dict[str, int] = {}
-    if not levels:
-        return found, 0
-    held, fresh = b"", 0
-    for out in itertools.chain(source, [None]):
-        held += out or b""
-        fresh += len(out or b"")
-        if fresh >= PIECE or fresh and out is None:
-            for kind, _, _, _, depth in find(held.decode(errors="replace"), nested - levels):
-                found[kind] = min(depth, found.get(kind, depth))
-            held, fresh = held[-OVERLAP:], 0
-    return found, used
+    return pieces(lengths), used
 
 
 def readings(run: str) -> tuple[np.ndarray, str, list[tuple[int, int]]]:
@@ -276,8 +313,8 @@ def readings(run: str) -> tuple[np.ndarray, str, list[tuple[int, int]]]:
     return at, chars, [(a, b) for i, (a, b) in enumerate(dict.fromkeys(parts)) if i < 4 or b - a >= 16]
 
 
-def unpacked(layer: Layer, nested: int) -> Iterator[Layer | tuple[str, int, int, int]]:
-    """The layers that base64 runs hold, text or not; of compressed ones the kinds of secrets in them with span and depth."""
+def unpacked(layer: Layer) -> Iterator[Layer]:
+    """The layers that base64 runs hold, text or not, or compressed."""
     for run in BASE64.finditer(layer.text):
         at, chars, parts = readings(run[0])
         at, chars = at + run.start(), chars.translate(STANDARD)
@@ -285,14 +322,13 @@ def unpacked(layer: Layer, nested: int) -> Iterator[Layer | tuple[str, int, int,
         for k, (a, b) in enumerate(parts):
             data = binascii.a2b_base64(chars[a : b - ((b - a) % 4 == 1)] + "=" * (-(b - a) % 4 % 3))
             final = (len(at) if b == n else b) - 1  # with the padding
-            done = 0
-            for m in MAGIC.finditer(data) if k < 4 and nested else ():
-                if m.start() < done:
-                    continue
-                kinds, used = kinds_within(memoryview(data)[m.start() :], nested)
-                done = m.start() + used
-                for kind, depth in kinds.items():
-                    yield kind, *layer.span(int(at[a + m.start() // 3 * 4]), int(at[min(final, a + (done - 1) // 3 * 4 + 3)]) + 1), layer.depth + 1 + depth
+            first, last = lambda i: at[a + i // 3 * 4], lambda j: at[np.minimum(final, a + j // 3 * 4 + 3)]  # noqa: B023, E731
+            for x, y, source in compressed(data) if k < 4 else ():
+                yield from held(source, layer, layer.span(int(first(x)), int(last(y - 1)) + 1))
+            if 0 < k < 4:
+                pass  # a raw stream shows no start, so it is looked for from a run's or a piece's own
+            elif data and (found := whole(data, True))[1] == len(data):
+                yield from held(found[0], layer, layer.span(int(first(0)), int(last(len(data) - 1)) + 1))
             if MATTERS.search(data):
                 if data.isascii():
                     text, i = data.decode(), np.arange(len(data))
@@ -300,41 +336,40 @@ def unpacked(layer: Layer, nested: int) -> Iterator[Layer | tuple[str, int, int,
                 else:
                     found = list(_characters(data))
                     text, i, j = "".join(c for c, _, _ in found), np.array([x for _, x, _ in found]), np.array([y - 1 for _, _, y in found])
-                starts, ends = at[a + i // 3 * 4], at[np.minimum(final, a + j // 3 * 4 + 3)]
-                if layer.starts is not None:
-                    starts, ends = layer.starts[starts], layer.ends[ends]
-                else:
-                    ends = ends + 1
-                yield Layer(text, starts, ends, layer.depth + 1)
-
-
-def find(text: str, nested: int = NESTED) -> list[tuple[str, int, int, bool, int]]:
+                yield layer.below(text, first(i), last(j))
+
+
+def below(layer: Layer) -> Iterator[Layer]:
+    """The layers right below one."""
+    text = layer.text
+    if "%" in text:
+        for read in (percent, form) if "+" in text else (percent,):
+            if made := read(layer):
+                yield made
+                yield from streams(read(layer, True))
+    if ("\\" in text or "&" in text or "%u" in text or "%U" in text) and (made := escapes(layer)):
+        yield made
+    if "\0" in text and (made := narrowed(layer)):
+        yield made
+    yield from streams(layer)
+    yield from unpacked(layer)
+
+
+def find(text: str) -> list[tuple[str, int, int, bool, int]]:
     """All spans (kind, start, end, base, depth of the layer), by start, then kind as listed, then end."""
-    spans: dict[tuple[str, int, int], tuple[bool, int]] = {}
-    work, seen = [Layer(text, None, None, 0)], set()
+    spans: dict[tuple[str, int, int], int] = {}
+    work, seen = [iter([Layer(text, None, None, 0)])], set()
     while work:
-        layer = work.pop()
-        for kind, a, b in scan(layer.text):
-            spans.setdefault((kind, *layer.span(a, b)), (layer.depth == 0, layer.depth))
-        more = []
-        if "%" in layer.text and (made := percent(layer)):
-            more.append(made)
-        if ("\\" in layer.text or "&#" in layer.text) and (made := escapes(layer)):
-            more.append(made)
-        if "\0" in layer.text and (made := narrowed(layer)):
-            more.append(made)
-        raw = percent(layer, True) if "%" in layer.text else None
-        for made in itertools.chain(streams(layer, nested), streams(raw, nested) if raw else (), unpacked(layer, nested)):
-            if isinstance(made, Layer):
-                more.append(made)
-            else:
-                spans.setdefault(made[:3], (False, made[3]))
-        for made in more:
-            if (key := made.key()) not in seen:
-                seen.add(key)
-                work.append(made)
+        if (layer := next(work[-1], None)) is None:
+            work.pop()
+        elif (key := layer.key()) not in seen:
+            seen.add(key)
+            for kind, a, b in scan(layer.text):
+                span = (kind, *layer.span(a, b))
+                spans[span] = min(layer.depth, spans.get(span, layer.depth))
+            work.append(below(layer))
     order = {k: i for i, k in enumerate(KINDS)}
-    return [(*k, *v) for k, v in sorted(spans.items(), key=lambda x: (x[0][1], order[x[0][0]], x[0][2]))]
+    return [(*k, not depth, depth) for k, depth in sorted(spans.items(), key=lambda x: (x[0][1], order[x[0][0]], x[0][2]))]
 
 
 def find_secrets(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
