@@ -533,14 +533,14 @@ def plain_context_tree(train, depth):
     return score
 
 
-@pytest.mark.parametrize(("block", "group", "hot"), [(1 << 20, 128, 10**9), (700, 128, 40), (700, 2, 40), (300, 3, 10**9)])
-def test_context_tree_scores_equal_a_plain_version(docs, block, group, hot):
-    """One block and many, one level and several, subtrees whole and split."""
+@pytest.mark.parametrize(("block", "group", "hot", "depth"), [(1 << 20, 128, 10**9, 4), (700, 128, 40, 4), (700, 2, 40, 4), (300, 3, 10**9, 4), (700, 128, 40, context_tree.DEPTH)])
+def test_context_tree_scores_equal_a_plain_version(docs, block, group, hot, depth):
+    """One block and many, one level and several, subtrees whole and split; and keys that fill 64 bits."""
     some = docs.where("length(text) < 2000 or text is null")
     given = [(r["doc_id"], context_tree.canonical(r["text"] or "").encode()) for r in some.collect()]
-    score = plain_context_tree([b for d, b in given if context_tree.fold(d) != 2], 4)
+    score = plain_context_tree([b for d, b in given if context_tree.fold(d) != 2], depth)
     want = sorted((d is None, d or 0, score(b), len(b)) for d, b in given)
-    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["score"]) for r in context_tree.score_documents(some, depth=4, block=block, group=group, hot=hot).collect())
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["score"]) for r in context_tree.score_documents(some, depth=depth, block=block, group=group, hot=hot).collect())
     assert [x[:2] for x in got] == [x[:2] for x in want]
     for (_, _, x), (_, i, y, n) in zip(got, want, strict=True):
         assert abs(x - y) < 1e-4 * n, (i, x, y)
