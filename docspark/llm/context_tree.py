@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, slices, texts
 
-DEPTH = 7  # with the symbol, a key of 64 bits
+DEPTH = 6  # at most 7: with the symbol, a key of 64 bits
 BLOCK = 8 << 20  # bytes of text
 GROUP = 128  # lists that one task merges or answers
 HOT = 2_000_000  # listed grams of a subtree, beyond which it is split by a third byte
