@@ -24,6 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from .shared import kept
+
+#: Members of a class that meet those of another in one group.
+BLOCK = 4096
+
 
 def form(text: str | None) -> str:
     return " ".join((text or "").strip().lower().split())
@@ -68,37 +73,65 @@ def signs(text: str, least: float) -> list[str]:
     return out
 
 
-def _signed(rows: DataFrame, side: str, keys: list[str], key: str, text: str, least: float) -> DataFrame:
+def _classes(rows: DataFrame, keys: list[str], key: str, text: str, least: float) -> tuple[DataFrame, DataFrame]:
+    """Members (``id, keys, c``) and classes (``keys, c, form, n, signs``) of rows that agree in ``keys`` and form; ``c`` is 128 bits of the
+    form's hash, and signs are hashed, which adds pairs to compare and loses none."""
     kinds = dict(rows.dtypes)
-    schema = ", ".join([f"{side}_id {kinds[key]}", *[f"`{k}` {kinds[k]}" for k in keys], f"{side}_form string", "signs array<string>"])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def forms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            forms = [form(x) for x in f["_text"]]
-            yield pd.DataFrame({f"{side}_id": f["_id"], **{k: f[k] for k in keys}, f"{side}_form": forms, "signs": [signs(x, least) for x in forms]})
+            yield f.rename(columns={"_text": "form"}).assign(form=[form(x) for x in f["_text"]])
 
-    return rows.select(F.col(key).alias("_id"), F.col(text).alias("_text"), *keys).mapInPandas(run, schema)
+    def signed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for a in range(0, len(f), 256):
+                some = f[a : a + 256]
+                yield some.assign(signs=[[xxhash.xxh3_64_intdigest(s.encode()) - (1 << 63) for s in signs(x, least)] for x in some["form"]])
 
+    named = [f"`{k}` {kinds[k]}" for k in keys]
+    made = rows.select(F.col(key).alias("id"), *keys, F.col(text).alias("_text")).mapInPandas(forms, ", ".join([f"id {kinds[key]}", *named, "form string"]))
+    made = kept(made.where("form <> ''").withColumn("c", F.substring(F.unhex(F.sha2("form", 256)), 1, 16)))
+    each = made.groupBy(*keys, "c").agg(F.first("form").alias("form")).mapInPandas(signed, ", ".join([*named, "c binary", "form string", "signs array<long>"]))
+    return made.select("id", *keys, "c").distinct(), kept(each.withColumn("n", F.length("form")))
 
-def alike_pairs(left: DataFrame, right: DataFrame, key: str, text: str, keys: list[str], least: float) -> DataFrame:
-    """``left_id, right_id`` of rows that agree in ``keys`` and whose texts' forms reach the ratio; texts without a form are like none.
 
-    The join is by ``keys`` and a gram, so a key with very many rows is dealt by grams, and lengths are compared before texts are.
-    """
+def _alike_classes(left: DataFrame, right: DataFrame, keys: list[str], least: float) -> DataFrame:
+    """``keys, c, d``: the classes whose forms reach the ratio. Signs are joined without texts, which meet the pairs that are left."""
     @F.pandas_udf(BooleanType())
     def reach(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, x, y).ratio() >= least for x, y in zip(a, b, strict=True)], dtype=bool)
+        return pd.Series([x == y or SequenceMatcher(None, x, y).ratio() >= least for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    a, b = _signed(left, "left", keys, key, text, least), _signed(right, "right", keys, key, text, least)
-    each = lambda df, side: df.select(f"{side}_id", f"{side}_form", *keys, F.explode("signs").alias("sign"))
-    met = each(a, "left").join(each(b, "right"), [*keys, "sign"])
-    n, m = F.length("left_form"), F.length("right_form")
-    met = met.where(2 * F.least(n, m) >= F.lit(least) * (n + m) - 1e-9).select("left_id", "right_id", "left_form", "right_form").distinct()
-    return met.where(reach("left_form", "right_form")).select("left_id", "right_id").distinct()
+    each = lambda df, c, n: df.select(*keys, F.col("c").alias(c), F.col("n").alias(n), F.explode("signs").alias("sign"))
+    met = each(left, "c", "n").join(each(right, "d", "m"), [*keys, "sign"])
+    met = met.where(2 * F.least("n", "m") >= F.lit(least) * (F.col("n") + F.col("m")) - 1e-9).select(*keys, "c", "d").distinct()
+    texts = lambda df, c, x: df.select(*keys, F.col("c").alias(c), F.col("form").alias(x))
+    met = met.join(texts(left, "c", "a"), [*keys, "c"]).join(texts(right, "d", "b"), [*keys, "d"])
+    return met.where(reach("a", "b")).select(*keys, "c", "d")
+
+
+def alike_pairs(left: DataFrame, right: DataFrame, key: str, text: str, keys: list[str], least: float) -> DataFrame:
+    """``left_id, right_id`` of rows that agree in ``keys`` and whose texts' forms reach the ratio; texts without a form are like none.
+
+    Equal forms of a key are one class. Classes are joined by ``keys`` and a gram, so a key with very many of them is dealt by grams, and
+    lengths are compared before texts are. Members meet in blocks of ``BLOCK`` by ``BLOCK``, so copies cost the pairs that they make.
+    """
+    (a, some), (b, others) = _classes(left, keys, key, text, least), _classes(right, keys, key, text, least)
+    a, b = kept(a), kept(b)
+    pairs = kept(_alike_classes(some, others, keys, least))
+    blocks = lambda df, c, n: df.groupBy(*keys, F.col("c").alias(c)).agg(F.ceil(F.count("*") / BLOCK).alias(n))
+    pairs = kept(pairs.join(blocks(a, "c", "n"), [*keys, "c"]).join(blocks(b, "d", "m"), [*keys, "d"]))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    lefts = pairs.join(a, [*keys, "c"]).withColumn("i", deal("n")).withColumn("j", every("m")).select(F.col("id").alias("left_id"), *keys, "c", "d", "i", "j")
+    rights = pairs.join(b.withColumnRenamed("c", "d"), [*keys, "d"]).withColumn("j", deal("m")).withColumn("i", every("n")).select(F.col("id").alias("right_id"), *keys, "c", "d", "i", "j")
+    found = lefts.join(rights, [*keys, "c", "d", "i", "j"]).select("left_id", "right_id")
+    several = lambda df: bool(df.groupBy("id").count().where("count > 1").limit(1).count())
+    return found.distinct() if several(a) or several(b) else found  # only ids of several classes can make a pair twice
 
 
 def without_alike(rows: DataFrame, gone: DataFrame, key: str, text: str, keys: list[str], least: float) -> DataFrame:
     """``rows`` that are like none of ``gone`` (``keys`` and the same text column)."""
-    numbered = gone.withColumn(key, F.lit(None).cast(dict(rows.dtypes)[key]))
-    found = alike_pairs(rows, numbered, key, text, keys, least).select(F.col("left_id").alias(key)).distinct()
-    return rows.join(found, key, "left_anti")
+    members, some = _classes(rows, keys, key, text, least)
+    _, others = _classes(gone.withColumn(key, F.lit(None).cast(dict(rows.dtypes)[key])), keys, key, text, least)
+    found = members.join(_alike_classes(some, others, keys, least).select(*keys, "c").distinct(), [*keys, "c"], "left_semi")
+    return rows.join(found.select(F.col("id").alias(key)).distinct(), key, "left_anti")
