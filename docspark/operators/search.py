@@ -22,7 +22,7 @@ from .dedupe import fold_case_dedupe
 from .shared import kept
 
 #: Pivots; points and queries of a block; how far a bound may be off by rounding.
-PIVOTS, BLOCK_POINTS, BLOCK_QUERIES, SLACK = 64, 1 << 14, 1 << 12, 1e-6
+PIVOTS, BLOCK_POINTS, BLOCK_QUERIES, SLACK = 64, 1 << 14, 1 << 15, 1e-6
 
 
 def variants(query: Column, settings: Settings = DEFAULTS, alternatives: Column | None = None, fixed: Column | None = None, translated: Column | None = None) -> Column:
@@ -79,7 +79,9 @@ def _units(vectors: np.ndarray, side: int) -> np.ndarray:
 
 
 def _placed(around: dict[int, np.ndarray], side: int):
-    """Unit vectors with the cell of the nearest pivot and their angles: to that pivot (points) or to all (queries)."""
+    """Vectors as they are given, with the cell of the nearest pivot and their angles: to that pivot (points) or to all (queries).
+
+    Tasks that compare them make unit vectors of them again, as these take more than twice the bytes of single floats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32)), pa.array(m.ravel()))
@@ -98,7 +100,7 @@ def _placed(around: dict[int, np.ndarray], side: int):
                 cell = angles.argmin(axis=1)
                 some = batch.take(pa.array(at))
                 angle = lists(angles) if side else pa.array(angles[np.arange(len(at)), cell])
-                columns = [some.column("id"), some.column("scope"), lists(units), pa.array(np.full(len(at), dim, np.int32)), pa.array(cell.astype(np.int32)), angle]
+                columns = [some.column("id"), some.column("scope"), some.column("vector"), pa.array(np.full(len(at), dim, np.int32)), pa.array(cell.astype(np.int32)), angle]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "scope", "v", "dim", "cell", "angle"])
 
     return run
@@ -110,10 +112,10 @@ def _best(k: int, digits: int, at_once: int = 256):
     def run(points: pa.Table, asked: pa.Table) -> pa.Table:
         names, found = ["query_id", "point_id", "score"], []
         if points.num_rows and asked.num_rows:
-            dim = points.column("dim")[0].as_py() + 2
-            matrix = lambda t: t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            dim = points.column("dim")[0].as_py()
+            matrix = lambda t, side: _units(t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(t.num_rows, dim), side)
             points = points.sort_by("id")
-            p, q, ids = matrix(points), matrix(asked), points.column("id").combine_chunks()
+            p, q, ids = matrix(points, 0), matrix(asked, 1), points.column("id").combine_chunks()
             for a in range(0, len(q), at_once):
                 score = np.round(q[a : a + at_once] @ p.T, digits) + 0.0  # no negative zero
                 edge = np.partition(score, len(p) - k, axis=1)[:, len(p) - k] if len(p) > k else np.full(len(score), -np.inf)
@@ -152,7 +154,7 @@ def top_k(queries: DataFrame, points: DataFrame, k: int, scope: str | None = Non
     """
     shape = lambda df, key: df.select(F.col(key).alias("id"), (F.col(scope) if scope else F.lit(0)).alias("scope"), "vector").where("vector is not null and scope is not null")
     around = pivots(points)
-    kind = lambda df: f"id {dict(df.dtypes)['id']}, scope {dict(df.dtypes)['scope']}, v array<double>, dim int, cell int, angle"
+    kind = lambda df: f"id {dict(df.dtypes)['id']}, scope {dict(df.dtypes)['scope']}, v {dict(df.dtypes)['vector']}, dim int, cell int, angle"
     p, q = shape(points, "point_id"), shape(queries, "query_id")
     first = F.row_number().over(Window.partitionBy("scope", "v").orderBy("id"))
     placed = kept(p.mapInArrow(_placed(around, 0), kind(p) + " double").withColumn("_c", first).where(F.col("_c") <= k).drop("_c"))
