@@ -134,7 +134,8 @@ class Change:
         t, folder = self.tables, f"data/{uuid.uuid4().hex}"
         kinds = T._parse_datatype_string(t.schemas[name]).fields
         made = rows.select(*[F.col(f.name).cast(f.dataType) for f in kinds]).withColumn("bucket", t.bucket(F.col(t.key)))
-        made.repartition("bucket").write.partitionBy("bucket").parquet(f"{t.path}/{folder}")
+        # a bucket is one task's only as long as it is small: what is beyond the session's advised size is dealt over several
+        made.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{t.path}/{folder}")
         return folder, [x.removeprefix("bucket=") for x in t._names(folder) if x.startswith("bucket=")]
 
     def append(self, name: str, rows: DataFrame) -> None:
