@@ -64,7 +64,8 @@ def edit_distance(a: Sequence[Hashable], b: Sequence[Hashable]) -> int:
 
     What both begin and end with is taken off; of the rest, a whole column of the distance table is held as the bits of two integers,
     its rises and its falls, so that a symbol costs a few operations on integers of the other's length: texts of 20,000 words are compared in
-    some tenths of a second, and memory is that of the longer text.
+    some tenths of a second, and memory is that of the longer text. The column's end is its top plus its rises less its falls, counted once,
+    after the last symbol. Bits above the column never reach it and are cut off now and then.
     """
     start = 0
     for x, y in zip(a, b, strict=False):
@@ -82,17 +83,17 @@ def edit_distance(a: Sequence[Hashable], b: Sequence[Hashable]) -> int:
     where: dict[Hashable, int] = {}
     for i, x in enumerate(a):
         where[x] = where.get(x, 0) | 1 << i
-    every, last = (1 << len(a)) - 1, 1 << len(a) - 1
-    rises, falls, distance = every, 0, len(a)
-    for y in b:
-        same = where.get(y, 0)
-        stays = ((same & rises) + rises ^ rises) | same
-        across_up, across_down = falls | every & ~(stays | rises), rises & stays
-        distance += bool(across_up & last) - bool(across_down & last)
-        across_up, across_down = (across_up << 1 | 1) & every, across_down << 1 & every
-        diagonal = same | falls
-        rises, falls = across_down | every & ~(diagonal | across_up), across_up & diagonal
-    return distance
+    every, get = (1 << len(a)) - 1, where.get
+    rises, falls = every, 0
+    for i in range(0, len(b), 64):
+        for y in b[i : i + 64]:
+            same = get(y, 0)
+            stays = ((same & rises) + rises ^ rises) | same
+            up = (falls | (every ^ (stays | rises))) << 1 | 1
+            diagonal = same | falls
+            rises, falls = (rises & stays) << 1 | (every ^ (diagonal | up)), up & diagonal
+        rises, falls = rises & every, falls & every
+    return len(b) + rises.bit_count() - falls.bit_count()
 
 
 def error_rate(reference: Sequence[Hashable], hypothesis: Sequence[Hashable]) -> float:
