@@ -34,7 +34,7 @@ class WordHasher:
 
     dim = BUCKETS
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 1 << 17):
         self.known: dict[str, int] = {}
         self.most = most
 

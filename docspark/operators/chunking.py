@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +14,7 @@ from ..config import DEFAULTS, Settings
 from ..functions import text as T
 from ..functions import vectors as V
 from .numbering import numbered_within
+from .shared import slices
 
 SEPARATORS = ("\n\n\n", "\n\n", "\n", ".", " ", "")
 
@@ -96,15 +97,20 @@ def sentence_groups(sentences: list[str], hasher: V.WordHasher, settings: Settin
 
 
 def _per_document(docs: DataFrame, key: str, columns: dict[str, Column], split: Callable[[tuple], list[tuple]], made: str) -> DataFrame:
-    """Rows that ``split`` makes of each document's columns, in the task that reads it."""
+    """Rows that ``split`` makes of each document's columns, in the task that reads it; a task holds those of a few documents at a time."""
     kind, names, given = dict(docs.dtypes)[key], [x.split()[0] for x in made.split(", ")], list(columns)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(k, *r) for k, *x in zip(f[key], *(f[c] for c in given), strict=True) for r in split(tuple(x))]
-            yield pd.DataFrame(rows, columns=[key, *names])
-
-    return docs.select(key, *[c.alias(n) for n, c in columns.items()]).mapInPandas(run, f"{key} {kind}, {made}")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(key)
+            types = [pa.int32() if x.split()[1] == "int" else pa.string() for x in made.split(", ")]
+            for a, b in slices(batch):
+                rows = [(i, *r) for i, x in enumerate(zip(*(batch.column(c).slice(a, b - a).to_pylist() for c in given), strict=True), a) for r in split(x)]
+                if rows:
+                    at, *out = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), *map(pa.array, out, types)], [key, *names])
+
+    return docs.select(key, *[c.alias(n) for n, c in columns.items()]).mapInArrow(run, f"{key} {kind}, {made}")
 
 
 def semantic_groups(docs: DataFrame, key: str, text: str = "text", settings: Settings = DEFAULTS) -> DataFrame:
