@@ -29,17 +29,49 @@ from .shared import kept
 #: Members of a class that meet those of another in one group.
 BLOCK = 4096
 
+#: Up to so many forms of a key are compared one by one with each text of that key, without a join of grams.
+FEW = 32
+
 
 def form(text: str | None) -> str:
     return " ".join((text or "").strip().lower().split())
 
 
+class Against:
+    """A form that others are compared with. What it takes to bound a ratio is worked out once: the characters in matching blocks stand in
+    the same order in both texts, so they are at most the longest common subsequence, which comes from whole numbers as rows of bits."""
+
+    def __init__(self, form: str):
+        self.form, self.n = form, len(form)
+        self.places: dict[str, int] | None = None
+        self.matcher: SequenceMatcher | None = None
+
+    def subsequence(self, x: str) -> int:
+        """The length of the longest common subsequence."""
+        if self.places is None:
+            self.places = {}
+            for i, c in enumerate(self.form):
+                self.places[c] = self.places.get(c, 0) | 1 << i
+        every = left = (1 << self.n) - 1
+        for c in x:
+            if (own := self.places.get(c)) and (hit := left & own):
+                left = (left + hit | left - hit) & every
+        return self.n - left.bit_count()
+
+    def reached_by(self, x: str, least: float) -> bool:
+        """Whether the ratio of ``x`` to this form reaches ``least``; what the bounds rule out is not compared."""
+        s = len(x) + self.n
+        if not x or not self.form or 2 * min(len(x), self.n) < least * s or 2 * self.subsequence(x) < least * s - 1e-9:
+            return False
+        if self.matcher is None:
+            self.matcher = SequenceMatcher(None, "", self.form)
+        self.matcher.set_seq1(x)
+        return self.matcher.ratio() >= least
+
+
 def alike(a: str | None, b: str | None, least: float) -> bool:
-    """Whether the forms of two texts reach the ratio; lengths that rule it out are not compared."""
-    x, y = form(a), form(b)
-    if not x or not y or 2 * min(len(x), len(y)) < least * (len(x) + len(y)):
-        return False
-    return SequenceMatcher(None, x, y).ratio() >= least
+    """Whether the forms of two texts reach the ratio; lengths and subsequences that rule it out are not compared."""
+    return Against(form(b)).reached_by(form(a), least)
 
 
 def shared_grams(length: int, least: float, q: int) -> float:
@@ -99,7 +131,7 @@ def _alike_classes(left: DataFrame, right: DataFrame, keys: list[str], least: fl
     """``keys, c, d``: the classes whose forms reach the ratio. Signs are joined without texts, which meet the pairs that are left."""
     @F.pandas_udf(BooleanType())
     def reach(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([x == y or SequenceMatcher(None, x, y).ratio() >= least for x, y in zip(a, b, strict=True)], dtype=bool)
+        return pd.Series([x == y or Against(y).reached_by(x, least) for x, y in zip(a, b, strict=True)], dtype=bool)
 
     each = lambda df, c, n: df.select(*keys, F.col("c").alias(c), F.col("n").alias(n), F.explode("signs").alias("sign"))
     met = each(left, "c", "n").join(each(right, "d", "m"), [*keys, "sign"])
@@ -130,8 +162,31 @@ def alike_pairs(left: DataFrame, right: DataFrame, key: str, text: str, keys: li
 
 
 def without_alike(rows: DataFrame, gone: DataFrame, key: str, text: str, keys: list[str], least: float) -> DataFrame:
-    """``rows`` that are like none of ``gone`` (``keys`` and the same text column)."""
-    members, some = _classes(rows, keys, key, text, least)
-    _, others = _classes(gone.withColumn(key, F.lit(None).cast(dict(rows.dtypes)[key])), keys, key, text, least)
+    """``rows`` that are like none of ``gone`` (``keys`` and the same text column).
+
+    Where a key has up to ``FEW`` forms to go, each text meets them as it is, so what is shuffled are the texts. The others, with all their
+    forms, are joined by grams, as pairs are.
+    """
+    formed = F.pandas_udf(lambda x: pd.Series([form(t) for t in x], dtype=object), "string")
+    told = gone.select(*keys, formed(text).alias("_form")).where("_form <> ''").distinct()
+    told = kept(told.groupBy(*keys).agg(F.count("*").alias("_n"), F.slice(F.collect_list("_form"), 1, FEW).alias("_gone")))
+
+    @F.pandas_udf(BooleanType())
+    def stays(texts: pd.Series, lists: pd.Series) -> pd.Series:
+        out, held = [], {}
+        for t, forms in zip(texts, lists, strict=True):
+            x, these = form(t), () if forms is None else tuple(forms)
+            if these not in held:
+                held = {these: [Against(y) for y in these]}  # rows of a key mostly follow each other
+            out.append(not any(x == y.form or y.reached_by(x, least) for y in held[these]))
+        return pd.Series(out, dtype=bool)
+
+    few = told.where(F.col("_n") <= FEW).select(*keys, "_gone")
+    left = rows.join(few, keys, "left").where(F.col("_gone").isNull() | stays(F.col(text), F.col("_gone"))).select(*rows.columns)
+    many = told.where(F.col("_n") > FEW).select(*keys)
+    if many.isEmpty():
+        return left
+    members, some = _classes(rows.join(many, keys, "left_semi"), keys, key, text, least)
+    _, others = _classes(gone.join(many, keys, "left_semi").withColumn(key, F.lit(None).cast(dict(rows.dtypes)[key])), keys, key, text, least)
     found = members.join(_alike_classes(some, others, keys, least).select(*keys, "c").distinct(), [*keys, "c"], "left_semi")
-    return rows.join(found.select(F.col("id").alias(key)).distinct(), key, "left_anti")
+    return left.join(found.select(F.col("id").alias(key)).distinct(), key, "left_anti")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -113,24 +114,28 @@ def merge(stored: DataFrame, incoming: DataFrame, removed: DataFrame, settings:
     stored = fuzzy.without_alike(named, removed.select("conversation_id", "text"), "row", "text", ["conversation_id"], settings.fact_similarity)
     rows = stored.select(F.lit(0).alias("step"), *columns).unionByName(incoming.select(F.lit(2).alias("step"), *columns))
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["step", "pos"])
-        store = f[f["step"] == 0].to_dict("records")
-        for new in f[f["step"] == 2].to_dict("records"):
-            at = next((i for i, x in enumerate(store) if alike(x["text"], new["text"], settings.fact_similarity)), None)
+    def run(facts: pa.Table) -> pa.Table:
+        step, pos, texts, importance, updated = (facts.column(c).to_pylist() for c in ("step", "pos", "text", "importance", "updated_at"))
+        order = sorted(range(len(step)), key=lambda i: (step[i], pos[i] is None, pos[i] or 0))
+        store = [i for i in order if step[i] == 0]  # numbers of rows
+        forms = [fuzzy.form(texts[i]) for i in store]
+        for i in order[len(store) :]:
+            new = fuzzy.Against(fuzzy.form(texts[i]))
+            at = next((j for j, x in enumerate(forms) if new.reached_by(x, settings.fact_similarity)), None)
             if at is None:
-                store.append(new)
+                store.append(i)
+                forms.append(new.form)
             else:
-                store[at] = new
-        for i, x in enumerate(store):
-            x["pos"] = i
-        over = len(store) - settings.max_facts
-        if over > 0:
-            drop = {x["pos"] for x in sorted(store, key=lambda x: (x["importance"], x["updated_at"]))[:over]}
-            store = [x for x in store if x["pos"] not in drop]
-        return pd.DataFrame(store, columns=["step", *columns])[columns].astype({"pos": "int32"}).astype({"importance": "Int32"})
-
-    return rows.groupBy("conversation_id").applyInPandas(run, FACTS)
+                store[at], forms[at] = i, new.form
+        places = list(range(len(store)))
+        if (over := len(store) - settings.max_facts) > 0:
+            least = lambda x: (x is not None, x or 0)
+            drop = set(sorted(places, key=lambda p: (least(importance[store[p]]), least(updated[store[p]])))[:over])
+            places = [p for p in places if p not in drop]
+        left = facts.select(columns).take(pa.array([store[p] for p in places], pa.int64()))
+        return left.set_column(1, "pos", pa.array(places, pa.int32()))
+
+    return rows.groupBy("conversation_id").applyInArrow(run, FACTS)
 
 
 def fact_table(spark: SparkSession, path: str, buckets: int = 64) -> VersionedTables:

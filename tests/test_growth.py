@@ -93,3 +93,26 @@ def test_vectors_travel_as_given(spark):
     assert {tuple(r) for r in found.collect()} == {(1, 1, 1.0, 1), (1, 5, 1.0, 2), (5, 1, 1.0, 1), (5, 5, 1.0, 2), (2, 2, 1.0, 1), (2, 1, 0.707107, 2), (3, 1, 0.0, 1), (3, 2, 0.0, 2)}
     batch = pa.RecordBatch.from_pydict({"id": [1], "scope": [0], "vector": pa.array([[3.0, 4.0]], pa.list_(pa.float32()))})
     assert [b.column("v").type for b in search._placed({}, 0)(iter([batch]))] == [pa.list_(pa.float32())]
+
+
+def test_few_removals_need_no_grams(spark, monkeypatch):
+    """Each text of a conversation was joined by about half of its grams with one removed text. Both ways must agree."""
+    dice = random.Random(6)
+    names = ["old plate", " Old  PLATE", "cold plate", "cold plates", "new ring", "", None, "x", "a far longer text of plates", "a far longer text of plate"]
+    rows = spark.createDataFrame([(str(i), dice.choice([1, 2, None]), dice.choice(names)) for i in range(200)], "row string, k int, text string")
+    gone = spark.createDataFrame([(1, "cold plate"), (1, "X "), (1, None), (2, "a far longer text of plate"), (None, "x")], "k int, text string")
+    want = {r["row"] for r in rows.collect() if not any(r["k"] == g["k"] and r["k"] is not None and (fuzzy.form(r["text"]) == fuzzy.form(g["text"]) != "" or fuzzy.alike(r["text"], g["text"], 0.85)) for g in gone.collect())}
+    for few in (0, 1, 2):
+        monkeypatch.setattr(fuzzy, "FEW", few)
+        assert {r["row"] for r in fuzzy.without_alike(rows, gone, "row", "text", ["k"], 0.85).collect()} == want
+    monkeypatch.setattr(fuzzy, "_classes", None)  # not called any more
+    assert {r["row"] for r in fuzzy.without_alike(rows, gone, "row", "text", ["k"], 0.85).collect()} == want
+
+
+def test_bounds_keep_every_ratio():
+    dice = random.Random(7)
+    for _ in range(3000):
+        a = "".join(dice.choices("ab cd", k=dice.choice([0, 2, 9, 40, 300])))
+        b = "".join(dice.choice(["", c, c, c, c, c, c, c, c, c + "e"]) for c in a) if dice.random() < 0.8 else "".join(dice.choices("ab cd", k=9))
+        x, y = fuzzy.form(a), fuzzy.form(b)
+        assert fuzzy.alike(a, b, 0.85) == (bool(x) and bool(y) and fuzzy.SequenceMatcher(None, x, y).ratio() >= 0.85)
