@@ -143,3 +143,14 @@ def test_fact_merge_equals_a_plain_version(spark, sf_dir):
         over = sorted(range(len(store)), key=lambda i: (store[i]["importance"], store[i]["updated_at"], i))[: max(0, len(store) - 3)]
         left = [r["text"] for i, r in enumerate(store) if i not in over]
         assert [r["text"] for r in sorted((r for r in got if r["conversation_id"] == conv), key=lambda r: r["pos"])] == left
+
+
+def test_forms_take_one_pass(spark):
+    """Three patterns ran over each text, one of them a match per space; the forms must be as those three leave them."""
+    odd = ["", " ", "A b C", "\t a--b \n\n c_d\x0b", "ÀÉ İß 𝟘x 😀y", "--", "a", " é ", "٣ ab", "x\u0085y​z", None]
+    rows = spark.createDataFrame([(x,) for x in odd], "t string")
+    three = lambda other: T.strip(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce("t", F.lit(""))), other, " "), r"\s+", " "))
+    got = rows.select(T.loose_latin(F.col("t")), three(r"[^a-z0-9\s]"), T.normalize_latin(F.col("t")), three(r"[^\p{L}\p{N}_\s]")).collect()
+    assert all(a == b and c == d for a, b, c, d in got)
+    plan = rows.select(T.loose_latin(F.col("t")).alias("n"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1
