@@ -6,6 +6,7 @@ import time
 import pyarrow as pa
 from docspark.operators import chunking, fuzzy, profile, search, shared, substrings, versions
 from docspark.operators.shared import folder
+from docspark.plans import catalog, extended  # noqa: F401
 from pyspark.sql import functions as F
 
 
@@ -116,3 +117,9 @@ def test_bounds_keep_every_ratio():
         b = "".join(dice.choice(["", c, c, c, c, c, c, c, c, c + "e"]) for c in a) if dice.random() < 0.8 else "".join(dice.choices("ab cd", k=9))
         x, y = fuzzy.form(a), fuzzy.form(b)
         assert fuzzy.alike(a, b, 0.85) == (bool(x) and bool(y) and fuzzy.SequenceMatcher(None, x, y).ratio() >= 0.85)
+
+
+def test_ranking_is_worked_out_once(spark, sf_dir):
+    """All documents were scored for the items of even and once more for those of odd numbers."""
+    plan = extended.unseen_results(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("Relation") == 2
