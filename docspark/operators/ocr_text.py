@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from ..functions import text as T
 from ..functions.values import BANNED_OPENINGS, NOT_FOUND
 from .folds import fold
 from .numbering import numbered_within
+from .shared import kept, slices
 
 #: Where a text's lines end.
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
@@ -19,13 +23,49 @@ def lines_of(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return docs.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("pos", "line"))
 
 
+def _picked():
+    """The lines of texts at given positions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a, b in slices(whole):
+                batch = whole.slice(a, b - a)
+                rows, places, lines = [], [], []
+                for i, (text, at) in enumerate(zip(batch.column("text").to_pylist(), batch.column("at").to_pylist(), strict=True)):
+                    held = text.split("\n")
+                    rows += [i] * len(at)
+                    places += [x["place"] for x in at]
+                    lines += [held[x["pos"]] for x in at]
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(rows, pa.int64())), pa.array(places, pa.int32()), pa.array(lines, pa.string())], ["key", "place", "line"])
+
+    return run
+
+
 def merged_results(results: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Lines of several recognition results of one image, the longest result first, each line once: ``key, place, line``."""
-    longest = results.select(key, (-F.length(text)).alias("n"), F.col(text).alias(text))
-    ranked = numbered_within(longest, [key], ["n", text], "r")
-    rows = ranked.select(key, "r", F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "line")).withColumn("k", T.collapse(F.lower("line"))).where("k <> ''")
-    first = rows.withColumn("_f", F.row_number().over(Window.partitionBy(key, "k").orderBy("r", "pos"))).where("_f = 1")
-    return numbered_within(first.select(key, "r", "pos", "line"), [key], ["r", "pos"], "place").select(key, F.col("place").cast("int").alias("place"), "line")
+    """Lines of several recognition results of one image, the longest result first, each line once: ``key, place, line``.
+
+    Results and forms of lines stand as 128 bits of their hashes while results are ordered, first lines found and these numbered; texts are
+    shuffled once, to where their lines are picked. Results are ordered by length and first characters; whole texts of those that agree in
+    both, and only these, say the rest.
+    """
+    hashed = F.unhex(F.md5(F.concat(F.xxhash64(key).cast("string"), F.lit(" "), F.col(text))))
+    said = results.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), hashed.alias("h"))
+    kind = dict(said.dtypes)["key"]
+    slim = kept(said.select("key", "h", (-F.length("text")).alias("n"), F.substring("text", 1, 48).alias("head")).distinct())
+    shared = slim.withColumn("_n", F.count("*").over(Window.partitionBy("key", "n", "head"))).where("_n > 1").select("h")
+    ties = said.join(shared, "h", "left_semi").select("key", "h", "text").distinct()
+    ties = numbered_within(ties, ["key"], ["text"], "tie").select("h", "tie")
+    ranked = kept(numbered_within(slim.join(ties, "h", "left"), ["key"], ["n", "head", "tie"], "r").select("key", "h", "r"))
+    rows = said.select("h", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("form", T.collapse(F.lower("line"))).where("form <> ''")
+    rows = rows.groupBy("h", F.unhex(F.md5("form")).alias("k")).agg(F.min("pos").alias("pos")).join(ranked, "h")
+    first = rows.groupBy("key", "k").agg(F.min(F.shiftleft("r", 31) + F.col("pos")).alias("at"))  # by result, then line
+    placed = numbered_within(first.select("key", "at"), ["key"], ["at"], "place")
+    chosen = F.collect_list(F.struct((F.col("at") % (1 << 31)).cast("int").alias("pos"), F.col("place").cast("int").alias("place"))).alias("at")
+    chosen = placed.groupBy("key", F.shiftright("at", 31).alias("r")).agg(chosen).withColumnRenamed("key", "_key")
+    chosen = ranked.join(chosen.withColumnRenamed("r", "_r"), F.col("key").eqNullSafe(F.col("_key")) & (F.col("r") == F.col("_r"))).select("key", "h", "at")
+    texts = said.groupBy("h").agg(F.any_value("text").alias("text"))
+    found = texts.join(chosen, "h").select("key", "text", "at").mapInArrow(_picked(), f"key {kind}, place int, line string")
+    return found.withColumnRenamed("key", key)
 
 
 def merge_fractured(docs: DataFrame, key: str, text: str = "text", short: int = 15, run: int = 6) -> DataFrame:

@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,3 +157,30 @@ def test_forms_take_one_pass(spark):
     assert all(a == b and c == d for a, b, c, d in got)
     plan = rows.select(T.loose_latin(F.col("t")).alias("n"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") == 1
+
+
+def test_results_are_numbered_without_texts(spark, monkeypatch):
+    """Whole texts and lines went through the numbering; now only those that agree in length and first characters do."""
+    dice, seen, plain = random.Random(3), [], ocr_text.numbered_within
+    monkeypatch.setattr(ocr_text, "numbered_within", lambda rows, *a, **k: seen.append(rows) or plain(rows, *a, **k))
+    lines = ["One line", "one  LINE ", "two", "", " ", "three x", "long " * 30, "Long " * 30]
+    rows = [(dice.choice(["a", "b", None]), "\n".join(dice.choices(lines, k=dice.randint(0, 6)))) for _ in range(150)] + [("a", None), ("c", ""), (None, "only\nhere")]
+    same = "the beginning of a result that others share, word by word\n"
+    rows += [("t", same + x) for x in ("b\nB\na", "a\nc\nb", "a\nb\nc", "a\nb\nc")]
+    want = []
+    for key in {k for k, _ in rows}:
+        held, place = set(), 0
+        for t in sorted((t for k, t in rows if k == key and t is not None), key=lambda t: (-len(t), t)):
+            for line in t.split("\n"):
+                form = re.sub(r"[ \t\n\r\f\x0b]+", " ", line.lower()).strip(" ")
+                if form and form not in held:
+                    held.add(form)
+                    place += 1
+                    want.append((key, place, line))
+    got = ocr_text.merged_results(spark.createDataFrame(rows, "k string, text string"), "k").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    seen.clear()
+    big = spark.createDataFrame([("a", f"{i} " + "word\n" * 3000) for i in range(9)], "k string, text string")
+    ocr_text.merged_results(big, "k").collect()
+    strings = lambda df: [F.sum(F.length(c)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    assert all(sum(x or 0 for x in df.select(*strings(df)).first()) < 2000 for df in seen if strings(df))
