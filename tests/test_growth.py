@@ -4,9 +4,10 @@ import random
 import time
 
 import pyarrow as pa
-from docspark.operators import chunking, fuzzy, profile, search, shared, substrings, versions
+from docspark.functions import text as T
+from docspark.operators import chunking, fuzzy, profile, report, search, shared, substrings, versions
 from docspark.operators.shared import folder
-from docspark.plans import catalog, extended  # noqa: F401
+from docspark.plans import catalog, extended  # noqa: F401  (the extended queries add to those of the catalog)
 from pyspark.sql import functions as F
 
 
@@ -123,3 +124,27 @@ def test_ranking_is_worked_out_once(spark, sf_dir):
     """All documents were scored for the items of even and once more for those of odd numbers."""
     plan = extended.unseen_results(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan and plan.count("Relation") == 2
+
+
+def test_slices_are_extracted_once(spark, sf_dir):
+    """Sections, lists and each half of the narratives read all texts and matched all patterns by themselves."""
+    plan = extended.report_rows(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "split(" not in plan
+
+
+def test_extraction_passes_over_nothing(spark):
+    odd = ["", None, "no. yes! \n\n\nThree?  four\n five.\t\tsix  seven.", "x = 1; You MUST go. We Recommend it", "Water is a thing. It is so = no.", "Figure 2 and Table 10 of NATO, 3.5% 7", "\n\n a.  \n\n b", "Best   practice. best practice"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "i int, text string")
+    slices = rows.select("i", F.col("i").alias("page_start"), F.col("i").alias("page_end"), "text")
+    got = {r["i"]: r for r in report.extracted(slices).collect()}
+    body = F.col("text")
+    every = lambda pattern: F.array_distinct(F.regexp_extract_all(body, F.lit(pattern), F.lit(1)))
+    parts = F.filter(F.transform(F.split(F.coalesce(body, F.lit("")), r"(?<=[.!?؟۔])\s+|\n{2,}"), T.strip), lambda x: x != "")
+    advice = F.filter(parts, lambda x: F.rlike(F.lower(x), F.lit(report.BEFORE + "(?:should|must|recommend|best practice)")))
+    said = F.regexp_extract_all(body, F.lit(r"([A-Z][\p{L}]+(?: [\p{L}]+)? is (?:a|an|the) [^.\n]+\.)"), F.lit(1))
+    want = rows.select("i", parts.alias("parts"), advice.alias("advice"), every(r"(\w+ = [^\n.;]+)").alias("equations"), every(r"((?:Figure|Table) \d+)").alias("figures"), said.alias("said"))
+    for w in want.collect():
+        g = got[w["i"]]
+        assert (g["key_points"], g["best_practices"], g["equations"], g["figures_tables"]) == (w["parts"][:3], w["advice"], w["equations"], w["figures"])
+        assert (g["definitions"] is None) == (w["said"] is None) and len(g["definitions"] or []) == len(w["said"] or [])
+    assert got[3]["best_practices"] == ["x = 1; You MUST go.", "We Recommend it"] and got[4]["definitions"][0]["term"] == "Water"
