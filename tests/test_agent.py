@@ -2,13 +2,14 @@
 
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from docspark.config import Settings
 from docspark.functions import tokens
 from docspark.operators import memory, objects
-from docspark.plans import agent
+from docspark.plans import agent, catalog, extended_sql, sql  # noqa: F401  (the extended ones add to the others)
 from docspark.plans.api import Engine, new_session
 from docspark.plugins import Prefixed, Rejected, Remembering, RulePlanner, embedding, reranked
 from docspark.sources import files
@@ -278,3 +279,13 @@ def test_settings_from_the_environment(monkeypatch):
     monkeypatch.setenv("TOP_K", "11")
     monkeypatch.setenv("MMR_LAMBDA", "bad")
     assert Settings.from_env().top_k == 11 and Settings.from_env().mmr_lambda == 0.7
+
+
+def test_repeated_questions_equal_their_sql(spark, tmp_path):
+    """Whole texts are compared, in any case and with any margins; a null text took the place of a blank one."""
+    said = ["What is it?", " what IS it? ", "What is it? More.", "\tWHAT IS IT?\n", "Éa b", "éA B", "éA  B"]
+    rows = [(1, i, x) for i, x in enumerate(said)] + [(2, i, x) for i, x in enumerate([said[0], None, "", "  ", None])]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(map(tuple, catalog.QUERIES["repeated_questions"](spark, str(tmp_path)).collect()))
+    want = duckdb.connect().execute(sql.ORACLES["repeated_questions"].replace("FROM conversations", f"FROM '{tmp_path}/conversations.parquet/*.parquet'")).fetchall()
+    assert got == sorted(want) == [(1, 0), (1, 2), (1, 4), (1, 6), (2, 0), (2, 1), (2, 2)]
